@@ -1,9 +1,11 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
+from tarnsift.llm.near_dups import op1_near_dups
 from tarnsift.llm.packing import op10_packing
 from tarnsift.llm.substrings import op8_substrings
 
 QUERIES = {
+    "op1_near_dups": op1_near_dups,
     "op8_substrings": op8_substrings,
     "op10_packing": op10_packing,
 }
