@@ -38,6 +38,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def repeats(df: DataFrame, column: str) -> bool:
+    """Whether the column holds a value twice, or a null."""
+    return df.groupBy(column).count().where(F.col(column).isNull() | (F.col("count") > 1)).limit(1).count() > 0
+
+
 def unit_hash(*cols) -> F.Column:
     """A reproducible number in [0, 1) from the columns' values."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import WordHashes, in_chunks, mix64, stored, table
+from tarnsift.llm.common import WordHashes, in_chunks, mix64, repeats, stored, table
 from tarnsift.llm.graph import components
 from tarnsift.llm.substrings import _grams, _runs
 
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     none, are documents of their own; a component of null ids only has component_id null and keeps its rows.
     """
     bins = bands * rows
-    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() > 0
+    odd = repeats(docs, "doc_id")
     id_of = F.col("doc_id").cast("long")
     keyed = docs.select((F.xxhash64("doc_id", "text") if odd else id_of).alias("node"), id_of.alias("doc_id"), "text")
     signed = stored(keyed.mapInPandas(lambda it: _sign(it, width, bins), "node long, doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "signatures")

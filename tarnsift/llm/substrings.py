@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import WordHashes, in_chunks, mix64, table
+from tarnsift.llm.common import WordHashes, in_chunks, mix64, repeats, table
 
 WINDOW, GRAM = 20, 8
 _LEAST = -(1 << 63)
@@ -190,8 +190,7 @@ def covered(n_words: int, lows, masks, window: int = WINDOW) -> np.ndarray:
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(documents as d, tie and the given columns; d, tie, lows, masks of those with repeated windows)."""
-    spark = docs.sparkSession
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    twice = repeats(docs, "doc_id")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     anchors = keyed.dropDuplicates(["d", "tie"]) if twice else keyed
     found = anchors.mapInPandas(lambda it: _find(it, window, gram), "route long, gram_hash long, d long, tie long, pos int, known boolean")
