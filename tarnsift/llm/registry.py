@@ -1,20 +1,25 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from tarnsift.llm import chat
+from tarnsift.llm import chat, topk
 from tarnsift.llm.chat import op5_chat
 from tarnsift.llm.fingerprints import op6_fingerprints
 from tarnsift.llm.near_dups import op1_near_dups
 from tarnsift.llm.packing import op10_packing
+from tarnsift.llm.pages import op9_pages
 from tarnsift.llm.substrings import op8_substrings
+from tarnsift.llm.topk import op4_topk
 
 QUERIES = {
     "op1_near_dups": op1_near_dups,
+    "op4_topk": op4_topk,
     "op5_chat": op5_chat,
     "op6_fingerprints": op6_fingerprints,
     "op8_substrings": op8_substrings,
+    "op9_pages": op9_pages,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_topk": topk.ORACLE_SQL,
     "op5_chat": chat.ORACLE_SQL,
 }
