@@ -8,8 +8,9 @@ band with probability 6e-7.
 
 Equal sets form one class and only its representative goes on. Links: (1) in each bucket of a band everyone is
 checked against the bucket's least member and components are built; (2) buckets that still hold more than one
-component are cut into blocks and all their pairs across components are compared by sketch, then checked. Every
-check is exact, on the full shingle sets. A bucket of copies of one text thus costs one check a member, not pairs.
+component are cut into blocks; members whose sketches allow a link across components are checked against the whole
+block, and a block returns only links that join components. Every check is exact, on the full shingle sets; a bucket
+of copies of one text costs one check a member, and no step emits a row for each pair of a bucket.
 """
 
 from __future__ import annotations
@@ -95,20 +96,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInPandas(lambda it: _confirm(it, width, percent), "a long, b long")
 
 
-def _pairs_across(batches, bands: int, rows: int, percent: int, floor: int):
-    """Pairs of a block (or of two) in different components that sizes and sketches allow, each in its first common band only."""
+def _cells(pdf: pd.DataFrame):
+    cells = pdf["cell"].to_numpy()
+    cuts = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]])
+    return zip(cuts[:-1], cuts[1:])
+
+
+def _worth_checking(batches, bands: int, rows: int, percent: int, floor: int):
+    """Of each cell (a block of a bucket, or two) the members that have a partner in another component whose size and sketch
+    allow the similarity and whom they meet in no earlier band."""
     for pdf in _runs(batches, "cell"):
-        cells = pdf["cell"].to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]])
-        node, comp, size, band = (pdf[c].to_numpy() for c in ("node", "comp", "n_shingles", "band_no"))
+        comp, size, band = (pdf[c].to_numpy() for c in ("comp", "n_shingles", "band_no"))
         side, same = pdf["side"].to_numpy(), pdf["same"].to_numpy()
         sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(len(pdf), bands * rows)
-        out_a, out_b = [], []
-        for s, e in zip(cuts[:-1], cuts[1:]):
+        wanted = np.zeros(len(pdf), bool)
+        for s, e in _cells(pdf):
             ids = np.arange(s, e)
             lefts, rights = (ids, ids) if same[s] else (ids[side[s:e] == 0], ids[side[s:e] == 1])
             for i in lefts:
-                others = rights[(comp[rights] != comp[i]) & (node[rights] > node[i] if same[s] else True)]
+                others = rights[comp[rights] != comp[i]]
                 big, small = np.maximum(size[others], size[i]), np.minimum(size[others], size[i])
                 others = others[100 * small >= percent * big]
                 if not len(others):
@@ -116,10 +122,47 @@ def _pairs_across(batches, bands: int, rows: int, percent: int, floor: int):
                 equal = sketch[others] == sketch[i]
                 first_band = equal.reshape(len(others), bands, rows).all(axis=2).argmax(axis=1)
                 others = others[(equal.sum(axis=1) >= floor) & (first_band == band[i])]
-                out_a += [np.minimum(node[i], node[others])]
-                out_b += [np.maximum(node[i], node[others])]
-        if out_a:
-            yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+                wanted[others] = True
+                wanted[i] |= len(others) > 0
+        if wanted.any():
+            yield pdf.loc[wanted, ["cell", "node", "comp"]]
+
+
+def _links_in_cell(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a cell, checked on the full sets: each set against all others by the members of
+    its shingles. Pairs inside a component, and links that join nothing new, are left out."""
+    sizes = np.array([len(x) for x in sets])
+    _, which = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    by = np.argsort(which, kind="stable")
+    holders, start = owner[by], np.concatenate([[0], np.cumsum(np.bincount(which))])
+    ends = np.cumsum(sizes)
+    _, group = np.unique(comp, return_inverse=True)
+    links = []
+    for i in np.argsort(np.bincount(group)[group], kind="stable"):  # the small components look for the large ones
+        if (group == group[i]).sum() * 2 > len(group):
+            continue  # the others have looked, or will look, for this component's members
+        mine = which[ends[i] - sizes[i] : ends[i]]
+        both = np.bincount(np.concatenate([holders[start[t] : start[t + 1]] for t in mine]), minlength=len(sets))
+        good = np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (group != group[i]))
+        while len(good):
+            j = good[0]
+            links.append((min(node[i], node[j]), max(node[i], node[j])))
+            group[group == group[j]] = group[i]
+            good = good[group[good] != group[i]]
+    return links
+
+
+def _links_across(batches, width: int, percent: int):
+    words = WordHashes()
+    for pdf in _runs(batches, "cell"):
+        node, comp, texts = pdf["node"].to_numpy(), pdf["comp"].to_numpy(), pdf["text"].to_numpy()
+        links = []
+        for s, e in _cells(pdf):
+            if e - s > 1:
+                links += _links_in_cell(node[s:e], comp[s:e], [shingle_set(t, width, words) for t in texts[s:e]], percent)
+        if links:
+            yield pd.DataFrame(links, columns=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -158,8 +201,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         .select("node", "comp", "n_shingles", "sketch", "band_no", (F.col("own") == F.col("other")).alias("same"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
                 F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
     )
-    across = spread.repartition("cell").sortWithinPartitions("cell").mapInPandas(lambda it: _pairs_across(it, bands, rows, percent, floor), "a long, b long")
-    more = stored(_confirmed(across.join(pairs, ["a", "b"], "left_anti"), texts, width, percent), "links2")
+    worth = spread.repartition("cell").sortWithinPartitions("cell").mapInPandas(lambda it: _worth_checking(it, bands, rows, percent, floor), "cell long, node long, comp long")
+    with_text = worth.join(texts, "node").repartition("cell").sortWithinPartitions("cell", "node")
+    more = stored(with_text.mapInPandas(lambda it: _links_across(it, width, percent), "a long, b long").distinct(), "links2")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
