@@ -43,6 +43,14 @@ def repeats(df: DataFrame, column: str) -> bool:
     return df.groupBy(column).count().where(F.col(column).isNull() | (F.col("count") > 1)).limit(1).count() > 0
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def unit_hash(*cols) -> F.Column:
     """A reproducible number in [0, 1) from the columns' values."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import WordHashes, in_chunks, mix64, repeats, stored, table
+from tarnsift.llm.common import WordHashes, in_chunks, mix64, repeats, stored, table, unused
 from tarnsift.llm.graph import components
 from tarnsift.llm.substrings import _grams, _runs
 
@@ -165,16 +165,15 @@ def _links_across(batches, width: int, percent: int):
             yield pd.DataFrame(links, columns=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (doc_id is its component's least) for every row.
+def _node(odd: bool) -> F.Column:
+    """What tells documents apart: the id, or if ids repeat or are null, a hash of id and text."""
+    return F.xxhash64("doc_id", "text") if odd else F.col("doc_id").cast("long")
 
-    Texts without words, and null texts, have an empty set and link with nothing. Rows that repeat a doc_id, or have
-    none, are documents of their own; a component of null ids only has component_id null and keeps its rows.
-    """
+
+def _grouped(docs: DataFrame, odd: bool, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """node, doc_id, n_shingles, component_id, root (the node that stands for its group) for every row."""
     bins = bands * rows
-    odd = repeats(docs, "doc_id")
-    id_of = F.col("doc_id").cast("long")
-    keyed = docs.select((F.xxhash64("doc_id", "text") if odd else id_of).alias("node"), id_of.alias("doc_id"), "text")
+    keyed = docs.select(_node(odd).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(keyed.mapInPandas(lambda it: _sign(it, width, bins), "node long, doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "signatures")
 
     classes = stored(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
@@ -209,11 +208,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     labels = classes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"), "least")
     if odd:
-        least = labels.groupBy("root").agg(F.min("least").alias("component"))
-        labels = labels.join(least, "root").select("h1", "h2", "component")
+        labels = labels.join(labels.groupBy("root").agg(F.min("least").alias("component")), "root").drop("least")
     else:
-        labels = labels.select("h1", "h2", F.col("root").alias("component"))
-    return signed.drop("sketch").join(labels, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        labels = labels.select("h1", "h2", "root", F.col("root").alias("component"))
+    alone = F.col("n_shingles") == 0
+    return signed.drop("sketch").join(labels, ["h1", "h2"], "left").select(
+        "node", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root"),
+    )
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (doc_id is its component's least) for every row.
+
+    Texts without words, and null texts, have an empty set and link with nothing. Rows that repeat a doc_id, or have
+    none, are documents of their own; a component of null ids only has component_id null and keeps its rows.
+    """
+    found = _grouped(docs, repeats(docs, "doc_id"), width, percent, bands, rows)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, one for each group of near duplicates; texts without words all stay, repeated rows once."""
+    odd = repeats(docs, "doc_id")
+    node = unused(docs, "node")
+    stays = _grouped(docs, odd, width, percent, bands, rows).where("node = root").select(F.col("node").alias(node))
+    keyed = docs.withColumn(node, _node(odd))
+    return (keyed.dropDuplicates([node]) if odd else keyed).join(stays.distinct() if odd else stays, node, "left_semi").drop(node)
 
 
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

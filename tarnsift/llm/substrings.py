@@ -188,12 +188,13 @@ def covered(n_words: int, lows, masks, window: int = WINDOW) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents as d, tie and the given columns; d, tie, lows, masks of those with repeated windows)."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(documents as d, tie, text and, numbered, the carried columns; d, tie, lows, masks of those with repeated windows).
+    Both joins with the texts take the same columns, so the texts are shuffled once."""
     twice = repeats(docs, "doc_id")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("tie"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)])
     anchors = keyed.dropDuplicates(["d", "tie"]) if twice else keyed
-    found = anchors.mapInPandas(lambda it: _find(it, window, gram), "route long, gram_hash long, d long, tie long, pos int, known boolean")
+    found = anchors.select("d", "tie", "text").mapInPandas(lambda it: _find(it, window, gram), "route long, gram_hash long, d long, tie long, pos int, known boolean")
     shared = found.repartition("route").sortWithinPartitions("route").mapInPandas(_shared, "d long, tie long, pos int")
     wanted = shared.groupBy("d", "tie").agg(F.collect_list("pos").alias("anchors"))
     here = anchors.join(wanted, ["d", "tie"]).mapInPandas(lambda it: _compare_here(it, window, gram), _ROWS)
@@ -201,18 +202,28 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     return keyed, masks.groupBy("d", "tie").agg(F.collect_list(F.struct("low", "mask")).alias("hits")).select("d", "tie", F.col("hits.low").alias("lows"), F.col("hits.mask").alias("masks"))
 
 
+_CUT = ["n_words", "n_removed", "kept_sha256", "kept_text", "factor_starts", "factor_lengths"]
+
+
 def _cut(batches, window: int, with_text: bool):
     import hashlib
 
     for pdf in in_chunks(batches):
         out = []
-        for d, text, lows, masks in zip(pdf["d"], pdf["text"], pdf["lows"], pdf["masks"]):
+        for text, lows, masks in zip(pdf["text"], pdf["lows"], pdf["masks"]):
             words = text.encode("utf-8").split()
             gone = covered(len(words), lows, masks, window)
             kept = b" ".join([w for w, g in zip(words, gone) if not g] if gone.any() else words)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-            out.append((d, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), (kept.decode("utf-8") if gone.any() else text) if with_text else None, edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
-        yield pd.DataFrame(out, columns=["d", "n_words", "n_removed", "kept_sha256", "kept_text", "factor_starts", "factor_lengths"])
+            out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), (kept.decode("utf-8") if gone.any() else text) if with_text else None, edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
+        yield pd.concat([pdf.drop(columns=["tie", "text", "lows", "masks"]).reset_index(drop=True), pd.DataFrame(out, columns=_CUT)], axis=1)
+
+
+def _removed(docs: DataFrame, window: int, gram: int, with_text: bool, carried: tuple[str, ...] = ()) -> DataFrame:
+    keyed, hits = repeated_windows(docs, window, gram, carried)
+    extra = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carried))
+    fields = f"d long, {extra}n_words long, n_removed long, kept_sha256 string, kept_text string, factor_starts array<long>, factor_lengths array<long>"
+    return keyed.join(hits, ["d", "tie"], "left").mapInPandas(lambda it: _cut(it, window, with_text), fields)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
@@ -222,10 +233,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     doc_id and text are one document and get its result each; rows that share only the doc_id are ordered by a hash of
     the text. kept_text is the text itself if nothing goes, else the kept words joined by one space.
     """
-    keyed, hits = repeated_windows(docs, window, gram)
-    fields = "d long, n_words long, n_removed long, kept_sha256 string, kept_text string, factor_starts array<long>, factor_lengths array<long>"
-    cut = keyed.join(hits, ["d", "tie"], "left").mapInPandas(lambda it: _cut(it, window, with_text), fields)
-    return cut.withColumn("doc_id", F.when(F.col("d") != _LEAST, F.col("d"))).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "factor_starts", "factor_lengths")
+    return _removed(docs, window, gram, with_text).select(F.when(F.col("d") != _LEAST, F.col("d")).alias("doc_id"), *_CUT)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows and columns of docs with the kept text as text; n_chars, if there is one, counts it anew."""
+    carried = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    out = _removed(docs, window, gram, True, carried)
+    place = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(carried)} | {"text": F.col("kept_text").alias("text"), "n_chars": F.char_length("kept_text").cast("long").alias("n_chars")}
+    return out.select(*[place[c] for c in docs.columns])
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
