@@ -1 +1 @@
-
+"""Scalar rules on columns: cleaning, labels, scores, canonical forms."""

@@ -1 +1 @@
-
+"""Nothing here: the engine's inputs are tables; its only notion of lateness, a stale round, is a batch predicate (evidence.admission_gate)."""
