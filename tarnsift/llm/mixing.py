@@ -18,7 +18,7 @@ from tarnsift.llm.common import repeats, stored, table, unit_hash, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one class that a task ranks.
-RANKED = 4096
+RANKED = 512
 
 
 def word_count(text: Column) -> Column:
