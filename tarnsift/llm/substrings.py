@@ -47,12 +47,24 @@ def _windows(grams: np.ndarray, window: int, gram: int) -> np.ndarray:
     return mix64(total)
 
 
+#: Bits of a position that stand below a gram hash, so that one minimum finds the least hash and its leftmost place.
+_PLACE = 24
+
+
 def _anchors(grams: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """The anchor's position for every window start; never decreases."""
+    """The anchor's position for every window start; never decreases. The least of 2, 4, 8, ... neighbours, then of the width."""
     width = window - gram + 1
     n = len(grams) - width + 1
-    least = np.lib.stride_tricks.sliding_window_view(grams, width)
-    return np.arange(n) + least.argmin(axis=1)
+    if len(grams) >> _PLACE:
+        return np.arange(n) + (np.lib.stride_tricks.sliding_window_view(grams >> np.uint64(_PLACE), width)).argmin(axis=1)
+    least = grams >> np.uint64(_PLACE) << np.uint64(_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    span = 1
+    while 2 * span <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < width:
+        least = np.minimum(least[:n], least[width - span :][:n])
+    return (least[:n] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
 
 
 def _find(batches, window: int, gram: int):
@@ -116,7 +128,7 @@ def _shared(batches):
             yield pdf.loc[keep, ["d", "tie", "pos"]]
 
 
-_ROWS = "route long, gram_hash long, d long, tie long, low int, done int, windows array<long>"
+_ROWS = "route long, gram_hash long, d long, tie long, low int, done int, windows binary"
 
 
 def _first_of(key: np.ndarray, window_hash: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -150,7 +162,8 @@ def _compare_here(batches, window: int, gram: int):
         heads = np.flatnonzero(head)
         done = np.add.reduceat(np.where(first, 0, 1 << (start - start[heads][np.cumsum(head) - 1])), heads)
         left = np.add.reduceat(first.astype(np.int64), heads)
-        lists = np.split(wh[first].view(np.int64), np.cumsum(left)[:-1])
+        packed, ends = wh[first].tobytes(), (8 * np.cumsum(left)).tolist()
+        lists = [packed[x:y] for x, y in zip([0, *ends], ends)]
         route = np.where(left > 0, key[heads], rng.integers(0, 1 << 64, len(heads), np.uint64))
         out = pd.DataFrame({"route": route.view(np.int64), "gram_hash": key[heads].view(np.int64), "d": doc[heads], "tie": tie[heads], "low": start[heads].astype(np.int32), "done": done.astype(np.int32), "windows": lists})
         for i in range(0, len(out), 50_000):
@@ -162,13 +175,12 @@ def _compare_all(batches, window: int, gram: int):
     width = window - gram + 1
     for pdf in _runs(batches, "route"):
         done = pdf["done"].to_numpy().astype(np.int64)
-        sizes = pdf["windows"].map(len).to_numpy()
+        sizes = pdf["windows"].map(len).to_numpy() // 8
         rows = np.repeat(np.arange(len(pdf)), sizes)
         if len(rows):
             bits = (done[:, None] >> np.arange(width)) & 1 == 0  # the windows listed are the lowest bits not done
-            rank = np.cumsum(bits, axis=1) * bits
-            shift = np.concatenate([[np.flatnonzero(r == i + 1)[0] for i in range(n)] for r, n in zip(rank[sizes > 0], sizes[sizes > 0])]) if done[sizes > 0].any() else np.concatenate([np.arange(n) for n in sizes[sizes > 0]])
-            wh = np.concatenate([np.asarray(x, np.int64) for x in pdf["windows"][sizes > 0]])
+            shift = np.nonzero(bits & (np.cumsum(bits, axis=1) <= sizes[:, None]))[1]
+            wh = np.frombuffer(b"".join(pdf["windows"]), np.int64)
             first = _first_of(pdf["gram_hash"].to_numpy()[rows], wh, pdf["d"].to_numpy()[rows], pdf["tie"].to_numpy()[rows], pdf["low"].to_numpy()[rows] + shift)
             np.add.at(done, rows, np.where(first, 0, 1 << shift))
         if done.any():
