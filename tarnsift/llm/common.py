@@ -68,7 +68,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, kept for the words seen lately."""
 
-    limit = 400_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

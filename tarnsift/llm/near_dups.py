@@ -29,6 +29,8 @@ from tarnsift.llm.substrings import _grams, _runs
 BANDS, ROWS = 36, 5
 #: Members of a bucket that are compared with one another in one go.
 BLOCK = 1024
+#: Text bytes that are signed at once; their shingles take about forty times as much memory meanwhile.
+SIGNED_BYTES = 3 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -63,7 +65,7 @@ def _sign(batches, width: int, bins: int):
     import xxhash
 
     words = WordHashes()
-    for pdf in in_chunks(batches):
+    for pdf in in_chunks(batches, limit=SIGNED_BYTES):
         sets = [shingle_set(t, width, words) for t in pdf["text"]]
         full = [i for i, s in enumerate(sets) if len(s)]
         made = sketches([sets[i] for i in full], bins)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import stored, table, unit_hash, unused
+from tarnsift.llm.common import in_chunks, stored, table, unit_hash, unused
 
 #: Labelled rows that the model is fitted on, about; with more, rows are taken by a hash of their id.
 TRAINING_ROWS = 8000
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
     def run(batches):
         voters = Voters(model.terms)
-        for pdf in batches:
+        for pdf in in_chunks(batches):
             if len(pdf):
                 yield pdf.assign(**{column: model.score(np.stack([voters.features(t) for t in pdf["text"]]))})
 
