@@ -57,13 +57,13 @@ def _doc_terms(batches):
 
 
 def mine_terms(training: DataFrame, most: int = TERMS) -> list[str]:
-    """Terms whose documents are mostly toxic, too often for chance among all the terms tried, the surest first."""
+    """Terms of at least 3 toxic documents whose documents are mostly toxic, too often for chance among all such terms, the surest first."""
     counts = training.mapInPandas(_doc_terms, "term string, pos int, neg int").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = stored(counts.where("pos > 0"), "terms")
+    counts = stored(counts.where("pos > 2"), "terms")
     share = training.agg(F.avg("toxic")).first()[0]
     rate = F.col("pos") / (F.col("pos") + F.col("neg"))
     gain = F.col("pos") * F.log(rate / share) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - rate) / (1 - share))).otherwise(0.0)
-    found = counts.withColumn("gain", F.round(gain, 6)).where((rate >= 0.8) & (F.col("gain") >= math.log(counts.count() + 1) + 1))
+    found = counts.withColumn("gain", F.round(gain, 6)).where((rate >= 0.8) & (F.col("gain") >= math.log(counts.count() + 1) + 0.5))
     return [r["term"] for r in found.orderBy(F.col("gain").desc(), "term").limit(most).collect()]
 
 
