@@ -43,7 +43,8 @@ def group_split(df: DataFrame, group: str, fracs: tuple[float, float, float] = (
     groups = df.select(group).distinct()
     n = groups.count()
     ranked = bucketed_rank(groups.withColumn("_h", hash_unit(group, seed=seed)), ["_h", group], cuts=UNIT, out="_rank")
-    part = F.when(F.col("_rank") <= round(n * fracs[0]), "train").when(F.col("_rank") <= round(n * (fracs[0] + fracs[1])), "val").otherwise("test")
+    first, second = (int(n * f + 0.5) for f in (fracs[0], fracs[0] + fracs[1]))  # half up, as SQL rounds
+    part = F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= second, "val").otherwise("test")
     return df.join(ranked.select(group, part.alias("split")), group)
 
 
