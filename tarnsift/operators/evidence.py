@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tarnsift.functions.clean import is_sha256_hex
 from tarnsift.operators.metrics import describe_nearest_rank, wilson_interval
+from tarnsift.operators.primitives import bucketed_rank, with_bucket
 
 ZERO_LEAF = "00" * 32
 
@@ -83,7 +84,8 @@ def admission_gate(updates: DataFrame, length: int) -> DataFrame:
 def merkle_root(records: DataFrame, by: tuple[str, ...], order: list[str], content: str, depth: int = 32) -> DataFrame:
     """by, leaves, root: leaf = sha256(content), pairs by order, a missing right side is 32 zero bytes, `depth` levels. Each
     level halves the rows; once a group is one node the rest is a chain of expressions."""
-    nodes = records.select(*by, F.sha2(F.col(content), 256).alias("h"), (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).alias("i"))
+    leaves = records.select(*by, *order, F.sha2(F.col(content), 256).alias("h"))
+    nodes = bucketed_rank(leaves, order, by, out="i").select(*by, "h", (F.col("i") - 1).alias("i"))
     sizes = nodes.groupBy(*by).agg(F.count("*").alias("leaves"))
     most = sizes.agg(F.max("leaves")).first()[0] or 0
     levels = min(depth, max(most - 1, 0).bit_length())
@@ -224,11 +226,16 @@ def receipt_costs(receipts: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def finality_latency(receipts: DataFrame, heads: DataFrame) -> DataFrame:
-    """tx_id, final_at, receipt_to_final, start_to_final (seconds, not negative), timed_out. heads (block, seen_at) are first
-    brought to the earliest time at which a head of at least that block was seen; a receipt then meets its first head."""
+    """tx_id, final_at, receipt_to_final, start_to_final (seconds, not negative), timed_out. heads: block,
+    seen_at. The earliest sight of a head at or above each block is a minimum over what follows it, inside a bucket of blocks
+    and over the later buckets; no receipt is joined with more than one row."""
     seen = heads.groupBy("block").agg(F.min("seen_at").alias("seen_at"))
-    first = seen.select(F.col("block").alias("head"), F.min("seen_at").over(W.orderBy(F.col("block").desc())).alias("final_at"))
-    met = receipts.join(first, F.col("head") >= F.col("block"), "left").groupBy("tx_id", "started_at", "receipt_at").agg(F.min_by("final_at", "head").alias("final_at"))
+    blocks = seen.unionByName(receipts.select("block").where("block is not null").distinct().withColumn("seen_at", F.lit(None).cast(seen.schema["seen_at"].dataType)))
+    dealt = with_bucket(blocks.groupBy("block").agg(F.min("seen_at").alias("seen_at")), "block")
+    later = dealt.groupBy("_bucket").agg(F.min("seen_at").alias("s")).select("_bucket", F.min("s").over(W.orderBy(F.col("_bucket").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
+    inside = F.min("seen_at").over(W.partitionBy("_bucket").orderBy(F.col("block").desc()))
+    first = dealt.withColumn("_here", inside).join(later, "_bucket").select("block", F.least("_here", "_later").alias("final_at"))
+    met = receipts.select("tx_id", "started_at", "receipt_at", "block").join(first, "block", "left")
     gap = lambda a: F.greatest(F.lit(0).cast("long"), F.unix_timestamp("final_at") - F.unix_timestamp(a))
     return met.select("tx_id", "final_at", gap("receipt_at").alias("receipt_to_final"), gap("started_at").alias("start_to_final"), F.col("final_at").isNull().alias("timed_out"))
 
