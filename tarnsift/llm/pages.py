@@ -3,8 +3,9 @@
 Pages of one host are paired with their nearest neighbour by URL path, their text blocks aligned by longest common
 subsequence and the shared ones deleted. Differencing alone is wrong on pages that mark their article: menus and
 adverts vary from page to page of a host, and passages that two articles quote are shared. So markup decides first:
-blocks inside menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go; if the page
-marks an article (article, main, or such a role), all its other blocks stay and everything outside goes; only the
+blocks inside menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go, by tag, role or
+a whole class name, unless the element holds the article (a name that only contains such a word leaves the block to the
+difference); if the page marks an article (article, main, or such a role), all its other blocks stay and everything outside goes; only the
 blocks of pages without such a mark are judged by the difference to the neighbour.
 """
 
@@ -27,42 +28,87 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 DROPPED = {"head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "embed", "button", "select", "textarea", "dialog", "menu", "title", "math", "audio", "video", "map"}
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "alertdialog", "menu", "menubar", "toolbar", "tablist"}
-DROPPED_NAMES = {
+#: Words of class and id names. As a whole name they drop an element; as a part of one ("right-sidebar", "related-work") they only make it doubtful.
+FRAME_NAMES = {
     "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "foot", "sidebar", "aside",
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner",
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
-    "social", "share", "sharing", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus",
-    "pagination", "pager", "widget", "toolbar", "search", "copyright", "skip",
+    "social", "share", "sharing", "pagination", "pager", "widget", "toolbar", "search", "copyright", "skip",
 }
+#: Names of places that hold other articles or articles of readers.
+OTHER_NAMES = {"related", "recommended", "recommendations", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus"}
+DROPPED_NAMES = FRAME_NAMES | OTHER_NAMES
+#: Compounds that mean nothing but a frame; "right-sidebar", "has-menu" and the like may stand on the wrapper of the article.
+WHOLE_NAME = re.compile(r"(?:ad|ads|adv|advert|adverts|advertisement|sponsor|sponsored|cookie|cookies|consent|gdpr|newsletter|breadcrumb|breadcrumbs|skip)(?:[_-]+(?:slot|box|unit|banner|container|wrapper|block|label|notice|bar|popup|modal|overlay|signup|form|list|nav|link|links|content|\d+))+")
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "center", "details"}
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: An open tag of these ends an open one of the same (or of the list's) kind.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARAGRAPH_ENDERS = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
-def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """(dropped, article) of an element by its name, role, class and id."""
+#: What an element's mark does to its blocks: nothing; leave them to the page difference; drop them unless it holds an
+#: article; unless it holds the page's only ones; unless nothing else is left of the page.
+KEPT, DOUBTFUL, SOFT, HARD, OTHERS = range(5)
+
+
+def _kind(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
+    """(mark, article) of an element by its name, role, class and id."""
     named: dict[str, str] = {}
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
-            named.setdefault(name.lower(), value.strip("\"'"))
+            named.setdefault(name.lower(), html_lib.unescape(value.strip("\"'")))
     role = named.get("role", "").lower().strip()
     article = tag in ("article", "main") or role in ("main", "article") or named.get("itemprop", "").lower() == "articlebody"
     if tag in DROPPED or tag == "header" and not in_article:
-        return True, False
+        return SOFT if tag == "form" else HARD, False
     if role in DROPPED_ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", named.get("style", ""), re.I):
-        return True, False
-    if tag not in ("html", "body", "main"):
-        names = re.split(r"[\s_\-:.]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", html_lib.unescape(f"{named.get('class', '')} {named.get('id', '')}")).lower())
-        if not DROPPED_NAMES.isdisjoint(names) and not (in_article and {"header"} >= DROPPED_NAMES.intersection(names)):
-            return True, False
-    return False, article
-
-
-def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, in an article, in a dropped element) of every non-empty block, in page order."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, in an article, dropped, dropped with an inline element
+        return SOFT if role in ("form", "search") else HARD, article
+    if tag in ("html", "body", "main"):
+        return KEPT, article
+    classes, key = set(named.get("class", "").lower().split()), named.get("id", "").lower().strip()
+    if in_article and not (article and classes & OTHER_NAMES):
+        classes.discard("header")
+    # an id names what a heading or a section of the text is about as often as what the element is for
+    if key in (OTHER_NAMES if in_article else DROPPED_NAMES) and tag in CONTAINERS or not in_article and tag in CONTAINERS and WHOLE_NAME.fullmatch(key):
+        classes.add(key)
+    if classes & OTHER_NAMES:
+        return OTHERS, article
+    if not article and (classes & FRAME_NAMES or any(WHOLE_NAME.fullmatch(c) for c in classes)):
+        return SOFT, False
+    names = set(re.split(r"[\s_\-:.]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{named.get('class', '')} {named.get('id', '')}").lower()))
+    if not article and names & DROPPED_NAMES - ({"header"} if in_article else set()):
+        return DOUBTFUL, False
+    return KEPT, article
+
+
+class _Element:
+    """An element that marks its blocks. holds: it or an element in it is an article (1) or main (2); verdict: (in an article, dropped) of its blocks."""
+
+    __slots__ = ("mark", "article", "holds", "above", "verdict")
+
+    def __init__(self, mark: int, article: bool, main: bool, above: "_Element | None"):
+        self.mark, self.article, self.holds, self.above, self.verdict = mark, article, 0, above, (False, False)
+        bit = 2 if main and mark == KEPT else 1
+        e = self if article else None
+        while e is not None and not e.holds & bit:
+            e.holds |= bit
+            e = e.above
+
+    def judge(self, revived: int) -> None:
+        """dropped is None if doubtful. An element up to the mark `revived` that holds an article, or any that holds main, drops nothing."""
+        article, dropped = self.above.verdict if self.above else (False, False)
+        own = self.mark > DOUBTFUL and not (self.holds & 2 or self.holds and self.mark <= revived)
+        dropped = True if own or dropped else None if dropped is None or self.mark == DOUBTFUL and not self.holds else False
+        self.verdict = article or self.article, dropped
+
+
+def blocks(page: str | None) -> list[tuple[str, bool, bool | None]]:
+    """(text, in an article, in a dropped element) of every non-empty block, in page order; None instead of the last for
+    blocks of elements that are only doubtful."""
+    elements: list[_Element] = []
+    out: list[tuple[str, _Element | None]] = []
+    stack: list[tuple[str, _Element | None, bool, bool]] = []  # name, innermost marked element, in an article, dropped with an inline element
     parts: list[str] = []
     page = page or ""
 
@@ -71,7 +117,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, stack[-1][1] if stack else False, stack[-1][2] if stack else False))
+                out.append((text, next((place for _, place, _, mute in reversed(stack) if not mute), None)))
 
     def pop_to(i: int) -> None:
         if any(tag not in INLINE for tag, *_ in stack[i:]):
@@ -122,13 +168,26 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             at = page.find(">", stop.start()) + 1 if stop else end
             at = at or end
             continue
-        in_article, dropped, mute = stack[-1][1:] if stack else (False, False, False)
-        drops, article = _kind(tag, attributes, in_article)
-        stack.append((tag, in_article or article and not (drops or dropped), dropped or drops and tag not in INLINE, mute or drops and tag in INLINE))
+        place, in_article, mute = stack[-1][1:] if stack else (None, False, False)
+        mark, article = _kind(tag, attributes, in_article)
+        if tag in INLINE and mark == DOUBTFUL:
+            mark = KEPT  # a few words inside a block, which have no line of their own to compare
+        if mark or article:
+            place = _Element(mark, article, tag == "main" or article and "main" in attributes.lower() and re.search(r"\brole\s*=\s*[\"']?\s*main\b", attributes, re.I) is not None, place)
+            elements.append(place)
+        # text right in a dropped inline element is left out; blocks inside it are judged by their place
+        stack.append((tag, place, in_article or article, (mute or mark > DOUBTFUL) if tag in INLINE else False))
         if len(stack) > 4000:  # deeper markup is a mistake of the page; its text stays in the innermost block
             stack.pop()
     flush()
-    return out
+    plain = any(place is None for _, place in out)
+    for revived in (SOFT, HARD, OTHERS):
+        for e in elements:  # outer ones stand before inner ones
+            e.judge(revived)
+        kept = [place.verdict[0] for _, place in out if place is not None and place.verdict[1] is not True]
+        if any(kept) or revived == HARD and (kept or plain):
+            break
+    return [(text, *(place.verdict if place else (False, False))) for text, place in out]
 
 
 def shared_lines(left: list[str], right: list[str]) -> list[bool]:
@@ -165,10 +224,17 @@ def shared_lines(left: list[str], right: list[str]) -> list[bool]:
     return out
 
 
-def main_text(own: list[tuple[str, bool, bool]], partner: list[tuple[str, bool, bool]] | None) -> str:
+def main_text(own: list[tuple[str, bool, bool | None]], partner: list[tuple[str, bool, bool | None]] | None) -> str:
+    """Doubtful blocks of a marked article go if the partner, unless it is a copy, has them too."""
     kept = [(text, article) for text, article, dropped in own if not dropped]
     if any(article for _, article in kept):
-        return "\n".join(text for text, article in kept if article)
+        doubtful = [dropped is None for _, _, dropped in own if not dropped]
+        same = [False] * len(kept)
+        if partner and any(d and a for d, (_, a) in zip(doubtful, kept)):
+            found = shared_lines([text for text, _ in kept], [text for text, _, dropped in partner if not dropped])
+            if 2 * sum(len(x) for (x, _), s in zip(kept, found) if s) < sum(len(x) for x, _ in kept):
+                same = found
+        return "\n".join(text for (text, article), s, d in zip(kept, same, doubtful) if article and not (s and d))
     if partner:
         lines = [text for text, _ in kept]
         same = shared_lines(lines, [text for text, _, dropped in partner if not dropped])

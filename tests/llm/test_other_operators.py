@@ -65,6 +65,21 @@ def test_main_text(html, want):
     assert main_text(blocks(html), None) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ('<div class="site-content right-sidebar"><p>x</p><article><p>a</p></article></div>', "a"), ('<div class="sidebar"><article>a</article></div>', "a"), ("<form><main>a</main></form>", "a"),
+    ('<article><section id="related-work"><p>r</p></section><p id="notice-period">n</p><div class="ad">no</div><div class="cookie-notice">no</div></article>', "r\nn"),
+    ('<article>a</article><div class="related"><article>teaser</article></div>', "a"), ('<p>body</p><div id="comments"><article class="comment">c</article></div>', "body"), ("<aside><article>a</article></aside>", "a"),
+    ('<div>one <span class="ad">no<div>no</div></span> two</div>', "one\ntwo"), ("<main>a</main><main hidden>no</main>", "a"),
+])
+def test_names_drop_neither_the_article_nor_parts_of_it(html, want):
+    assert main_text(blocks(html), None) == want
+
+
+def test_the_neighbour_decides_doubtful_blocks():
+    page = lambda body: blocks(f'<article><p>{body}</p><div class="box-share-x">Tell a friend</div><p id="search-{body[0]}">{body[0]}</p></article>')
+    assert main_text(page("a story of its own"), page("b another story")) == "a story of its own\na"
+
+
 def test_differencing_removes_the_frame_and_keeps_copies(spark):
     page = lambda *body: "<div>Top</div>" + "".join(f"<p>{b}</p>" for b in body) + "<div>Bottom</div>"
     rows = [(1, "http://h/a/1", page("first story", "shared no")), (2, "http://h/a/2", page("second story here")), (3, "http://other/x", page("alone")), (4, None, None), (5, "http://c/1", page("same text")), (6, "http://c/2", page("same text")), (7, "http://[bad", "<p>q</p>")]
