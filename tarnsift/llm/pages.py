@@ -6,13 +6,15 @@ adverts vary from page to page of a host, and passages that two articles quote a
 blocks inside menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go, by tag, role or
 a whole class name, unless the element holds the article (a name that only contains such a word leaves the block to the
 difference); if the page marks an article (article, main, or such a role), all its other blocks stay and everything outside goes; only the
-blocks of pages without such a mark are judged by the difference to the neighbour.
+blocks of pages without such a mark are judged by the difference to the neighbour, or to the one on the other side if
+the nearest is a copy of the page.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
@@ -224,24 +226,46 @@ def shared_lines(left: list[str], right: list[str]) -> list[bool]:
     return out
 
 
-def main_text(own: list[tuple[str, bool, bool | None]], partner: list[tuple[str, bool, bool | None]] | None) -> str:
-    """Doubtful blocks of a marked article go if the partner, unless it is a copy, has them too."""
-    kept = [(text, article) for text, article, dropped in own if not dropped]
-    if any(article for _, article in kept):
-        doubtful = [dropped is None for _, _, dropped in own if not dropped]
-        same = [False] * len(kept)
-        if partner and any(d and a for d, (_, a) in zip(doubtful, kept)):
-            found = shared_lines([text for text, _ in kept], [text for text, _, dropped in partner if not dropped])
-            if 2 * sum(len(x) for (x, _), s in zip(kept, found) if s) < sum(len(x) for x, _ in kept):
-                same = found
-        return "\n".join(text for (text, article), s, d in zip(kept, same, doubtful) if article and not (s and d))
-    if partner:
-        lines = [text for text, _ in kept]
-        same = shared_lines(lines, [text for text, _, dropped in partner if not dropped])
-        gone = sum(len(x) for x, s in zip(lines, same) if s)
-        if 2 * gone < sum(map(len, lines)):  # else the two are copies of one page, not two pages of one frame
-            return "\n".join(x for x, s in zip(lines, same) if not s)
-    return "\n".join(text for text, _ in kept)
+def _alike(left: list[str], right: list[str]) -> bool:
+    """Three quarters of the words in common."""
+    a, b = (set(" ".join(lines).casefold().split()) for lines in (left, right))
+    return 4 * len(a & b) >= 3 * len(a | b)
+
+
+def frame_lines(own: list[str], others: list[list[str]]) -> list[bool]:
+    """Which lines of own are the frame that it shares with its neighbours, the nearest first: all False without any, or if they are copies.
+
+    Two pages of one frame each have lines of their own; two copies have none, or versions of the same lines. With two
+    neighbours that are no copies the nearest decides, unless more text is common with it alone than sets it apart
+    (a copy with some new line): then the second. With one neighbour, lines that differ in numbers only (dates,
+    counters) beside a longer shared line are taken as those of a copy too.
+    """
+    found = []
+    for other in others:
+        same = shared_lines(own, other)
+        rest = [x for x, s in zip(own, same) if not s]
+        theirs = list((Counter(other) - Counter(x for x, s in zip(own, same) if s)).elements())
+        if not any(same) or not rest or not theirs or _alike(rest, theirs):
+            continue
+        bare = [[re.sub(r"\d+", "0", x) for x in lines] for lines in (rest, theirs)]
+        if len(others) == 1 and _alike(*bare) and max(len(x) for x, s in zip(own, same) if s) > sum(map(len, rest)):
+            continue
+        found.append(same)
+    if len(found) == 2:
+        alone = sum(len(x) for x, s, t in zip(own, *found) if s and not t)
+        return found[alone > sum(len(x) for x, s in zip(own, found[0]) if not s)]
+    return found[0] if found else [False] * len(own)
+
+
+def main_text(own: list[tuple[str, bool, bool | None]], partner: list[tuple[str, bool, bool | None]] | None, second: list[tuple[str, bool, bool | None]] | None = None) -> str:
+    """The article's blocks, without the doubtful ones of the frame, if one is marked; else all blocks but the frame's."""
+    kept = [x for x in own if not x[2]]
+    marked = any(article for _, article, _ in kept)
+    if not marked or any(article and dropped is None for _, article, dropped in kept):
+        frame = frame_lines([x[0] for x in kept], [[x[0] for x in other if not x[2]] for other in (partner, second) if other])
+    else:
+        frame = [False] * len(kept)
+    return "\n".join(text for (text, article, dropped), f in zip(kept, frame) if (article and not (f and dropped is None) if marked else not f))
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -263,8 +287,9 @@ def _nearest(batches):
             a, b = x[0].path.split("/"), row.path.split("/")
             return next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
 
-        partner = max(near, key=closeness) if near else None  # the next one if both are as near
-        text = main_text(own, partner and partner[1])
+        near.sort(key=closeness, reverse=True)  # the next one first if both are as near
+        partner, second = [*near, None, None][:2]
+        text = main_text(own, partner and partner[1], second and second[1])
         out.append((row.page_id, row.url, text, len(text), partner and partner[0].page_id))
         size += len(text)
         if size > 4_000_000:

@@ -89,6 +89,16 @@ def test_differencing_removes_the_frame_and_keeps_copies(spark):
     assert extract(df.limit(0)).count() == 0 and extract(df.unionByName(df)).count() == 14
 
 
+def test_the_frame_goes_however_large_and_copies_are_told_by_what_is_left(spark):
+    page = lambda *body: "<div>A very long menu of the site</div>" + "".join(f"<p>{b}</p>" for b in body) + "<div>An even longer footer of the site</div>"
+    long = "A paragraph that is long enough to be the article of a page, and stands on two of them."
+    rows = [(1, "http://h/a/1", page("short")), (2, "http://h/a/2", page("brief")), (3, "http://p/1", page(long, "seen 7 times")), (4, "http://p/2", page(long, "seen 9 times"))]
+    rows += [(5, "http://q/a/1", page("opens")), (6, "http://q/b/1", page(long, "by Ann")), (7, "http://q/b/2", page(long, "Bob wrote it")), (8, "http://q/c", page("closes"))]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "short" and got[2] == "brief" and got[5] == "opens" and got[8] == "closes"
+    assert long in got[3] and long in got[4] and got[6] == f"{long}\nby Ann" and got[7] == f"{long}\nBob wrote it"
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     r = random.Random(5)
     for _ in range(300):
