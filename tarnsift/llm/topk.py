@@ -92,29 +92,36 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, candidates: int = CAND
     """query_id, rank, vec_id, score. Both frames: vec_id long, v array<double> of whole numbers without nulls.
 
     A vector is compared with those of its own length only and never with a row of its own id. Repeated rows are
-    candidates of their own. An empty side gives no rows.
+    candidates of their own, searched once and counted, so that they fill no block. Repeated queries are one query;
+    different vectors of one id are queries of their own with k rows each. An empty side gives no rows.
     """
-    n_v, n_q = vectors.count(), queries.count()
+    different = lambda df: df.select("vec_id", F.xxhash64("v")).distinct().count()
+    n_v, n_q = different(vectors), different(queries)
+    queries = queries.select("vec_id", "v").distinct().withColumn("n", F.lit(1).cast("long"))
+    vectors = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("n"))
     v_blocks, q_blocks = max(1, -(-n_v // candidates)), max(1, -(-n_q // query_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     mine = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-    left = queries.select("vec_id", "v", F.lit(True).alias("is_query"), mine(q_blocks).alias("qb"), every(v_blocks).alias("vb"))
-    right = vectors.select("vec_id", "v", F.lit(False).alias("is_query"), every(q_blocks).alias("qb"), mine(v_blocks).alias("vb"))
-    both = left.unionByName(right).withColumn("dim", F.size("v"))
+    left = queries.select("vec_id", "v", "n", F.lit(True).alias("is_query"), mine(q_blocks).alias("qb"), every(v_blocks).alias("vb"))
+    right = vectors.select("vec_id", "v", "n", F.lit(False).alias("is_query"), every(q_blocks).alias("qb"), mine(v_blocks).alias("vb"))
+    both = left.unionByName(right).withColumn("dim", F.size("v")).withColumn("query_key", F.xxhash64("v"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         is_query = pdf["is_query"].to_numpy()
-        ids = pdf["vec_id"].to_numpy(dtype=np.int64)
+        ids, keys, times = (pdf[c].to_numpy(dtype=np.int64) for c in ("vec_id", "query_key", "n"))
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64).reshape(len(pdf), -1)
         q, v = np.flatnonzero(is_query), np.flatnonzero(~is_query)
         if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(np.int64)
+            return pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": [], "n": []}).astype(np.int64)
         i, j, s = best_of_block(ids[q], x[q], ids[v], x[v], k, pivots)
-        return pd.DataFrame({"query_id": ids[q][i], "vec_id": ids[v][j], "score": s.astype(np.int64)})
-
-    found = both.groupBy("dim", "qb", "vb").applyInPandas(search, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pd.DataFrame({"query_id": ids[q][i], "query_key": keys[q][i], "vec_id": ids[v][j], "score": s.astype(np.int64), "n": times[v][j]})
+
+    found = both.groupBy("dim", "qb", "vb").applyInPandas(search, "query_id long, query_key long, vec_id long, score long, n long")
+    order = W.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
+    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    best = best.withColumn("last", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("first", F.col("last") - F.col("n") + 1).where(F.col("first") <= k)
+    ranks = F.explode(F.sequence(F.col("first").cast("int"), F.least("last", F.lit(k)).cast("int")))
+    return best.select("query_id", ranks.alias("rank"), "vec_id", "score")
 
 
 def whole_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:

@@ -33,6 +33,19 @@ def test_top_k_with_ties_nulls_and_repeats(spark):
     assert top_k(few, few, 20).count() == 6 and top_k(few.limit(0), few, 20).count() == 0
 
 
+def test_top_k_of_repeated_queries_and_of_one_id_with_two_vectors(spark):
+    r = random.Random(1)
+    rows = [(i, [float(r.randint(-9, 9)) for _ in range(3)]) for i in range(30)]
+    rows += [rows[0]] * 2 + [rows[5]] * 40 + [(20, [9.0, -9.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = [(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in top_k(v.where("vec_id % 20 = 0"), v, 8, candidates=20, query_rows=2).collect()]
+    want = []
+    for q, x in {(i, tuple(x)) for i, x in rows if i % 20 == 0}:
+        best = sorted((-int(np.dot(x, y)), i) for i, y in rows if i != q)[:8]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(got) == sorted(want) and len(got) == 24
+
+
 def test_large_components_stay_exact(spark):
     v = spark.createDataFrame([(0, [3.0e8, 1.0]), (1, [3.0e8, 3.0]), (2, [3.0e8, 2.0])], "vec_id long, v array<double>")
     assert [(r["vec_id"], r["score"]) for r in top_k(v.where("vec_id = 0"), v, 2).orderBy("rank").collect()] == [(1, 9 * 10**16 + 3), (2, 9 * 10**16 + 2)]
