@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tarnsift.functions.clean import is_sha256_hex
 from tarnsift.operators.metrics import describe_nearest_rank, wilson_interval
-from tarnsift.operators.primitives import bucketed_rank, with_bucket
+from tarnsift.operators.primitives import bucketed_rank, join_keys, with_bucket
 
 ZERO_LEAF = "00" * 32
 
@@ -93,13 +93,13 @@ def merkle_root(records: DataFrame, by: tuple[str, ...], order: list[str], conte
         side = lambda k: F.coalesce(F.max(F.when(F.col("i") % 2 == k, F.col("h"))), F.lit(ZERO_LEAF))
         nodes = nodes.groupBy(*by, F.floor(F.col("i") / 2).alias("p")).agg(F.sha2(F.concat(F.unhex(side(0)), F.unhex(side(1))), 256).alias("h")).withColumnRenamed("p", "i")
     root = F.aggregate(F.sequence(F.lit(1), F.lit(depth - levels)), F.col("h"), lambda h, _: F.sha2(F.concat(F.unhex(h), F.unhex(F.lit(ZERO_LEAF))), 256)) if depth > levels else F.col("h")
-    return nodes.where("i = 0").select(*by, root.alias("root")).join(sizes, list(by)) if by else nodes.where("i = 0").select(root.alias("root")).crossJoin(sizes)
+    return join_keys(nodes.where("i = 0").select(*by, root.alias("root")), sizes, list(by)) if by else nodes.where("i = 0").select(root.alias("root")).crossJoin(sizes)
 
 
 def audit_roots(manifests: DataFrame, records: DataFrame, by: tuple[str, ...], order: list[str], content: str, depth: int = 32) -> DataFrame:
     """by, reason: manifests (by, root, body, body_sha256) against roots made anew and the body's own digest."""
     made = merkle_root(records, by, order, content, depth).withColumnRenamed("root", "_made")
-    both = manifests.join(made, list(by), "left")
+    both = join_keys(manifests, made, list(by), "left")
     return both.select(*by, first_failing([(F.col("_made").isNotNull(), "no_records"), (F.col("_made") == F.col("root"), "root_mismatch"), (F.sha2("body", 256) == F.col("body_sha256"), "body_mismatch")]).alias("reason"))
 
 

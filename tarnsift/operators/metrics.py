@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnsift.operators.primitives import prefix_sums, score_counts
+from tarnsift.operators.primitives import join_keys, prefix_sums, score_counts
 
 Z95 = 1.959963984540054
 
@@ -44,9 +44,11 @@ def wilson_interval(df: DataFrame, k: str, n: str, z: float = Z95) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), one_class: float | None = None) -> DataFrame:
-    """by, auc: exact with ties (Mann-Whitney); one_class where a class is missing."""
+    """by, auc: exact with ties (Mann-Whitney); one_class where a class is missing. Rows without a
+    score have no place in the order and are left out (score_counts counts them)."""
     curve = score_counts(df, label, score, by)
-    sums = curve.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)).alias("u"))
+    scored = lambda c: F.sum(F.when(F.col(score).isNotNull(), c))
+    sums = curve.groupBy(*by).agg(scored(F.col("pos")).alias("p"), scored(F.col("neg")).alias("n"), scored(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)).alias("u"))
     return sums.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / F.col("p") / F.col("n")).otherwise(F.lit(one_class).cast("double")).alias("auc"))
 
 
@@ -91,23 +93,26 @@ def best_f1_grid(df: DataFrame, label: str, score: str, low: float = 0.05, high:
 
 
 def best_f1_exact(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, threshold, f1: best over all distinct scores, lowest threshold on ties, clamped to [0, 1]; 0.5 without two classes."""
+    """by, threshold, f1: best over all distinct scores, lowest threshold on ties, clamped to [0, 1]; 0.5 without two classes.
+    Rows without a score reach no threshold: their positives count as missed."""
     curve = score_counts(df, label, score, by)
-    totals = curve.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    both = curve.join(totals, list(by)) if by else curve.crossJoin(totals)
-    tp, fp = F.col("_p") - F.col("cum_pos") + F.col("pos"), F.col("_n") - F.col("cum_neg") + F.col("neg")
+    scored = lambda c: F.coalesce(F.sum(F.when(F.col(score).isNotNull(), F.col(c))), F.lit(0))
+    totals = curve.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), scored("pos").alias("_sp"), scored("neg").alias("_sn"))
+    both = join_keys(curve, totals, list(by)) if by else curve.crossJoin(totals)
+    tp, fp = F.col("_sp") - F.col("cum_pos") + F.col("pos"), F.col("_sn") - F.col("cum_neg") + F.col("neg")
     f1 = F.round(ratio(2.0 * tp, tp + fp + F.col("_p")), 12)
-    best = both.withColumn("_f1", f1).groupBy(*by).agg(F.max_by(F.struct(F.col(score).alias("t"), F.col("_f1").alias("f")), F.struct(F.col("_f1"), -F.col(score))).alias("b"), F.max("_p").alias("p"), F.max("_n").alias("n"))
-    good = (F.col("p") > 0) & (F.col("n") > 0)
+    best = both.withColumn("_f1", f1).groupBy(*by).agg(F.max_by(F.struct(F.col(score).alias("t"), F.col("_f1").alias("f")), F.when(F.col(score).isNotNull(), F.struct(F.col("_f1"), -F.col(score)))).alias("b"), F.max("_p").alias("p"), F.max("_n").alias("n"))
+    good = (F.col("p") > 0) & (F.col("n") > 0) & F.col("b").isNotNull()
     return best.select(*by, F.when(good, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("b.t")))).otherwise(0.5).alias("threshold"), F.when(good, F.col("b.f")).otherwise(0.0).alias("f1"))
 
 
 def fpr_statistic(df: DataFrame, score: str, targets: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """by, target, exceed: of benign scores the (floor(t * n) + 1)-th largest; a row is flagged if its score is above it.
-    With t * n < 1 that is the maximum, so nothing benign is flagged. One curve serves all targets."""
-    counts = prefix_sums(df.groupBy(*by, score).agg(F.count("*").alias("c")), score, ["c"], by)
+    With t * n < 1 that is the maximum, so nothing benign is flagged. One curve serves all targets.
+    Rows without a score are left out, of n too."""
+    counts = prefix_sums(df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("c")), score, ["c"], by)
     totals = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    joined = counts.join(totals, list(by)) if by else counts.crossJoin(totals)
+    joined = join_keys(counts, totals, list(by)) if by else counts.crossJoin(totals)
     at_least = F.col("n") - F.col("cum_c") + F.col("c")  # benign scores not below this one
     spec = df.sparkSession.createDataFrame([(float(t),) for t in targets], "target double")
     rank = F.floor(F.col("target") * F.col("n") + 1e-9) + 1

@@ -28,40 +28,51 @@ def _as_number(df: DataFrame, key: str) -> Column:
 
 
 def with_bucket(df: DataFrame, key: str, cuts=None, name: str = "_bucket") -> DataFrame:
-    """A bucket that never falls as the key rises; equal keys share one. cuts: the bounds, or UNIT; else approximate quantiles
-    of the key, BUCKETS numbers that reach the driver. The comparisons are spelled out so that codegen runs them and the
-    key is computed once."""
+    """A bucket that never falls as the key rises; equal keys share one, and null keys have the bucket null. cuts: the bounds,
+    or UNIT; else approximate quantiles of the key, BUCKETS numbers that reach the driver. The comparisons are spelled out so
+    that codegen runs them and the key is computed once."""
     if cuts == UNIT:
-        return df.withColumn(name, F.least(F.floor(F.col(key) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+        return df.withColumn(name, F.least(F.floor(F.col(key) * BUCKETS), F.when(F.col(key).isNotNull(), BUCKETS - 1)).cast("int"))
     number = df.withColumn("_number", _as_number(df, key))
     if cuts is None:
         found = number.agg(F.percentile_approx("_number", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0]
         cuts = sorted(set(found or []))
-    bucket = F.lit(0)
+    bucket = F.when(F.col(key).isNotNull(), 0)
     for c in cuts:
         bucket = bucket + (F.col("_number") > F.lit(float(c))).cast("int")
     return number.withColumn(name, bucket).drop("_number")
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by equal keys in which null equals null; the keys stand once, from the left side."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(renamed, met, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def bucketed_rank(df: DataFrame, order: list, by: tuple[str, ...] = (), cuts=None, out: str = "rank") -> DataFrame:
-    """1-based exact rank by `order` (the first key decides the bucket), within `by`. A task sorts one bucket of one group;
-    the offsets come from a table of groups x buckets."""
+    """1-based exact rank by `order` (the first key decides the bucket), within `by`; null groups are groups, null keys stand
+    last. A task sorts one bucket of one group; the offsets come from a table of groups x buckets."""
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    rest = [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order[1:]]
     dealt = with_bucket(df.withColumn("_k", keys[0]), "_k", cuts)
     counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_ahead", F.sum("_n").over(W.partitionBy(*by).orderBy("_bucket")) - F.col("_n")).drop("_n")
-    ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("_k", *keys[1:])))
-    return ranked.join(before, [*by, "_bucket"]).withColumn(out, F.col("_r") + F.col("_ahead")).drop("_k", "_bucket", "_r", "_ahead")
+    before = counts.withColumn("_ahead", F.sum("_n").over(W.partitionBy(*by).orderBy(F.col("_bucket").asc_nulls_last())) - F.col("_n")).drop("_n")
+    ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(F.col("_k").asc_nulls_last(), *rest)))
+    return join_keys(ranked, before, [*by, "_bucket"]).withColumn(out, F.col("_r") + F.col("_ahead")).drop("_k", "_bucket", "_r", "_ahead")
 
 
 def prefix_sums(df: DataFrame, key: str, sums: list[str], by: tuple[str, ...] = (), cuts=None) -> DataFrame:
-    """df, whose rows have distinct keys within `by`, with cum_<c>: the sum of c over all rows up to the key."""
+    """df, whose rows have distinct keys within `by`, with cum_<c>: the sum of c over all rows up to the key. A null key stands last."""
     dealt = with_bucket(df, key, cuts)
     totals = dealt.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    over = W.partitionBy(*by).orderBy("_bucket")
+    over = W.partitionBy(*by).orderBy(F.col("_bucket").asc_nulls_last())
     ahead = totals.select(*by, "_bucket", *[(F.sum(f"_t_{c}").over(over) - F.col(f"_t_{c}")).alias(f"_a_{c}") for c in sums])
-    inside = W.partitionBy(*by, "_bucket").orderBy(key)
-    summed = dealt.withColumns({f"_s_{c}": F.sum(c).over(inside) for c in sums}).join(ahead, [*by, "_bucket"])
+    inside = W.partitionBy(*by, "_bucket").orderBy(F.col(key).asc_nulls_last())
+    summed = dealt.withColumns({f"_s_{c}": F.sum(c).over(inside) for c in sums})
+    summed = join_keys(summed, ahead, [*by, "_bucket"])
     return summed.withColumns({f"cum_{c}": F.col(f"_s_{c}") + F.col(f"_a_{c}") for c in sums}).drop("_bucket", *[f"_{p}_{c}" for p in "sa" for c in sums])
 
 
@@ -72,6 +83,7 @@ def membership_flag(df: DataFrame, reference: DataFrame, key: str, out: str = "s
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, score, pos, neg, cum_pos, cum_neg: the exact curve over distinct scores, ascending."""
+    """by, score, pos, neg, cum_pos, cum_neg: the exact curve over distinct scores, ascending. Rows without a score are
+    one row of score null after all others."""
     counts = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     return prefix_sums(counts, score, ["pos", "neg"], by)

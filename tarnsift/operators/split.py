@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnsift.operators.primitives import UNIT, bucketed_rank, hash_unit, prefix_sums
+from tarnsift.operators.primitives import UNIT, bucketed_rank, hash_unit, join_keys, prefix_sums
 
 
 def sample_toward(df: DataFrame, key: list[str], max_rows: int, seed: int = 42, exact: bool = False) -> DataFrame:
@@ -27,7 +27,7 @@ def stratified_split(df: DataFrame, label: str, key: list[str], fracs: tuple[flo
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     if counts.where("_n < 4").limit(1).count():
         raise ValueError("a class has fewer than 4 rows")
-    ranked = bucketed_rank(df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key], by=(label,), cuts=UNIT, out="_rank").join(counts, label)
+    ranked = join_keys(bucketed_rank(df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key], by=(label,), cuts=UNIT, out="_rank"), counts, [label])
     train, val = F.round(F.col("_n") * fracs[0]), F.round(F.col("_n") * (fracs[0] + fracs[1]))
     return ranked.withColumn("split", F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= val, "val").otherwise("test")).drop("_h", "_rank", "_n")
 
@@ -45,7 +45,7 @@ def group_split(df: DataFrame, group: str, fracs: tuple[float, float, float] = (
     ranked = bucketed_rank(groups.withColumn("_h", hash_unit(group, seed=seed)), ["_h", group], cuts=UNIT, out="_rank")
     first, second = (int(n * f + 0.5) for f in (fracs[0], fracs[0] + fracs[1]))  # half up, as SQL rounds
     part = F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= second, "val").otherwise("test")
-    return df.join(ranked.select(group, part.alias("split")), group)
+    return join_keys(df, ranked.select(group, part.alias("split")), [group])
 
 
 def overlap_counts(df: DataFrame, group: str, split: str = "split") -> DataFrame:
@@ -101,7 +101,7 @@ def leave_one_class_out(df: DataFrame, family: str, group: str, families: list[s
     role = F.when(own, "test").when(F.col("_part") == "train", "train").when(F.col("_part") == "val", "cal").when(F.col(family) == benign, "test")
     each = each.withColumn("role", role).where("role is not null").drop("_part")
     seen = each.where("role <> 'test'").select("held_out", group).distinct().withColumn("_seen", F.lit(True))
-    return each.join(seen, ["held_out", group], "left").withColumn("removed", (F.col("role") == "test") & F.coalesce("_seen", F.lit(False))).drop("_seen")
+    return join_keys(each, seen, ["held_out", group], "left").withColumn("removed", (F.col("role") == "test") & F.coalesce("_seen", F.lit(False))).drop("_seen")
 
 
 def oversample_minority(df: DataFrame, label: str, key: list[str], seed: int = 42, max_rows: int | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def cap_per_class(df: DataFrame, label: str, key: list[str], max_rows: int, min_
     """Classes under min_rows go; of larger ones the max_rows rows with the least hashes stay."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
     ranked = bucketed_rank(df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key], by=(label,), cuts=UNIT, out="_rank")
-    return ranked.join(counts, label, "left_semi").where(F.col("_rank") <= max_rows).drop("_h", "_rank")
+    return join_keys(ranked, counts, [label], "left_semi").where(F.col("_rank") <= max_rows).drop("_h", "_rank")
 
 
 def anchor_sample(df: DataFrame, key: list[str], m: int, seed: int = 42) -> DataFrame:
@@ -137,7 +137,7 @@ def shard_balanced(df: DataFrame, label: str, key: list[str], n_rsu: int, n_veh:
     if df.limit(clients).count() < clients:
         raise ValueError("more shards than rows")
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    ranked = bucketed_rank(df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key], by=(label,), cuts=UNIT, out="_rank").join(counts, label)
+    ranked = join_keys(bucketed_rank(df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key], by=(label,), cuts=UNIT, out="_rank"), counts, [label])
     client = F.floor((F.col("_rank") - 1) * clients / F.col("_n")).cast("int")
     return ranked.withColumn("rsu", F.floor(client / n_veh).cast("int")).withColumn("vehicle", (client % n_veh).cast("int")).drop("_h", "_rank", "_n")
 
@@ -210,8 +210,8 @@ def safe_cut(bounds: DataFrame, target: float, low: int, high: int) -> int | Non
 
 
 def with_position(df: DataFrame, bounds: DataFrame, ts: str) -> DataFrame:
-    """df with before: rows of earlier time. One value for all rows of a time, so no cut divides them."""
-    return df.join(bounds.select(ts, "before"), ts)
+    """df with before: rows of earlier time. One value for all rows of a time, so no cut divides them; rows without a time stand last."""
+    return join_keys(df, bounds.select(ts, "before"), [ts])
 
 
 def by_cuts(before: Column, cuts: list[int]) -> Column:
@@ -277,10 +277,10 @@ def rolling_folds(df: DataFrame, block: str, mode: str, n: int, ts: str | None =
     else:
         counts = df.groupBy(block, ts).agg(F.count("*").alias("n"))
         sizes = df.groupBy(block).agg(F.count("*").alias("_size"))
-        places = prefix_sums(counts, ts, ["n"], by=(block,)).join(sizes, block).withColumn("_before", F.col("cum_n") - F.col("n"))
+        places = join_keys(prefix_sums(counts, ts, ["n"], by=(block,)), sizes, [block]).withColumn("_before", F.col("cum_n") - F.col("n"))
         cut = places.where("_before > 0").groupBy(block).agg(F.min_by("_before", F.struct(F.abs(F.col("_before") - F.col("_size") * frac), "_before")).alias("_cut"))
-        own = places.join(cut, block, "left").select(block, ts, F.when(F.col("_before") < F.coalesce("_cut", "_size"), 1).otherwise(2).alias("_own"))
-        part = df.join(own, [block, ts])
+        own = join_keys(places, cut, [block], "left").select(block, ts, F.when(F.col("_before") < F.coalesce("_cut", "_size"), 1).otherwise(2).alias("_own"))
+        part = join_keys(df, own, [block, ts])
     joined = part.join(F.broadcast(spec), (F.col(block) >= F.col("_from")) & (F.col(block) <= F.col("_to")) & ((F.col("_part") == 0) | (F.col("_part") == F.col("_own"))))
     return joined.drop("_from", "_to", "_part", "_own")
 

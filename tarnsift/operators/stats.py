@@ -47,11 +47,13 @@ def bootstrap_exact(results: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def sign_flip_test(pairs: DataFrame, by: list[str], diff: str = "diff") -> DataFrame:
-    """by, n, mean_diff, p_value: exact two-sided test over all 2^n sign patterns (n up to 20)."""
+    """by, n, mean_diff, p_value: two-sided test over all 2^n sign patterns, exact for n up to 20. Of larger
+    groups 65535 patterns picked by hash and the observed one are tried, which is a valid test with p from 1 / 65536."""
     listed = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(diff)).alias("d"))
     listed = listed.withColumn("n", F.size("d")).withColumn("observed", F.abs(F.aggregate("d", F.lit(0.0), lambda s, x: s + x)))
-    patterns = listed.where("n <= 20").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("n")).cast("long") - 1)))
-    signed = F.abs(F.aggregate(F.transform("d", lambda x, i: F.when(F.getbit(F.col("p"), i) == 1, -x).otherwise(x)), F.lit(0.0), lambda s, x: s + x))
+    patterns = listed.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.when(F.col("n") <= 20, F.col("n")).otherwise(16)).cast("long") - 1)))
+    flips = lambda i: F.when(F.col("n") <= 20, F.getbit(F.col("p"), F.least(i, F.lit(20)))).otherwise(F.when(F.col("p") == 0, 0).otherwise(F.getbit(F.xxhash64("p", i), F.lit(7))))
+    signed = F.abs(F.aggregate(F.transform("d", lambda x, i: F.when(flips(i) == 1, -x).otherwise(x)), F.lit(0.0), lambda s, x: s + x))
     return patterns.groupBy(*by, "n").agg((F.sum(F.when(signed >= F.col("observed") - 1e-12, 1).otherwise(0)) / F.count("*")).alias("p_value"), F.first(F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.col("n")).alias("mean_diff"))
 
 

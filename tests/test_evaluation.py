@@ -63,6 +63,21 @@ def test_holm_and_sign_flips(spark):
     assert r["p_value"] == 2 / 32 and r["mean_diff"] == 3.0
 
 
+def test_sign_flips_of_many_pairs(spark):
+    d = spark.createDataFrame([(g, float(x)) for g, sign in (("one", 1), ("both", -1)) for i in range(24) for x in [(i + 1) * (sign if i % 2 else 1)]], "g string, diff double")
+    got = {r["g"]: r for r in Z.sign_flip_test(d, ["g"]).collect()}
+    assert got["one"]["n"] == 24 and got["one"]["mean_diff"] == 12.5 and got["one"]["p_value"] < 0.001 and 0.5 < got["both"]["p_value"] <= 1
+
+
+def test_rows_without_a_score(spark):
+    rows = [(1, 0.9), (1, 0.8), (0, 0.8), (0, 0.1), (1, None), (0, None)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    curve = {r["s"]: r[1:] for r in X.score_counts(df, "y", "s").collect()}
+    assert curve == {0.1: (0, 1, 0, 1), 0.8: (1, 1, 1, 2), 0.9: (1, 0, 2, 2), None: (1, 1, 3, 3)}
+    best = X.best_f1_exact(df, "y", "s").first()
+    assert best["threshold"] == 0.8 and best["f1"] == round(4 / 6, 12) and X.roc_auc(df, "y", "s").first()["auc"] == 3.5 / 4
+
+
 def test_exact_bootstrap_against_all_resamples(spark):
     import itertools
 

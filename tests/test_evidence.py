@@ -44,3 +44,9 @@ def test_gate_names_the_first_fault(spark):
 def test_secrets_at_any_depth(spark):
     df = spark.createDataFrame([(1, '{"a":[{"api_key":"k1"}],"password":"****"}'), (2, "not json"), (3, None)], "id int, t string")
     assert [tuple(r) for r in E.scan_json(df, "id", "t").collect()] == [(1, "$.a[0].api_key")]
+
+
+def test_the_null_group_has_a_root(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, None, "x"), (3, None, "y")], "id int, g string, t string")
+    got = {r["g"]: r for r in E.merkle_root(df, ("g",), ["id"], "t", 4).collect()}
+    assert got[None]["leaves"] == 2 and got["a"]["leaves"] == 1 and got[None]["root"] != got["a"]["root"]

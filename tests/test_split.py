@@ -78,3 +78,14 @@ def test_held_out_family_never_trains(frame):
     assert got.where("role <> 'test' and family = held_out").count() == 0
     clean = got.where("role = 'test' and not removed").select("g").distinct()
     assert clean.join(got.where("role <> 'test'"), "g", "left_semi").count() == 0
+
+
+def test_null_groups_and_null_keys_stay(spark):
+    rows = [(i, None if i % 4 == 0 else "ab"[i % 2], None if i % 10 == 0 else float(i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, g string, x double")
+    last = lambda r: (r[2] is None, r[2] or 0, r[0])
+    want = {r[0]: k + 1 for g in ("a", "b", None) for k, r in enumerate(sorted((r for r in rows if r[1] == g), key=last))}
+    assert {r["id"]: r["rank"] for r in bucketed_rank(df, ["x", "id"], ("g",)).collect()} == want
+    sums = {(r["g"], r["x"]): r["cum_n"] for r in prefix_sums(df.groupBy("g", "x").agg(F.count("*").alias("n")), "x", ["n"], ("g",)).collect()}
+    assert all(sums[g, None] == sum(r[1] == g for r in rows) for g in {r[1] for r in rows if r[2] is None}) and len(sums) == len({r[1:] for r in rows})
+    assert P.stratified_split(df, "g", ["id"]).count() == P.cap_per_class(df, "g", ["id"], 500).count() == P.group_split(df, "g").count() == 200
