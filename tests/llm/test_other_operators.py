@@ -11,7 +11,8 @@ import corpus_pipeline
 from tarnsift.llm.chat import FORGED, read_back, training_examples
 from tarnsift.llm.ordered import in_order, triples
 from tarnsift.llm.pages import blocks, extract, main_text, shared_lines
-from tarnsift.llm.topk import top_k, whole_vectors
+from tarnsift.llm import topk
+from tarnsift.llm.topk import pivot_vectors, distances, places, share_evaluated, top_k, whole_vectors
 from tarnsift.llm.toxicity import fit, label_model, score
 
 
@@ -51,6 +52,38 @@ def test_large_components_stay_exact(spark):
     assert [(r["vec_id"], r["score"]) for r in top_k(v.where("vec_id = 0"), v, 2).orderBy("rank").collect()] == [(1, 9 * 10**16 + 3), (2, 9 * 10**16 + 2)]
 
 
+def test_pivots_bound_every_score_and_eliminate_candidates(spark):
+    r = np.random.default_rng(7)
+    x = np.floor(64 * r.standard_normal((600, 16)) / 4)
+    pivots = pivot_vectors(x, 12)
+    assert len(pivots) == 12 and len(pivot_vectors(np.repeat(x[:2], 9, axis=0), 12)) == 2
+    p = places(distances(x, pivots), (x * x).sum(1), pivots)
+    least = np.abs(distances(x, pivots)[:, None, :] - distances(x, pivots)[None, :, :]).max(axis=2)  # the best of single pivots
+    squares = (x * x).sum(1)
+    assert (p @ p.T + 1e-6 * squares.max() >= x @ x.T).all() and (p @ p.T <= (squares[:, None] + squares[None, :] - least**2) / 2 + 1e-3).all()
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, v array<double>")
+    assert share_evaluated(v.where("vec_id % 20 = 0"), v, 5) < 0.5
+
+
+def test_the_first_pass_leaves_out_every_row_of_the_querys_id(spark):
+    rows = [(0, [9.0, 9.0]), (0, [9.0, 8.0]), (1, [1.0, 1.0]), (2, [2.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = top_k(v.where("vec_id = 0"), v, 2).orderBy("query_id", "score").collect()
+    assert sorted((x["vec_id"], x["score"]) for x in got) == [(1, 17), (1, 18), (2, 26), (2, 27)]
+
+
+def test_top_k_equals_its_sql_on_repeated_queries(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(2)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(90)]
+    spark.createDataFrame(rows + [rows[20], rows[20], (40, [0.5] * 6)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.op4_topk(spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(topk.ORACLE_SQL).fetchall()) and len(got) == 6 * 20
+
+
 def test_chat_reads_back(spark):
     turns = FORGED + [(1, 0, "system", "a\\b<|im_end|>\\|"), (1, 1, "user", None), (1, 2, "assistant", "r<|x\n"), (1, 3, "assistant", "\\\\<\\|"), (1, 4, "user", "tail"), (2, None, None, "q"), (3, 0, "us\ner\\n", ""), (3, 1, "assistant", ""), (3, 1, "assistant", "")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
