@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,16 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one if all runs on one machine;
+    on a cluster that would be a folder of each machine, so it is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return named or f"file://{tempfile.gettempdir()}/tarnsift-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost no rework."""
+def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost no rework.
+    instead_of: a table stored before that nothing reads from now on; its folder is deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnsift-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if instead_of is not None:
+        for old in {f.rsplit("/", 1)[0] for f in instead_of.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,6 +89,26 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def hashed_words(text: str | None, words: WordHashes, lower: bool = False) -> np.ndarray:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ in order. A long text is cut into words slice by slice, so that beside the
+    text and 8 bytes for each word only one slice's words are held."""
+    data = (text or "").encode("utf-8")
+    if lower:
+        data = data.lower()
+    parts, at = [], 0
+    while len(data) - at > CHUNK_BYTES:
+        space = _SPACE.search(data, at + CHUNK_BYTES)
+        if space is None:
+            break
+        parts.append(words.of(data[at : space.start()].split()))
+        at = space.start()
+    last = words.of(data[at:].split())
+    return np.concatenate([*parts, last]) if parts else last
+
+
 def in_chunks(batches, text: str = "text", limit: int = CHUNK_BYTES):
     """Cuts pandas batches into pieces of about `limit` characters of text, whole rows each."""
     for pdf in batches:

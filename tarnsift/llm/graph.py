@@ -27,7 +27,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     state = None
     for _ in range(most_rounds):
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        edges = stored(_small_star(_large_star(edges)), "edges", instead_of=edges if state else None)
         new = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import stored, table
+from tarnsift.llm.common import in_chunks, stored, table
 
 CAPACITY = 2048
+#: Weights of residual tokens, documents and attention cost in a bin's score.
+WEIGHTS = (1.0, 0.02, 0.05)
 #: Pieces that one packing task places; what tasks leave open at their ends is about one sequence each.
 GROUP = 4096
 
@@ -97,7 +99,7 @@ def _tokenize(batches, path: str, capacity: int, eos: int, with_ids: bool):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     cache, end = TokenCache(path), np.array([eos], dtype="<u4").tobytes()
-    for pdf in batches:
+    for pdf in in_chunks(batches):
         out: list[tuple] = []
         for doc_id, key, text in zip(pdf["doc_id"], pdf["row_key"], pdf["text"]):
             ids = cache.document(text) + end
@@ -119,57 +121,42 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int =
     return rows.mapInPandas(lambda it: _tokenize(it, tokenizer, capacity, eos, with_ids), PIECES)
 
 
-def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int | None = None, attention: int | None = None, rule: str = "norm", weights=(1.0, 0.02, 0.05)) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of every length, longest first. Open bins are kept by residual vector, so a choice looks at the
-    distinct residual vectors near the best token fit, not at every bin: states with the same residuals are one.
+def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int | None = None, attention: int | None = None, rule: str = "norm", weights=WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of every length, longest first. Every open bin that holds the piece under all three limits is scored, and
+    the best takes it; of equals the one opened first. A bin is closed once nothing that is left fits its tokens or documents.
     """
     most_docs, most_cost = float(max_docs or capacity), float(attention or capacity * capacity)
     w_tok, w_doc, w_att = weights
     order = np.argsort(-lengths, kind="stable")
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    by_left: list[list[int]] = [[] for _ in range(capacity + 1)]  # open bins by residual tokens
-    filled = np.zeros(capacity + 1, dtype=bool)
-    docs: list[int] = []
-    cost: list[float] = []
+    least = int(lengths.min(initial=capacity))
+    name, left, docs, cost = np.zeros(64, np.int64), np.zeros(64), np.zeros(64), np.zeros(64)  # of the open bins, the first `n`, in order of opening
+    n = made = 0
     for i in order:
-        need = int(lengths[i])
-        best, best_score, best_at = -1, None, 0
-        tried = 0
-        for left in need + np.flatnonzero(filled[need:]):
-            left = int(left)
-            found = False
-            for at in range(len(by_left[left]) - 1, -1, -1):
-                b = by_left[left][at]
-                if docs[b] + 1 > most_docs or cost[b] + need * need > most_cost:
-                    continue
-                r = ((left - need) / capacity, (most_docs - docs[b] - 1) / most_docs, (most_cost - cost[b] - need * need) / most_cost)
-                if rule == "norm":
-                    score = -(w_tok * r[0] * r[0] + w_doc * r[1] * r[1] + w_att * r[2] * r[2])
-                else:
-                    score = -(w_tok * need / capacity * left / capacity + w_doc / most_docs * (most_docs - docs[b]) / most_docs + w_att * need * need / most_cost * (most_cost - cost[b]) / most_cost)
-                if best_score is None or score > best_score:
-                    best, best_score, best_at = b, score, (left, at)
-                found = True
-                if at < len(by_left[left]) - 8:  # bins of one token residual differ little: the last few stand for them
-                    break
-            tried += found
-            if tried == 4 or found and left == need:
-                break
-        if best < 0:
-            best, left = len(docs), capacity
-            docs.append(0)
-            cost.append(0.0)
+        need = float(lengths[i])
+        at = np.flatnonzero((left[:n] >= need) & (docs[:n] < most_docs) & (cost[:n] + need * need <= most_cost))
+        if len(at):
+            tok, doc, att = left[at], docs[at], cost[at]
+            if rule == "norm":
+                r = (tok - need) / capacity, (most_docs - doc - 1) / most_docs, (most_cost - att - need * need) / most_cost
+                score = w_tok * r[0] * r[0] + w_doc * r[1] * r[1] + w_att * r[2] * r[2]
+            else:
+                score = w_tok * need / capacity * tok / capacity + w_doc / most_docs * (most_docs - doc) / most_docs + w_att * need * need / most_cost * (most_cost - att) / most_cost
+            b = at[score.argmin()]
         else:
-            left, at = best_at
-            by_left[left].pop(at)
-            filled[left] = bool(by_left[left])
-        bins[i], offsets[i] = best, capacity - left
-        docs[best] += 1
-        cost[best] += need * need
-        left -= need
-        if left:
-            by_left[left].append(best)
-            filled[left] = True
+            if n == len(name):
+                name, left, docs, cost = (np.concatenate([x, np.zeros_like(x)]) for x in (name, left, docs, cost))
+            b = n
+            name[b], left[b], docs[b], cost[b] = made, capacity, 0, 0
+            n, made = n + 1, made + 1
+        bins[i], offsets[i] = name[b], capacity - left[b]
+        left[b] -= need
+        docs[b] += 1
+        cost[b] += need * need
+        if left[b] < least or docs[b] >= most_docs:
+            for x in (name, left, docs, cost):
+                x[b : n - 1] = x[b + 1 : n]
+            n -= 1
     return bins, offsets
 
 
