@@ -117,3 +117,37 @@ def in_chunks(batches, text: str = "text", limit: int = CHUNK_BYTES):
         for cut in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(ends)) + 1):
             if len(cut):
                 yield pdf.iloc[cut]
+
+
+def shared_lines(left: list[str], right: list[str]) -> list[bool]:
+    """Which lines of left stand in a longest common subsequence with right. Bit-parallel, a big integer for each line."""
+    common = set(left) & set(right)
+    out = [False] * len(left)
+    if not common:
+        return out
+    a = [i for i, x in enumerate(left) if x in common]
+    b = [x for x in right if x in common]
+    full = (1 << len(b)) - 1
+    where: dict[str, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    rows, state = [], full
+    for i in a:
+        rows.append(state)
+        u = state & where[left[i]]
+        state = ((state + u) | (state - u)) & full
+    j = len(b)  # zeros of a state below bit j: the length of the subsequence with the first j lines
+    length = lambda s, k: k - (s & ((1 << k) - 1)).bit_count()
+    for i, before in zip(reversed(a), reversed(rows)):
+        if j == 0:
+            break
+        u = before & where[left[i]]
+        after = ((before + u) | (before - u)) & full
+        if length(after, j) == length(before, j):
+            continue
+        here = length(after, j)
+        while length(after, j - 1) == here:
+            j -= 1
+        out[i] = True
+        j -= 1
+    return out

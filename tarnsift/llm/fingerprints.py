@@ -2,9 +2,10 @@
 
 Paragraphs are lines; an empty line closes a section. The root hashes the sections' hashes, these the paragraphs',
 these the paragraphs' bytes, so roots are equal exactly for equal texts. The fingerprint is the root and, after a
-colon, the tree below it: sections apart by "|", paragraphs by ".", each a row of 4 characters for every phrase
-(up to four words, ended by punctuation; 24 bits of a hash). Two fingerprints are compared without the texts:
-branches that are equal are skipped, those that differ say where the edits are.
+colon, the tree below it: sections apart by "|", each its hash and then its paragraphs apart by ".", each of these its
+hash and 4 characters for every phrase (up to four words, ended by punctuation; 24 bits of a hash). Two fingerprints
+are compared without the texts, from the root down: branches of equal hashes are skipped, and what stands between them
+on either side are the places of the edits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import repeats, table
+from tarnsift.llm.common import repeats, shared_lines, table
 from tarnsift.llm.ordered import in_order, triples
 
 PHRASE = re.compile(rb"(?:[^\s.,;:!?]{1,24} ?){1,4}[.,;:!?]*")
@@ -33,35 +34,55 @@ def _leaves(paragraph: bytes) -> str:
     return base64.urlsafe_b64encode(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :3]).tobytes()).decode()
 
 
+#: Characters of a section's or paragraph's hash below the root: 48 bits.
+NODE = 8
+
+
 def fingerprint(text: str | None) -> str:
-    sections: list[tuple[bytes, list[str]]] = []
+    sections: list[tuple[bytes, str]] = []
     digests, leaves = [], []
 
     def close() -> None:
-        sections.append((hashlib.sha256(b"S" + b"".join(digests)).digest(), list(leaves)))
+        digest = hashlib.sha256(b"S" + b"".join(digests)).digest()
+        sections.append((digest, ".".join([_short(digest), *leaves])))
         digests.clear()
         leaves.clear()
 
     for line in (text or "").encode("utf-8").split(b"\n"):
         digests.append(hashlib.sha256(b"P" + line).digest())
-        leaves.append(_leaves(line))
+        leaves.append(_short(digests[-1]) + _leaves(line))
         if not line:
             close()
     if digests:
         close()
     root = hashlib.sha256(b"R" + b"".join(d for d, _ in sections)).hexdigest()
-    return root + ":" + "|".join(".".join(x) for _, x in sections)
+    return root + ":" + "|".join(x for _, x in sections)
+
+
+def _short(digest: bytes) -> str:
+    return base64.urlsafe_b64encode(digest[: NODE * 3 // 4]).decode()
+
+
+def tree(print_: str) -> list[tuple[str, list[str]]]:
+    """(hash, paragraphs) of every section; a paragraph is its hash and its phrases' codes."""
+    sections = (x.split(".") for x in print_.partition(":")[2].split("|"))
+    return [(head, paragraphs) for head, *paragraphs in sections]
+
+
+_EMPTY = _short(hashlib.sha256(b"P").digest())
 
 
 def _codes(print_: str) -> np.ndarray:
-    packed = base64.urlsafe_b64decode(re.sub(r"[.|]", "", print_.partition(":")[2]))
+    """24 bits of every phrase and of every paragraph that isn't empty."""
+    packed = base64.urlsafe_b64decode("".join(p[NODE:] + p[:4] for _, paragraphs in tree(print_) for p in paragraphs if p != _EMPTY))
     wide = np.zeros((len(packed) // 3, 4), np.uint8)
     wide[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
     return wide.view("<u4").ravel()
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of phrases (with their repeats) that two fingerprints have in common: 2 * common / (both counts)."""
+    """Share of phrases and whole paragraphs (with their repeats) that two fingerprints have in common: 2 * common / (both
+    counts). 1 for equal texts only: others have one more in neither."""
     if a[:64] == b[:64]:
         return 1.0
     x, y = _codes(a), _codes(b)
@@ -70,21 +91,38 @@ def likeness(a: str, b: str) -> float:
     u, n = np.unique(x, return_counts=True)
     v, m = np.unique(y, return_counts=True)
     _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    return float(2 * np.minimum(n[i], m[j]).sum() / (len(x) + len(y)))
-
-
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) places of `a` whose branch differs from that of `b` at the same place."""
+    both = len(x) + len(y)
+    return float(min(2 * np.minimum(n[i], m[j]).sum() / both, both / (both + 1)))
+
+
+def _unmatched(left: list[str], right: list[str]) -> tuple[list[int], list[int]]:
+    """Places of either list that stand outside a longest common subsequence of the two."""
+    start = next((i for i, (x, y) in enumerate(zip(left, right)) if x != y), min(len(left), len(right)))
+    most = min(len(left), len(right)) - start
+    end = next((i for i in range(most) if left[-1 - i] != right[-1 - i]), most)
+    middle, other = left[start : len(left) - end], right[start : len(right) - end]
+    mine = shared_lines(middle, other)
+    common = iter([x for x, same in zip(middle, mine) if same])
+    come, wanted = [], next(common, None)
+    for i, x in enumerate(other):
+        if x == wanted:
+            wanted = next(common, None)
+        else:
+            come.append(start + i)
+    return [start + i for i, same in enumerate(mine) if not same], come
+
+
+def differing(a: str, b: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(section, paragraph) places of `a` that `b` lacks, and of `b` that `a` lacks. Sections and then, inside sections that
+    stand at the same place between equal ones, paragraphs are aligned by their hashes, so what an insertion moves is equal."""
     if a[:64] == b[:64]:
-        return []
-    left, right = (p.partition(":")[2].split("|") for p in (a, b))
-    out = []
-    for s, one in enumerate(left):
-        if s < len(right) and one == right[s]:
-            continue
-        other = right[s].split(".") if s < len(right) else []
-        out += [(s, p) for p, leaf in enumerate(one.split(".")) if p >= len(other) or leaf != other[p]]
-    return out
+        return [], []
+    left, right = tree(a), tree(b)
+    mine, theirs = _unmatched([h for h, _ in left], [h for h, _ in right])
+    paragraphs = lambda sections, at: [((s, p), x[:NODE]) for s in at for p, x in enumerate(sections[s][1])]
+    one, other = paragraphs(left, mine), paragraphs(right, theirs)
+    gone, come = _unmatched([h for _, h in one], [h for _, h in other])
+    return [one[i][0] for i in gone], [other[i][0] for i in come]
 
 
 def _edited(batches):
@@ -96,7 +134,7 @@ def _edited(batches):
         half = len(row.text) // 2
         edited = row.text[: len(row.text) - half] + nxt.text[:half]
         edited_print = fingerprint(edited)
-        out.append((row.doc_id, len(row.text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), own, edited_print, likeness(own, edited_print), likeness(own, nxt_print), len(differing(own, edited_print))))
+        out.append((row.doc_id, len(row.text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), own, edited_print, likeness(own, edited_print), likeness(own, nxt_print), len(differing(own, edited_print)[0])))
         size += len(own) + len(edited_print)
         if size > 4_000_000:
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
@@ -109,7 +147,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form: the last half of its code points replaced by the first as
     many of the next document (ascending doc_id, the first after the last; rows of one doc_id by a hash of the text).
 
-    Null text: empty; an only document is its own next. Null doc_id comes first.
+    edited_paragraphs: paragraphs of the text that the edited form lacks, found by the two fingerprints alone. Null text:
+    empty; an only document is its own next. Null doc_id comes first.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("order_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     keys = ["order_id"]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tarnsift.llm.chat import FORGED, read_back, training_examples
 from tarnsift.llm.ordered import in_order, triples
-from tarnsift.llm.pages import blocks, extract, main_text, shared_lines
+from tarnsift.llm.common import shared_lines
+from tarnsift.llm.pages import blocks, extract, main_text
 from tarnsift.llm import topk
 from tarnsift.llm.topk import pivot_vectors, distances, places, share_evaluated, top_k, whole_vectors
 from tarnsift.llm.toxicity import fit, label_model, score

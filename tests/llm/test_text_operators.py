@@ -186,12 +186,41 @@ def test_fingerprints(docs, empty):
 
 def test_edits_are_located():
     a = "first line here\nsecond line here\n\nthird line there\nfourth"
-    assert differing(fingerprint(a), fingerprint(a)) == [] and likeness(fingerprint(a), fingerprint(a)) == 1.0
-    assert differing(fingerprint(a), fingerprint(a.replace("third", "3rd"))) == [(1, 0)]
+    places = lambda x, y: differing(fingerprint(x), fingerprint(y))
+    assert places(a, a) == ([], []) and likeness(fingerprint(a), fingerprint(a)) == 1.0
+    assert places(a, a.replace("third", "3rd")) == ([(1, 0)], [(1, 0)])
+    assert places(a, "a new line\n" + a) == ([], [(0, 0)]) and places("a new section\n\n" + a, a) == ([(0, 0), (0, 1)], [])
+    assert places(a, a.replace("third", " third")) == ([(1, 0)], [(1, 0)]) and places(a, a.replace("line here\ns", "line here\t\ns")) == ([(0, 0)], [(0, 0)])
+    assert 0 < likeness(fingerprint(a), fingerprint(" " + a)) < 1 and 0 < likeness(fingerprint("x y"), fingerprint("x y\n\n")) < 1
     assert fingerprint("a\nb") != fingerprint("a b") and fingerprint(None) == fingerprint("")
     assert likeness(fingerprint("x y z"), fingerprint("p q r")) == 0.0
 
 
+def test_edits_are_located_as_by_comparing_the_lines():
+    r = random.Random(9)
+    for _ in range(200):
+        a = [r.choice(["one", "two two", "three 3", ""]) for _ in range(r.randint(1, 8))]
+        b = list(a)
+        for _ in range(r.randint(0, 2)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = [r.choice(["new", "other", ""])] * r.randint(0, 2)
+        gone, come = differing(fingerprint("\n".join(a)), fingerprint("\n".join(b)))
+        keep = lambda x, out: [line for i, line in enumerate(x) if i not in out]
+        flat = lambda x: {(s, p): k for k, (s, p) in enumerate((s, p) for s, ps in enumerate(_sections(x)) for p in range(len(ps)))}
+        fa, fb = flat(a), flat(b)
+        assert keep(a, {fa[g] for g in gone}) == keep(b, {fb[c] for c in come}) or a == b
+        assert (gone, come) == ([], []) or a != b
+
+
+def _sections(lines):
+    out = [[]]
+    for line in lines:
+        out[-1].append(line)
+        if not line:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
 def test_pieces_match_the_tokenizer(docs, empty):
     from tokenizers import Tokenizer
 
