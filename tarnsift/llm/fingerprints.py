@@ -155,7 +155,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     if repeats(docs, "doc_id"):
         rows, keys = rows.withColumn("order_text", F.xxhash64("text")), ["order_id", "order_text"]
     fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_paragraphs int"
-    return in_order(rows, keys, wrap=True).mapInPandas(_edited, fields)
+    return in_order(rows, keys, wrap=True, text="text").mapInPandas(_edited, fields)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,23 @@ from pyspark.sql import functions as F
 from tarnsift.llm.common import shuffle_partitions
 
 
-def in_order(df: DataFrame, keys: list[str], buckets: int | None = None, wrap: bool = False) -> DataFrame:
-    """df with columns bucket and place, each bucket a contiguous range of the keys' order in one partition, sorted.
+#: Bytes of text in a bucket, about, and the most buckets: beyond, buckets grow, which are streamed and never held whole.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 50_000
+
+
+def in_order(df: DataFrame, keys: list[str], buckets: int | None = None, wrap: bool = False, text: str | None = None) -> DataFrame:
+    """df with columns bucket and place, each bucket a contiguous range of the keys' order in one partition, sorted. Their
+    number follows from the bytes of the column `text`, unless given.
 
     place 0: the bucket's own rows; 1: a copy of the row after the bucket's last; -1: of the row before its first.
     wrap: the first row follows the last one. Only the buckets' least and greatest keys reach the driver, two for
     each bucket. Keys must not be null.
     """
     spark = df.sparkSession
-    n = buckets or 4 * shuffle_partitions(spark)
+    n = buckets or shuffle_partitions(spark)
+    if text and not buckets:
+        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        n = min(max(n, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
     key = F.struct(*keys)
     edges = df.select(*keys).repartitionByRange(n, *keys).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
     edges = sorted((tuple(r["lo"]), tuple(r["hi"])) for r in edges)
@@ -48,7 +56,7 @@ def in_order(df: DataFrame, keys: list[str], buckets: int | None = None, wrap: b
 
     spread = df.withColumn("at", F.explode(places(*[F.col(k) for k in keys])))
     spread = spread.withColumn("bucket", F.floor(F.col("at") / 3).cast("int")).withColumn("place", F.col("at") % 3 - 1).drop("at")
-    return spread.repartition("bucket").sortWithinPartitions("bucket", "place", *keys)
+    return spread.repartition(n, "bucket").sortWithinPartitions("bucket", "place", *keys)
 
 
 def triples(batches, make):

@@ -111,6 +111,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool | None]]:
     elements: list[_Element] = []
     out: list[tuple[str, _Element | None]] = []
     stack: list[tuple[str, _Element | None, bool, bool]] = []  # name, innermost marked element, in an article, dropped with an inline element
+    open_tags: Counter = Counter()  # names on the stack
     parts: list[str] = []
     page = page or ""
 
@@ -124,6 +125,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool | None]]:
     def pop_to(i: int) -> None:
         if any(tag not in INLINE for tag, *_ in stack[i:]):
             flush()
+        for tag, *_ in stack[i:]:
+            open_tags[tag] -= 1
         del stack[i:]
 
     at, end = 0, len(page)
@@ -143,6 +146,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool | None]]:
             continue
         tag = tag.lower()
         if close:
+            if not open_tags[tag]:
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     pop_to(i)
@@ -179,8 +184,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool | None]]:
             elements.append(place)
         # text right in a dropped inline element is left out; blocks inside it are judged by their place
         stack.append((tag, place, in_article or article, (mute or mark > DOUBTFUL) if tag in INLINE else False))
-        if len(stack) > 4000:  # deeper markup is a mistake of the page; its text stays in the innermost block
-            stack.pop()
+        open_tags[tag] += 1
     flush()
     plain = any(place is None for _, place in out)
     for revived in (SOFT, HARD, OTHERS):
@@ -223,15 +227,19 @@ def frame_lines(own: list[str], others: list[list[str]]) -> list[bool]:
     return found[0] if found else [False] * len(own)
 
 
-def main_text(own: list[tuple[str, bool, bool | None]], partner: list[tuple[str, bool, bool | None]] | None, second: list[tuple[str, bool, bool | None]] | None = None) -> str:
-    """The article's blocks, without the doubtful ones of the frame, if one is marked; else all blocks but the frame's."""
+def judged(own: list[tuple[str, bool, bool | None]], partner: list[tuple[str, bool, bool | None]] | None, second: list[tuple[str, bool, bool | None]] | None = None) -> tuple[str, int | None]:
+    """The article's blocks, without the doubtful ones of the frame, if one is marked; else all blocks but the frame's. And how
+    many blocks the difference deleted; None if the markup decided alone."""
     kept = [x for x in own if not x[2]]
     marked = any(article for _, article, _ in kept)
-    if not marked or any(article and dropped is None for _, article, dropped in kept):
-        frame = frame_lines([x[0] for x in kept], [[x[0] for x in other if not x[2]] for other in (partner, second) if other])
-    else:
-        frame = [False] * len(kept)
-    return "\n".join(text for (text, article, dropped), f in zip(kept, frame) if (article and not (f and dropped is None) if marked else not f))
+    doubtful = not marked or any(article and dropped is None for _, article, dropped in kept)
+    frame = frame_lines([x[0] for x in kept], [[x[0] for x in other if not x[2]] for other in (partner, second) if other]) if doubtful else [False] * len(kept)
+    gone = [f and (not marked or article and dropped is None) for (_, article, dropped), f in zip(kept, frame)]
+    return "\n".join(text for (text, article, _), g in zip(kept, gone) if not g and (article or not marked)), sum(gone) if doubtful else None
+
+
+def main_text(own, partner, second=None) -> str:
+    return judged(own, partner, second)[0]
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -245,7 +253,8 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 def _nearest(batches):
     out, size = [], 0
-    columns = ["page_id", "url", "text", "n_chars", "partner_id"]
+    columns = ["page_id", "url", "text", "n_chars", "partner_id", "differenced"]
+    kinds = {"page_id": "Int64", "partner_id": "Int64", "differenced": "Int64"}
     for before, (row, own), after in triples(batches, lambda r: blocks(r.html)):
         near = [x for x in (after, before) if x is not None and x[0].host == row.host]
 
@@ -255,20 +264,21 @@ def _nearest(batches):
 
         near.sort(key=closeness, reverse=True)  # the next one first if both are as near
         partner, second = [*near, None, None][:2]
-        text = main_text(own, partner and partner[1], second and second[1])
-        out.append((row.page_id, row.url, text, len(text), partner and partner[0].page_id))
+        text, deleted = judged(own, partner and partner[1], second and second[1])
+        out.append((row.page_id, row.url, text, len(text), partner and partner[0].page_id, deleted))
         size += len(text)
         if size > 4_000_000:
-            yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "partner_id": "Int64"})
+            yield pd.DataFrame(out, columns=columns).astype(kinds)
             out, size = [], 0
     if out:
-        yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "partner_id": "Int64"})
+        yield pd.DataFrame(out, columns=columns).astype(kinds)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, partner_id for every row. Null html: empty text; null or malformed url: a host of
-    its own (""), paired by what is left of the path. The only page of a host has no partner. Rows of one host and path
-    go by page_id (null first); repeated rows are pages of their own.
+    """page_id, url, text, n_chars, partner_id, differenced (blocks that the difference deleted; null where the markup alone
+    decided) for every row. Null html: empty text; null or malformed url: a host of its own (""), paired by what is left of
+    the path. The only page of a host has no partner. Rows of one host and path go by page_id (null first); repeated rows
+    are pages of their own.
     """
     @F.pandas_udf("host string, path string")
     def places(url: pd.Series) -> pd.DataFrame:
@@ -279,7 +289,7 @@ def extract(pages: DataFrame) -> DataFrame:
     keys = ["host", "path", "order_id"]
     if repeats(pages, "page_id"):
         rows, keys = rows.withColumn("order_html", F.xxhash64("html")), [*keys, "order_html"]
-    return in_order(rows, keys).mapInPandas(_nearest, "page_id long, url string, text string, n_chars long, partner_id long")
+    return in_order(rows, keys, text="html").mapInPandas(_nearest, "page_id long, url string, text string, n_chars long, partner_id long, differenced long")
 
 
 def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,28 @@ def test_the_frame_goes_however_large_and_copies_are_told_by_what_is_left(spark)
     assert long in got[3] and long in got[4] and got[6] == f"{long}\nby Ann" and got[7] == f"{long}\nBob wrote it"
 
 
+def test_deep_markup_is_followed_to_its_end():
+    deep = 30_000
+    assert main_text(blocks("<div>" * deep + "<nav>menu</nav>in" + "</i></p>" * deep + "</div>" * deep + "<p>out"), None) == "in\nout"
+
+
+def test_whole_pages_against_what_they_were_made_of(spark):
+    """Pages of two hosts, half of them without an article mark; the text is known, and so is what decides it."""
+    r = random.Random(8)
+    line = lambda: " ".join(r.choices(["grey", "Öl", "river", "of", "seven", "night", "&amp;", "walk"], k=r.randint(2, 9)) + [str(r.randrange(10**6))])
+    rows, want = [], {}
+    for i in range(40):
+        host, marked = f"h{i % 2}.example", i % 4 < 2
+        body = [line() for _ in range(r.randint(1, 6))]
+        frame = [f"Menu of {host}", f"Foot of {host}"]
+        inner = "".join(f"<p> {b.replace(' ', chr(10), 1)}</p>" for b in body)
+        inner = f"<article>{inner}</article>" if marked else f"<div>{inner}</div>"
+        rows.append((i, f"https://{host}/{'abc'[i % 3]}/{i:02}", f"<html><head><title>t</title></head><body><div>{frame[0]}</div><nav>skip {line()}</nav>{inner}<aside>{line()}</aside><div>{frame[1]}</div><script>x</script></body></html>"))
+        want[i] = ("\n".join(b.replace("&amp;", "&") for b in body), None if marked else 2)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x["page_id"]: (x["text"], x["differenced"]) for x in extract(df).collect()} == want
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     r = random.Random(5)
     for _ in range(300):
