@@ -1,15 +1,18 @@
 """Removal of word passages that occur earlier in the corpus, by relative Lempel-Ziv parsing.
 
-The reference of a document is everything before it (smaller doc_id, or an earlier start in the same document).
-Its blocks are indexed by content: in every window of `window` words the `gram`-word run with the least hash is the
-window's anchor, so equal windows have equal anchors and a block is the context of one anchor (a word in about seven
-starts one). Parsing goes left to right and copies greedily: a factor starts at a window with an earlier occurrence
-and grows while the next window has one as well. Windows that straddle the end of a factor belong to anchors of
-their own and are looked up like any other, so factors that meet or overlap lose no window between them.
-
-Steps: (1) find anchors that occur more than once, (2) of those, compare the windows around them and keep which
-ones have an earlier occurrence, (3) turn these into factors per document. Each mapper first settles repeats among
-the documents it holds itself; of a passage that a third of all documents share, each mapper sends one row on.
+The reference of a document is all text before it (smaller doc_id, or an earlier start in the same document), in blocks
+that are indexed by content: in every window of `window` words the `gram`-word run with the least hash is the window's
+anchor, so equal windows have equal anchors, and a block is the context of one anchor (a word in about seven starts one).
+A window is entered once, at its first occurrence - of the blocks one mapper holds, then of all - and an equal window
+later on copies from there. The parse of a document goes left to right and is greedy: a factor starts at the first window
+that has a source (document, word) and grows as long as each next window's source is the next word of the same document;
+where that ends, the windows that straddle the end are looked up like any other, so one of them may start the next factor
+there, which then counts from the end of the one before. Factors are at least `window` words long in the reference, tile
+the words covered by repeated windows, and each is as long as its source goes on.
+
+Steps: (1) find anchors that occur more than once, (2) of those, compare the windows around them with the blocks of the
+same anchor and keep each one's source, (3) parse every document. Each mapper first settles repeats among the documents
+it holds itself; of a passage that a third of all documents share, each mapper sends one row on.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import WordHashes, in_chunks, mix64, repeats, table
+from tarnsift.llm.common import WordHashes, hashed_words, in_chunks, mix64, repeats, table
 
 WINDOW, GRAM = 20, 8
 _LEAST = -(1 << 63)
@@ -75,10 +78,10 @@ def _find(batches, window: int, gram: int):
     for pdf in in_chunks(batches):
         gram_hash, doc, tie, pos = [], [], [], []
         for d, t, text in zip(pdf["d"], pdf["tie"], pdf["text"]):
-            tokens = (text or "").encode("utf-8").split()
+            tokens = hashed_words(text, words)
             if len(tokens) < window:
                 continue
-            g = _grams(words.of(tokens), gram)
+            g = _grams(tokens, gram)
             at = np.unique(_anchors(g, window, gram))
             gram_hash.append(g[at])
             pos.append(at)
@@ -99,147 +102,204 @@ def _find(batches, window: int, gram: int):
 
 def _runs(batches, key: str):
     """Regroups sorted batches so that no run of equal keys is cut."""
-    rest = None
+    held: list[pd.DataFrame] = []
     for pdf in batches:
         if not len(pdf):
             continue
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         k = pdf[key].to_numpy()
+        if held and k[-1] == held[-1][key].iloc[-1]:
+            held.append(pdf)
+            continue
         cut = int(np.searchsorted(k, k[-1], side="left"))
-        if cut:
-            yield pdf.iloc[:cut]
-        rest = pdf.iloc[cut:]
-    if rest is not None and len(rest):
-        yield rest
+        if held or cut:
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+        held = [pdf.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _shared(batches):
-    """The anchors that are known or have company under their route."""
-    for pdf in _runs(batches, "route"):
-        g = pdf["gram_hash"].to_numpy()
-        same = np.zeros(len(g), bool)
-        r = pdf["route"].to_numpy()
-        if len(g) > 1:
-            eq = (g[1:] == g[:-1]) & (r[1:] == r[:-1])
-            same[1:] |= eq
-            same[:-1] |= eq
+    """The anchors that are known or have company under their route; rows come sorted by route and gram hash, and only the
+    last one is held back."""
+    columns = ["route", "gram_hash", "d", "tie", "pos", "known"]
+    last = None  # the row before, if it waits for company
+    before = None  # its route and gram hash
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        r, g = pdf["route"].to_numpy(), pdf["gram_hash"].to_numpy()
+        same = np.zeros(len(pdf), bool)
+        eq = (g[1:] == g[:-1]) & (r[1:] == r[:-1])
+        same[1:] |= eq
+        same[:-1] |= eq
+        if before == (r[0], g[0]):
+            same[0] = True
+            if last is not None:
+                yield last
+        before, last = (r[-1], g[-1]), None
         keep = same | pdf["known"].to_numpy()
+        if not keep[-1]:
+            last = pdf.iloc[-1:][["d", "tie", "pos"]]
         if keep.any():
             yield pdf.loc[keep, ["d", "tie", "pos"]]
 
 
-_ROWS = "route long, gram_hash long, d long, tie long, low int, done int, windows binary"
+#: A stretch of windows that have an earlier occurrence: places at .. at + n - 1 from the row's first window, and where the first one's source starts.
+_COPY = np.dtype([("at", "u1"), ("n", "u1"), ("pos", "<i4"), ("d", "<i8")])
+_ROWS = "route long, gram_hash long, d long, tie long, low int, done int, windows binary, copies binary"
+_FACTORS = "d long, tie long, start int, n int, source_d long, source_pos int"
 
 
 def _first_of(key: np.ndarray, window_hash: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """True where no equal (key, window_hash) stands before."""
+    """For each row the place of the first equal (key, window_hash) in order of doc, tie and start: its own, if it is that one."""
     order = np.lexsort((start, tie, doc, window_hash, key))
     k, w = key[order], window_hash[order]
-    first = np.ones(len(k), bool)
-    first[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
-    out = np.empty(len(k), bool)
-    out[order] = first
+    head = np.ones(len(k), bool)
+    head[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+    out = np.empty(len(k), np.int64)
+    out[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
     return out
 
 
+def _stretches(row: np.ndarray, start: np.ndarray, source_d: np.ndarray, source_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, length) of the runs of windows of one row that follow one another and whose sources do as well."""
+    head = np.ones(len(row), bool)
+    head[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (source_d[1:] != source_d[:-1]) | (source_pos[1:] != source_pos[:-1] + 1)
+    first = np.flatnonzero(head)
+    return first, np.diff(np.append(first, len(row)))
+
+
+def _pieces(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The bytes of the first counts[0] values, of the next counts[1], and so on."""
+    packed, ends = values.tobytes(), (values.itemsize * np.cumsum(counts)).tolist()
+    return [packed[x:y] for x, y in zip([0, *ends], ends)]
+
+
 def _compare_here(batches, window: int, gram: int):
-    """A row for every shared anchor: its windows that no document of this chunk has before it, and as bits of `done` those that have."""
+    """A row for every shared anchor: its windows that no document of this chunk has before it, and as bits of `done` those that
+    have, with their sources as `copies`."""
     words = WordHashes()
     rng = np.random.default_rng(0)
     for pdf in in_chunks(batches):
         parts = []
         for d, t, text, wanted in zip(pdf["d"], pdf["tie"], pdf["text"], pdf["anchors"]):
-            g = _grams(words.of(text.encode("utf-8").split()), gram)
+            g = _grams(hashed_words(text, words), gram)
             at = _anchors(g, window, gram)
             starts = np.flatnonzero(np.isin(at, np.asarray(wanted)))
             parts.append((g[at[starts]], _windows(g, window, gram)[starts], np.full(len(starts), d, np.int64), np.full(len(starts), t, np.int64), starts, at[starts]))
         if not parts:
             continue
         key, wh, doc, tie, start, at = (np.concatenate(x) for x in zip(*parts))
-        first = _first_of(key, wh, doc, tie, start)
+        source = _first_of(key, wh, doc, tie, start)
+        first = source == np.arange(len(key))
         head = np.ones(len(at), bool)
         head[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])
-        heads = np.flatnonzero(head)
-        done = np.add.reduceat(np.where(first, 0, 1 << (start - start[heads][np.cumsum(head) - 1])), heads)
+        heads, row = np.flatnonzero(head), np.cumsum(head) - 1
+        place = start - start[heads][row]
+        done = np.add.reduceat(np.where(first, 0, 1 << place), heads)
         left = np.add.reduceat(first.astype(np.int64), heads)
-        packed, ends = wh[first].tobytes(), (8 * np.cumsum(left)).tolist()
-        lists = [packed[x:y] for x, y in zip([0, *ends], ends)]
+        again = np.flatnonzero(~first)
+        s, n = _stretches(row[again], start[again], doc[source[again]], start[source[again]])
+        copies = np.empty(len(s), _COPY)
+        copies["at"], copies["n"], copies["pos"], copies["d"] = place[again[s]], n, start[source[again[s]]], doc[source[again[s]]]
+        lists = _pieces(wh[first], left)
+        copied = _pieces(copies, np.bincount(row[again[s]], minlength=len(heads)))
         route = np.where(left > 0, key[heads], rng.integers(0, 1 << 64, len(heads), np.uint64))
-        out = pd.DataFrame({"route": route.view(np.int64), "gram_hash": key[heads].view(np.int64), "d": doc[heads], "tie": tie[heads], "low": start[heads].astype(np.int32), "done": done.astype(np.int32), "windows": lists})
+        out = pd.DataFrame({"route": route.view(np.int64), "gram_hash": key[heads].view(np.int64), "d": doc[heads], "tie": tie[heads], "low": start[heads].astype(np.int32), "done": done.astype(np.int32), "windows": lists, "copies": copied})
         for i in range(0, len(out), 50_000):
             yield out.iloc[i : i + 50_000]
 
 
 def _compare_all(batches, window: int, gram: int):
-    """(d, tie, low, mask): the windows low + bit that have an earlier occurrence."""
+    """Stretches of windows that have an earlier occurrence: n from `start` on, with the source of the first."""
     width = window - gram + 1
     for pdf in _runs(batches, "route"):
-        done = pdf["done"].to_numpy().astype(np.int64)
+        d, tie, low, done = (pdf[c].to_numpy().astype(np.int64) for c in ("d", "tie", "low", "done"))
+        count = pdf["copies"].map(len).to_numpy() // _COPY.itemsize
+        copies, of = np.frombuffer(b"".join(pdf["copies"]), _COPY), np.repeat(np.arange(len(pdf)), count)
+        found = [(of, low[of] + copies["at"], copies["n"], copies["d"], copies["pos"])]
         sizes = pdf["windows"].map(len).to_numpy() // 8
         rows = np.repeat(np.arange(len(pdf)), sizes)
         if len(rows):
             bits = (done[:, None] >> np.arange(width)) & 1 == 0  # the windows listed are the lowest bits not done
-            shift = np.nonzero(bits & (np.cumsum(bits, axis=1) <= sizes[:, None]))[1]
+            start = low[rows] + np.nonzero(bits & (np.cumsum(bits, axis=1) <= sizes[:, None]))[1]
             wh = np.frombuffer(b"".join(pdf["windows"]), np.int64)
-            first = _first_of(pdf["gram_hash"].to_numpy()[rows], wh, pdf["d"].to_numpy()[rows], pdf["tie"].to_numpy()[rows], pdf["low"].to_numpy()[rows] + shift)
-            np.add.at(done, rows, np.where(first, 0, 1 << shift))
-        if done.any():
-            hit = done > 0
-            yield pdf.loc[hit, ["d", "tie", "low"]].assign(mask=done[hit].astype(np.int32))
-
-
-def covered(n_words: int, lows, masks, window: int = WINDOW) -> np.ndarray:
-    """Which words stand in a repeated window."""
-    edge = np.zeros(n_words + 1, np.int64)
-    if lows is not None and len(lows):
-        low, mask = np.asarray(lows, np.int64), np.asarray(masks, np.int64)
-        for bit in range(int(mask.max()).bit_length()):
-            start = low[(mask >> bit) & 1 == 1] + bit
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + window, -1)
-    return np.cumsum(edge[:-1]) > 0
+            source = _first_of(pdf["gram_hash"].to_numpy()[rows], wh, d[rows], tie[rows], start)
+            again = np.flatnonzero(source != np.arange(len(rows)))
+            s, n = _stretches(rows[again], start[again], d[rows[source[again]]], start[source[again]])
+            again = again[s]
+            found.append((rows[again], start[again], n, d[rows[source[again]]], start[source[again]]))
+        row, start, n, source_d, source_pos = (np.concatenate(x) for x in zip(*found))
+        if len(row):
+            yield pd.DataFrame({"d": d[row], "tie": tie[row], "start": start.astype(np.int32), "n": n.astype(np.int32), "source_d": source_d, "source_pos": source_pos.astype(np.int32)})
+
+
+def parse(start: np.ndarray, n: np.ndarray, source_d: np.ndarray, source_pos: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Factors (start, length, source document, source start) in words, from stretches of n windows at `start`: stretches that go
+    on where the one before ends, at the source as well, are one; a factor that overlaps the one before starts at its end."""
+    order = np.argsort(start, kind="stable")
+    start, n, source_d, source_pos = (np.asarray(x, np.int64)[order] for x in (start, n, source_d, source_pos))
+    head = np.ones(len(start), bool)
+    head[1:] = (start[1:] != start[:-1] + n[:-1]) | (source_d[1:] != source_d[:-1]) | (source_pos[1:] != source_pos[:-1] + n[:-1])
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(start)) - 1 if len(first) else first
+    end = start[last] + n[last] + window - 1
+    begin = start[first]
+    begin[1:] = np.maximum(begin[1:], end[:-1])
+    return begin, end - begin, source_d[first], source_pos[first] + begin - start[first]
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(documents as d, tie, text and, numbered, the carried columns; d, tie, lows, masks of those with repeated windows).
-    Both joins with the texts take the same columns, so the texts are shuffled once."""
+    """(documents as d, tie, text and, numbered, the carried columns; d, tie, copies of those with repeated windows: stretches of
+    windows and their sources). Both joins with the texts take the same columns, so the texts are shuffled once."""
     twice = repeats(docs, "doc_id")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("tie"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)])
     anchors = keyed.dropDuplicates(["d", "tie"]) if twice else keyed
     found = anchors.select("d", "tie", "text").mapInPandas(lambda it: _find(it, window, gram), "route long, gram_hash long, d long, tie long, pos int, known boolean")
-    shared = found.repartition("route").sortWithinPartitions("route").mapInPandas(_shared, "d long, tie long, pos int")
+    shared = found.repartition("route").sortWithinPartitions("route", "gram_hash").mapInPandas(_shared, "d long, tie long, pos int")
     wanted = shared.groupBy("d", "tie").agg(F.collect_list("pos").alias("anchors"))
     here = anchors.join(wanted, ["d", "tie"]).mapInPandas(lambda it: _compare_here(it, window, gram), _ROWS)
-    masks = here.repartition("route").sortWithinPartitions("route").mapInPandas(lambda it: _compare_all(it, window, gram), "d long, tie long, low int, mask int")
-    return keyed, masks.groupBy("d", "tie").agg(F.collect_list(F.struct("low", "mask")).alias("hits")).select("d", "tie", F.col("hits.low").alias("lows"), F.col("hits.mask").alias("masks"))
+    copies = here.repartition("route").sortWithinPartitions("route").mapInPandas(lambda it: _compare_all(it, window, gram), _FACTORS)
+    one = F.collect_list(F.struct("start", "n", "source_d", "source_pos"))
+    return keyed, copies.groupBy("d", "tie").agg(one.alias("c")).select("d", "tie", *[F.col(f"c.{x}").alias(x) for x in _SOURCES])
 
 
-_CUT = ["n_words", "n_removed", "kept_sha256", "kept_text", "factor_starts", "factor_lengths"]
+_SOURCES = ["start", "n", "source_d", "source_pos"]
+_CUT = ["n_words", "n_removed", "kept_sha256", "kept_text", "factor_starts", "factor_lengths", "source_ids", "source_starts"]
 
 
 def _cut(batches, window: int, with_text: bool):
     import hashlib
 
+    nothing = (np.empty(0, np.int64),) * 4
     for pdf in in_chunks(batches):
         out = []
-        for text, lows, masks in zip(pdf["text"], pdf["lows"], pdf["masks"]):
+        for text, *copies in zip(pdf["text"], *[pdf[c] for c in _SOURCES]):
             words = text.encode("utf-8").split()
-            gone = covered(len(words), lows, masks, window)
-            kept = b" ".join([w for w, g in zip(words, gone) if not g] if gone.any() else words)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-            out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), (kept.decode("utf-8") if gone.any() else text) if with_text else None, edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
-        yield pd.concat([pdf.drop(columns=["tie", "text", "lows", "masks"]).reset_index(drop=True), pd.DataFrame(out, columns=_CUT)], axis=1)
+            starts, lengths, source_d, source_pos = parse(*copies, window) if copies[0] is not None and len(copies[0]) else nothing
+            if len(starts):
+                edge = np.zeros(len(words) + 1, np.int8)
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, starts + lengths, -1)
+                words_kept = [w for w, gone in zip(words, np.cumsum(edge[:-1]).tolist()) if not gone]
+            else:
+                words_kept = words
+            kept = b" ".join(words_kept)
+            out.append((len(words), int(lengths.sum()), hashlib.sha256(kept).hexdigest(), (kept.decode("utf-8") if len(starts) else text) if with_text else None,
+                        starts.tolist(), lengths.tolist(), [None if x == _LEAST else x for x in source_d.tolist()], source_pos.tolist()))
+        yield pd.concat([pdf.drop(columns=["tie", "text", *_SOURCES]).reset_index(drop=True), pd.DataFrame(out, columns=_CUT)], axis=1)
 
 
 def _removed(docs: DataFrame, window: int, gram: int, with_text: bool, carried: tuple[str, ...] = ()) -> DataFrame:
     keyed, hits = repeated_windows(docs, window, gram, carried)
     extra = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carried))
-    fields = f"d long, {extra}n_words long, n_removed long, kept_sha256 string, kept_text string, factor_starts array<long>, factor_lengths array<long>"
+    fields = f"d long, {extra}n_words long, n_removed long, kept_sha256 string, kept_text string, factor_starts array<long>, factor_lengths array<long>, source_ids array<long>, source_starts array<long>"
     return keyed.join(hits, ["d", "tie"], "left").mapInPandas(lambda it: _cut(it, window, with_text), fields)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text, factor_starts, factor_lengths (word spans removed) per row.
+    """doc_id, n_words, n_removed, kept_sha256, kept_text, and the factors removed: factor_starts, factor_lengths (words),
+    source_ids, source_starts (the document and word each is copied from) per row.
 
     Null text: no words. Texts under `window` words lose nothing. Null doc_id counts as the smallest. Rows with equal
     doc_id and text are one document and get its result each; rows that share only the doc_id are ordered by a hash of
