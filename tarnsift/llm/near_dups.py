@@ -7,10 +7,11 @@ probability, concentrated as if bins were independent. With 36 bands of 5 bins a
 band with probability 6e-7.
 
 Equal sets form one class and only its representative goes on. Links: (1) in each bucket of a band everyone is
-checked against the bucket's least member and components are built; (2) buckets that still hold more than one
-component are cut into blocks; members whose sketches allow a link across components are checked against the whole
-block, and a block returns only links that join components. Every check is exact, on the full shingle sets; a bucket
-of copies of one text costs one check a member, and no step emits a row for each pair of a bucket.
+checked against the bucket's least member and components are built; (2) in buckets that still hold more than one
+component, only the members outside the largest one are dealt to every block of the bucket; those of it stay in one block.
+Members whose sketches allow a link across components are checked against the whole block, and a block returns only
+links that join components. Every check is exact, on the full shingle sets; a bucket of copies of one text costs one
+check a member, one odd member among them one more row for each block, and no step emits a row for each pair of a bucket.
 """
 
 from __future__ import annotations
@@ -22,24 +23,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import WordHashes, in_chunks, mix64, repeats, stored, table, unused
+from tarnsift.llm.common import WordHashes, hashed_words, in_chunks, mix64, repeats, stored, table, unused
 from tarnsift.llm.graph import components
 from tarnsift.llm.substrings import _grams, _runs
 
 BANDS, ROWS = 36, 5
-#: Members of a bucket that are compared with one another in one go.
-BLOCK = 1024
-#: Text bytes that are signed at once; their shingles take about forty times as much memory meanwhile.
+#: Members of a bucket, and their shingles, that are compared with one another in one go.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Members that one copy of a bucket's least text is joined with.
+HUB = 4096
+#: Text bytes that are signed at once; their shingles take about forty times as much memory meanwhile. A longer text is
+#: signed alone, from 8 bytes for each of its words.
 SIGNED_BYTES = 3 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingle_set(text: str | None, width: int, words: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; A-Z lower-cased, words cut at ASCII white space."""
-    tokens = (text or "").encode("utf-8").lower().split()
-    if not tokens:
+    tokens = hashed_words(text, words, lower=True)
+    if not len(tokens):
         return np.empty(0, np.uint64)
-    return np.unique(_grams(words.of(tokens), min(width, len(tokens))))
+    return np.unique(_grams(tokens, min(width, len(tokens))))
 
 
 def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
@@ -93,9 +97,11 @@ def _confirm(batches, width: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    half = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = half.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(lambda it: _confirm(it, width, percent), "a long, b long")
+    """pairs: a, b, members of their bucket. The least text of a large bucket is a key of many rows: it is dealt in salted copies."""
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / HUB)).alias("salt"))
+    least = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    half = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return half.join(least, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInPandas(lambda it: _confirm(it, width, percent), "a long, b long")
 
 
 def _cells(pdf: pd.DataFrame):
@@ -114,7 +120,7 @@ def _worth_checking(batches, bands: int, rows: int, percent: int, floor: int):
         wanted = np.zeros(len(pdf), bool)
         for s, e in _cells(pdf):
             ids = np.arange(s, e)
-            lefts, rights = (ids, ids) if same[s] else (ids[side[s:e] == 0], ids[side[s:e] == 1])
+            lefts, rights = (ids, ids) if same[s] else sorted((ids[side[s:e] == 0], ids[side[s:e] == 1]), key=len)
             for i in lefts:
                 others = rights[comp[rights] != comp[i]]
                 big, small = np.maximum(size[others], size[i]), np.minimum(size[others], size[i])
@@ -183,24 +189,34 @@ def _grouped(docs: DataFrame, odd: bool, width: int, percent: int, bands: int, r
     buckets = banded.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1")
     members = stored(banded.join(buckets, "band").select("band", "band_no", "node", "a", "members"), "members")
 
-    pairs = stored(members.where("node > a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    pairs = stored(members.where("node > a").groupBy("a", F.col("node").alias("b")).agg(F.max("members").alias("members")), "pairs")
     named = members.select("node").distinct()
     texts = stored(keyed.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"]) if odd else keyed.select("node", "text").join(named, "node", "left_semi"), "texts")
     links = stored(_confirmed(pairs, texts, width, percent), "links")
     roots = components(links)
 
     # what is left: buckets that hold several components
-    labelled = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "a")
+    labelled = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "a", "members")
     several = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    held = stored(labelled.join(several, "band", "left_semi").join(classes.select("node", "n_shingles", "sketch"), "node"), "held")
     share = 1 - (100 - percent) / 100
     floor = max(rows, math.floor(bins * share - 6.5 * math.sqrt(bins * share * (1 - share))))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    spread = (
-        labelled.join(several, "band", "left_semi").join(classes.select("node", "n_shingles", "sketch"), "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("node", "comp", "n_shingles", "sketch", "band_no", (F.col("own") == F.col("other")).alias("same"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
-                F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    of_comp = held.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    largest = F.max(F.struct("n", "s", "comp"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    bands_ = of_comp.groupBy("band").agg(largest.alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).select(
+        "band", F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.s")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("others")
+    )
+    placed = held.join(bands_, "band").withColumn("odd", F.col("comp") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("odd"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
+    # an odd member meets every block of the largest component (kind 0) and every block of odd ones (kind 1)
+    meet = lambda kind, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("block")))
+    dealt = placed.withColumn("other", F.explode(F.when(F.col("odd"), F.concat(meet(0, F.col("mains")), meet(1, F.col("others")))).otherwise(meet(0, F.col("others")))))
+    kind, block = F.col("other.kind"), F.col("other.block")
+    first = F.when(kind == 0, F.when(F.col("odd"), block).otherwise(F.col("own"))).otherwise(F.least("own", block))
+    second = F.when(kind == 0, F.when(F.col("odd"), F.col("own")).otherwise(block)).otherwise(F.greatest("own", block))
+    spread = dealt.select(
+        "node", "comp", "n_shingles", "sketch", "band_no", ((kind == 1) & (F.col("own") == block)).alias("same"),
+        F.when(kind == 0, F.col("odd").cast("int")).otherwise((F.col("own") > block).cast("int")).alias("side"), F.xxhash64("band", kind, first, second).alias("cell"),
     )
     worth = spread.repartition("cell").sortWithinPartitions("cell").mapInPandas(lambda it: _worth_checking(it, bands, rows, percent, floor), "cell long, node long, comp long")
     with_text = worth.join(texts, "node").repartition("cell").sortWithinPartitions("cell", "node")
