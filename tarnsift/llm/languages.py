@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tarnsift.llm.common import in_chunks, table
 
 GRAM_BITS = 14
+#: Most languages that a model is fitted for.
+LANGUAGES = 1000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -52,7 +54,7 @@ def codewords(n: int) -> np.ndarray:
 def _count(batches, known: list[str], bits: int):
     total = np.zeros((len(known), 1 << bits), np.int64)
     row = {x: i for i, x in enumerate(known)}
-    for pdf in batches:
+    for pdf in in_chunks(batches):
         for lang, text in zip(pdf["lang"], pdf["text"]):
             norm = letters(text)
             if norm:
@@ -90,10 +92,12 @@ class Codes:
 
 
 def learn(labelled: DataFrame, bits: int = GRAM_BITS) -> Codes | None:
-    """Codes from rows with text and lang (nulls are passed over); None if there are none. Languages are few: a row for
-    each comes to the driver, and languages x grams counts."""
+    """Codes from rows with text and lang (nulls are passed over); None if there are none. A row for each language comes to the
+    driver, and languages x grams counts; more than LANGUAGES values of lang are refused, as they cannot be languages."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    known = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    known = sorted(r[0] for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(known) > LANGUAGES:
+        raise ValueError(f"lang holds more than {LANGUAGES} values")
     if not known:
         return None
     counted = rows.mapInPandas(lambda it: _count(it, known, bits), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
@@ -123,9 +127,11 @@ def _predict(batches, codes: Codes | None, bits: int):
 
 
 def identify(docs: DataFrame, codes: Codes | None, bits: int = GRAM_BITS) -> DataFrame:
-    """docs without text, with lang_pred, score (0 to 1) and ambiguous. Null texts and texts without a letter: `und`, 0."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInPandas(lambda it: _predict(it, codes, bits), f"{kept}, lang_pred string, score double, ambiguous boolean")
+    """docs without text, with lang_pred, score (0 to 1) and ambiguous, which replace columns of these names. Null texts and
+    texts without a letter: `und`, 0."""
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("text", "lang_pred", "score", "ambiguous")]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return docs.select("text", *[F.col(f"`{f.name}`") for f in kept]).mapInPandas(lambda it: _predict(it, codes, bits), f"{fields}lang_pred string, score double, ambiguous boolean")
 
 
 def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
