@@ -14,7 +14,7 @@ from tarnsift.llm.common import shared_lines
 from tarnsift.llm.pages import blocks, extract, main_text
 from tarnsift.llm import topk
 from tarnsift.llm.topk import pivot_vectors, distances, places, share_evaluated, top_k, whole_vectors
-from tarnsift.llm.toxicity import fit, label_model, score
+from tarnsift.llm.toxicity import LabelModel, Model, fit, label_model, score
 
 
 def test_top_k_with_ties_nulls_and_repeats(spark):
@@ -200,12 +200,49 @@ def test_toxicity_learns_words_and_leaves_others(spark):
     assert fit(docs, labels.where("toxic = 0")).score(np.zeros((1, 8)))[0] == 0.0 and score(docs.limit(0), model, "s").count() == 0
 
 
-def test_label_model_trusts_good_voters():
+def test_label_model_finds_the_classes_from_votes_alone():
     rng = np.random.default_rng(0)
-    y = rng.random(2000) < 0.3
-    good, noise = np.where(rng.random(2000) < 0.95, y, ~y), rng.random(2000) < 0.5
-    posterior, weight = label_model(np.stack([good, good, noise], axis=1).astype(float), np.where(rng.random(2000) < 0.97, y, ~y).astype(int))
-    assert ((posterior > 0.5) == y).mean() > 0.93 and weight[0] < weight[2]
+    n = 8000
+    y = rng.random(n) < 0.3
+    vote = lambda hit, miss: np.where(y, rng.random(n) < hit, rng.random(n) < miss)
+    v = [vote(0.9, 0.04), vote(0.8, 0.02), vote(0.7, 0.05), vote(0.75, 0.03), vote(0.6, 0.02), vote(0.3, 0.3)]
+    v.insert(3, np.where(rng.random(n) < 0.97, v[2], ~v[2]))
+    votes = np.stack(v, axis=1).astype(float)
+    model = label_model(votes, 0.3)
+    assert {frozenset((j, int(p))) for j, p in enumerate(model.parent) if p != j} == {frozenset((2, 3))}
+    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.98
+    alone = [0, 1, 4, 5, 6]
+    assert np.allclose(model.rates[1, 0, alone], [0.9, 0.8, 0.75, 0.6, 0.3], atol=0.04) and np.allclose(model.rates[0, 0, alone], [0.04, 0.02, 0.03, 0.02, 0.3], atol=0.04)
+    many = label_model(votes[:, [2, 2, 2, 2, 0, 1, 4, 5]], 0.3)  # one voter four times counts about once
+    once = label_model(votes[:, [2, 0, 1, 4, 5]], 0.3)
+    assert abs(once.posterior(np.array([[1.0, 0, 0, 0, 0]])) - many.posterior(np.array([[1.0, 1, 1, 1, 0, 0, 0, 0]])))[0] < 0.05
+
+
+def test_posteriors_by_enumerating_all_votes():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    parent = np.array([0, 0, 1, 3])
+    rates = rng.uniform(0.05, 0.95, (2, 2, 4))
+    rates[:, 1, [0, 3]] = rates[:, 0, [0, 3]]
+    model = LabelModel(0.2, parent, rates)
+    joint = {}
+    for v in product((0, 1), repeat=4):
+        for y in (0, 1):
+            p = model.share if y else 1 - model.share
+            for j in range(4):
+                r = rates[y, v[parent[j]] if parent[j] != j else 0, j]
+                p *= r if v[j] else 1 - r
+            joint[v, y] = p
+    assert abs(sum(joint.values()) - 1) < 1e-9
+    for v in product((0, 1), repeat=4):
+        assert abs(model.posterior(np.array([v], float))[0] - joint[v, 1] / (joint[v, 0] + joint[v, 1])) < 1e-9
+
+
+def test_scores_replace_a_column_of_their_name_and_leave_texts_behind(spark):
+    docs = spark.createDataFrame([(1, "x", "clash"), (2, None, "clash")], "doc_id long, text string, Score string")
+    got = score(docs, Model([], None, (1.0, 0.0), 0.25), text=False)
+    assert got.columns == ["doc_id", "score"] and {r["score"] for r in got.collect()} == {0.25}
 
 
 def test_pipeline_end_to_end(spark, tmp_path):

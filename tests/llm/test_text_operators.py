@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from tarnsift.llm.fingerprints import differing, edited_fingerprints, fingerprint, likeness
 from tarnsift.llm.graph import components
 from tarnsift.llm.languages import codewords, identify, learn
+from tarnsift.llm import mixing, near_dups
 from tarnsift.llm.mixing import mix, mixed, sized
 from tarnsift.llm.near_dups import keep_one, near_duplicates, sketches
 from tarnsift.llm.packing import best_fit, pack_documents, pieces
-from tarnsift.llm.substrings import remove_repeats, without_repeats
+from tarnsift.llm.substrings import _runs, parse, remove_repeats, without_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, node string, copies int"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -87,6 +88,23 @@ def test_near_duplicates(docs, width):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_buckets_of_several_components_are_searched_whole(spark, monkeypatch):
+    """Texts that share most bins but link only along a chain, in blocks of a few members."""
+    monkeypatch.setattr(near_dups, "BLOCK", 3)
+    monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(near_dups, "HUB", 2)
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    items = []
+    for i in range(60):
+        words = list(base)
+        for at in r.sample(range(120), r.choice([3, 8, 11, 14, 20])):
+            words[at] = f"x{r.randrange(40)}"
+        items.append((i, " ".join(words)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates(spark.createDataFrame(items, "doc_id long, text string"), 2).collect()}
+    assert got == brute_groups(items, 2) and 2 < len({c for _, c in got.values()}) < 60
+
+
 def test_near_duplicates_of_nothing_and_of_odd_ids(spark, empty, docs):
     assert near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "other words here"), (None, "A b c"), (2, None), (None, None)], "doc_id long, text string")
@@ -127,11 +145,57 @@ def test_substrings(docs, empty):
     found = remove_repeats(docs).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == want
     assert all(sum(r["factor_lengths"]) == r["n_removed"] for r in found)
+    assert check_factors(rows(docs), found) > 10
     cut = without_repeats(docs)
     assert cut.columns == docs.columns and cut.where("n_chars <> char_length(text)").count() == 0
     assert remove_repeats(empty).count() == 0
 
 
+def check_factors(items, found, window=20):
+    """Factors are copies of earlier text, do not overlap, and end where their source stops going on; returns their number."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in items}
+    n = 0
+    for r in found:
+        own, end = words[r["doc_id"]], 0
+        for start, length, d, pos in zip(r["factor_starts"], r["factor_lengths"], r["source_ids"], r["source_starts"]):
+            assert start >= end and length > 0 and (d, pos) < (r["doc_id"], start) and own[start : start + length] == words[d][pos : pos + length]
+            end, n = start + length, n + 1
+    return n
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_parsing_of_texts_made_of_shared_passages(spark, seed):
+    """Adjacent, overlapping and self-repeating copies, over several mappers."""
+    r = random.Random(seed)
+    passages = [[f"p{r.randrange(30)}" for _ in range(r.randint(15, 70))] for _ in range(8)]
+    items = []
+    for i in range(60):
+        text = []
+        for _ in range(r.randint(0, 5)):
+            p = r.choice(passages)
+            at = r.randint(0, 12)
+            text += p[at : len(p) - r.randint(0, 12)] if r.random() < 0.7 else [f"u{r.randrange(9999)}" for _ in range(r.randint(1, 9))]
+        items.append((i, " ".join(text)))
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(6, "text")
+    found = remove_repeats(df).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in found} == brute_removed(items)
+    assert check_factors(items, found) > 60
+
+
+def test_greedy_parse_merges_what_goes_on_and_cuts_at_the_end_of_a_source():
+    got = [x.tolist() for x in parse(np.array([12, 0, 5, 40]), np.array([3, 5, 4, 1]), np.array([1, 9, 9, 7]), np.array([50, 100, 105, 0]))]
+    assert got == [[0, 28, 40], [28, 6, 20], [9, 1, 7], [100, 66, 0]]
+
+
+def test_runs_are_regrouped_over_many_batches():
+    import pandas as pd
+
+    keys = [1, 1, 2] + [3] * 40 + [4, 5, 5]
+    made = [pd.DataFrame({"k": keys[i : i + 3]}) for i in range(0, len(keys), 3)]
+    got = [x["k"].tolist() for x in _runs(iter(made), "k")]
+    assert sum(got, []) == keys and all(a[-1] != b[0] for a, b in zip(got, got[1:])) and [x.count(3) for x in got if 3 in x] == [40]
+
+
 def test_substrings_of_repeated_rows(spark):
     t = " ".join(f"v{i}" for i in range(25))
     got = remove_repeats(spark.createDataFrame([(5, t), (5, t), (None, t)], "doc_id long, text string"))
@@ -164,6 +228,19 @@ def test_mixing_meets_targets(docs, empty):
     assert copies == collections.Counter({r["doc_id"]: r["taken"] // r["size"] for r in out if r["taken"]})
 
 
+def test_mixing_carries_through_many_sizes_and_keeps_names_that_clash(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 16)
+    r = random.Random(6)
+    names = ("n", "k", "rank", "cell", "spot", "ahead", "row", "in_cell")
+    items = [(i if i % 9 else None, "ab"[i % 3 > 0], r.choice([0, r.randint(1, 400)]), *range(8)) for i in range(900)]
+    docs = spark.createDataFrame(items, "doc_id long, source string, size long, " + ", ".join(f"{n} int" for n in names)).withColumn("target", F.lit("gone"))
+    out = mix(docs, weights=(3, 2), share=0.8).collect()
+    assert len(out) == 900 and all(x["rank"] == 2 and x["row"] == 6 and x["taken"] in (0, x["size"], 2 * x["size"]) for x in out)
+    for s in "ab":
+        own = [x for x in out if x["source"] == s]
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 2
+
+
 def test_mixing_of_repeated_ids(spark):
     same = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (2, None, None)], "doc_id long, text string, source string")
     assert mixed(same).count() == 3 and mixed(same).columns == same.columns
@@ -266,8 +343,50 @@ def test_languages(spark, empty):
     got = identify(test, codes).collect()
     assert all(x["lang_pred"] == x["want"] and 0 <= x["score"] <= 1 for x in got)
     assert learn(empty.withColumn("lang", F.lit("en"))) is None and identify(test, None).first()["lang_pred"] == "und"
+    clash = identify(test.withColumn("Score", F.lit("x")).withColumn("ambiguous", F.lit(3)), codes)
+    assert clash.columns == ["want", "lang_pred", "score", "ambiguous"] and clash.count() == 18
     one = learn(train.where("lang = 'fr'"))
     assert identify(test.limit(1), one).first()["lang_pred"] == "fr"
     for n in (2, 4, 7, 30):
         c = codewords(n)
         assert len({tuple(x) for x in c}) == n
+
+
+def test_languages_against_brute_force_over_grams():
+    """The learned weights, margins and losses, from plain dictionaries of byte grams."""
+    import math
+
+    from tarnsift.llm.languages import Codes, gram_counts, letters
+
+    r = random.Random(4)
+    words = {"a": ["ala", "bel", "cor"], "b": ["dun", "ell", "fir"], "c": ["gor", "hal", "ber"]}
+    make = lambda lang: " ".join(r.choices(words[lang], k=12))
+    train = [(make(x), x) for x in words for _ in range(6)]
+
+    def grams(text):
+        b = letters(text)
+        place = lambda g: (((g[0] * 257 + g[1]) if len(g) == 2 else ((g[0] * 257 + g[1]) * 257 + g[2] + (1 << 26))) % 2**32 * 2654435769 % 2**32) >> 18
+        return collections.Counter(place(b[i : i + n]) for n in (2, 3) for i in range(len(b) - n + 1))
+
+    total = {x: sum((grams(t) for t, lang in train if lang == x), collections.Counter()) for x in words}
+    counts = np.zeros((3, 1 << 14))
+    for t, lang in train:
+        counts[sorted(words).index(lang)] += gram_counts(letters(t))
+    codes = Codes(sorted(words), counts)
+    share = {x: {g: (total[x][g] + 0.5) / (sum(total[x].values()) + 0.5 * (1 << 14)) for g in range(1 << 14)} for x in words}
+    for x in words:
+        text = make(x)
+        own = grams(text)
+        loss = {lang: 0.0 for lang in words}
+        for j in range(codes.words.shape[1]):
+            side = lambda g, s: np.mean([share[y][g] for y, c in zip(sorted(words), codes.words[:, j]) if c == s])  # noqa: E731,B023
+            odds = {g: math.log(side(g, 1)) - math.log(side(g, -1)) for g in range(1 << 14)}
+            held = {y: sum(share[y][g] * odds[g] for g in odds) * c for y, c in zip(sorted(words), codes.words[:, j])}
+            scale = np.mean([abs(h) for h in held.values()])
+            margin = sum(n * odds[g] for g, n in own.items()) / sum(own.values()) / scale
+            trust = max(min(held.values()) / scale, 0.05)
+            for y, c in zip(sorted(words), codes.words[:, j]):
+                loss[y] += trust * math.log1p(math.exp(-margin * c))
+        n = gram_counts(letters(text))
+        best, p, _ = codes.decode((n @ codes.weights / n.sum())[None, :].astype(float), np.array([n.sum()]))
+        assert sorted(words)[best[0]] == min(loss, key=loss.get) == x and p[0] > 0.5
