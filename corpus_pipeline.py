@@ -23,8 +23,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least id."""
-    return keep_one(docs)
+    """One document of each near-duplicate group stays, the one with the least id; near duplicates are those of op1, on 2-word
+    shingles."""
+    return keep_one(docs, width=2)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
