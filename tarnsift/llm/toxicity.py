@@ -1,17 +1,20 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posteriors.
 
-Voters are (a) terms - whole words, word beginnings, beginnings of two words - mined from labelled training rows, each voting "toxic" where
-it stands, and (b) patterns (shouting, exclamation runs, second-person abuse, dense hits) and their absence. A latent
-class model with a vote rate for each voter and class is fitted by EM; a training row's label takes part as one more
-voter of fixed accuracy. Correlations that remain between voters inside a class lower their weights, then EM runs
-again. A logistic classifier is trained on the posteriors and its scores are brought to the scale of the training
-labels by a two-parameter fit, so 0.3 reads as a probability.
+Terms - whole words, word beginnings, beginnings of two words - are mined from labelled training rows and dealt into
+LEXICONS lexicons by a hash, so that each has terms of every language and form. Voters are the lexicons, each voting
+"toxic" where one of its terms stands, and patterns that need no term (shouting, exclamation runs). A generative model
+says how a class makes votes: each voter has, in each class, a vote rate (its accuracy) that depends on the vote of at
+most one other voter, the one it is most correlated with beyond what the class explains. Rates and the tree of
+dependencies are estimated from the votes of labelled and unlabelled rows alone; labels choose the terms, set the share
+of the toxic class and bring scores to their scale at the end. A linear classifier on the counts of single terms is
+trained on the posteriors, so 0.3 reads as a probability.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,17 +24,19 @@ from pyspark.sql import functions as F
 
 from tarnsift.llm.common import in_chunks, stored, table, unit_hash, unused
 
-#: Labelled rows that the model is fitted on, about; with more, rows are taken by a hash of their id.
-TRAINING_ROWS = 8000
+#: Labelled rows that the model is fitted on, about, and unlabelled ones whose votes take part; rows are taken by a hash of their id.
+TRAINING_ROWS, UNLABELLED_ROWS = 8000, 8000
 #: Terms that may become voters.
 TERMS = 240
 PREFIXES = (3, 4, 5, 6, 7, 8)
-GOLD = 0.95
 
 LETTERS = re.compile(r"[^\W\d_]+")
-SHOUT = re.compile(r"[^\W\d_a-z]{6,}")
-ABUSE = re.compile(r"\byou(?:'re| are)? (?:all |such |a |an |the )*(?:\w+ )?(?:idiots?|fools?|morons?|losers?|trash|scum|pathetic|stupid|worthless|disgusting)\b", re.I)
-PATTERNS = ("shouting", "exclamations", "second_person", "any_term", "two_terms", "dense", "very_dense", "no_term")
+SHOUT = re.compile(r"[^\W\d_a-zß-öø-ÿ]{6,}")
+#: Lexicons that terms are dealt into.
+LEXICONS = 16
+#: The first two vote; the others sum up the terms' hits and are for the classifier alone.
+PATTERNS = ("shouting", "exclamations", "any_term", "two_terms", "dense", "very_dense", "no_term")
+VOTING = 2
 
 
 def terms_of(text: str | None) -> set[str]:
@@ -49,7 +54,7 @@ def terms_of(text: str | None) -> set[str]:
 
 
 def _doc_terms(batches):
-    for pdf in batches:
+    for pdf in in_chunks(batches):
         for toxic, text in zip(pdf["toxic"], pdf["text"]):
             t = list(terms_of(text))
             if t:
@@ -85,7 +90,7 @@ class Voters:
             self.find.make_automaton()
 
     def features(self, text: str | None) -> np.ndarray:
-        """Votes of all terms (counts), then of the patterns (0 or 1)."""
+        """Hits of all terms (counts), then of the patterns (0 or 1)."""
         text = text or ""
         low = text.lower()
         hits = np.zeros(len(self.terms) + len(PATTERNS), np.float32)
@@ -103,7 +108,7 @@ class Voters:
         total = self._words(hits)
         words = 1 + low.count(" ") + low.count("\n")
         share = 100 * total / words
-        hits[len(self.terms) :] = (len(SHOUT.findall(text)) >= 3, text.count("!!") >= 3, ABUSE.search(text) is not None, total >= 1, total >= 2, share >= 0.5 and total >= 2, share >= 1.5 and total >= 2, total == 0)
+        hits[len(self.terms) :] = (sum(map(str.isupper, SHOUT.findall(text))) >= 3, text.count("!!") >= 3, total >= 1, total >= 2, share >= 0.5 and total >= 2, share >= 1.5 and total >= 2, total == 0)
         return hits
 
     def _words(self, hits: np.ndarray) -> float:
@@ -115,31 +120,100 @@ class Voters:
         return sum(best.values())
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of toxic, weight of each voter) from 0/1 votes and labels. Two passes of EM: as if voters were independent,
-    then with weights 1 / (1 + sum of their correlations that the classes leave unexplained)."""
-    n, m = votes.shape
-    offset = np.where(gold == 1, 1.0, -1.0) * np.log(GOLD / (1 - GOLD))
-    weight = np.ones(m)
-    posterior = np.clip(1 / (1 + np.exp(-offset)), 0.02, 0.98)
-    for step in range(2):
-        for _ in range(rounds):
-            prior = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
-            rate1 = (posterior @ votes + 0.5) / (posterior.sum() + 1)
-            rate0 = ((1 - posterior) @ votes + 0.5) / ((1 - posterior).sum() + 1)
-            odds = votes @ (weight * (np.log(rate1) - np.log(rate0))) + (1 - votes) @ (weight * (np.log1p(-rate1) - np.log1p(-rate0)))
-            new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + odds + offset, -30, 30)))
-            done = np.abs(new - posterior).max() < 1e-6
-            posterior = new
-            if done:
-                break
-        if step == 0:
-            rest = votes - (posterior[:, None] * rate1 + (1 - posterior)[:, None] * rate0)
-            spread = np.sqrt((rest * rest).mean(axis=0)) + 1e-9
-            corr = np.abs(rest.T @ rest / n / spread[:, None] / spread)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
-    return posterior, weight
+def votes_of(hits: np.ndarray, terms: list[str]) -> np.ndarray:
+    """A vote of each lexicon and of the patterns that vote, from the hits of terms and patterns."""
+    lexicon = np.array([zlib.crc32(t.encode()) % LEXICONS for t in terms], dtype=np.int64)
+    by_lexicon = [(hits[:, : len(terms)][:, lexicon == k] > 0).any(axis=1) for k in range(LEXICONS)]
+    return np.column_stack([*by_lexicon, hits[:, len(terms) : len(terms) + VOTING] > 0]).astype(float)
+
+
+class LabelModel:
+    """share: of the toxic class; parent: of each voter, or itself if none; rates[y, u, j]: how often voter j votes in class y
+    when its parent votes u (the same for both u without a parent)."""
+
+    def __init__(self, share: float, parent: np.ndarray, rates: np.ndarray):
+        self.share, self.parent, self.rates = share, parent, rates
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        above = votes[:, self.parent]
+        odds = np.full(len(votes), np.log(self.share) - np.log1p(-self.share))
+        for u in (0, 1):
+            yes, no = np.log(self.rates[1, u] / self.rates[0, u]), np.log((1 - self.rates[1, u]) / (1 - self.rates[0, u]))
+            odds += ((above == u) * (votes * yes + (1 - votes) * no)).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def _rates(votes: np.ndarray, above: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Vote rates by class and parent's vote, each drawn by two rows' weight towards the rate of the class alone."""
+    out = np.empty((2, 2, votes.shape[1]))
+    for y in (0, 1):
+        w = classes[:, y]
+        plain = (w @ votes + 0.01) / (w.sum() + 0.02)
+        for u in (0, 1):
+            there = w[:, None] * (above == u)
+            out[y, u] = (np.einsum("ij,ij->j", there, votes) + 2 * plain) / (there.sum(axis=0) + 2)
+    return out
+
+
+def _from_moments(rows: np.ndarray, count: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vote rates by class, correlations that the class leaves unexplained), from how often pairs of voters agree: apart from
+    dependent pairs, correlations are the product of what each voter has with the class. The product is fitted to all pairs
+    by least absolute deviations, which the few dependent pairs do not move; pairs that nearly always agree (0.8 and more), as
+    a word and its beginning do, are dependent to begin with. Voters are taken to be better than chance."""
+    w = count / count.sum()
+    mean = w @ rows
+    sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+    corr = ((rows * w[:, None]).T @ rows - np.outer(mean, mean)) / np.outer(sd, sd)
+    off = ~np.eye(len(mean), dtype=bool)
+    with_class = np.sqrt(np.clip(np.where(off, corr, 0).sum(axis=1) / max(len(mean) - 1, 1), 1e-3, 0.9))
+    for _ in range(100):
+        weight = (off & (corr < 0.8)) / (np.abs(corr - np.outer(with_class, with_class)) + 0.01)
+        fitted = (weight * corr) @ with_class / np.maximum(weight @ (with_class * with_class), 1e-9)
+        with_class = 0.5 * with_class + 0.5 * np.clip(fitted, 1e-3, 0.98)
+    apart = with_class * sd / np.sqrt(share * (1 - share))
+    rates = np.clip(np.stack([mean - share * apart, mean + (1 - share) * apart]), 1e-4, 1 - 1e-4)
+    return rates, np.where(off, np.abs(corr - np.outer(with_class, with_class)), 0)
+
+
+def _dependencies(rest: np.ndarray, least: float) -> np.ndarray:
+    """The parent of each voter, or itself: the tree of greatest correlation left, without the branches under `least`."""
+    m = len(rest)
+    parent, best, at, out = np.arange(m), np.full(m, -np.inf), np.zeros(m, np.int64), np.zeros(m, bool)
+    j = 0
+    for _ in range(m - 1):
+        out[j] = True
+        nearer = rest[j] > best
+        best[nearer], at[nearer] = rest[j][nearer], j
+        j = int(np.where(out, -np.inf, best).argmax())
+        if best[j] >= least:
+            parent[j] = at[j]
+    return parent
+
+
+def label_model(votes: np.ndarray, share: float, rounds: int = 40, least: float = 0.1) -> LabelModel:
+    """The generative model of 0/1 votes, without labels: the tree of dependencies, and rates to begin with, from the moments of
+    pairs of voters; then EM for the rates along the tree. Pairs depend if at least `least`, and five standard errors, of
+    their correlation is left."""
+    rows, count = np.unique(votes, axis=0, return_counts=True)
+    share = min(max(share, 1e-4), 1 - 1e-4)
+    own = np.arange(votes.shape[1])
+    rates, rest = _from_moments(rows, count, share)
+    parent = _dependencies(rest, max(least, 5 / math.sqrt(len(votes))))
+    alone = parent == own
+    above = np.where(alone, 0, rows[:, parent])
+    # to begin with, only the voters that follow no other
+    posterior = LabelModel(share, np.arange(alone.sum()), np.repeat(rates[:, None, alone], 2, axis=1)).posterior(rows[:, alone])
+    model = None
+    for _ in range(rounds):
+        rates = _rates(rows, above, np.stack([(1 - posterior) * count, posterior * count], axis=1))
+        rates[:, 1, alone] = rates[:, 0, alone]
+        model = LabelModel(share, parent, np.clip(rates, 1e-5, 1 - 1e-5))
+        new = model.posterior(rows)
+        done = np.abs(new - posterior).max() < 1e-6
+        posterior = new
+        if done:
+            break
+    return model
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2, rounds: int = 50) -> np.ndarray:
@@ -170,45 +244,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * z + self.scale[1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS, most_unlabelled: int = UNLABELLED_ROWS) -> Model:
     """labels: doc_id, toxic of the rows to learn from (one row for a doc_id counts, nulls are passed over). Without labels
     of both kinds the score is the labels' share of toxic, or 0."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = own.count()
     taken = own.where(unit_hash("doc_id", F.lit("fit")) < F.lit(most_rows / max(n, 1))).limit(2 * most_rows)
-    training = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "training")
-    share = training.agg(F.avg("toxic")).first()[0]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    some = unit_hash("doc_id", F.lit("unlabelled")) < F.lit(most_unlabelled / max(docs.count(), 1))
+    seen = texts.join(F.broadcast(taken), "doc_id", "left").where(F.col("toxic").isNotNull() | some)
+    training = stored(seen.groupBy("text").agg(F.max("toxic").alias("toxic")), "training")
+    labelled = training.where("toxic is not null")
+    share = labelled.agg(F.avg("toxic")).first()[0]
     if not share or share == 1:
         return Model([], None, (1.0, 0.0), float(share or 0.0))
-    terms = mine_terms(training)
+    terms = mine_terms(labelled)
 
     def rows(batches):
         voters = Voters(terms)
-        for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "hits": [voters.features(t).tolist() for t in pdf["text"]]})
-
-    seen = training.mapInPandas(rows, "toxic int, hits array<float>").toPandas()  # bounded by the training rows
-    order = seen.assign(key=seen["hits"].map(tuple)).sort_values(["toxic", "key"], kind="stable").index  # sums don't depend on the tasks' order
-    hits, gold = np.stack(seen["hits"].loc[order].to_numpy()).astype(float), seen["toxic"].loc[order].to_numpy()
-    posterior, weight = label_model((hits > 0).astype(float), gold)
+        for pdf in in_chunks(batches):
+            yield pd.DataFrame({"toxic": pdf["toxic"].astype("Int32"), "hits": [voters.features(t).tolist() for t in pdf["text"]]})
+
+    # bounded by the two numbers of training rows; in one order, so that sums don't depend on the tasks' order
+    voted = training.mapInPandas(rows, "toxic int, hits array<float>").groupBy("toxic", "hits").agg(F.count("*").alias("n")).orderBy("hits", "toxic").toPandas()
+    voted = voted.loc[voted.index.repeat(voted["n"])]
+    hits, gold = np.stack(voted["hits"].to_numpy()).astype(float), voted["toxic"].to_numpy(dtype=float, na_value=np.nan)
+    votes = votes_of(hits, terms)
+    posterior = label_model(votes, float(share)).posterior(votes)
     x = np.log1p(hits)
     b = logistic(x, posterior, l2=np.where(np.arange(x.shape[1]) < len(terms), 20.0, 0.5))  # single terms add to what the patterns say
-    z = x @ b[:-1] + b[-1]
-    slope, offset = logistic(z[:, None], gold.astype(float), l2=1e-2)
+    known = ~np.isnan(gold)
+    slope, offset = logistic((x @ b[:-1] + b[-1])[known, None], gold[known], l2=1e-2)
     return Model(terms, b, (max(float(slope), 1e-3), float(offset)), float(share))
 
 
-def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with a score column (0 to 1; null and empty texts like a text without any vote)."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+def score(docs: DataFrame, model: Model, column: str = "score", text: bool = True) -> DataFrame:
+    """docs with a score column (0 to 1; null and empty texts like a text without any vote), which replaces one of that name;
+    without their text, unless it is wanted back from the workers."""
+    kept = [f for f in docs.schema.fields if f.name.lower() != column.lower() and (text or f.name != "text")]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    names = [f.name for f in kept]
 
     def run(batches):
         voters = Voters(model.terms)
         for pdf in in_chunks(batches):
             if len(pdf):
-                yield pdf.assign(**{column: model.score(np.stack([voters.features(t) for t in pdf["text"]]))})
+                yield pdf[names].assign(**{column: model.score(np.stack([voters.features(t) for t in pdf["text"]]))})
 
-    return docs.mapInPandas(run, f"{fields}, `{column}` double")
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, "text"])]).mapInPandas(run, f"{fields}`{column}` double")
 
 
 def _held_out() -> F.Column:
@@ -217,7 +300,7 @@ def _held_out() -> F.Column:
 
 def trained_on(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labels that aren't held out."""
-    return fit(docs, labels.where(~_held_out()))
+    return fit(docs.where(~_held_out()), labels.where(~_held_out()))
 
 
 THRESHOLD = 0.3
@@ -232,5 +315,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = trained_on(docs, table(spark, sf_dir, "labels"))
-    scored = score(docs.select(F.col("doc_id").cast("long"), _held_out().alias("held_out"), "text"), model)
+    scored = score(docs.select(F.col("doc_id").cast("long"), _held_out().alias("held_out"), "text"), model, text=False)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
