@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 64
+#: Buckets that quantiles are taken for, and that hashes are cut into by arithmetic to find places in their order.
+BUCKETS, FINE = 64, 4096
 
 
 def hash_unit(*key: Column | str, seed: int = 42) -> Column:
-    """A number in [0, 1) from a key's text and a seed, the same on any engine that has MD5."""
-    text = F.concat_ws("|", *key, F.lit(str(seed)))
+    """A number in [0, 1) from a key's text and a seed, the same on any engine that has MD5. A null part counts as a text of its own."""
+    parts = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("\u0000")) for k in key]
+    text = F.concat_ws("|", *parts, F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
@@ -24,15 +26,18 @@ def _as_number(df: DataFrame, key: str) -> Column:
     kind = df.schema[key].dataType
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(key).cast("timestamp_ntz")).cast("double")
+    if isinstance(kind, T.StringType):  # the first six bytes: texts in order have numbers in order
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(key), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return F.col(key).cast("double")
 
 
-def with_bucket(df: DataFrame, key: str, cuts=None, name: str = "_bucket") -> DataFrame:
+def with_bucket(df: DataFrame, key: str, cuts=None, name: str = "_bucket", buckets: int | None = None) -> DataFrame:
     """A bucket that never falls as the key rises; equal keys share one, and null keys have the bucket null. cuts: the bounds,
-    or UNIT; else approximate quantiles of the key, BUCKETS numbers that reach the driver. The comparisons are spelled out so
-    that codegen runs them and the key is computed once."""
+    or UNIT (then `buckets` of them, by default four for each shuffle partition); else approximate quantiles of the key,
+    BUCKETS numbers that reach the driver. The comparisons are spelled out so that codegen runs them and the key is computed once."""
     if cuts == UNIT:
-        return df.withColumn(name, F.least(F.floor(F.col(key) * BUCKETS), F.when(F.col(key).isNotNull(), BUCKETS - 1)).cast("int"))
+        n = buckets or max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return df.withColumn(name, F.least(F.floor(F.col(key) * n), F.when(F.col(key).isNotNull(), n - 1)).cast("int"))
     number = df.withColumn("_number", _as_number(df, key))
     if cuts is None:
         found = number.agg(F.percentile_approx("_number", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0]
@@ -64,6 +69,40 @@ def bucketed_rank(df: DataFrame, order: list, by: tuple[str, ...] = (), cuts=Non
     return join_keys(ranked, before, [*by, "_bucket"]).withColumn(out, F.col("_r") + F.col("_ahead")).drop("_k", "_bucket", "_r", "_ahead")
 
 
+def bounds_at(df: DataFrame, order: list[str], wanted: DataFrame, by: tuple[str, ...] = (), cuts=None) -> DataFrame:
+    """by, at, bound: for each row (by, at, rank) of wanted the place in `order` of the row of that rank within `by` (the first key
+    decides the bucket, and null stands last in it). Only rows of the buckets that hold a wanted rank are sorted: a split by
+    position is one comparison of `standing` with a bound, and no whole row of df is shuffled for it."""
+    dealt = with_bucket(df.select(*by, *order), order[0], cuts, buckets=FINE)
+    counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(W.partitionBy(*by).orderBy(F.col("_bucket").asc_nulls_last())))
+    there = join_keys(upto, wanted, list(by)) if by else upto.crossJoin(wanted)
+    there = there.where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n"))).select(*by, "_bucket", "at", (F.col("rank") - F.col("_upto") + F.col("_n")).alias("_r"))
+    here = join_keys(dealt, there.select(*by, "_bucket").distinct(), [*by, "_bucket"], "left_semi").withColumn("bound", standing(order))
+    ranked = here.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("bound"))).select(*by, "_bucket", "_r", "bound")
+    return join_keys(ranked, there, [*by, "_bucket", "_r"]).select(*by, "at", "bound")
+
+
+def standing(order: list[str]) -> Column:
+    """A row's place in an order, as a structure that compares as the order does: rows whose first key is null stand last."""
+    return F.struct(F.col(order[0]).isNull().alias("_none"), *order)
+
+
+#: Groups whose bounds are broadcast to the rows; with more of them the rows are joined by a shuffle.
+FEW = 10_000
+
+
+def met_with(df: DataFrame, small: DataFrame, by: tuple[str, ...], groups: int) -> DataFrame:
+    """df with the columns of small, a table of one row for each of `groups` groups."""
+    return join_keys(df, F.broadcast(small) if groups <= FEW else small, list(by), "left") if by else df.crossJoin(F.broadcast(small))
+
+
+def upto_bounds(df: DataFrame, order: list[str], bounds: DataFrame, places: list[int], by: tuple[str, ...] = (), groups: int = 1) -> DataFrame:
+    """df with _b<at> for each of places: whether the row stands at or before the bound; false where there is none."""
+    wide = bounds.groupBy(*by).agg(*[F.first(F.when(F.col("at") == i, F.col("bound")), ignorenulls=True).alias(f"_b{i}") for i in places])
+    return met_with(df, wide, by, groups).withColumns({f"_b{i}": F.coalesce(standing(order) <= F.col(f"_b{i}"), F.lit(False)) for i in places})
+
+
 def prefix_sums(df: DataFrame, key: str, sums: list[str], by: tuple[str, ...] = (), cuts=None) -> DataFrame:
     """df, whose rows have distinct keys within `by`, with cum_<c>: the sum of c over all rows up to the key. A null key stands last."""
     dealt = with_bucket(df, key, cuts)

@@ -7,29 +7,40 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarnsift.operators.primitives import UNIT, bucketed_rank, hash_unit, join_keys, prefix_sums
+from tarnsift.operators.primitives import UNIT, bounds_at, bucketed_rank, hash_unit, join_keys, met_with, prefix_sums, standing, upto_bounds
+
+
+def _ranks(df: DataFrame, fields: str, rows: list[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, fields)
 
 
 def sample_toward(df: DataFrame, key: list[str], max_rows: int, seed: int = 42, exact: bool = False) -> DataFrame:
-    """All rows if there are no more than max_rows, else the fraction max_rows / n of them by hash; exact: exactly max_rows."""
+    """All rows if there are no more than max_rows, else the fraction max_rows / n of them by hash; exact: exactly max_rows, if
+    keys are unique (rows of one key stay together)."""
     n = df.count()
     if n <= max_rows:
         return df
     if exact:
-        ranked = bucketed_rank(df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key], cuts=UNIT, out="_rank")
-        return ranked.where(F.col("_rank") <= max_rows).drop("_h", "_rank")
+        hashed = df.withColumn("_h", hash_unit(*key, seed=seed))
+        bounds = bounds_at(hashed, ["_h", *key], _ranks(df, "at int, rank long", [(0, max_rows)]), cuts=UNIT)
+        return upto_bounds(hashed, ["_h", *key], bounds, [0]).where("_b0").drop("_h", "_b0")
     return df.where(hash_unit(*key, seed=seed) < max_rows / n)
 
 
 def stratified_split(df: DataFrame, label: str, key: list[str], fracs: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """df with split train/val/test: exact rounded counts inside every class. Raises if a class has fewer than 4 rows."""
+    """df with split train/val/test: exact rounded counts inside every class, if keys are unique (rows of one key stay together).
+    Null is a class; no rows give no rows. Raises if a class has fewer than 4 rows."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    if counts.where("_n < 4").limit(1).count():
+    least, classes = counts.agg(F.min("_n"), F.count("*")).first()
+    if classes and least < 4:
         raise ValueError("a class has fewer than 4 rows")
-    ranked = join_keys(bucketed_rank(df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key], by=(label,), cuts=UNIT, out="_rank"), counts, [label])
-    train, val = F.round(F.col("_n") * fracs[0]), F.round(F.col("_n") * (fracs[0] + fracs[1]))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= val, "val").otherwise("test")).drop("_h", "_rank", "_n")
+    ends = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.round(F.col("_n") * f).cast("long").alias("rank")) for i, f in enumerate((fracs[0], fracs[0] + fracs[1]))]))
+    hashed, order = df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key]
+    bounds = bounds_at(hashed, order, counts.select(label, ends.alias("e")).select(label, "e.at", "e.rank"), (label,), UNIT)
+    met = upto_bounds(hashed, order, bounds, [0, 1], (label,), classes)
+    return met.withColumn("split", F.when(F.col("_b0"), "train").when(F.col("_b1"), "val").otherwise("test")).drop("_h", "_b0", "_b1")
 
 
 def hash_split(df: DataFrame, key: list[str], fracs: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
@@ -67,10 +78,9 @@ def class_complete_group_split(df: DataFrame, group: str, label: str, fractions:
     """fraction, seed, test_rows, size_error, class_error, complete, score for every candidate, best first: sides by a hash of
     the group; complete if every class stands on both sides. Scored on counts of (group, class) in one grouped pass."""
     counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("total"), F.count_distinct(label).alias("classes"))
+    total = df.agg(F.count("*").alias("total"), F.count_distinct(F.struct(label)).alias("classes"))
     spec = df.sparkSession.createDataFrame([(float(f), int(s)) for f in fractions for s in seeds], "fraction double, seed int")
-    text = F.md5(F.concat_ws("|", group, F.col("seed").cast("string")))
-    side = F.conv(F.substring(text, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32)) < F.col("fraction")
+    side = _group_unit(group, F.col("seed")) < F.col("fraction")
     by_class = counts.crossJoin(F.broadcast(spec)).groupBy("fraction", "seed", label).agg(F.sum(F.when(side, F.col("n")).otherwise(0)).alias("test"), F.sum("n").alias("n"))
     scored = by_class.groupBy("fraction", "seed").agg(
         F.sum("test").alias("test_rows"), F.avg(F.abs(F.col("test") / F.col("n") - F.col("fraction"))).alias("class_error"),
@@ -80,6 +90,49 @@ def class_complete_group_split(df: DataFrame, group: str, label: str, fractions:
     return scored.select("fraction", "seed", "test_rows", size_error.alias("size_error"), "class_error", (F.col("both") == F.col("classes")).alias("complete"), (size_error + F.col("class_error")).alias("score")).orderBy(F.col("complete").desc(), "score", "fraction", "seed")
 
 
+def _group_unit(group: str, seed: Column) -> Column:
+    text = F.md5(F.concat_ws("|", F.coalesce(F.col(group).cast("string"), F.lit("\u0000")), seed.cast("string")))
+    return F.conv(F.substring(text, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def best_group_split(df: DataFrame, group: str, label: str, fractions: list[float], seeds: list[int]) -> DataFrame:
+    """df with split train/test by the best complete candidate of class_complete_group_split. Raises if none is complete."""
+    best = class_complete_group_split(df, group, label, fractions, seeds).first()
+    if best is None or not best["complete"]:
+        raise ValueError("no candidate has every class on both sides")
+    return df.withColumn("split", F.when(_group_unit(group, F.lit(best["seed"])) < best["fraction"], "test").otherwise("train"))
+
+
+#: What a search for a three-way split may end with.
+THREE_WAY = ("evaluable", "no_complete_split_found", "too_few_groups")
+
+
+def three_way_search(df: DataFrame, group: str, label: str, seeds: list[int], fracs: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
+    """One row: status, seed (the first, in the given order, that puts every class into train, val and test; null if none does),
+    least_groups (of any class). Groups are dealt by a hash, all seeds are tried on (group, class) in one grouped pass; with
+    fewer than 3 groups in a class none can be complete."""
+    pairs = df.select(group, label).distinct()
+    per = pairs.groupBy(label).agg(F.count("*").alias("groups")).agg(F.min("groups").alias("least_groups"), F.count("*").alias("classes"))
+    spec = df.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(seeds)], "turn int, seed int")
+    h = _group_unit(group, F.col("seed"))
+    part = F.when(h < fracs[0], 0).when(h < fracs[0] + fracs[1], 1).otherwise(2)
+    held = pairs.crossJoin(F.broadcast(spec)).groupBy("turn", "seed", label).agg(F.count_distinct(part).alias("parts"))
+    tried = held.groupBy("turn", "seed").agg(F.count_if(F.col("parts") == 3).alias("complete"))
+    found = tried.crossJoin(per).where(F.col("complete") == F.col("classes")).agg(F.min_by("seed", "turn").alias("seed"))
+    status = F.when(F.coalesce("least_groups", F.lit(0)) < 3, THREE_WAY[2]).when(F.col("seed").isNull(), THREE_WAY[1]).otherwise(THREE_WAY[0])
+    return per.crossJoin(found).select(status.alias("status"), F.when(F.col("least_groups") >= 3, F.col("seed")).alias("seed"), "least_groups")
+
+
+def three_way_split(df: DataFrame, group: str, label: str, seeds: list[int], fracs: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
+    """df with split train/val/test, no group in two parts and every class in all three, by the first seed that gives it. Raises
+    with the search's status if there is none."""
+    found = three_way_search(df, group, label, seeds, fracs).first()
+    if found["status"] != THREE_WAY[0]:
+        raise ValueError(found["status"])
+    h = _group_unit(group, F.lit(found["seed"]))
+    return df.withColumn("split", F.when(h < fracs[0], "train").when(h < fracs[0] + fracs[1], "val").otherwise("test"))
+
+
 def split_status(df: DataFrame, group: str, label: str, least_groups: int = 3) -> DataFrame:
     """label, groups, status: whether every class has enough groups for a class-complete split."""
     per = df.groupBy(label).agg(F.count_distinct(group).alias("groups"))
@@ -105,25 +158,29 @@ def leave_one_class_out(df: DataFrame, family: str, group: str, families: list[s
 
 
 def oversample_minority(df: DataFrame, label: str, key: list[str], seed: int = 42, max_rows: int | None = None) -> DataFrame:
-    """Both classes equal: each minority row stands floor(M/m) times and the M mod m with the least hashes once more.
-    Unchanged if one class is missing, both are equal, or the result would exceed max_rows. Adds copy (0 the row itself)."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    """Both classes (0 and 1) equal: each minority row stands floor(M/m) times and the M mod m with the least hashes once more, if
+    keys are unique. Unchanged if one class is missing, both are equal, or the result would exceed max_rows; rows with another
+    label, or none, are kept as they are. Adds copy (0 the row itself)."""
+    counts = {r[label]: r["n"] for r in df.where(F.col(label).isin(0, 1)).groupBy(label).agg(F.count("*").alias("n")).collect()}
     plain = df.withColumn("copy", F.lit(0))
     if len(counts) < 2 or counts[0] == counts[1] or (max_rows and 2 * max(counts.values()) > max_rows):
         return plain
     minor = min(counts, key=counts.get)
     most, least = max(counts.values()), min(counts.values())
-    small = bucketed_rank(df.where(F.col(label) == minor).withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key], cuts=UNIT, out="_rank")
-    times = F.lit(most // least) + (F.col("_rank") <= most % least).cast("int")
-    more = small.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1))).drop("_h", "_rank")
-    return plain.where(F.col(label) != minor).unionByName(more)
+    small, order = df.where(F.col(label) == minor).withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key]
+    bounds = bounds_at(small, order, _ranks(df, "at int, rank long", [(0, most % least)]), cuts=UNIT)
+    small = upto_bounds(small, order, bounds, [0])
+    times = F.lit(most // least) + F.col("_b0").cast("int")
+    more = small.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1))).drop("_h", "_b0")
+    return plain.where(~F.col(label).eqNullSafe(minor)).unionByName(more)
 
 
 def cap_per_class(df: DataFrame, label: str, key: list[str], max_rows: int, min_rows: int = 0, seed: int = 42) -> DataFrame:
-    """Classes under min_rows go; of larger ones the max_rows rows with the least hashes stay."""
+    """Classes under min_rows go; of larger ones the max_rows rows with the least hashes stay (rows of one key together). Null is a class."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
-    ranked = bucketed_rank(df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key], by=(label,), cuts=UNIT, out="_rank")
-    return join_keys(ranked, counts, [label], "left_semi").where(F.col("_rank") <= max_rows).drop("_h", "_rank")
+    hashed, order = df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key]
+    bounds = bounds_at(hashed, order, counts.select(label, F.lit(0).alias("at"), F.least("_n", F.lit(max_rows)).alias("rank")), (label,), UNIT)
+    return upto_bounds(hashed, order, bounds, [0], (label,), counts.count()).where("_b0").drop("_h", "_b0")
 
 
 def anchor_sample(df: DataFrame, key: list[str], m: int, seed: int = 42) -> DataFrame:
@@ -132,60 +189,81 @@ def anchor_sample(df: DataFrame, key: list[str], m: int, seed: int = 42) -> Data
 
 
 def shard_balanced(df: DataFrame, label: str, key: list[str], n_rsu: int, n_veh: int, seed: int = 42) -> DataFrame:
-    """df with rsu and vehicle: every class dealt evenly over all n_rsu * n_veh clients. Raises with more clients than rows."""
+    """df with rsu and vehicle: every class dealt evenly over all n_rsu * n_veh clients, if keys are unique (rows of one key stay
+    together). Null is a class. Raises with more clients than rows."""
     clients = n_rsu * n_veh
     if df.limit(clients).count() < clients:
         raise ValueError("more shards than rows")
+    hashed, order = df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key]
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    ranked = join_keys(bucketed_rank(df.withColumn("_h", hash_unit(*key, seed=seed)), ["_h", *key], by=(label,), cuts=UNIT, out="_rank"), counts, [label])
-    client = F.floor((F.col("_rank") - 1) * clients / F.col("_n")).cast("int")
-    return ranked.withColumn("rsu", F.floor(client / n_veh).cast("int")).withColumn("vehicle", (client % n_veh).cast("int")).drop("_h", "_rank", "_n")
+    # the last rank of client i is the greatest k with floor((k - 1) * clients / n) <= i
+    ends = F.transform(F.sequence(F.lit(0), F.lit(clients - 2)), lambda i: F.struct(i.alias("at"), F.ceil((i + 1) * F.col("_n") / clients).alias("rank"))) if clients > 1 else F.array().cast("array<struct<at:int,rank:bigint>>")
+    bounds = bounds_at(hashed, order, counts.select(label, F.explode(ends).alias("e")).select(label, "e.at", "e.rank"), (label,), UNIT)
+    lists = bounds.groupBy(label).agg(F.collect_list("bound").alias("_ends"))
+    met = met_with(hashed, lists, (label,), counts.count())
+    client = F.coalesce(F.size(F.filter("_ends", lambda b: b < standing(order))), F.lit(0))
+    return met.withColumn("_client", client).withColumn("rsu", F.floor(F.col("_client") / n_veh).cast("int")).withColumn("vehicle", (F.col("_client") % n_veh).cast("int")).drop("_h", "_ends", "_client")
 
 
-def allocate(total: int, weights: list[float], low: int = 0, high: int | None = None) -> list[int]:
-    """Whole numbers that add up to total, proportional to the weights by largest remainder, within [low, high]."""
+def allocate(total: int, weights: list[float], low: int | list[int] = 0, high: int | list[int] | None = None) -> list[int]:
+    """Whole numbers that add up to total, proportional to the weights by largest remainder, each within its own low and high."""
     n = len(weights)
-    high = total if high is None else high
-    if not n * low <= total <= n * high:
+    lows = [low] * n if isinstance(low, int) else list(low)
+    highs = [total] * n if high is None else [high] * n if isinstance(high, int) else list(high)
+    if not sum(lows) <= total <= sum(highs):
         raise ValueError("bounds cannot hold the total")
-    out, open_ = [low] * n, set(range(n))
+    out = list(lows)
     while (left := total - sum(out)) > 0:
-        open_ = {i for i in open_ if out[i] < high}
-        whole = sum(weights[i] for i in open_) or len(open_)
-        share = {i: left * (weights[i] if sum(weights[j] for j in open_) else 1) / whole for i in open_}
-        step = {i: min(int(share[i]), high - out[i]) for i in open_}
+        open_ = [i for i in range(n) if out[i] < highs[i]]
+        some = any(weights[i] > 0 for i in open_)
+        whole = sum(weights[i] if some else 1 for i in open_)
+        share = {i: left * (weights[i] if some else 1) / whole for i in open_}
+        step = {i: min(int(share[i]), highs[i] - out[i]) for i in open_}
         for i in open_:
             out[i] += step[i]
-        rest = left - sum(step.values())
         if not any(step.values()):
-            for i in sorted(open_, key=lambda i: (int(share[i]) - share[i], i))[:rest]:
+            for i in sorted(open_, key=lambda i: (int(share[i]) - share[i], i))[:left]:
                 out[i] += 1
     return out
 
 
-def shard_skewed(df: DataFrame, label: str, feature: str, key: list[str], n_rsu: int, n_veh: int, alpha: float = 0.5, sigma: float = 0.8, seed: int = 42, max_share: float = 0.6) -> DataFrame:
-    """df with rsu and vehicle: log-normal client sizes, Beta label shares, contiguous bands of one feature inside a class.
-    Every row exactly once, at least one row of each class for every client. Totals are decided per client on the driver."""
+def skew_plan(positives: int, negatives: int, n_rsu: int, n_veh: int, alpha: float = 0.3, sigma: float = 0.9, ratio: float = 10.0, seed: int = 42) -> list[tuple[int, int]]:
+    """(positives, negatives) of each client. Log-normal sizes, clipped to between their tenth percentile and `ratio` times it, add
+    up to all rows; Beta(alpha, alpha) shares of positives, within 0.01 and 0.99, spread the positives in proportion to size and
+    share, at least one row of each class for every client. Draws are this library's own."""
     import random
+    import statistics
 
     clients = n_rsu * n_veh
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    if any(n < clients for n in counts.values()):
+    if min(positives, negatives) < clients:
         raise ValueError("a class has fewer rows than there are clients")
     draw = random.Random(seed)
-    size = [draw.lognormvariate(0, sigma) for _ in range(clients)]
-    share = [draw.betavariate(alpha, alpha) for _ in range(clients)]
-    bands = []
-    for value, n in sorted(counts.items()):
-        weights = [s * (p if value else 1 - p) for s, p in zip(size, share)]
-        at = 0
-        for client, k in enumerate(allocate(n, weights, low=1, high=max(n // clients + 1, int(n * max_share)))):
-            bands.append((value, client, at, at + k))
-            at += k
-    spec = df.sparkSession.createDataFrame(bands, f"{label} {df.schema[label].dataType.simpleString()}, client int, _lo long, _hi long")
+    raw = [draw.lognormvariate(0, sigma) for _ in range(clients)]
+    least = statistics.quantiles(raw, n=10, method="inclusive")[0] if clients > 1 else raw[0]
+    sizes = [2 + k for k in allocate(positives + negatives - 2 * clients, [min(max(x, least), least * ratio) for x in raw])]
+    share = [min(max(draw.betavariate(alpha, alpha), 0.01), 0.99) for _ in range(clients)]
+    pos = allocate(positives, [n * p for n, p in zip(sizes, share)], low=1, high=[n - 1 for n in sizes])
+    return [(p, n - p) for p, n in zip(pos, sizes)]
+
+
+def shard_skewed(df: DataFrame, label: str, feature: str, key: list[str], n_rsu: int, n_veh: int, alpha: float = 0.3, sigma: float = 0.9, ratio: float = 10.0, seed: int = 42) -> DataFrame:
+    """df with rsu and vehicle: skewed sizes, label shares and features. Clients take contiguous bands of the feature inside each
+    class, one vehicle of every rsu after the other, so that each rsu spans the feature's range. Every row exactly once. Totals
+    are decided per client on the driver. Labels are 0 and 1; raises if there are others or none."""
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if not set(counts) <= {0, 1}:
+        raise ValueError("labels other than 0 and 1")
+    plan = skew_plan(counts.get(1, 0), counts.get(0, 0), n_rsu, n_veh, alpha, sigma, ratio, seed)
+    bands, at = [], [0, 0]
+    for vehicle in range(n_veh):
+        for rsu in range(n_rsu):
+            for value, k in zip((1, 0), plan[rsu * n_veh + vehicle]):
+                bands.append((value, rsu, vehicle, at[value], at[value] + k))
+                at[value] += k
+    spec = df.sparkSession.createDataFrame(bands, f"{label} {df.schema[label].dataType.simpleString()}, rsu int, vehicle int, _lo long, _hi long")
     ranked = bucketed_rank(df, [feature, *key], by=(label,), out="_rank")
     placed = ranked.join(F.broadcast(spec), label).where((F.col("_rank") > F.col("_lo")) & (F.col("_rank") <= F.col("_hi")))
-    return placed.withColumn("rsu", F.floor(F.col("client") / n_veh).cast("int")).withColumn("vehicle", (F.col("client") % n_veh).cast("int")).drop("client", "_rank", "_lo", "_hi")
+    return placed.drop("_rank", "_lo", "_hi")
 
 
 def skew_feature(train: DataFrame, cols: list[str]) -> str:
@@ -198,91 +276,124 @@ def skew_feature(train: DataFrame, cols: list[str]) -> str:
 
 
 def boundaries(df: DataFrame, ts: str) -> DataFrame:
-    """ts, n, before: rows at each distinct time and rows earlier; a cut at `before` splits no timestamp."""
+    """ts, n, before: rows at each distinct time and rows earlier; a cut at `before` splits no timestamp. Rows without a time come last."""
     counts = df.groupBy(ts).agg(F.count("*").alias("n"))
     return prefix_sums(counts, ts, ["n"]).select(ts, "n", (F.col("cum_n") - F.col("n")).alias("before"))
 
 
+def _nearest(target: Column, before: Column) -> Column:
+    return F.struct(F.abs(before - target), before)
+
+
 def safe_cut(bounds: DataFrame, target: float, low: int, high: int) -> int | None:
     """The row position in (low, high) nearest to target at which the time changes; the earlier of two as near."""
     near = bounds.where((F.col("before") > low) & (F.col("before") < high))
-    return near.agg(F.min_by("before", F.struct(F.abs(F.col("before") - F.lit(float(target))), F.col("before"))).alias("p")).first()[0]
-
-
-def with_position(df: DataFrame, bounds: DataFrame, ts: str) -> DataFrame:
-    """df with before: rows of earlier time. One value for all rows of a time, so no cut divides them; rows without a time stand last."""
-    return join_keys(df, bounds.select(ts, "before"), [ts])
-
-
-def by_cuts(before: Column, cuts: list[int]) -> Column:
-    """1-based part of a position among ascending cuts."""
-    return reduce(lambda a, c: a + (before >= c).cast("int"), cuts, F.lit(1)).cast("int")
+    return near.agg(F.min_by("before", _nearest(F.lit(float(target)), F.col("before"))).alias("p")).first()[0]
+
+
+def _moment(df: DataFrame, ts: str):
+    """(column -> text, text -> column) by which a time goes to the driver and back without loss."""
+    kind = df.schema[ts].dataType
+    if isinstance(kind, T.TimestampType):
+        return lambda c: F.unix_micros(c).cast("string"), lambda x: F.timestamp_micros(F.lit(int(x)))
+    return lambda c: c.cast("string"), lambda x: F.lit(x).cast(kind)
+
+
+def _from(ts: str, moment: Column | None) -> Column:
+    """Whether a row's time is the moment or later; rows without a time come after all, and are all that a null moment starts."""
+    return F.col(ts).isNull() if moment is None else F.coalesce(F.col(ts) >= moment, F.lit(True))
+
+
+def time_cuts(df: DataFrame, ts: str, fractions: list[float]) -> tuple[list[int], list[Column], int]:
+    """(positions, conditions, rows): time-safe cuts near the fractions of all rows, each after the one before, and for each whether
+    a row stands after it, as a comparison of its time with a literal: the rows themselves are neither joined nor shuffled.
+    One aggregate over the table of distinct times finds all cuts; only one that isn't after its predecessor is sought again."""
+    bounds = boundaries(df, ts).persist()
+    try:
+        total = bounds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not total:
+            return [], [], 0
+        text, back = _moment(df, ts)
+        inner = bounds.where((F.col("before") > 0) & (F.col("before") < total))
+        found = inner.agg(*[F.min_by("before", _nearest(F.lit(float(total * f)), F.col("before"))).alias(f"c{i}") for i, f in enumerate(fractions)]).first()
+        cuts: list[int] = []
+        for c, f in zip(found, fractions):
+            if c is not None and cuts and c <= cuts[-1]:
+                c = safe_cut(bounds, total * f, cuts[-1], total)
+            if c is None:
+                raise ValueError(f"too few distinct times for {len(fractions)} cuts")
+            cuts.append(c)
+        moments = {r["before"]: r["t"] for r in bounds.where(F.col("before").isin(cuts)).select("before", text(F.col(ts)).alias("t")).collect()}
+        return cuts, [_from(ts, None if moments[c] is None else back(moments[c])) for c in cuts], total
+    finally:
+        bounds.unpersist()
+
+
+def _part(after: list[Column]) -> Column:
+    """1-based part of a row among ascending cuts."""
+    return reduce(lambda a, c: a + c.cast("int"), after, F.lit(1)).cast("int")
 
 
 def time_blocks(df: DataFrame, ts: str, n: int) -> DataFrame:
-    """df with block 1..n: near-equal runs of time, none of which splits a timestamp. The table of distinct times stays in
-    Spark; n - 1 small aggregates find the cuts, each after the one before."""
-    bounds = boundaries(df, ts).cache()
-    total = df.count()
-    cuts: list[int] = []
-    for i in range(1, n):
-        cut = safe_cut(bounds, total * i / n, cuts[-1] if cuts else 0, total)
-        if cut is None:
-            raise ValueError(f"too few distinct times for {n} blocks")
-        cuts.append(cut)
-    return with_position(df, bounds, ts).withColumn("block", by_cuts(F.col("before"), cuts)).drop("before")
+    """df with block 1..n: near-equal runs of time, none of which splits a timestamp; rows without a time stand last. No rows
+    give no rows. Raises with too few distinct times."""
+    return df.withColumn("block", _part(time_cuts(df, ts, [i / n for i in range(1, n)])[1]))
 
 
 def split_block(df: DataFrame, ts: str, frac: float = 0.7) -> DataFrame:
     """df with part 1/2: time-safe cut near frac; asked and realised fractions stand beside."""
-    bounds, total = boundaries(df, ts).cache(), df.count()
-    cut = safe_cut(bounds, total * frac, 0, total)
-    return with_position(df, bounds, ts).withColumn("part", by_cuts(F.col("before"), [cut])).withColumn("requested", F.lit(frac)).withColumn("realised", F.lit(cut / total)).drop("before")
+    cuts, after, total = time_cuts(df, ts, [frac])
+    return df.withColumn("part", _part(after)).withColumn("requested", F.lit(frac)).withColumn("realised", F.lit(cuts[0] / total if cuts else None).cast("double"))
 
 
 def terminal_split(df: DataFrame, ts: str, fracs=(0.7, 0.15, 0.15)) -> DataFrame:
     """df with split: the past trains, what follows validates, the end tests; cuts are time-safe."""
-    bounds, total = boundaries(df, ts).cache(), df.count()
-    first = safe_cut(bounds, total * fracs[0], 0, total)
-    second = safe_cut(bounds, total * (fracs[0] + fracs[1]), first, total)
-    part = by_cuts(F.col("before"), [first, second])
-    return with_position(df, bounds, ts).withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), part)).drop("before")
+    _, after, _ = time_cuts(df, ts, [fracs[0], fracs[0] + fracs[1]])
+    return df.withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), _part(after)))
 
 
 def chronological_split(df: DataFrame, ts: str, key: list[str], label: str, fracs=(0.7, 0.15, 0.15), widen=(0.0, 0.05, 0.10, 0.15, 0.20)) -> DataFrame:
-    """df with split by exact position in time order (ties by key). If validation would hold one class only it is extended
-    backwards by the first of `widen` that gives it two."""
+    """df with split by exact position in time order, if (time, key) is unique; rows without a time stand last. If validation
+    would hold one class only it is extended backwards by the first of `widen` that gives it two."""
     total = df.count()
-    ranked = bucketed_rank(df, [ts, *key], out="_rank")
     first, second = int(total * fracs[0]), int(total * (fracs[0] + fracs[1]))
     starts = [max(1, first - int(total * w)) for w in widen]
-    classes = ranked.where(F.col("_rank") <= second).agg(*[F.count_distinct(F.when(F.col("_rank") > s, F.col(label))).alias(f"w{i}") for i, s in enumerate(starts)]).first()
-    start = next((s for i, s in enumerate(starts) if classes[f"w{i}"] > 1), starts[0])
-    return ranked.withColumn("split", F.when(F.col("_rank") <= start, "train").when(F.col("_rank") <= second, "val").otherwise("test")).drop("_rank")
+    order = [ts, *key]
+    places = list(range(len(starts) + 1))
+    met = upto_bounds(df, order, bounds_at(df, order, _ranks(df, "at int, rank long", list(enumerate([*starts, second])))), places)
+    end = F.col(f"_b{len(starts)}")
+    classes = met.where(end).agg(*[F.count_distinct(F.when(~F.col(f"_b{i}"), F.col(label))).alias(f"w{i}") for i in range(len(starts))]).first()
+    start = F.col(f"_b{next((i for i in range(len(starts)) if classes[f'w{i}'] > 1), 0)}")
+    return met.withColumn("split", F.when(start, "train").when(end, "val").otherwise("test")).drop(*[f"_b{i}" for i in places])
 
 
 def rolling_folds(df: DataFrame, block: str, mode: str, n: int, ts: str | None = None, frac: float = 0.7) -> DataFrame:
     """df once for every fold and role. strict: train B1..Bk-2, cal Bk-1, test Bk (k from 6). adaptive: train all before Bk-1
-    and its first part, cal its rest, test Bk (k from 2); the first part ends time-safely near frac."""
+    and its first part, cal its rest, test Bk (k from 2); the first part ends time-safely near frac (a block of one time is
+    all first part). A row's folds follow from its block and part alone, by a broadcast equality join."""
     first = 6 if mode == "strict" else 2
-    rows = []
+    rules = []
     for k in range(first, n + 1):
         if mode == "strict":
-            rows += [(k, "train", 1, k - 2, 0), (k, "cal", k - 1, k - 1, 0), (k, "test", k, k, 0)]
+            rules += [(k, "train", 1, k - 2, (0,)), (k, "cal", k - 1, k - 1, (0,)), (k, "test", k, k, (0,))]
         else:
-            rows += [(k, "train", 1, k - 2, 0), (k, "train", k - 1, k - 1, 1), (k, "cal", k - 1, k - 1, 2), (k, "test", k, k, 0)]
-    spec = df.sparkSession.createDataFrame(rows, "fold int, role string, _from int, _to int, _part int")
-    if mode == "strict":
-        part = df.withColumn("_own", F.lit(0))
-    else:
+            rules += [(k, "train", 1, k - 2, (1, 2)), (k, "train", k - 1, k - 1, (1,)), (k, "cal", k - 1, k - 1, (2,)), (k, "test", k, k, (1, 2))]
+    rows = [(b, own, k, role) for k, role, lo, hi, parts in rules for b in range(lo, hi + 1) for own in parts]
+    spec = df.sparkSession.createDataFrame(rows, "_block int, _part int, fold int, role string")
+    own = F.lit(0)
+    if mode != "strict":
         counts = df.groupBy(block, ts).agg(F.count("*").alias("n"))
-        sizes = df.groupBy(block).agg(F.count("*").alias("_size"))
-        places = join_keys(prefix_sums(counts, ts, ["n"], by=(block,)), sizes, [block]).withColumn("_before", F.col("cum_n") - F.col("n"))
-        cut = places.where("_before > 0").groupBy(block).agg(F.min_by("_before", F.struct(F.abs(F.col("_before") - F.col("_size") * frac), "_before")).alias("_cut"))
-        own = join_keys(places, cut, [block], "left").select(block, ts, F.when(F.col("_before") < F.coalesce("_cut", "_size"), 1).otherwise(2).alias("_own"))
-        part = join_keys(df, own, [block, ts])
-    joined = part.join(F.broadcast(spec), (F.col(block) >= F.col("_from")) & (F.col(block) <= F.col("_to")) & ((F.col("_part") == 0) | (F.col("_part") == F.col("_own"))))
-    return joined.drop("_from", "_to", "_part", "_own")
+        places = prefix_sums(counts, ts, ["n"], by=(block,)).withColumn("_before", F.col("cum_n") - F.col("n"))
+        sizes = counts.groupBy(block).agg(F.sum("n").alias("_size"))
+        text, back = _moment(df, ts)
+        at = F.struct("_before", text(F.col(ts)).alias("t"))
+        cut = join_keys(places, sizes, [block]).where("_before > 0").groupBy(block).agg(F.min_by(at, _nearest(F.col("_size") * frac, F.col("_before"))).alias("_cut"))
+        for r in cut.where(F.col(block).between(1, n)).collect():  # a row for each block
+            t = r["_cut"]["t"]
+            own = F.when(F.col(block) == r[block], 1 + _from(ts, None if t is None else back(t)).cast("int")).otherwise(own)
+        own = F.when(own == 0, 1).otherwise(own)
+    joined = df.withColumn("_own", own).join(F.broadcast(spec), (F.col(block) == F.col("_block")) & (F.col("_own") == F.col("_part")))
+    return joined.drop("_own", "_block", "_part")
 
 
 def fold_chronology(folds: DataFrame, ts: str) -> DataFrame:
@@ -300,7 +411,8 @@ def assert_chronology(folds: DataFrame, ts: str) -> DataFrame:
 
 
 def order_by_time(df: DataFrame, ts: str, key: list[str]) -> DataFrame:
-    return df.orderBy(ts, *key)
+    """df in time order, ties by key, rows without a time last; only where the order of the output itself matters."""
+    return df.orderBy(F.col(ts).asc_nulls_last(), *key)
 
 
 def attach_block(df: DataFrame, blocks: DataFrame, position: str) -> DataFrame:

@@ -89,3 +89,96 @@ def test_null_groups_and_null_keys_stay(spark):
     sums = {(r["g"], r["x"]): r["cum_n"] for r in prefix_sums(df.groupBy("g", "x").agg(F.count("*").alias("n")), "x", ["n"], ("g",)).collect()}
     assert all(sums[g, None] == sum(r[1] == g for r in rows) for g in {r[1] for r in rows if r[2] is None}) and len(sums) == len({r[1:] for r in rows})
     assert P.stratified_split(df, "g", ["id"]).count() == P.cap_per_class(df, "g", ["id"], 500).count() == P.group_split(df, "g").count() == 200
+
+
+@pytest.fixture(scope="module")
+def holed(spark):
+    """300 rows with null classes, groups, times and texts as keys."""
+    start = dt.datetime(2026, 1, 1)
+    rows = [(i, None if i % 5 == 0 else i % 2, None if i % 4 == 0 else f"g{i % 30}", None if i % 7 == 0 else start + dt.timedelta(seconds=i // 3)) for i in range(300)]
+    return spark.createDataFrame(rows, "id int, y int, g string, ts timestamp_ntz").cache()
+
+
+def test_no_split_loses_rows_without_class_group_or_time(holed):
+    n = holed.count()
+    assert P.stratified_split(holed, "y", ["id"]).count() == P.cap_per_class(holed, "y", ["id"], 10**6).count() == P.shard_balanced(holed, "y", ["id"], 2, 3).count() == P.group_split(holed, "g").count() == n
+    assert P.time_blocks(holed, "ts", 5).count() == P.terminal_split(holed, "ts").count() == P.split_block(holed, "ts").count() == P.chronological_split(holed, "ts", ["id"], "y").count() == n
+    late = P.time_blocks(holed, "ts", 5).where("ts is null").select("block").distinct().collect()
+    assert [r["block"] for r in late] == [5] and {r["split"] for r in P.chronological_split(holed, "ts", ["id"], "y").where("ts is null").select("split").collect()} <= {"val", "test"}
+    folds = P.rolling_folds(P.time_blocks(holed, "ts", 5), "block", "adaptive", 5, "ts")
+    assert folds.where("fold = 5").count() == n and folds.where("role = 'test'").select("id").distinct().count() > 0
+    over = P.oversample_minority(holed, "y", ["id"])
+    counts = {r["y"]: r["count"] for r in over.groupBy("y").count().collect()}
+    assert counts[0] == counts[1] == 120 and counts[None] == 60
+    with pytest.raises(ValueError):
+        P.shard_skewed(holed, "y", "id", ["id"], 2, 2)
+
+
+def test_positions_are_exact_with_null_groups(holed):
+    rows = [(r["y"], r["split"]) for r in P.stratified_split(holed, "y", ["id"]).collect()]
+    for y, n in ((0, 120), (1, 120), (None, 60)):
+        assert [rows.count((y, s)) for s in ("train", "val", "test")] == [round(n * 0.7), round(n * 0.85) - round(n * 0.7), n - round(n * 0.85)]
+    shards = P.shard_balanced(holed, "y", ["id"], 2, 3).groupBy("y", "rsu", "vehicle").count().collect()
+    assert {(r["y"], r["count"]) for r in shards} == {(0, 20), (1, 20), (None, 10)} and len(shards) == 18
+    times = P.chronological_split(holed, "ts", ["id"], "y")
+    ends = {r["split"]: (r["lo"], r["hi"]) for r in times.groupBy("split").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()}
+    assert ends["train"][1] <= ends["val"][0] and {r["split"]: r["count"] for r in times.groupBy("split").count().collect()} == {"train": 210, "val": 45, "test": 45}
+
+
+def test_empty_tables_give_empty_splits(holed):
+    none = holed.limit(0)
+    for out in (P.time_blocks(none, "ts", 4), P.terminal_split(none, "ts"), P.split_block(none, "ts"), P.stratified_split(none, "y", ["id"]), P.group_split(none, "g"), P.cap_per_class(none, "y", ["id"], 5), P.oversample_minority(none, "y", ["id"]), P.chronological_split(none, "ts", ["id"], "y")):
+        assert out.count() == 0
+    with pytest.raises(ValueError):
+        P.time_blocks(holed.withColumn("ts", F.lit(1)), "ts", 3)
+
+
+def test_cuts_that_fall_together_are_sought_again(spark):
+    """Nearly all rows share one time, so that the nearest cut of several fractions is the same."""
+    df = spark.createDataFrame([(i, 5 if 3 <= i < 97 else i) for i in range(100)], "id int, ts int")
+    sizes = {r["block"]: r["count"] for r in P.time_blocks(df, "ts", 4).groupBy("block").count().collect()}
+    assert len(sizes) == 4 and sum(sizes.values()) == 100
+    b = P.time_blocks(df, "ts", 4)
+    assert b.groupBy("ts").agg(F.count_distinct("block").alias("n")).where("n > 1").count() == 0
+
+
+def test_text_keys_rank_in_their_order(spark):
+    words = sorted(f"{a}{b}é{c}" for a in "azÅ" for b in ("", "prefix prefix") for c in range(30))
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string").repartition(5)
+    got = {r["w"]: r["rank"] for r in bucketed_rank(df, ["w"]).collect()}
+    assert [got[w] for w in sorted(words, key=lambda w: w.encode())] == list(range(1, len(words) + 1)) and got[None] == len(words) + 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_and_splits_shuffle_no_rows(frame, tmp_path):
+    """No exchange stands between the table's rows and the block or part they get."""
+    frame.withColumn("wide", F.lit("x")).write.parquet(f"{tmp_path}/t")
+    t = frame.sparkSession.read.parquet(f"{tmp_path}/t")
+    for out in (P.time_blocks(t, "ts", 10), P.terminal_split(t, "ts"), P.split_block(t, "ts")):
+        assert "Exchange" not in _plan(out)
+    folds = _plan(P.rolling_folds(P.time_blocks(t, "ts", 10), "block", "adaptive", 10, "ts"))
+    assert folds.count("Exchange") == folds.count("BroadcastExchange") and "BroadcastHashJoin" in folds
+    for out in (P.stratified_split(t, "family", ["id"]), P.cap_per_class(t, "family", ["id"], 100), P.shard_balanced(t, "family", ["id"], 2, 5)):
+        exchanges = [line for line in _plan(out).split("\n") if "Exchange" in line]
+        plan = _plan(out)
+        assert "SortMergeJoin" not in plan.split("BroadcastHashJoin")[0] and not any("wide" in line for line in exchanges)
+
+
+def test_three_way_search(spark):
+    df = spark.createDataFrame([(g, c) for g in range(40) for c in "ab"] + [(0, "rare"), (1, "rare")], "g int, c string")
+    assert P.three_way_search(df, "g", "c", [1, 2]).first()["status"] == "too_few_groups"
+    good = P.three_way_split(df.where("c <> 'rare'"), "g", "c", list(range(20)))
+    assert good.groupBy("split").agg(F.count_distinct("c").alias("n")).where("n = 2").count() == 3 and P.assert_disjoint(good, "g").count() == 1
+    with pytest.raises(ValueError, match="too_few_groups"):
+        P.three_way_split(df, "g", "c", [1])
+    assert P.best_group_split(df.where("c <> 'rare'"), "g", "c", [0.3], [1, 2, 3]).groupBy("split").count().count() == 2
+
+
+def test_skewed_plan_keeps_its_bounds():
+    plan = P.skew_plan(4000, 16000, 4, 5)
+    sizes = [p + n for p, n in plan]
+    assert sum(p for p, _ in plan) == 4000 and sum(sizes) == 20000 and min(min(x) for x in plan) >= 1 and max(sizes) <= 10 * min(sizes) + 10 and max(sizes) > 3 * min(sizes)
+    assert P.allocate(10, [1, 1, 1], low=[0, 5, 0], high=[2, 9, 3]) == [2, 7, 1] and P.allocate(9, [9, 1, 0], low=[0, 0, 2], high=[3, 9, 9]) == [3, 4, 2]
