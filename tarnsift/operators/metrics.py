@@ -92,25 +92,32 @@ def best_f1_grid(df: DataFrame, label: str, score: str, low: float = 0.05, high:
     return best.select(F.when(F.col("p") > 0, F.col("b.threshold")).otherwise(0.5).alias("threshold"), F.when(F.col("p") > 0, F.col("b.f1")).otherwise(0.0).alias("f1"))
 
 
+def is_finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
 def best_f1_exact(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, threshold, f1: best over all distinct scores, lowest threshold on ties, clamped to [0, 1]; 0.5 without two classes.
-    Rows without a score reach no threshold: their positives count as missed."""
-    curve = score_counts(df, label, score, by)
+    """by, threshold, f1: best over all distinct scores, clamped to [0, 1] before they are compared, lowest threshold on ties; 0.5
+    without two classes or where no threshold gives an f1 above 0. Rows without a score (null, NaN) reach no threshold: their
+    positives count as missed."""
+    s = F.col(score).cast("double")
+    clamped = F.when(s.isNotNull() & ~F.isnan(s), F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
+    curve = score_counts(df.select(*by, label, clamped.alias(score)), label, score, by)
     scored = lambda c: F.coalesce(F.sum(F.when(F.col(score).isNotNull(), F.col(c))), F.lit(0))
     totals = curve.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), scored("pos").alias("_sp"), scored("neg").alias("_sn"))
     both = join_keys(curve, totals, list(by)) if by else curve.crossJoin(totals)
     tp, fp = F.col("_sp") - F.col("cum_pos") + F.col("pos"), F.col("_sn") - F.col("cum_neg") + F.col("neg")
     f1 = F.round(ratio(2.0 * tp, tp + fp + F.col("_p")), 12)
     best = both.withColumn("_f1", f1).groupBy(*by).agg(F.max_by(F.struct(F.col(score).alias("t"), F.col("_f1").alias("f")), F.when(F.col(score).isNotNull(), F.struct(F.col("_f1"), -F.col(score)))).alias("b"), F.max("_p").alias("p"), F.max("_n").alias("n"))
-    good = (F.col("p") > 0) & (F.col("n") > 0) & F.col("b").isNotNull()
-    return best.select(*by, F.when(good, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("b.t")))).otherwise(0.5).alias("threshold"), F.when(good, F.col("b.f")).otherwise(0.0).alias("f1"))
+    good = (F.col("p") > 0) & (F.col("n") > 0) & (F.col("b.f") > 0)
+    return best.select(*by, F.when(good, F.col("b.t")).otherwise(0.5).alias("threshold"), F.when(good, F.col("b.f")).otherwise(0.0).alias("f1"))
 
 
 def fpr_statistic(df: DataFrame, score: str, targets: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """by, target, exceed: of benign scores the (floor(t * n) + 1)-th largest; a row is flagged if its score is above it.
     With t * n < 1 that is the maximum, so nothing benign is flagged. One curve serves all targets.
-    Rows without a score are left out, of n too."""
-    counts = prefix_sums(df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("c")), score, ["c"], by)
+    Rows without a finite score are left out, of n too."""
+    counts = prefix_sums(df.where(is_finite(F.col(score))).groupBy(*by, score).agg(F.count("*").alias("c")), score, ["c"], by)
     totals = counts.groupBy(*by).agg(F.sum("c").alias("n"))
     joined = join_keys(counts, totals, list(by)) if by else counts.crossJoin(totals)
     at_least = F.col("n") - F.col("cum_c") + F.col("c")  # benign scores not below this one
@@ -120,22 +127,30 @@ def fpr_statistic(df: DataFrame, score: str, targets: list[float], by: tuple[str
 
 
 def fpr_sensitivity(cal: DataFrame, test: DataFrame, label: str, score: str, targets: list[float]) -> DataFrame:
-    """target, exceed and the binary metrics on test for each target; thresholds come from benign calibration rows."""
-    cuts = fpr_statistic(cal.where(F.col(label) == 0), score, targets)
-    flagged = test.select(label, score).crossJoin(F.broadcast(cuts)).withColumn("_pred", (F.col(score) > F.col("exceed")).cast("int"))
-    return binary_metrics(confusion(flagged, label, "_pred", ("target", "exceed")))
+    """target, exceed and the binary metrics on test for each target; thresholds come from benign calibration rows. Each test row
+    is put between two thresholds once and counted there; a target sums up the counts above its own. Test rows without a
+    score are left out."""
+    cuts = fpr_statistic(cal.where(F.col(label) == 0), score, targets).orderBy("exceed").collect()  # a row for each target
+    above = sum(((F.col(score) > F.lit(r["exceed"])).cast("int") for r in cuts), F.lit(0))  # cuts ascend: it is above the first so many
+    hit = lambda y: F.count_if(F.col(label) == y)
+    counts = test.where(F.col(score).isNotNull()).groupBy(above.alias("_above")).agg(hit(1).alias("_pos"), hit(0).alias("_neg"))
+    spec = test.sparkSession.createDataFrame([(r["target"], r["exceed"], i) for i, r in enumerate(cuts)], "target double, exceed double, _i int")
+    flagged = F.col("_above") > F.col("_i")
+    part = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).alias
+    per = counts.crossJoin(F.broadcast(spec)).groupBy("target", "exceed").agg(part(~flagged, "_neg")("tn"), part(flagged, "_neg")("fp"), part(~flagged, "_pos")("fn"), part(flagged, "_pos")("tp"))
+    return binary_metrics(per)
 
 
 def score_quantiles(df: DataFrame, score: str, by: tuple[str, ...], qs: list[float]) -> DataFrame:
     """by, n, q<percent>: interpolated quantiles of finite scores."""
-    ok = df.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")))
+    ok = df.where(is_finite(F.col(score)))
     return ok.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile(score, F.lit(q)).alias(f"q{round(q * 100):02d}") for q in qs])
 
 
 def finite_stats(df: DataFrame, col: str, by: tuple[str, ...] = ()) -> DataFrame:
     """n, mean, sample sd (0 for one value), median, min, max of finite values."""
     v = F.col(col)
-    ok = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    ok = df.where(is_finite(v))
     return ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("lo"), F.max(v).alias("hi"))
 
 

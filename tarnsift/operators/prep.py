@@ -55,19 +55,21 @@ def one_hot(df: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """The whole model: medians, then means and deviations of imputed columns, and categories."""
-    medians = fit_imputer(train, numeric)
+    """The whole model: medians, then means and deviations of imputed columns, and categories. The medians come to the driver once
+    and are not computed again with the rest."""
+    medians = train.sparkSession.createDataFrame(fit_imputer(train, numeric).collect(), "column string, kind string, value string")
     model = medians.unionByName(fit_scaler(impute(train, medians), numeric))
     return model.unionByName(fit_categories(train, categorical)) if categorical else model
 
 
 def transform(df: DataFrame, model: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Imputed and scaled numbers, one-hot categories and the columns to keep; others go."""
-    model = model.cache()
-    numbers = sorted({r["column"] for r in model.where("kind = 'mean'").select("column").distinct().collect()})
-    texts = sorted({r["column"] for r in model.where("kind = 'most_frequent'").select("column").collect()})
-    done = scale(impute(df.select(*keep, *numbers, *texts), model), model)
-    return one_hot(done, model) if texts else done
+    """Imputed and scaled numbers, one-hot categories and the columns to keep; others go. The model comes to the driver once."""
+    rows = model.collect()
+    known = df.sparkSession.createDataFrame(rows, "column string, kind string, value string")
+    numbers = sorted({r["column"] for r in rows if r["kind"] == "mean"})
+    texts = sorted({r["column"] for r in rows if r["kind"] == "most_frequent"})
+    done = scale(impute(df.select(*keep, *numbers, *texts), known), known)
+    return one_hot(done, known) if texts else done
 
 
 def save_model(model: DataFrame, path: str) -> None:

@@ -85,3 +85,38 @@ def test_exact_bootstrap_against_all_resamples(spark):
     means = sorted(sum(c) / 3 for c in itertools.product(v, repeat=3))
     r = Z.bootstrap_exact(spark.createDataFrame([("g", x) for x in v], "g string, x double"), ["g"], "x").first()
     assert math.isclose(r["low"], means[math.ceil(27 * 0.025) - 1]) and math.isclose(r["high"], means[math.ceil(27 * 0.975) - 1])
+
+
+def test_scores_are_clamped_before_they_are_compared_and_nans_take_no_rank(spark):
+    df = spark.createDataFrame([(1, 1.5), (1, 1.0), (0, 0.2), (0, float("nan"))], "y int, s double")
+    assert tuple(X.best_f1_exact(df, "y", "s").first()) == (1.0, 1.0)
+    assert tuple(X.best_f1_exact(spark.createDataFrame([(1, None), (0, 0.3)], "y int, s double"), "y", "s").first()) == (0.5, 0.0)
+    odd = spark.createDataFrame([(i / 100,) for i in range(100)] + [(float("nan"),)] * 3 + [(float("inf"),), (None,)], "s double")
+    assert X.fpr_statistic(odd, "s", [0.01]).first()["exceed"] == 0.98
+
+
+def test_sensitivity_equals_counting_by_target(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(r.randint(0, 1), r.choice([None, r.random(), r.random()]), r.random() < 0.5) for _ in range(400)]
+    df = spark.createDataFrame(rows, "y int, s double, cal boolean")
+    got = {x["target"]: x for x in X.fpr_sensitivity(df.where("cal"), df.where("not cal"), "y", "s", [0.01, 0.1, 0.5]).collect()}
+    assert len(got) == 3
+    for t in got.values():
+        test = [(y, s) for y, s, cal in rows if not cal and s is not None]
+        assert (t["tp"], t["fp"]) == tuple(sum(y == k and s > t["exceed"] for y, s in test) for k in (1, 0)) and t["tp"] + t["fn"] + t["fp"] + t["tn"] == len(test)
+
+
+def test_fitting_equals_imputing_and_scaling_and_survives_saving(spark, tmp_path):
+    from tarnsift.operators import prep as M
+
+    df = spark.createDataFrame([(None if i % 3 == 0 else float(i * i), 5.0, None if i % 5 == 0 else "ab"[i % 2]) for i in range(50)], "x double, c double, k string")
+    model = M.fit(df, ["x", "c"], ["k"])
+    got = {(r["column"], r["kind"]): float(r["value"]) for r in model.where("kind in ('median', 'mean', 'std')").collect()}
+    filled = M.impute(df, M.fit_imputer(df, ["x", "c"]))
+    want = {(r["column"], r["kind"]): float(r["value"]) for r in M.fit_scaler(filled, ["x", "c"]).collect()}
+    assert all(math.isclose(got[k], v, rel_tol=1e-12) for k, v in want.items()) and got["c", "std"] == 1.0
+    M.save_model(model, f"{tmp_path}/m")
+    again = M.transform(df, M.load_model(spark, f"{tmp_path}/m"))
+    assert sorted(again.columns) == ["c", "k=a", "k=b", "x"] and sorted(map(tuple, again.collect())) == sorted(map(tuple, M.transform(df, model).collect()))
