@@ -39,20 +39,35 @@ def canonical_json(df: DataFrame, cols: list[str], out: str = "canonical") -> Da
     for c in cols:
         _refuse(df.schema[c].dataType, c)
     whole = F.struct(*[_sorted(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(cols)])
-    text = F.to_json(whole, {"ignoreNullFields": "false"})
+    return df.withColumn(out, _escaped(F.to_json(whole, {"ignoreNullFields": "false"})))
+
+
+def _escaped(text: Column) -> Column:
+    """Control characters as lower-case escapes."""
     for upper in [f"{h:X}" for h in range(0x10, 0x20)] + [f"0{h:X}" for h in range(16)]:
         if any(x in "ABCDEF" for x in upper):
             text = F.replace(text, F.lit(f"\\u00{upper}"), F.lit(f"\\u00{upper.lower()}"))
-    return df.withColumn(out, text)
+    return text
 
 
 def record_digest(df: DataFrame, cols: list[str], out: str = "digest") -> DataFrame:
     return canonical_json(df, cols, "_canonical").withColumn(out, F.sha2("_canonical", 256)).drop("_canonical")
 
 
-def validate_records(df: DataFrame, schema_name: str, digests: list[str], optional_digests: list[str], whole_numbers: list[str]) -> DataFrame:
-    """df (canonical text, fields) with reason: the first failing check, or 'ok'."""
-    checks = [(F.get_json_object("canonical", "$.schema") == schema_name, "schema"), (F.length(F.coalesce("did", F.lit(""))) > 0, "did")]
+def is_canonical(text: Column, schema: str) -> Column:
+    """Whether the bytes are the canonical form of what they say: parsed as an object of this schema and written again, they are
+    the same. Text that isn't JSON, has other keys, another order of keys, blanks or other spellings is not."""
+    kind = T.StructType.fromDDL(schema)
+    for f in kind.fields:
+        _refuse(f.dataType, f.name)
+    return F.coalesce(_escaped(F.to_json(_sorted(F.from_json(text, kind), kind), {"ignoreNullFields": "false"})) == text, F.lit(False))
+
+
+def validate_records(df: DataFrame, schema_name: str, digests: list[str], optional_digests: list[str], whole_numbers: list[str], fields: str | None = None) -> DataFrame:
+    """df (canonical text, fields) with reason: the first failing check, or 'ok'. fields: the schema of the record, whose text has
+    to come out the same when parsed and written again."""
+    checks = [(is_canonical(F.col("canonical"), fields), "canonical")] if fields else []
+    checks += [(F.get_json_object("canonical", "$.schema") == schema_name, "schema"), (F.length(F.coalesce("did", F.lit(""))) > 0, "did")]
     checks += [(is_sha256_hex(F.col(d)), d) for d in digests]
     checks += [((F.coalesce(d, F.lit("")) == "") | is_sha256_hex(F.col(d)), d) for d in optional_digests]
     checks += [(F.col(n).cast("string").rlike("^-?[0-9]+$"), n) for n in whole_numbers]
@@ -71,6 +86,29 @@ def verify_digests(payloads: DataFrame, claims: DataFrame, key: str) -> DataFram
     return both.select(key, first_failing(checks).alias("reason"))
 
 
+#: Kinds of records in the order in which their failures are reported.
+RECORD_KINDS = ("dp_record", "anchor", "model_delta", "report")
+
+
+def verify_records(payloads: DataFrame, claims: DataFrame, ledger: DataFrame, keys: list[str], kinds: tuple[str, ...] = RECORD_KINDS) -> DataFrame:
+    """keys, reason: for each client's round the first failing check over its records, kinds in their order, or 'ok'; the privacy
+    record's digest is held against the ledger too. payloads: keys, kind, content; claims: keys, kind, claimed; ledger: keys,
+    dp_record_sha256. A reason is kind:missing_payload, :missing_claim, :malformed_claim, :mismatch or dp_record:not_in_ledger,
+    dp_record:ledger_mismatch. One grouped pass over both sides; a client with nothing claimed is reported as well."""
+    last = F.struct(F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("claimed"))
+    rows = payloads.select(*keys, "kind", F.col("content").cast("string").alias("content"), last["claimed"].alias("claimed")).unionByName(claims.select(*keys, "kind", last["content"].alias("content"), "claimed"))
+    rows = rows.unionByName(ledger.select(*keys, F.lit("ledger").alias("kind"), last["content"].alias("content"), F.col("dp_record_sha256").alias("claimed")))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    wide = rows.groupBy(*keys).agg(*[of(k, "content").alias(f"{k}_content") for k in kinds], *[of(k, "claimed").alias(f"{k}_claimed") for k in (*kinds, "ledger")])
+    checks = []
+    for k in kinds:
+        content, claimed = F.col(f"{k}_content"), F.col(f"{k}_claimed")
+        checks += [(content.isNotNull(), f"{k}:missing_payload"), (claimed.isNotNull(), f"{k}:missing_claim"), (is_sha256_hex(claimed), f"{k}:malformed_claim"), (F.sha2(content, 256) == F.lower(F.trim(claimed)), f"{k}:mismatch")]
+        if k == "dp_record":
+            checks += [(F.col("ledger_claimed").isNotNull(), f"{k}:not_in_ledger"), (F.lower(F.trim("ledger_claimed")) == F.lower(F.trim(claimed)), f"{k}:ledger_mismatch")]
+    return wide.select(*keys, first_failing(checks).alias("reason"))
+
+
 def admission_gate(updates: DataFrame, length: int) -> DataFrame:
     """updates with reason and eligible. The signed RSU and round are held against the receiving ones."""
     checks = [
@@ -81,19 +119,50 @@ def admission_gate(updates: DataFrame, length: int) -> DataFrame:
     return updates.withColumn("reason", first_failing(checks)).withColumn("eligible", F.col("reason") == "ok")
 
 
-def merkle_root(records: DataFrame, by: tuple[str, ...], order: list[str], content: str, depth: int = 32) -> DataFrame:
-    """by, leaves, root: leaf = sha256(content), pairs by order, a missing right side is 32 zero bytes, `depth` levels. Each
-    level halves the rows; once a group is one node the rest is a chain of expressions."""
+def _upwards(h: Column, levels: int) -> Column:
+    """The node above, `levels` times, with 32 zero bytes on the right."""
+    if levels < 1:
+        return h
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), h, lambda h, _: F.sha2(F.concat(F.unhex(h), F.unhex(F.lit(ZERO_LEAF))), 256))
+
+
+def _parent(x: Column) -> Column:
+    """The node above places 2x and 2x + 1 of the level l."""
+    return F.sha2(F.concat(F.unhex(F.get("l", x * 2)), F.unhex(F.coalesce(F.get("l", x * 2 + 1), F.lit(ZERO_LEAF)))), 256)
+
+
+#: Levels of the tree that one task computes from leaves that are neighbours.
+CHUNK_LEVELS = 10
+
+
+def merkle_root(records: DataFrame, by: tuple[str, ...], order: list[str], content: str, depth: int = 32, groups: DataFrame | None = None) -> DataFrame:
+    """by, leaves, root: leaf = sha256(content), pairs by order, a missing right side is 32 zero bytes, `depth` levels. Each round
+    collects the up to 2^CHUNK_LEVELS leaves of a subtree into one row and folds them there, so a few rounds reach the root;
+    the rest is a chain of expressions. No leaves are one zero leaf: with groups (by), or without `by`, such a root stands too."""
     leaves = records.select(*by, *order, F.sha2(F.col(content), 256).alias("h"))
     nodes = bucketed_rank(leaves, order, by, out="i").select(*by, "h", (F.col("i") - 1).alias("i"))
     sizes = nodes.groupBy(*by).agg(F.count("*").alias("leaves"))
     most = sizes.agg(F.max("leaves")).first()[0] or 0
     levels = min(depth, max(most - 1, 0).bit_length())
-    for _ in range(levels):
-        side = lambda k: F.coalesce(F.max(F.when(F.col("i") % 2 == k, F.col("h"))), F.lit(ZERO_LEAF))
-        nodes = nodes.groupBy(*by, F.floor(F.col("i") / 2).alias("p")).agg(F.sha2(F.concat(F.unhex(side(0)), F.unhex(side(1))), 256).alias("h")).withColumnRenamed("p", "i")
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(depth - levels)), F.col("h"), lambda h, _: F.sha2(F.concat(F.unhex(h), F.unhex(F.lit(ZERO_LEAF))), 256)) if depth > levels else F.col("h")
-    return join_keys(nodes.where("i = 0").select(*by, root.alias("root")), sizes, list(by)) if by else nodes.where("i = 0").select(root.alias("root")).crossJoin(sizes)
+    done = 0
+    while done < levels:
+        step = min(CHUNK_LEVELS, levels - done)
+        size = 1 << step
+        listed = nodes.groupBy(*by, F.floor(F.col("i") / size).alias("p")).agg(F.sort_array(F.collect_list(F.struct((F.col("i") % size).alias("k"), "h"))).alias("l"))
+        # leaves of a subtree are neighbours from its left end, so only its right end can be empty
+        level = listed.select(*by, "p", F.transform("l", lambda x: x["h"]).alias("l"))
+        for _ in range(step):
+            level = level.withColumn("l", F.transform(F.sequence(F.lit(0), F.ceil(F.size("l") / 2).cast("int") - 1), _parent))
+        nodes = level.select(*by, F.col("p").alias("i"), F.get("l", F.lit(0)).alias("h"))
+        done += step
+    roots = nodes.where("i = 0").select(*by, _upwards(F.col("h"), depth - levels).alias("root"))
+    none = _upwards(F.lit(ZERO_LEAF), depth)
+    if not by:
+        return sizes.join(roots, how="left").select(F.coalesce("root", none).alias("root"), "leaves")
+    out = join_keys(roots, sizes, list(by))
+    if groups is None:
+        return out
+    return join_keys(groups.select(*by).distinct(), out, list(by), "left").select(*by, F.coalesce("root", none).alias("root"), F.coalesce("leaves", F.lit(0)).alias("leaves"))
 
 
 def audit_roots(manifests: DataFrame, records: DataFrame, by: tuple[str, ...], order: list[str], content: str, depth: int = 32) -> DataFrame:
@@ -240,6 +309,17 @@ def finality_latency(receipts: DataFrame, heads: DataFrame) -> DataFrame:
     return met.select("tx_id", "final_at", gap("receipt_at").alias("receipt_to_final"), gap("started_at").alias("start_to_final"), F.col("final_at").isNull().alias("timed_out"))
 
 
+def receipt_latency(receipts: DataFrame, heads: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, span (start_to_receipt, receipt_to_final, start_to_final), the statistics of its seconds over receipts that have it, and
+    timed_out: receipts that never became final."""
+    met = receipts.select("tx_id", *by).join(finality_latency(receipts, heads), "tx_id").join(receipts.select("tx_id", (F.unix_timestamp("receipt_at") - F.unix_timestamp("started_at")).alias("start_to_receipt")), "tx_id")
+    seconds = lambda c: F.when(~F.col("timed_out"), F.col(c)) if c.endswith("final") else F.col(c)
+    spans = F.array(*[F.struct(F.lit(c).alias("span"), seconds(c).cast("double").alias("seconds")) for c in ("start_to_receipt", "receipt_to_final", "start_to_final")])
+    long = met.select(*by, "timed_out", F.explode(spans).alias("s")).select(*by, "timed_out", "s.span", "s.seconds")
+    out = describe_nearest_rank(long, "seconds", (*by, "span"))
+    return join_keys(out, long.groupBy(*by, "span").agg(F.count_if("timed_out").alias("timed_out")), [*by, "span"])
+
+
 def submission_checks(receipts: DataFrame, expected: int) -> DataFrame:
     """check, passed, failed over all receipts, and whether their number is as expected."""
     checks = {"submitted": F.col("tx_hash").isNotNull(), "mined": F.col("block").isNotNull(), "status": F.col("status") == 1, "verified": F.col("verified"), "hash_shape": F.col("tx_hash").rlike("^0x[0-9a-f]{64}$")}

@@ -50,3 +50,32 @@ def test_the_null_group_has_a_root(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, None, "x"), (3, None, "y")], "id int, g string, t string")
     got = {r["g"]: r for r in E.merkle_root(df, ("g",), ["id"], "t", 4).collect()}
     assert got[None]["leaves"] == 2 and got["a"]["leaves"] == 1 and got[None]["root"] != got["a"]["root"]
+
+
+def test_a_root_equals_folding_by_hand_and_none_has_the_zero_root(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(E, "CHUNK_LEVELS", 2)
+    sha = lambda b: hashlib.sha256(b).digest()
+
+    def by_hand(texts, depth):
+        level = [sha(t.encode()) for t in texts] or [bytes(32)]
+        for _ in range(depth):
+            level += [bytes(32)] * (len(level) % 2)
+            level = [sha(level[i] + level[i + 1]) for i in range(0, len(level), 2)]
+        return level[0].hex()
+
+    sizes = {"a": 1, "b": 2, "c": 5, "d": 23}
+    rows = [(g, i, f"{g}{i}") for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, t string")
+    groups = spark.createDataFrame([(g,) for g in "abcde"], "g string")
+    got = {r["g"]: (r["root"], r["leaves"]) for r in E.merkle_root(df, ("g",), ["i"], "t", 8, groups).collect()}
+    assert got == {g: (by_hand([t for h, _, t in rows if h == g], 8), sizes.get(g, 0)) for g in "abcde"}
+    assert tuple(E.merkle_root(df.limit(0), (), ["i"], "t", 8).select("root", "leaves").first()) == (by_hand([], 8), 0)
+    assert E.merkle_root(df.where("g = 'd'"), (), ["i"], "t", 8).first()["root"] == got["d"][0]
+
+
+def test_only_canonical_bytes_pass(spark):
+    texts = ['{"a":[1,2],"s":"x"}', '{"a":[1, 2],"s":"x"}', '{"s":"x","a":[1,2]}', '{"a":[1,2],"s":"x"', '{"a":[1,2],"s":"x","z":1}', '{"a":null,"s":"\\u001f"}', '{"a":null,"s":"\\u001F"}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r["ok"] for r in df.select("i", E.is_canonical(F.col("t"), "a array<long>, s string").alias("ok")).orderBy("i").collect()] == [True, False, False, False, False, True, False, False]
