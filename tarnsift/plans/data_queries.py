@@ -13,6 +13,7 @@ from tarnsift.operators.primitives import bucketed_rank, membership_flag, score_
 from tarnsift.plans.inputs import FEATURES, FLOWS, ID_SUM, flows, id_sum, table, unit
 from tarnsift.plans.registry import Registry
 from tarnsift.sources import tables as S
+from tarnsift.sources.shared import stored
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -269,7 +270,7 @@ def fit_imputer(spark, d):
  f AS (SELECT avg(q) AS aq, stddev_pop(q) AS sq, avg(price) AS ap, stddev_pop(price) AS sp FROM i WHERE split = 'train')
 SELECT split, count(*) AS n, round(sum((q - aq) / sq), 2) AS q, round(sum((price - ap) / sp), 2) AS price, CAST(sum(CASE WHEN family = 'A-F' THEN 1 ELSE 0 END) AS BIGINT) AS af, CAST(sum(CASE WHEN family = 'BENIGN' THEN 1 ELSE 0 END) AS BIGINT) AS benign FROM i, f GROUP BY 1""")
 def transform(spark, d):
-    x = holes(spark, d)
+    x = stored(holes(spark, d).select("split", "family", "q", "price"), "split")
     model = M.fit(x.where("split = 'train'"), ["q", "price"], ["family"])
     out = M.transform(x, model, ["split"]).withColumnRenamed("family=A-F", "af").withColumnRenamed("family=BENIGN", "benign")
     return out.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sum("q"), 2).alias("q"), F.round(F.sum("price"), 2).alias("price"), F.sum("af").alias("af"), F.sum("benign").alias("benign"))

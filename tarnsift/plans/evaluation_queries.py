@@ -11,6 +11,7 @@ from tarnsift.operators.model import isolation_scores, open_set_report, score, s
 from tarnsift.plans.data_queries import SPLIT, r6, split_flows
 from tarnsift.plans.inputs import FEATURES, FLOWS, ID_SUM, flows, id_sum, table
 from tarnsift.plans.registry import Registry
+from tarnsift.sources.shared import stored
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -84,7 +85,7 @@ def fpr_threshold(spark, d):
 
 @query("fpr_sensitivity", f"{FPR}, c AS (SELECT target, exceed, {CONF} FROM (SELECT target, exceed, label, CASE WHEN score > exceed THEN 1 ELSE 0 END AS pred FROM s, e WHERE split = 'test') GROUP BY 1, 2) SELECT target, round(exceed, 9) AS exceed, tn, fp, fn, tp, {METRICS} FROM c")
 def fpr_sensitivity(spark, d):
-    s = split_flows(spark, d)
+    s = stored(split_flows(spark, d).select("split", "label", "score"), "scored")
     return rounded(X.fpr_sensitivity(s.where("split = 'val'"), s.where("split = 'test'"), "label", "score", TARGETS)).withColumn("exceed", F.round("exceed", 9))
 
 
@@ -131,9 +132,17 @@ def per_class_metrics(spark, d):
     return rounded(X.per_class_metrics(X.multiclass_confusion(probabilities(spark, d), "family", ["a", "b", "c", "e"], CLASSES), "family"), ("precision", "recall", "f1"))
 
 
-@query("multiclass_summary")
+SUMMARY = """k AS (SELECT family AS class FROM n UNION SELECT pred FROM n), m AS (SELECT class, count(*) FILTER (family = class) AS s, count(*) FILTER (pred = class) AS p, count(*) FILTER (family = class AND pred = class) AS tp FROM k, n GROUP BY 1),
+ f AS (SELECT s, CASE WHEN s = 0 THEN 0 ELSE tp / s END AS recall, CASE WHEN p + s = 0 THEN 0 ELSE 2 * tp / (p + s) END AS f1 FROM m),
+ o AS (SELECT class, (family = class)::INTEGER AS y, x / (a + b + c + e) AS s FROM (SELECT *, unnest(['A-F', 'BENIGN', 'N-O', 'R-F']) AS class, unnest([a, b, c, e]) AS x FROM n)),
+ u AS (SELECT class, s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM o GROUP BY ALL), v AS (SELECT class, sum(p * (cn - n / 2)) / nullif(sum(p), 0) / nullif(sum(n), 0) AS auc FROM (SELECT *, sum(n) OVER (PARTITION BY class ORDER BY s) AS cn FROM u) GROUP BY 1),
+ l AS (SELECT avg(-ln(greatest(1e-7, least(1 - 1e-7, CASE family WHEN 'A-F' THEN a WHEN 'BENIGN' THEN b WHEN 'N-O' THEN c ELSE e END / (a + b + c + e))))) AS log_loss, max(abs(a + b + c + e - 1)) AS d, avg((family = pred)::INTEGER) AS acc FROM n)"""
+
+
+@query("multiclass_summary", f"WITH {FLOWS}, {PROBS.replace('FROM p)', 'FROM p WHERE family IN ' + str(tuple(CLASSES)) + ')')}, {SUMMARY} SELECT round(any_value(acc), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * s) / sum(s), 6) AS weighted_f1, round(avg(recall) FILTER (s > 0), 6) AS balanced_accuracy, round(any_value(log_loss), 6) AS log_loss, round(any_value(d), 6) AS row_sum_deviation, round((SELECT avg(auc) FROM v), 6) AS macro_auc FROM f, l")
 def multiclass_summary(spark, d):
-    return X.multiclass_summary(probabilities(spark, d).where(F.col("family").isin(CLASSES)), "family", ["a", "b", "c", "e"], CLASSES)
+    got = X.multiclass_summary(probabilities(spark, d).where(F.col("family").isin(CLASSES)), "family", ["a", "b", "c", "e"], CLASSES)
+    return rounded(got, got.columns)
 
 
 # ---- time --------------------------------------------------------------------------------------------------------------
@@ -215,9 +224,9 @@ def folds_with_pred(spark, d):
     return strict(spark, d).withColumn("pred", (F.col("score") >= 0.5).cast("int")).withColumn("key", F.concat_ws("|", F.round("q").cast("long"), F.round(F.col("d") * 100).cast("long"), F.round(F.col("t") * 100).cast("long")))
 
 
-@query("seen_novel_metrics", f"WITH {ENDPOINT}, x AS (SELECT fold, e.e AS endpoint, label, pred FROM te, (VALUES ('seen'), ('novel')) e(e) WHERE endpoint = 'benign' OR endpoint = e.e), c AS (SELECT CAST(fold AS INTEGER) AS fold, endpoint, {CONF} FROM x GROUP BY ALL) SELECT *, {METRICS}, CASE WHEN tp + fn = 0 THEN 'no_attacks' WHEN tp + fn < 10 THEN 'too_few_attacks' WHEN tn + fp = 0 THEN 'no_benign' ELSE 'ok' END AS reason FROM c")
+@query("seen_novel_metrics", f"WITH {ENDPOINT}, x AS (SELECT fold, e.e AS endpoint, label, pred, score FROM te, (VALUES ('seen'), ('novel')) e(e) WHERE endpoint = 'benign' OR endpoint = e.e), c AS (SELECT CAST(fold AS INTEGER) AS fold, endpoint, {CONF} FROM x GROUP BY ALL), sc AS (SELECT fold, endpoint, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM x GROUP BY ALL), au AS (SELECT fold, endpoint, round(sum(p * (cn - n / 2)) / nullif(sum(p), 0) / nullif(sum(n), 0), 6) AS auc FROM (SELECT *, sum(n) OVER (PARTITION BY fold, endpoint ORDER BY score) AS cn FROM sc) GROUP BY ALL) SELECT c.*, {METRICS}, auc, CASE WHEN tp + fn = 0 THEN 'no_attacks' WHEN tp + fn < 10 THEN 'too_few_attacks' WHEN tn + fp = 0 THEN 'no_benign' ELSE 'ok' END AS reason, tp + fn >= 10 AND tn + fp > 0 AS eligible FROM c JOIN au USING (fold, endpoint)")
 def seen_novel_metrics(spark, d):
-    return rounded(T.seen_novel_metrics(folds_with_pred(spark, d), "label", "family", "score", "pred")).drop("auc", "eligible")
+    return rounded(T.seen_novel_metrics(folds_with_pred(spark, d), "label", "family", "score", "pred"), (*NAMES, "auc"))
 
 
 @query("per_attack_recall", f"WITH {ENDPOINT}, y AS (SELECT *, concat_ws('|', CAST(round(q) AS BIGINT), CAST(round(d * 100) AS BIGINT), CAST(round(t * 100) AS BIGINT)) AS key FROM te WHERE label = 1), tr AS (SELECT DISTINCT fold, concat_ws('|', CAST(round(q) AS BIGINT), CAST(round(d * 100) AS BIGINT), CAST(round(t * 100) AS BIGINT)) AS key, TRUE AS seen FROM fold WHERE role = 'train'), z AS (SELECT y.*, coalesce(seen, FALSE) AS seen FROM y LEFT JOIN tr USING (fold, key)) SELECT CAST(fold AS INTEGER) AS fold, family, endpoint, count(*) AS n_rows, count(*) FILTER (seen) AS seen_rows, round(quantile_cont(score, 0.1), 6) AS q10, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.9), 6) AS q90, round(avg(pred), 6) AS recall, count(*) FILTER (NOT seen) AS unseen_rows, round(coalesce(avg(pred) FILTER (seen), 0), 6) AS seen_recall, round(coalesce(avg(pred) FILTER (NOT seen), 0), 6) AS unseen_recall FROM z GROUP BY ALL")
@@ -249,7 +258,7 @@ def attach_block(spark, d):
 
 @query("train_detector")
 def detector(spark, d):
-    s = split_flows(spark, d).cache()
+    s = stored(split_flows(spark, d), "split")
     fitted = train_detector(s.where("split = 'train'"), FEATURES, "label", rounds=5)
     val, test = (score(s.where(f"split = '{p}'"), fitted, "p") for p in ("val", "test"))
     flagged = test.crossJoin(F.broadcast(X.best_f1_grid(val, "label", "p").select("threshold"))).withColumn("pred", (F.col("p") >= F.col("threshold")).cast("int"))
@@ -258,7 +267,7 @@ def detector(spark, d):
 
 @query("train_multiclass")
 def multiclass(spark, d):
-    s = split_flows(spark, d).cache()
+    s = stored(split_flows(spark, d), "split")
     fitted = train_multiclass(P.cap_per_class(s.where("split = 'train'"), "family", ["row_id"], 5000), FEATURES, "family", trees=10)
     test = score_multiclass(s.where("split = 'test'"), fitted)
     return X.per_class_metrics(X.multiclass_confusion(test, "family", [f"p{i}" for i in range(len(fitted[2]))], fitted[2]), "family")
@@ -266,12 +275,12 @@ def multiclass(spark, d):
 
 @query("ensemble")
 def ensemble_of_shards(spark, d):
-    s = split_flows(spark, d).withColumn("shard", F.col("supp") % 2).cache()
+    s = stored(split_flows(spark, d).withColumn("shard", F.col("supp") % 2), "split")
     return ensemble(*[s.where(f"split = '{p}'") for p in ("train", "val", "test")], "shard", "row_id", FEATURES, "label", rounds=3)
 
 
 def _with_anomaly(spark, d):
-    s = split_flows(spark, d)
+    s = stored(split_flows(spark, d), "split")
     return isolation_scores(s, s.where("split = 'train' and label = 0"), FEATURES, ["row_id"], trees=25)
 
 
@@ -282,7 +291,7 @@ def isolation(spark, d):
 
 @query("open_set_report")
 def open_set(spark, d):
-    s = _with_anomaly(spark, d)
+    s = stored(_with_anomaly(spark, d), "anomaly")
     families = F.explode(F.array(*[F.lit(x) for x in ("A-F", "R-F")]))
     each = s.withColumn("held_out", families)
     cal = each.where("split = 'val' and family <> held_out")

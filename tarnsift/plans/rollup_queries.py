@@ -162,6 +162,10 @@ def bootstrap(spark, d):
     return rounded(Z.bootstrap_mean_ci(results(spark, d), ["dataset", "method"], "value", 200), ("low", "high"))
 
 
-@query("bootstrap_exact")
+@query("bootstrap_exact", f"""WITH RECURSIVE {RESULTS}, l AS (SELECT dataset, method, list(value ORDER BY value) AS v, count(*) AS n FROM results GROUP BY ALL),
+ st AS (SELECT dataset, method, v, n, 0::BIGINT AS i, n AS rest, 0.0::DOUBLE AS total, factorial(n::INTEGER)::DOUBLE AS orders FROM l
+  UNION ALL SELECT dataset, method, v, n, i + 1, rest - k, total + k * v[i + 1], orders / factorial(k::INTEGER)::DOUBLE FROM (SELECT *, unnest(range(rest + 1)) AS k FROM st WHERE i < n) WHERE i + 1 < n OR k = rest),
+ m AS (SELECT dataset, method, round(total / n, 12) AS m, sum(orders) AS w FROM st WHERE i = n GROUP BY ALL), c AS (SELECT dataset, method, m, sum(w) OVER (PARTITION BY dataset, method ORDER BY m) AS cum, sum(w) OVER (PARTITION BY dataset, method) AS whole FROM m)
+SELECT dataset, method, round(min(m) FILTER (cum >= 0.025::DOUBLE * whole), 6) AS low, round(min(m) FILTER (cum >= 0.975::DOUBLE * whole), 6) AS high FROM c GROUP BY ALL""")
 def bootstrap_exact(spark, d):
     return rounded(Z.bootstrap_exact(results(spark, d), ["dataset", "method"], "value"), ("low", "high"))
