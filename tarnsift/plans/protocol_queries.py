@@ -11,8 +11,8 @@ from tarnsift.operators import audit as A
 from tarnsift.operators import evidence as E
 from tarnsift.operators import prep as M
 from tarnsift.operators import split as P
-from tarnsift.operators.metrics import describe_nearest_rank
 from tarnsift.operators.model import open_set_report
+from tarnsift.operators.primitives import hash_unit
 from tarnsift.plans.data_queries import CANDIDATES, SPLIT, holes, r6, split_flows
 from tarnsift.plans.evaluation_queries import CONF, METRICS, rounded
 from tarnsift.plans.evidence_queries import CANON, FIELDS, receipts, records
@@ -143,6 +143,25 @@ def three_way_search(spark, d):
     return P.three_way_search(table(spark, d, "events"), "user_id", "event_type", _SEEDS)
 
 
+@query("overlap_counts", f"""WITH s AS (SELECT user_id, {unit('event_id::VARCHAR')} AS h FROM events), g AS (SELECT user_id, bool_or(h < 0.7) AS a, bool_or(h >= 0.7 AND h < 0.85) AS b, bool_or(h >= 0.85) AS c FROM s GROUP BY 1)
+SELECT count(*) FILTER (a AND b) AS train_val, count(*) FILTER (a AND c) AS train_test, count(*) FILTER (b AND c) AS val_test FROM g""")
+def overlap_counts(spark, d):
+    """A split of rows that divides groups, as the audit has to find."""
+    return P.overlap_counts(P.hash_split(table(spark, d, "events"), ["event_id"]), "user_id")
+
+
+_STRICT = ", ".join(f"({k}, 'train', 1, {k - 2}), ({k}, 'cal', {k - 1}, {k - 1}), ({k}, 'test', {k}, {k})" for k in range(6, 11))
+
+
+@query("folds_out_of_order", f"""WITH {FLOWS}, k AS (SELECT ts, CAST(CASE WHEN okey % 97 = 0 THEN 1 + floor({unit('row_id')} * 10) ELSE 1 + (year(ts) - 1992) END AS INTEGER) AS block FROM flows),
+ f AS (SELECT v.fold, v.role, ts FROM k JOIN (VALUES {_STRICT}) v(fold, role, f, t) ON block BETWEEN v.f AND v.t), e AS (SELECT fold, max(ts) FILTER (role = 'train') AS a, min(ts) FILTER (role = 'cal') AS b, max(ts) FILTER (role = 'cal') AS c, min(ts) FILTER (role = 'test') AS d FROM f GROUP BY 1)
+SELECT CAST(fold AS INTEGER) AS fold, coalesce(a < b AND b <= c AND c < d, FALSE) AS ordered FROM e""")
+def folds_out_of_order(spark, d):
+    """Blocks of years into which some rows are put at random: the check has to see it."""
+    block = F.when(F.col("okey") % 97 == 0, 1 + F.floor(hash_unit("row_id") * 10)).otherwise(1 + F.year("ts") - 1992).cast("int")
+    return P.fold_chronology(P.rolling_folds(flows(spark, d).withColumn("block", block), "block", "strict", 10), "ts")
+
+
 @query("splits_with_nulls", f"""WITH {FLOWS}, x AS (SELECT row_id, CASE WHEN okey % 9 <> 0 THEN family END AS family, CASE WHEN okey % 8 <> 0 THEN supp END AS supp FROM flows),
  r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {unit('row_id')}, row_id) AS k, count(*) OVER (PARTITION BY family) AS n FROM x),
  g AS (SELECT supp, row_number() OVER (ORDER BY {unit("coalesce(supp::VARCHAR, chr(0))")}, supp NULLS LAST) AS gk, count(*) OVER () AS gn FROM (SELECT DISTINCT supp FROM x))

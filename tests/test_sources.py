@@ -50,3 +50,23 @@ def test_fitted_state(spark, tmp_path):
     out = M.transform(spark.createDataFrame([(None, "zz"), (3.0, None)], "x double, c string"), M.load_model(spark, str(tmp_path / "m"))).collect()
     assert out[0]["x"] == out[1]["x"] == 0.0
     assert (out[0]["c=a"], out[0]["c=b"], out[1]["c=b"]) == (0, 0, 1)
+
+
+class _Session:
+    """What shared_dir looks at of a session."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = type("C", (), {"master": master, "applicationId": "app-1"})()
+        self.conf = type("F", (), {"get": lambda self, key, default: folder})()
+
+
+def test_a_cluster_needs_a_shared_folder_and_replaced_tables_go(spark):
+    from tarnsift.sources.shared import shared_dir, stored
+
+    assert shared_dir(_Session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y" and shared_dir(_Session("local[4]")).startswith("file://")
+    with pytest.raises(ValueError):
+        shared_dir(_Session("local-cluster[3,2,1000]"))
+    first = stored(spark.range(5), "one")
+    second = stored(first.where("id > 2"), "two", instead_of=first)
+    folder = first.inputFiles() and first.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert second.count() == 2 and not __import__("os").path.exists(folder)
