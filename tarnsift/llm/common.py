@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,28 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a temporary one if all runs on one machine;
-    on a cluster that would be a folder of each machine, so it is refused."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    return named or f"file://{tempfile.gettempdir()}/tarnsift-{spark.sparkContext.applicationId}"
-
-
-def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost no rework.
-    instead_of: a table stored before that nothing reads from now on; its folder is deleted."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnsift-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if instead_of is not None:
-        for old in {f.rsplit("/", 1)[0] for f in instead_of.inputFiles()}:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(old)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

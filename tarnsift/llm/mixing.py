@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import repeats, stored, table, unit_hash, unused
+from tarnsift.llm.common import repeats, table, unit_hash, unused
+from tarnsift.sources.shared import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one class that a task ranks.

@@ -23,9 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import WordHashes, hashed_words, in_chunks, mix64, repeats, stored, table, unused
+from tarnsift.llm.common import WordHashes, hashed_words, in_chunks, mix64, repeats, table, unused
 from tarnsift.llm.graph import components
 from tarnsift.llm.substrings import _grams, _runs
+from tarnsift.sources.shared import stored
 
 BANDS, ROWS = 36, 5
 #: Members of a bucket, and their shingles, that are compared with one another in one go.
@@ -257,3 +258,17 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BA
 
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+#: Links by counting common shingles of every two different sets; components by walking along links.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT *, unnest(range(1, greatest(len(w), 2))) AS i FROM t WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT doc_id, n, list_sort(list(g)) AS gs FROM s JOIN n USING (doc_id) GROUP BY ALL), u AS (SELECT min(doc_id) AS d, n, gs FROM c GROUP BY n, gs), us AS (SELECT d, n, unnest(gs) AS g FROM u),
+ p AS (SELECT a.d AS a, b.d AS b, a.n AS na, b.n AS nb, count(*) AS common FROM us a JOIN us b ON a.g = b.g AND a.d < b.d AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+ l AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (na + nb - common)), e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT d AS x, d AS y FROM u UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), m AS (SELECT x AS d, min(y) AS root FROM r GROUP BY 1),
+ f AS (SELECT c.doc_id, c.n, root FROM c JOIN u ON c.n = u.n AND c.gs = u.gs JOIN m ON m.d = u.d)
+SELECT t.doc_id, coalesce(f.n, 0) AS n_shingles, coalesce(root, t.doc_id) AS component_id, coalesce(root, t.doc_id) = t.doc_id AS kept FROM t LEFT JOIN f ON t.doc_id = f.doc_id
+"""

@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from tarnsift.llm import chat, topk
+from tarnsift.llm import chat, near_dups, substrings, topk
 from tarnsift.llm.chat import op5_chat
 from tarnsift.llm.fingerprints import op6_fingerprints
 from tarnsift.llm.languages import op7_languages
@@ -26,6 +26,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dups": near_dups.ORACLE_SQL,
     "op4_topk": topk.ORACLE_SQL,
     "op5_chat": chat.ORACLE_SQL,
+    "op8_substrings": substrings.ORACLE_SQL,
 }

@@ -211,24 +211,32 @@ def _compare_here(batches, window: int, gram: int):
 
 
 def _compare_all(batches, window: int, gram: int):
-    """Stretches of windows that have an earlier occurrence: n from `start` on, with the source of the first."""
+    """Stretches of windows that have an earlier occurrence: n from `start` on, with the source of the first. Rows come sorted by
+    route, document and place; of a route that goes on in the next batch only the different windows are held, with their sources."""
     width = window - gram + 1
-    for pdf in _runs(batches, "route"):
-        d, tie, low, done = (pdf[c].to_numpy().astype(np.int64) for c in ("d", "tie", "low", "done"))
+    held, held_route = (np.empty(0, np.int64),) * 5, None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        route, grams, d, tie, low, done = (pdf[c].to_numpy().astype(np.int64) for c in ("route", "gram_hash", "d", "tie", "low", "done"))
         count = pdf["copies"].map(len).to_numpy() // _COPY.itemsize
         copies, of = np.frombuffer(b"".join(pdf["copies"]), _COPY), np.repeat(np.arange(len(pdf)), count)
         found = [(of, low[of] + copies["at"], copies["n"], copies["d"], copies["pos"])]
         sizes = pdf["windows"].map(len).to_numpy() // 8
         rows = np.repeat(np.arange(len(pdf)), sizes)
-        if len(rows):
-            bits = (done[:, None] >> np.arange(width)) & 1 == 0  # the windows listed are the lowest bits not done
-            start = low[rows] + np.nonzero(bits & (np.cumsum(bits, axis=1) <= sizes[:, None]))[1]
-            wh = np.frombuffer(b"".join(pdf["windows"]), np.int64)
-            source = _first_of(pdf["gram_hash"].to_numpy()[rows], wh, d[rows], tie[rows], start)
-            again = np.flatnonzero(source != np.arange(len(rows)))
-            s, n = _stretches(rows[again], start[again], d[rows[source[again]]], start[source[again]])
-            again = again[s]
-            found.append((rows[again], start[again], n, d[rows[source[again]]], start[source[again]]))
+        bits = (done[:, None] >> np.arange(width)) & 1 == 0  # the windows listed are the lowest bits not done
+        start = low[rows] + np.nonzero(bits & (np.cumsum(bits, axis=1) <= sizes[:, None]))[1]
+        before = held if held_route == route[0] else (np.empty(0, np.int64),) * 5
+        n0 = len(before[0])
+        key, wh, doc, ties, at = (np.concatenate(x) for x in zip(before, (grams[rows], np.frombuffer(b"".join(pdf["windows"]), np.int64), d[rows], tie[rows], start)))
+        source = _first_of(key, wh, doc, ties, at)
+        own = np.arange(len(key))
+        again = own[n0:][source[n0:] != own[n0:]]
+        s, n = _stretches(rows[again - n0], at[again], doc[source[again]], at[source[again]])
+        again = again[s]
+        found.append((rows[again - n0], at[again], n, doc[source[again]], at[source[again]]))
+        goes_on = (source == own) & np.concatenate([np.full(n0, route[0] == route[-1]), route[rows] == route[-1]])
+        held, held_route = tuple(x[goes_on] for x in (key, wh, doc, ties, at)), route[-1]
         row, start, n, source_d, source_pos = (np.concatenate(x) for x in zip(*found))
         if len(row):
             yield pd.DataFrame({"d": d[row], "tie": tie[row], "start": start.astype(np.int32), "n": n.astype(np.int32), "source_d": source_d, "source_pos": source_pos.astype(np.int32)})
@@ -259,7 +267,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ca
     shared = found.repartition("route").sortWithinPartitions("route", "gram_hash").mapInPandas(_shared, "d long, tie long, pos int")
     wanted = shared.groupBy("d", "tie").agg(F.collect_list("pos").alias("anchors"))
     here = anchors.join(wanted, ["d", "tie"]).mapInPandas(lambda it: _compare_here(it, window, gram), _ROWS)
-    copies = here.repartition("route").sortWithinPartitions("route").mapInPandas(lambda it: _compare_all(it, window, gram), _FACTORS)
+    copies = here.repartition("route").sortWithinPartitions("route", "d", "tie", "low").mapInPandas(lambda it: _compare_all(it, window, gram), _FACTORS)
     one = F.collect_list(F.struct("start", "n", "source_d", "source_pos"))
     return keyed, copies.groupBy("d", "tie").agg(one.alias("c")).select("d", "tie", *[F.col(f"c.{x}").alias(x) for x in _SOURCES])
 
@@ -318,3 +326,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), n AS (SELECT doc_id, w, len(w) AS n FROM t),
+ k AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM (SELECT *, unnest(range(1, n - 18)) AS s FROM n WHERE n > 19)),
+ r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS place FROM k) WHERE place > 1),
+ gone AS (SELECT DISTINCT doc_id, s + i AS p FROM r, range(20) x(i)), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM n),
+ kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS k, count(gone.p) AS g FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY 1)
+SELECT n.doc_id, n.n AS n_words, coalesce(g, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM n LEFT JOIN kept ON n.doc_id = kept.doc_id
+"""

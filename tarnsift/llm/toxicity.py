@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import in_chunks, stored, table, unit_hash, unused
+from tarnsift.llm.common import in_chunks, table, unit_hash, unused
+from tarnsift.sources.shared import stored
 
 #: Labelled rows that the model is fitted on, about, and unlabelled ones whose votes take part; rows are taken by a hash of their id.
 TRAINING_ROWS, UNLABELLED_ROWS = 8000, 8000

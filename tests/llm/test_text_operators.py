@@ -177,7 +177,9 @@ def test_parsing_of_texts_made_of_shared_passages(spark, seed):
             text += p[at : len(p) - r.randint(0, 12)] if r.random() < 0.7 else [f"u{r.randrange(9999)}" for _ in range(r.randint(1, 9))]
         items.append((i, " ".join(text)))
     df = spark.createDataFrame(items, "doc_id long, text string").repartition(6, "text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", [10_000, 7][seed])  # runs of one anchor over many batches
     found = remove_repeats(df).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in found} == brute_removed(items)
     assert check_factors(items, found) > 60
 
