@@ -19,7 +19,7 @@ from tarnsift.operators.prep import class_weight
 from tarnsift.operators.primitives import hash_unit
 
 
-def train_detector(train: DataFrame, cols: list[str], label: str, rounds: int = 20, depth: int = 5, seed: int = 42):
+def train_detector(train: DataFrame, cols: list[str], label: str, rounds: int = 100, depth: int = 6, seed: int = 42):
     """Boosted trees with positives weighted by neg / pos. Returns the fitted pipeline parts (assembler, model)."""
     weight = class_weight(train, label).first()["weight"]
     assembler = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="keep")
@@ -49,12 +49,12 @@ def score_multiclass(df: DataFrame, fitted) -> DataFrame:
     return made.withColumns({f"p{i}": F.col("_p")[i] for i in range(len(names))}).drop("_features", "rawPrediction", "probability", "prediction", "_p")
 
 
-def ensemble(train: DataFrame, val: DataFrame, test: DataFrame, shard: str, key: str, cols: list[str], label: str, least_f1: float = 0.0, rounds: int = 10) -> DataFrame:
+def ensemble(train: DataFrame, val: DataFrame, test: DataFrame, shard: str, key: str, cols: list[str], label: str, least_f1: float = 0.0, rounds: int = 100, depth: int = 6) -> DataFrame:
     """A detector for each of the few shards, gated by its validation F1, fused by mean score, threshold from validation,
     metrics on test in one row."""
     scores, gates = {"val": [], "test": []}, []
     for i, r in enumerate(train.select(shard).distinct().orderBy(shard).collect()):
-        detector = train_detector(train.where(F.col(shard) == r[0]), cols, label, rounds)
+        detector = train_detector(train.where(F.col(shard) == r[0]), cols, label, rounds, depth)
         for name, part in (("val", val), ("test", test)):
             scores[name].append(score(part, detector).select(F.lit(i).alias("model_id"), F.col(key).alias("row_id"), F.col(label).alias("y"), "score"))
         gates.append(best_f1_grid(scores["val"][-1], "y", "score").select(F.lit(i).alias("model_id"), (F.col("f1") >= least_f1).alias("passed"), (F.col("f1") >= least_f1).alias("rsu_passed")))
@@ -85,7 +85,7 @@ def _paths(tree: list, x: np.ndarray, at: float = 0.0) -> np.ndarray:
     return out
 
 
-def isolation_scores(df: DataFrame, benign: DataFrame, cols: list[str], key: list[str], trees: int = 50, sample: int = 256, cap: int = 150_000, seed: int = 42, out: str = "anomaly") -> DataFrame:
+def isolation_scores(df: DataFrame, benign: DataFrame, cols: list[str], key: list[str], trees: int = 200, sample: int = 4096, cap: int = 150_000, seed: int = 42, out: str = "anomaly") -> DataFrame:
     """df with an isolation-forest score. Each tree is grown in a task of its own on about `sample` of at most about `cap`
     benign rows; the trees (bounded by trees x sample nodes) go to the scoring tasks."""
     n = benign.count()

@@ -259,7 +259,7 @@ def attach_block(spark, d):
 @query("train_detector")
 def detector(spark, d):
     s = stored(split_flows(spark, d), "split")
-    fitted = train_detector(s.where("split = 'train'"), FEATURES, "label", rounds=5)
+    fitted = train_detector(s.where("split = 'train'"), FEATURES, "label", rounds=5, depth=5)
     val, test = (score(s.where(f"split = '{p}'"), fitted, "p") for p in ("val", "test"))
     flagged = test.crossJoin(F.broadcast(X.best_f1_grid(val, "label", "p").select("threshold"))).withColumn("pred", (F.col("p") >= F.col("threshold")).cast("int"))
     return X.binary_metrics(X.confusion(flagged, "label", "pred"))
@@ -276,12 +276,12 @@ def multiclass(spark, d):
 @query("ensemble")
 def ensemble_of_shards(spark, d):
     s = stored(split_flows(spark, d).withColumn("shard", F.col("supp") % 2), "split")
-    return ensemble(*[s.where(f"split = '{p}'") for p in ("train", "val", "test")], "shard", "row_id", FEATURES, "label", rounds=3)
+    return ensemble(*[s.where(f"split = '{p}'") for p in ("train", "val", "test")], "shard", "row_id", FEATURES, "label", rounds=3, depth=5)
 
 
 def _with_anomaly(spark, d):
     s = stored(split_flows(spark, d), "split")
-    return isolation_scores(s, s.where("split = 'train' and label = 0"), FEATURES, ["row_id"], trees=25)
+    return isolation_scores(s, s.where("split = 'train' and label = 0"), FEATURES, ["row_id"], trees=25, sample=256)
 
 
 @query("isolation_scores")
