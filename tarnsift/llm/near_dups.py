@@ -197,18 +197,19 @@ def _grouped(docs: DataFrame, odd: bool, width: int, percent: int, bands: int, r
     roots = components(links)
 
     # what is left: buckets that hold several components
-    labelled = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "a", "members")
+    labelled = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "a")
     several = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     held = stored(labelled.join(several, "band", "left_semi").join(classes.select("node", "n_shingles", "sketch"), "node"), "held")
     share = 1 - (100 - percent) / 100
     floor = max(rows, math.floor(bins * share - 6.5 * math.sqrt(bins * share * (1 - share))))
-    of_comp = held.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    of_comp = held.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.max("members").alias("members"))
     largest = F.max(F.struct("n", "s", "comp"))
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
-    bands_ = of_comp.groupBy("band").agg(largest.alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).select(
-        "band", F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.s")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("others")
+    salts = F.ceil(F.col("members") / BLOCK).cast("int")  # a band of many members is joined in salted parts
+    bands_ = of_comp.groupBy("band").agg(largest.alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("members").alias("members")).select(
+        "band", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.s")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("others")
     )
-    placed = held.join(bands_, "band").withColumn("odd", F.col("comp") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("odd"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
+    placed = held.withColumn("salt", F.pmod(F.xxhash64("node", "band"), salts).cast("int")).join(bands_, ["band", "salt"]).withColumn("odd", F.col("comp") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("odd"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
     # an odd member meets every block of the largest component (kind 0) and every block of odd ones (kind 1)
     meet = lambda kind, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("block")))
     dealt = placed.withColumn("other", F.explode(F.when(F.col("odd"), F.concat(meet(0, F.col("mains")), meet(1, F.col("others")))).otherwise(meet(0, F.col("others")))))
