@@ -126,6 +126,25 @@ def test_components_of_a_long_chain(spark):
     assert {(r["node"], r["root"]) for r in components(links).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
 
 
+def test_components_around_hubs(spark, monkeypatch):
+    from tarnsift.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", 5)
+    r = random.Random(3)
+    links = [(7, i) for i in range(8, 60)] + [(i, 200) for i in range(60, 90)] + [(r.randint(300, 330), r.randint(300, 360)) for _ in range(30)] + [(59, 1)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert {(x["node"], x["root"]) for x in components(spark.createDataFrame(links, "a long, b long")).collect()} == {(n, find(n)) for n in root if find(n) != n}
+
+
 def brute_removed(items, window=20):
     seen, out = set(), {}
     for i, t in items:
