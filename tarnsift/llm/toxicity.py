@@ -33,6 +33,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"[^\W\d_a-zß-öø-ÿ]{6,}")
+#: What a voter's correlation with the class is drawn to, by the weight of about a hundredth of a pair of voters.
+BELIEF = 0.6
 #: Lexicons that terms are dealt into.
 LEXICONS = 16
 #: The first two vote; the others sum up the terms' hits and are for the classifier alone.
@@ -160,7 +162,8 @@ def _from_moments(rows: np.ndarray, count: np.ndarray, share: float) -> tuple[np
     """(vote rates by class, correlations that the class leaves unexplained), from how often pairs of voters agree: apart from
     dependent pairs, correlations are the product of what each voter has with the class. The product is fitted to all pairs
     by least absolute deviations, which the few dependent pairs do not move; pairs that nearly always agree (0.8 and more), as
-    a word and its beginning do, are dependent to begin with. Voters are taken to be better than chance."""
+    a word and its beginning do, are dependent to begin with. Voters are taken to be better than chance, and a voter without any
+    independent pair to have the correlation BELIEF with the class."""
     w = count / count.sum()
     mean = w @ rows
     sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
@@ -169,7 +172,7 @@ def _from_moments(rows: np.ndarray, count: np.ndarray, share: float) -> tuple[np
     with_class = np.sqrt(np.clip(np.where(off, corr, 0).sum(axis=1) / max(len(mean) - 1, 1), 1e-3, 0.9))
     for _ in range(100):
         weight = (off & (corr < 0.8)) / (np.abs(corr - np.outer(with_class, with_class)) + 0.01)
-        fitted = (weight * corr) @ with_class / np.maximum(weight @ (with_class * with_class), 1e-9)
+        fitted = ((weight * corr) @ with_class + BELIEF) / (weight @ (with_class * with_class) + 1)
         with_class = 0.5 * with_class + 0.5 * np.clip(fitted, 1e-3, 0.98)
     apart = with_class * sd / np.sqrt(share * (1 - share))
     rates = np.clip(np.stack([mean - share * apart, mean + (1 - share) * apart]), 1e-4, 1 - 1e-4)
