@@ -199,10 +199,14 @@ def shard_balanced(df: DataFrame, label: str, key: list[str], n_rsu: int, n_veh:
     # the last rank of client i is the greatest k with floor((k - 1) * clients / n) <= i
     ends = F.transform(F.sequence(F.lit(0), F.lit(clients - 2)), lambda i: F.struct(i.alias("at"), F.ceil((i + 1) * F.col("_n") / clients).alias("rank"))) if clients > 1 else F.array().cast("array<struct<at:int,rank:bigint>>")
     bounds = bounds_at(hashed, order, counts.select(label, F.explode(ends).alias("e")).select(label, "e.at", "e.rank"), (label,), UNIT)
-    lists = bounds.groupBy(label).agg(F.collect_list("bound").alias("_ends"))
-    met = met_with(hashed, lists, (label,), counts.count())
-    client = F.coalesce(F.size(F.filter("_ends", lambda b: b < standing(order))), F.lit(0))
-    return met.withColumn("_client", client).withColumn("rsu", F.floor(F.col("_client") / n_veh).cast("int")).withColumn("vehicle", (F.col("_client") % n_veh).cast("int")).drop("_h", "_ends", "_client")
+    if 1 < clients <= 64:  # spelled out, so that codegen runs the comparisons
+        places = list(range(clients - 1))
+        met = upto_bounds(hashed, order, bounds, places, (label,), counts.count())
+        met = met.withColumn("_client", sum(((~F.col(f"_b{i}")).cast("int") for i in places), F.lit(0))).drop(*[f"_b{i}" for i in places])
+    else:
+        met = met_with(hashed, bounds.groupBy(label).agg(F.collect_list("bound").alias("_ends")), (label,), counts.count())
+        met = met.withColumn("_client", F.coalesce(F.size(F.filter("_ends", lambda b: b < standing(order))), F.lit(0))).drop("_ends")
+    return met.withColumn("rsu", F.floor(F.col("_client") / n_veh).cast("int")).withColumn("vehicle", (F.col("_client") % n_veh).cast("int")).drop("_h", "_client")
 
 
 def allocate(total: int, weights: list[float], low: int | list[int] = 0, high: int | list[int] | None = None) -> list[int]:
