@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from tarnsift.llm import chat, near_dups, substrings, topk
+from tarnsift.llm import chat, lines, near_dups, substrings, topk
 from tarnsift.llm.chat import op5_chat
 from tarnsift.llm.fingerprints import op6_fingerprints
 from tarnsift.llm.languages import op7_languages
+from tarnsift.llm.lines import op11_lines
 from tarnsift.llm.mixing import op3_mixing
 from tarnsift.llm.near_dups import op1_near_dups
 from tarnsift.llm.packing import op10_packing
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_pages": op9_pages,
     "op10_packing": op10_packing,
+    "op11_lines": op11_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_topk": topk.ORACLE_SQL,
     "op5_chat": chat.ORACLE_SQL,
     "op8_substrings": substrings.ORACLE_SQL,
+    "op11_lines": lines.ORACLE_SQL,
 }
