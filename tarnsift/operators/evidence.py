@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from tarnsift.functions.clean import is_sha256_hex
 from tarnsift.operators.metrics import describe_nearest_rank, wilson_interval
-from tarnsift.operators.primitives import bucketed_rank, join_keys, with_bucket
+from tarnsift.operators.primitives import bucketed_rank, join_keys, placed
+from tarnsift.sources.shared import stored
 
 ZERO_LEAF = "00" * 32
 
@@ -300,7 +301,8 @@ def finality_latency(receipts: DataFrame, heads: DataFrame) -> DataFrame:
     and over the later buckets; no receipt is joined with more than one row."""
     seen = heads.groupBy("block").agg(F.min("seen_at").alias("seen_at"))
     blocks = seen.unionByName(receipts.select("block").where("block is not null").distinct().withColumn("seen_at", F.lit(None).cast(seen.schema["seen_at"].dataType)))
-    dealt = with_bucket(blocks.groupBy("block").agg(F.min("seen_at").alias("seen_at")), "block")
+    each = stored(blocks.groupBy("block").agg(F.min("seen_at").alias("seen_at")), "blocks")
+    dealt = placed(each, ["block"], each.count())
     later = dealt.groupBy("_bucket").agg(F.min("seen_at").alias("s")).select("_bucket", F.min("s").over(W.orderBy(F.col("_bucket").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
     inside = F.min("seen_at").over(W.partitionBy("_bucket").orderBy(F.col("block").desc()))
     first = dealt.withColumn("_here", inside).join(later, "_bucket").select("block", F.least("_here", "_later").alias("final_at"))

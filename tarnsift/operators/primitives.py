@@ -7,8 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Buckets that quantiles are taken for, and that hashes are cut into by arithmetic to find places in their order.
-BUCKETS, FINE = 64, 4096
+from tarnsift.sources.shared import stored
+
+#: Rows of a bucket, about: what one task sorts at once. Beyond MOST buckets they grow, and Spark's sort spills.
+BUCKET_ROWS, MOST = 1 << 17, 20_000
+#: Least and most buckets that hashes are cut into by arithmetic, to find places in their order.
+FINE, FINEST = 4096, 1 << 20
 
 
 def hash_unit(*key: Column | str, seed: int = 42) -> Column:
@@ -22,32 +26,6 @@ def hash_unit(*key: Column | str, seed: int = 42) -> Column:
 UNIT = "unit"
 
 
-def _as_number(df: DataFrame, key: str) -> Column:
-    kind = df.schema[key].dataType
-    if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(key).cast("timestamp_ntz")).cast("double")
-    if isinstance(kind, T.StringType):  # the first six bytes: texts in order have numbers in order
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(key), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(key).cast("double")
-
-
-def with_bucket(df: DataFrame, key: str, cuts=None, name: str = "_bucket", buckets: int | None = None) -> DataFrame:
-    """A bucket that never falls as the key rises; equal keys share one, and null keys have the bucket null. cuts: the bounds,
-    or UNIT (then `buckets` of them, by default four for each shuffle partition); else approximate quantiles of the key,
-    BUCKETS numbers that reach the driver. The comparisons are spelled out so that codegen runs them and the key is computed once."""
-    if cuts == UNIT:
-        n = buckets or max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        return df.withColumn(name, F.least(F.floor(F.col(key) * n), F.when(F.col(key).isNotNull(), n - 1)).cast("int"))
-    number = df.withColumn("_number", _as_number(df, key))
-    if cuts is None:
-        found = number.agg(F.percentile_approx("_number", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0]
-        cuts = sorted(set(found or []))
-    bucket = F.when(F.col(key).isNotNull(), 0)
-    for c in cuts:
-        bucket = bucket + (F.col("_number") > F.lit(float(c))).cast("int")
-    return number.withColumn(name, bucket).drop("_number")
-
-
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join by equal keys in which null equals null; the keys stand once, from the left side."""
     renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
@@ -57,35 +35,68 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, met, how).drop(*[f"_same_{k}" for k in keys])
 
 
-def bucketed_rank(df: DataFrame, order: list, by: tuple[str, ...] = (), cuts=None, out: str = "rank") -> DataFrame:
-    """1-based exact rank by `order` (the first key decides the bucket), within `by`; null groups are groups, null keys stand
-    last. A task sorts one bucket of one group; the offsets come from a table of groups x buckets."""
-    keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    rest = [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order[1:]]
-    dealt = with_bucket(df.withColumn("_k", keys[0]), "_k", cuts)
-    counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_ahead", F.sum("_n").over(W.partitionBy(*by).orderBy(F.col("_bucket").asc_nulls_last())) - F.col("_n")).drop("_n")
-    ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(F.col("_k").asc_nulls_last(), *rest)))
-    return join_keys(ranked, before, [*by, "_bucket"]).withColumn(out, F.col("_r") + F.col("_ahead")).drop("_k", "_bucket", "_r", "_ahead")
-
-
-def bounds_at(df: DataFrame, order: list[str], wanted: DataFrame, by: tuple[str, ...] = (), cuts=None) -> DataFrame:
-    """by, at, bound: for each row (by, at, rank) of wanted the place in `order` of the row of that rank within `by` (the first key
-    decides the bucket, and null stands last in it). Only rows of the buckets that hold a wanted rank are sorted: a split by
-    position is one comparison of `standing` with a bound, and no whole row of df is shuffled for it."""
-    dealt = with_bucket(df.select(*by, *order), order[0], cuts, buckets=FINE)
+def ascending(order: list) -> list[Column]:
+    """The keys of an order, names as ascending keys whose nulls stand last."""
+    return [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order]
+
+
+def placed(df: DataFrame, order: list, rows: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """df, stored, with _bucket and _place: a sample sort. Splitters are drawn from a sample of whole order keys, as many as the
+    rows need, so a first key that most rows share, or texts that begin alike, are cut by what follows in the order; only rows
+    that are equal in all keys must share a bucket. _place rises with the order, by one from row to row inside a bucket."""
+    buckets = min(MOST, max(1, -(-rows // bucket_rows)))
+    keys = ascending(order)
+    spread = df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    return stored(spread, "order").withColumn("_bucket", F.shiftright("_place", 33))  # the id's upper bits are the partition
+
+
+def bucketed_rank(df: DataFrame, order: list, by: tuple[str, ...] = (), out: str = "rank", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """1-based exact rank by `order` within `by`; null groups are groups, null keys stand last. Rows are sample-sorted by group
+    and order together, so a group of any size is spread over as many tasks as it needs; where each group begins in each
+    bucket and how many of its rows stand in earlier ones is a table of buckets + groups rows. A table of no more rows than one
+    bucket has is ranked as one."""
+    rows = df.count()
+    if rows <= bucket_rows:
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*ascending(order))).cast("long"))
+    there = placed(df, [*by, *order], rows, bucket_rows)
+    starts = there.groupBy(*by, "_bucket").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    ahead = starts.withColumn("_ahead", F.sum("_n").over(W.partitionBy(*by).orderBy("_bucket")) - F.col("_n")).drop("_n")
+    return join_keys(there, ahead, [*by, "_bucket"]).withColumn(out, F.col("_place") - F.col("_first") + F.col("_ahead") + 1).drop("_place", "_bucket", "_first", "_ahead")
+
+
+def bounds_at(df: DataFrame, order: list[str], wanted: DataFrame, by: tuple[str, ...] = (), cuts=None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """by, at, bound: for each row (by, at, rank) of wanted the place in `order` of the row of that rank within `by`. A split by
+    position is one comparison with a bound, and no whole row of df is shuffled for it: only its keys are ranked. cuts=UNIT says
+    that the first key is spread evenly over [0, 1), as a hash is: rows are counted in buckets by arithmetic, and only the keys of the
+    buckets that hold a wanted rank are sorted."""
+    keys = df.select(*by, *order)
+    if cuts != UNIT:
+        return join_keys(bucketed_rank(keys, order, by, "rank", bucket_rows), wanted, [*by, "rank"]).select(*by, "at", standing(order).alias("bound"))
+    buckets = min(FINEST, max(FINE, df.count() // (bucket_rows // 4)))
+    dealt = keys.withColumn("_bucket", F.least(F.floor(F.col(order[0]) * buckets), F.when(F.col(order[0]).isNotNull(), buckets - 1)).cast("int"))
     counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
     upto = counts.withColumn("_upto", F.sum("_n").over(W.partitionBy(*by).orderBy(F.col("_bucket").asc_nulls_last())))
     there = join_keys(upto, wanted, list(by)) if by else upto.crossJoin(wanted)
     there = there.where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n"))).select(*by, "_bucket", "at", (F.col("rank") - F.col("_upto") + F.col("_n")).alias("_r"))
-    here = join_keys(dealt, there.select(*by, "_bucket").distinct(), [*by, "_bucket"], "left_semi").withColumn("bound", standing(order))
-    ranked = here.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("bound"))).select(*by, "_bucket", "_r", "bound")
+    here = join_keys(dealt, there.select(*by, "_bucket").distinct(), [*by, "_bucket"], "left_semi")
+    ranked = here.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(*ascending(order)))).select(*by, "_bucket", "_r", standing(order).alias("bound"))
     return join_keys(ranked, there, [*by, "_bucket", "_r"]).select(*by, "at", "bound")
 
 
 def standing(order: list[str]) -> Column:
-    """A row's place in an order, as a structure that compares as the order does: rows whose first key is null stand last."""
-    return F.struct(F.col(order[0]).isNull().alias("_none"), *order)
+    """A row's keys in an order, as one value."""
+    return F.struct(*[F.col(o).alias(f"k{i}") for i, o in enumerate(order)])
+
+
+def upto(order: list[str], bound: Column) -> Column:
+    """Whether a row stands at or before a bound, nulls last. Spelled out key by key, so that codegen runs it and later keys are
+    looked at only where the earlier ones are equal."""
+    out = F.lit(True)
+    for i, o in reversed(list(enumerate(order))):
+        own, end = F.col(o), bound[f"k{i}"]
+        before = F.coalesce(own < end, own.isNotNull() & end.isNull())
+        out = before | (own.eqNullSafe(end) & out)
+    return out
 
 
 #: Groups whose bounds are broadcast to the rows; with more of them the rows are joined by a shuffle.
@@ -100,19 +111,23 @@ def met_with(df: DataFrame, small: DataFrame, by: tuple[str, ...], groups: int)
 def upto_bounds(df: DataFrame, order: list[str], bounds: DataFrame, places: list[int], by: tuple[str, ...] = (), groups: int = 1) -> DataFrame:
     """df with _b<at> for each of places: whether the row stands at or before the bound; false where there is none."""
     wide = bounds.groupBy(*by).agg(*[F.first(F.when(F.col("at") == i, F.col("bound")), ignorenulls=True).alias(f"_b{i}") for i in places])
-    return met_with(df, wide, by, groups).withColumns({f"_b{i}": F.coalesce(standing(order) <= F.col(f"_b{i}"), F.lit(False)) for i in places})
-
-
-def prefix_sums(df: DataFrame, key: str, sums: list[str], by: tuple[str, ...] = (), cuts=None) -> DataFrame:
-    """df, whose rows have distinct keys within `by`, with cum_<c>: the sum of c over all rows up to the key. A null key stands last."""
-    dealt = with_bucket(df, key, cuts)
-    totals = dealt.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    over = W.partitionBy(*by).orderBy(F.col("_bucket").asc_nulls_last())
+    return met_with(df, wide, by, groups).withColumns({f"_b{i}": F.col(f"_b{i}").isNotNull() & upto(order, F.col(f"_b{i}")) for i in places})
+
+
+def prefix_sums(df: DataFrame, key: str, sums: list[str], by: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """df, whose rows have distinct keys within `by`, with cum_<c>: the sum of c over all rows up to the key. A null key stands
+    last. Rows are sample-sorted by group and key; a table of no more rows than one bucket has is summed as one."""
+    kept = stored(df, "sums")
+    rows = kept.count()
+    if rows <= bucket_rows:
+        return kept.withColumns({f"cum_{c}": F.sum(c).over(W.partitionBy(*by).orderBy(F.col(key).asc_nulls_last())) for c in sums})
+    there = placed(kept, [*by, key], rows, bucket_rows)
+    totals = there.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    over = W.partitionBy(*by).orderBy("_bucket")
     ahead = totals.select(*by, "_bucket", *[(F.sum(f"_t_{c}").over(over) - F.col(f"_t_{c}")).alias(f"_a_{c}") for c in sums])
-    inside = W.partitionBy(*by, "_bucket").orderBy(F.col(key).asc_nulls_last())
-    summed = dealt.withColumns({f"_s_{c}": F.sum(c).over(inside) for c in sums})
-    summed = join_keys(summed, ahead, [*by, "_bucket"])
-    return summed.withColumns({f"cum_{c}": F.col(f"_s_{c}") + F.col(f"_a_{c}") for c in sums}).drop("_bucket", *[f"_{p}_{c}" for p in "sa" for c in sums])
+    inside = there.withColumns({f"_s_{c}": F.sum(c).over(W.partitionBy(*by, "_bucket").orderBy("_place")) for c in sums})
+    summed = join_keys(inside, ahead, [*by, "_bucket"])
+    return summed.withColumns({f"cum_{c}": F.col(f"_s_{c}") + F.col(f"_a_{c}") for c in sums}).drop("_bucket", "_place", *[f"_{p}_{c}" for p in "sa" for c in sums])
 
 
 def membership_flag(df: DataFrame, reference: DataFrame, key: str, out: str = "seen") -> DataFrame:
@@ -122,7 +137,9 @@ def membership_flag(df: DataFrame, reference: DataFrame, key: str, out: str = "s
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, score, pos, neg, cum_pos, cum_neg: the exact curve over distinct scores, ascending. Rows without a score are
-    one row of score null after all others."""
-    counts = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    """by, score, pos, neg, cum_pos, cum_neg: the exact curve over distinct scores, ascending. Rows without a score (null, NaN) are
+    one row of score null after all others. by and score must not be named as one of the counts."""
+    own = F.col(score)
+    known = F.when(~F.isnan(own), own) if isinstance(df.schema[score].dataType, (T.DoubleType, T.FloatType)) else own
+    counts = df.select(*by, known.alias(score), F.col(label).alias("_label")).groupBy(*by, score).agg(F.count_if(F.col("_label") == 1).alias("pos"), F.count_if(F.col("_label") == 0).alias("neg"))
     return prefix_sums(counts, score, ["pos", "neg"], by)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnsift.operators.primitives import UNIT, bounds_at, bucketed_rank, hash_unit, join_keys, met_with, prefix_sums, standing, upto_bounds
+from tarnsift.operators.primitives import UNIT, bounds_at, bucketed_rank, hash_unit, join_keys, met_with, prefix_sums, upto, upto_bounds
 
 
 def _ranks(df: DataFrame, fields: str, rows: list[tuple]) -> DataFrame:
@@ -50,13 +50,14 @@ def hash_split(df: DataFrame, key: list[str], fracs: tuple[float, float, float]
 
 
 def group_split(df: DataFrame, group: str, fracs: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """No group in two parts; the fractions are of groups, not of rows."""
-    groups = df.select(group).distinct()
+    """No group in two parts; the fractions are of groups, not of rows. Two bounds in the order of the groups' hashes decide: rows are
+    compared with them, not joined with their groups."""
+    hashed, order = df.withColumn("_h", hash_unit(group, seed=seed)), ["_h", group]
+    groups = hashed.select(*order).distinct()
     n = groups.count()
-    ranked = bucketed_rank(groups.withColumn("_h", hash_unit(group, seed=seed)), ["_h", group], cuts=UNIT, out="_rank")
-    first, second = (int(n * f + 0.5) for f in (fracs[0], fracs[0] + fracs[1]))  # half up, as SQL rounds
-    part = F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= second, "val").otherwise("test")
-    return join_keys(df, ranked.select(group, part.alias("split")), [group])
+    ends = [(i, int(n * f + 0.5)) for i, f in enumerate((fracs[0], fracs[0] + fracs[1]))]  # half up, as SQL rounds
+    met = upto_bounds(hashed, order, bounds_at(groups, order, _ranks(df, "at int, rank long", ends), cuts=UNIT), [0, 1])
+    return met.withColumn("split", F.when(F.col("_b0"), "train").when(F.col("_b1"), "val").otherwise("test")).drop("_h", "_b0", "_b1")
 
 
 def overlap_counts(df: DataFrame, group: str, split: str = "split") -> DataFrame:
@@ -149,12 +150,14 @@ def leave_one_class_out(df: DataFrame, family: str, group: str, families: list[s
     or calibration are marked removed. All families in one job."""
     part = group_split(df, group, fracs, seed).withColumnRenamed("split", "_part")
     spec = df.sparkSession.createDataFrame([(f,) for f in families], "held_out string")
-    each = part.crossJoin(F.broadcast(spec))
-    own = F.col(family) == F.col("held_out")
+    # a group of the first two parts is in training or calibration beside a held-out family if it holds another one: decided once a row
+    learnt = F.col("_part") != "test"
+    mixed = part.where(learnt).groupBy(group).agg(F.min(F.struct(family)).alias("_least"), F.max(F.struct(family)).alias("_most")).where("_least <> _most").select(group, F.lit(True).alias("_mixed"))
+    each = join_keys(part, mixed, [group], "left").crossJoin(F.broadcast(spec))
+    own = F.coalesce(F.col(family) == F.col("held_out"), F.lit(False))
     role = F.when(own, "test").when(F.col("_part") == "train", "train").when(F.col("_part") == "val", "cal").when(F.col(family) == benign, "test")
-    each = each.withColumn("role", role).where("role is not null").drop("_part")
-    seen = each.where("role <> 'test'").select("held_out", group).distinct().withColumn("_seen", F.lit(True))
-    return join_keys(each, seen, ["held_out", group], "left").withColumn("removed", (F.col("role") == "test") & F.coalesce("_seen", F.lit(False))).drop("_seen")
+    each = each.withColumn("role", role).where("role is not null")
+    return each.withColumn("removed", own & learnt & F.coalesce("_mixed", F.lit(False))).drop("_part", "_mixed")
 
 
 def oversample_minority(df: DataFrame, label: str, key: list[str], seed: int = 42, max_rows: int | None = None) -> DataFrame:
@@ -205,7 +208,7 @@ def shard_balanced(df: DataFrame, label: str, key: list[str], n_rsu: int, n_veh:
         met = met.withColumn("_client", sum(((~F.col(f"_b{i}")).cast("int") for i in places), F.lit(0))).drop(*[f"_b{i}" for i in places])
     else:
         met = met_with(hashed, bounds.groupBy(label).agg(F.collect_list("bound").alias("_ends")), (label,), counts.count())
-        met = met.withColumn("_client", F.coalesce(F.size(F.filter("_ends", lambda b: b < standing(order))), F.lit(0))).drop("_ends")
+        met = met.withColumn("_client", F.coalesce(F.size(F.filter("_ends", lambda b: ~upto(order, b))), F.lit(0))).drop("_ends")
     return met.withColumn("rsu", F.floor(F.col("_client") / n_veh).cast("int")).withColumn("vehicle", (F.col("_client") % n_veh).cast("int")).drop("_h", "_client")
 
 
