@@ -190,10 +190,10 @@ def share_evaluated(queries: DataFrame, vectors: DataFrame, k: int, **sizes) ->
     return seen / max(1, queries.distinct().count() * vectors.distinct().count())
 
 
-def whole_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id and floor(scale * x) of each component; rows with null vectors or null or non-finite components are left out."""
+def whole_vectors(embeddings: DataFrame, scale: int = 64, more: list[str] | None = None) -> DataFrame:
+    """vec_id, the columns `more` and floor(scale * x) of each component; rows with null vectors or null or non-finite components are left out."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
-    return embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite)).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
+    return embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite)).select(F.col("vec_id").cast("long"), *(more or []), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
