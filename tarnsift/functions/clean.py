@@ -113,9 +113,21 @@ def metrics_to_micros(df: DataFrame, cols: list[str], scale: int = 1_000_000) ->
 
 
 def canonical_decimal(c: Column) -> Column:
-    """Non-negative decimal text without exponent or trailing zeros; null for anything else."""
-    plain = F.when(F.trim(c).rlike(r"^\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.trim(c).try_cast("decimal(38,18)").cast("string"))
-    return F.when(plain.isNotNull(), F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", ""))
+    """Non-negative decimal text without exponent, leading or trailing zeros, of any number of digits: the point is moved in the
+    text. Null and blank text give 0; anything that isn't such a number, or has an exponent of more than nine digits, null."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    number = r"^\+?(?:([0-9]+)\.?([0-9]*)|\.([0-9]+))(?:[eE]([+-]?[0-9]{1,9}))?$"
+    group = lambda i: F.coalesce(F.regexp_extract(text, number, i), F.lit(""))
+    whole, part = group(1), F.concat(group(2), group(3))
+    digits = F.concat(whole, part)
+    point = F.length(whole) + F.coalesce(F.when(group(4) != "", group(4).cast("int")), F.lit(0))
+    size = F.length(digits)
+    left = F.when(point <= 0, "").when(point >= size, F.rpad(digits, point, "0")).otherwise(F.substring(digits, F.lit(1), point))
+    right = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).when(point >= size, "").otherwise(F.substring(digits, point + 1, size))
+    left, right = F.regexp_replace(left, r"^0+", ""), F.regexp_replace(right, r"0+$", "")
+    plain = F.concat(F.when(left == "", "0").otherwise(left), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
+    zero = F.regexp_replace(digits, "0", "") == ""  # whatever its exponent
+    return F.when(text == "", "0").when(text.rlike(number), F.when(zero, "0").otherwise(plain))
 
 
 def is_sha256_hex(c: Column) -> Column:

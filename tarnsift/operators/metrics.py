@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnsift.operators.primitives import join_keys, prefix_sums, score_counts
+from tarnsift.operators.quantiles import with_quantiles
 
 Z95 = 1.959963984540054
 
@@ -43,13 +44,29 @@ def wilson_interval(df: DataFrame, k: str, n: str, z: float = Z95) -> DataFrame:
     return df.withColumn("wilson_low", F.when(some, F.greatest(F.lit(0.0), middle - half))).withColumn("wilson_high", F.when(some, F.least(F.lit(1.0), middle + half)))
 
 
+def is_finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def _plain(df: DataFrame, by: tuple[str, ...], **cols: str | Column) -> tuple[DataFrame, tuple[str, ...]]:
+    """Groups and columns under names of this module's own, so that no name of the caller's meets one of a count."""
+    keys = tuple(f"_by{i}" for i in range(len(by)))
+    return df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *[(F.col(c) if isinstance(c, str) else c).alias(f"_{n}") for n, c in cols.items()]), keys
+
+
+def _named(by: tuple[str, ...]) -> list[Column]:
+    return [F.col(f"_by{i}").alias(b) for i, b in enumerate(by)]
+
+
 def roc_auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), one_class: float | None = None) -> DataFrame:
-    """by, auc: exact with ties (Mann-Whitney); one_class where a class is missing. Rows without a
-    score have no place in the order and are left out (score_counts counts them)."""
-    curve = score_counts(df, label, score, by)
-    scored = lambda c: F.sum(F.when(F.col(score).isNotNull(), c))
-    sums = curve.groupBy(*by).agg(scored(F.col("pos")).alias("p"), scored(F.col("neg")).alias("n"), scored(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)).alias("u"))
-    return sums.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / F.col("p") / F.col("n")).otherwise(F.lit(one_class).cast("double")).alias("auc"))
+    """by, auc: exact with ties (Mann-Whitney); one_class where a class is missing. Rows without a finite
+    score have no place in the order and are left out; a group that has no other rows stands with one_class."""
+    rows, keys = _plain(df, by, y=label, s=score)
+    s = F.col("_s").cast("double")
+    curve = score_counts(rows.withColumn("_s", F.when(is_finite(s), s)), "_y", "_s", keys)
+    scored = lambda c: F.sum(F.when(F.col("_s").isNotNull(), c))
+    sums = curve.groupBy(*keys).agg(scored(F.col("pos")).alias("_p"), scored(F.col("neg")).alias("_n"), scored(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)).alias("_u"))
+    return sums.select(*_named(by), F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / F.col("_p") / F.col("_n")).otherwise(F.lit(one_class).cast("double")).alias("auc"))
 
 
 def log_loss(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), eps: float = 1e-7) -> DataFrame:
@@ -78,62 +95,66 @@ def ece(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
     return out.select(F.when((F.col("y") == 0) | (F.col("y") == F.col("n")), 0.0).otherwise(F.col("gap") / F.col("n")).alias("ece"))
 
 
-def best_f1_grid(df: DataFrame, label: str, score: str, low: float = 0.05, high: float = 0.95, points: int = 181) -> DataFrame:
-    """threshold, f1: the first best of an even grid. A score is mapped to its last threshold once; 0.5 without positives."""
+def best_f1_grid(df: DataFrame, label: str, score: str, low: float = 0.05, high: float = 0.95, points: int = 181, by: tuple[str, ...] = (), without: float = 0.5) -> DataFrame:
+    """by, threshold, f1: the first best of an even grid; `without` positives that threshold and 0. A score is mapped to its last
+    threshold once. Rows without a score (null, NaN) reach no threshold: their positives count as missed."""
     step = (high - low) / (points - 1)
-    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("g"), F.round(F.lit(low) + F.col("id") * F.lit(step), 10).alias("threshold"))
-    g = F.floor((F.col(score) - low) / step + 1e-9)
-    at = df.select(F.greatest(F.lit(-1), F.least(F.lit(points - 1), g)).cast("int").alias("g"), F.col(label).alias("y")).groupBy("g").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    onwards = W.orderBy(F.col("g").desc())
-    curve = grid.join(at, "g", "left").na.fill(0, ["pos", "neg"]).select("g", "threshold", F.sum("pos").over(onwards).alias("tp"), F.sum("neg").over(onwards).alias("fp"))
-    total = df.agg(F.count_if(F.col(label) == 1).alias("p"))
-    f1 = F.round(ratio(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p")), 12)
-    best = curve.crossJoin(total).withColumn("f1", f1).agg(F.min_by(F.struct("threshold", "f1"), F.struct(-F.col("f1"), F.col("g"))).alias("b"), F.max("p").alias("p"))
-    return best.select(F.when(F.col("p") > 0, F.col("b.threshold")).otherwise(0.5).alias("threshold"), F.when(F.col("p") > 0, F.col("b.f1")).otherwise(0.0).alias("f1"))
-
-
-def is_finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("_g"), F.round(F.lit(low) + F.col("id") * F.lit(step), 10).alias("_t"))
+    rows, keys = _plain(df, by, y=label, s=score)
+    s = F.col("_s").cast("double")
+    g = F.when(s.isNotNull() & ~F.isnan(s), F.greatest(F.lit(-1.0), F.least(F.lit(float(points - 1)), F.floor((F.greatest(F.lit(-1e9), F.least(F.lit(1e9), s)) - low) / step + 1e-9)))).otherwise(-1.0)
+    at = rows.select(*keys, g.cast("int").alias("_g"), "_y").groupBy(*keys, "_g").agg(F.count_if(F.col("_y") == 1).alias("_pos"), F.count_if(F.col("_y") == 0).alias("_neg"))
+    total = at.groupBy(*keys).agg(F.coalesce(F.sum("_pos"), F.lit(0)).alias("_p"))
+    onwards = W.partitionBy(*keys).orderBy(F.col("_g").desc())
+    curve = join_keys(total.crossJoin(F.broadcast(grid)), at, [*keys, "_g"], "left").na.fill(0, ["_pos", "_neg"])
+    curve = curve.withColumn("_tp", F.sum("_pos").over(onwards)).withColumn("_fp", F.sum("_neg").over(onwards))
+    f1 = F.round(ratio(2.0 * F.col("_tp"), F.col("_tp") + F.col("_fp") + F.col("_p")), 12)
+    best = curve.withColumn("_f1", f1).groupBy(*keys).agg(F.min_by(F.struct("_t", "_f1"), F.struct(-F.col("_f1"), F.col("_g"))).alias("_b"), F.max("_p").alias("_p"))
+    return best.select(*_named(by), F.when(F.col("_p") > 0, F.col("_b._t")).otherwise(without).alias("threshold"), F.when(F.col("_p") > 0, F.col("_b._f1")).otherwise(0.0).alias("f1"))
 
 
 def best_f1_exact(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
     """by, threshold, f1: best over all distinct scores, clamped to [0, 1] before they are compared, lowest threshold on ties; 0.5
     without two classes or where no threshold gives an f1 above 0. Rows without a score (null, NaN) reach no threshold: their
     positives count as missed."""
-    s = F.col(score).cast("double")
+    rows, keys = _plain(df, by, y=label, s=score)
+    s = F.col("_s").cast("double")
     clamped = F.when(s.isNotNull() & ~F.isnan(s), F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
-    curve = score_counts(df.select(*by, label, clamped.alias(score)), label, score, by)
-    scored = lambda c: F.coalesce(F.sum(F.when(F.col(score).isNotNull(), F.col(c))), F.lit(0))
-    totals = curve.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), scored("pos").alias("_sp"), scored("neg").alias("_sn"))
-    both = join_keys(curve, totals, list(by)) if by else curve.crossJoin(totals)
+    curve = score_counts(rows.withColumn("_s", clamped), "_y", "_s", keys)
+    has = F.col("_s").isNotNull()
+    scored = lambda c: F.coalesce(F.sum(F.when(has, F.col(c))), F.lit(0))
+    totals = curve.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), scored("pos").alias("_sp"), scored("neg").alias("_sn"))
+    both = join_keys(curve, totals, list(keys)) if keys else curve.crossJoin(totals)
     tp, fp = F.col("_sp") - F.col("cum_pos") + F.col("pos"), F.col("_sn") - F.col("cum_neg") + F.col("neg")
     f1 = F.round(ratio(2.0 * tp, tp + fp + F.col("_p")), 12)
-    best = both.withColumn("_f1", f1).groupBy(*by).agg(F.max_by(F.struct(F.col(score).alias("t"), F.col("_f1").alias("f")), F.when(F.col(score).isNotNull(), F.struct(F.col("_f1"), -F.col(score)))).alias("b"), F.max("_p").alias("p"), F.max("_n").alias("n"))
-    good = (F.col("p") > 0) & (F.col("n") > 0) & (F.col("b.f") > 0)
-    return best.select(*by, F.when(good, F.col("b.t")).otherwise(0.5).alias("threshold"), F.when(good, F.col("b.f")).otherwise(0.0).alias("f1"))
+    best = both.withColumn("_f1", f1).groupBy(*keys).agg(F.max_by(F.struct(F.col("_s").alias("t"), F.col("_f1").alias("f")), F.when(has, F.struct(F.col("_f1"), -F.col("_s")))).alias("_b"), F.max("_p").alias("_p"), F.max("_n").alias("_n"))
+    good = (F.col("_p") > 0) & (F.col("_n") > 0) & (F.col("_b.f") > 0)
+    return best.select(*_named(by), F.when(good, F.col("_b.t")).otherwise(0.5).alias("threshold"), F.when(good, F.col("_b.f")).otherwise(0.0).alias("f1"))
 
 
 def fpr_statistic(df: DataFrame, score: str, targets: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """by, target, exceed: of benign scores the (floor(t * n) + 1)-th largest; a row is flagged if its score is above it.
     With t * n < 1 that is the maximum, so nothing benign is flagged. One curve serves all targets.
     Rows without a finite score are left out, of n too."""
-    counts = prefix_sums(df.where(is_finite(F.col(score))).groupBy(*by, score).agg(F.count("*").alias("c")), score, ["c"], by)
-    totals = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    joined = join_keys(counts, totals, list(by)) if by else counts.crossJoin(totals)
-    at_least = F.col("n") - F.col("cum_c") + F.col("c")  # benign scores not below this one
-    spec = df.sparkSession.createDataFrame([(float(t),) for t in targets], "target double")
-    rank = F.floor(F.col("target") * F.col("n") + 1e-9) + 1
-    return joined.crossJoin(F.broadcast(spec)).where(at_least >= rank).groupBy(*by, "target").agg(F.max(score).alias("exceed"))
+    rows, keys = _plain(df.where(is_finite(F.col(score))), by, s=score)
+    counts = prefix_sums(rows.groupBy(*keys, "_s").agg(F.count("*").alias("_c")), "_s", ["_c"], keys)
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    joined = join_keys(counts, totals, list(keys)) if keys else counts.crossJoin(totals)
+    at_least = F.col("_n") - F.col("cum__c") + F.col("_c")  # benign scores not below this one
+    spec = df.sparkSession.createDataFrame([(float(t),) for t in targets], "_target double")
+    rank = F.floor(F.col("_target") * F.col("_n") + 1e-9) + 1
+    best = joined.crossJoin(F.broadcast(spec)).where(at_least >= rank).groupBy(*keys, "_target").agg(F.max("_s").alias("_exceed"))
+    return best.select(*_named(by), F.col("_target").alias("target"), F.col("_exceed").alias("exceed"))
 
 
 def fpr_sensitivity(cal: DataFrame, test: DataFrame, label: str, score: str, targets: list[float]) -> DataFrame:
     """target, exceed and the binary metrics on test for each target; thresholds come from benign calibration rows. Each test row
     is put between two thresholds once and counted there; a target sums up the counts above its own. Test rows without a
-    score are left out."""
+    finite score are left out."""
     cuts = fpr_statistic(cal.where(F.col(label) == 0), score, targets).orderBy("exceed").collect()  # a row for each target
     above = sum(((F.col(score) > F.lit(r["exceed"])).cast("int") for r in cuts), F.lit(0))  # cuts ascend: it is above the first so many
     hit = lambda y: F.count_if(F.col(label) == y)
-    counts = test.where(F.col(score).isNotNull()).groupBy(above.alias("_above")).agg(hit(1).alias("_pos"), hit(0).alias("_neg"))
+    counts = test.where(is_finite(F.col(score))).groupBy(above.alias("_above")).agg(hit(1).alias("_pos"), hit(0).alias("_neg"))
     spec = test.sparkSession.createDataFrame([(r["target"], r["exceed"], i) for i, r in enumerate(cuts)], "target double, exceed double, _i int")
     flagged = F.col("_above") > F.col("_i")
     part = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).alias
@@ -144,30 +165,49 @@ def fpr_sensitivity(cal: DataFrame, test: DataFrame, label: str, score: str, tar
 def score_quantiles(df: DataFrame, score: str, by: tuple[str, ...], qs: list[float]) -> DataFrame:
     """by, n, q<percent>: interpolated quantiles of finite scores."""
     ok = df.where(is_finite(F.col(score)))
-    return ok.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile(score, F.lit(q)).alias(f"q{round(q * 100):02d}") for q in qs])
+    return with_quantiles(ok.groupBy(*by).agg(F.count("*").alias("n")), ok, score, {f"q{round(q * 100):02d}": q for q in qs}, by)
+
+
+#: What scores are told apart by when a model is judged: part and endpoint.
+CATEGORIES = ("calibration_benign", "calibration_attack", "test_benign", "test_seen_attack", "test_novel_attack")
+
+
+def score_categories(df: DataFrame, part: str, label: str, seen: Column) -> DataFrame:
+    """df with category: benign and attack rows of `cal`, benign rows of `test`, and its attacks by whether their class was seen in
+    training; rows of other parts, and without a label, go."""
+    at = lambda p, y: (F.col(part) == p) & (F.col(label) == y)
+    name = F.when(at("cal", 0), CATEGORIES[0]).when(at("cal", 1), CATEGORIES[1]).when(at("test", 0), CATEGORIES[2]).when(at("test", 1) & seen, CATEGORIES[3]).when(at("test", 1), CATEGORIES[4])
+    return df.withColumn("category", name).where(F.col("category").isNotNull())
 
 
 def finite_stats(df: DataFrame, col: str, by: tuple[str, ...] = ()) -> DataFrame:
     """n, mean, sample sd (0 for one value), median, min, max of finite values."""
     v = F.col(col)
     ok = df.where(is_finite(v))
-    return ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    stats = ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.when(F.count("*") > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    return with_quantiles(stats, ok, col, {"median": 0.5}, by).select(*by, "n", "mean", "sd", "median", "lo", "hi")
 
 
 def describe_nearest_rank(df: DataFrame, col: str, by: tuple[str, ...] = ()) -> DataFrame:
     """n, mean, median, population sd, min, max, nearest-rank p95; zeros without values."""
     v = F.col(col)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    p95 = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{col}`)")
-    return df.groupBy(*by).agg(F.count(v).alias("n"), zero(F.avg(v)).alias("mean"), zero(F.percentile(v, F.lit(0.5))).alias("median"), zero(F.stddev_pop(v)).alias("sd"), zero(F.min(v)).alias("lo"), zero(F.max(v)).alias("hi"), zero(p95).alias("p95"))
-
-
-def percentile_vs_reference(df: DataFrame, reference: DataFrame, score: str, out: str = "pct") -> DataFrame:
-    """df with the share of reference scores not above its own; counts of distinct scores, no join of rows with rows."""
-    tagged = df.select(F.col(score).alias("_s"), F.lit(0).alias("_r")).unionByName(reference.select(F.col(score).alias("_s"), F.lit(1).alias("_r")))
-    counts = prefix_sums(tagged.where("_s is not null").groupBy("_s").agg(F.sum("_r").alias("r")), "_s", ["r"])
-    total = reference.where(F.col(score).isNotNull()).agg(F.count("*").alias("_n"))
-    return df.join(counts.crossJoin(F.broadcast(total)).select(F.col("_s").alias(score), ratio(F.col("cum_r"), F.col("_n")).alias(out)), score, "left")
+    stats = df.groupBy(*by).agg(F.count(v).alias("n"), zero(F.avg(v)).alias("mean"), zero(F.stddev_pop(v)).alias("sd"), zero(F.min(v)).alias("lo"), zero(F.max(v)).alias("hi"))
+    out = with_quantiles(with_quantiles(stats, df, col, {"median": 0.5}, by), df, col, {"p95": 0.95}, by, nearest=True)
+    return out.select(*by, "n", "mean", zero(F.col("median")).alias("median"), "sd", "lo", "hi", zero(F.col("p95")).alias("p95"))
+
+
+def percentile_vs_reference(df: DataFrame, reference: DataFrame, score: str, out: str = "pct", by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the share of the reference scores of its own group `by` that are not above its score; null without a finite score,
+    0 where the group has no reference. Rows of both sides are counted by distinct score, no row is joined with rows."""
+    finite = lambda x: x.where(is_finite(F.col(score)))
+    tagged = lambda x, r: _plain(finite(x), by, s=F.col(score).cast("double"), r=F.lit(r))[0]
+    keys = tuple(f"_by{i}" for i in range(len(by)))
+    counts = tagged(df, 0).unionByName(tagged(reference, 1)).groupBy(*keys, "_s").agg(F.sum("_r").alias("_r"))
+    curve = prefix_sums(counts, "_s", ["_r"], keys)
+    total = curve.groupBy(*keys).agg(F.sum("_r").alias("_n"))
+    shares = (join_keys(curve, total, list(keys)) if keys else curve.crossJoin(F.broadcast(total))).select(*_named(by), F.col("_s").alias("_reached"), ratio(F.col("cum__r"), F.col("_n")).alias(out))
+    return join_keys(df.withColumn("_reached", F.col(score).cast("double")), shares, [*by, "_reached"], "left").drop("_reached")
 
 
 def multiclass_confusion(df: DataFrame, label: str, probs: list[str], classes: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnsift.functions.clean import finite_or_null
+from tarnsift.operators.quantiles import exact_quantiles
 
 
 def _stacked(row: DataFrame, parts: list[tuple[str, str, str]]) -> DataFrame:
@@ -14,10 +15,14 @@ def _stacked(row: DataFrame, parts: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def fit_imputer(train: DataFrame, cols: list[str], approximate: bool = False) -> DataFrame:
-    """Interpolated medians; approximate: by rank, for wide or very large tables."""
-    f = (lambda c: F.percentile_approx(c, 0.5)) if approximate else (lambda c: F.percentile(c, F.lit(0.5)))
-    row = train.agg(*[f(finite_or_null(F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(cols)])
-    return _stacked(row, [(c, "median", f"m{i}") for i, c in enumerate(cols)])
+    """Interpolated medians of finite values, by radix selection for all columns at once; null for a column without any.
+    approximate: by rank, in one pass."""
+    if approximate:
+        row = train.agg(*[F.percentile_approx(finite_or_null(F.col(c).cast("double")), 0.5).alias(f"m{i}") for i, c in enumerate(cols)])
+        return _stacked(row, [(c, "median", f"m{i}") for i, c in enumerate(cols)])
+    found = exact_quantiles(train, cols, [0.5]).select(F.col("column").alias("_c"), F.get("values", F.lit(0)).cast("string").alias("value"))
+    names = train.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(F.broadcast(found), F.col("column") == F.col("_c"), "left").select("column", F.lit("median").alias("kind"), "value")
 
 
 def impute(df: DataFrame, model: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnsift.operators.metrics import binary_metrics, confusion, finite_stats, ratio, roc_auc
+from tarnsift.operators.quantiles import with_quantiles
 
 
 def block_profile(df: DataFrame, block: str, ts: str, label: str, family: str) -> DataFrame:
@@ -49,8 +50,8 @@ def per_attack_recall(folds: DataFrame, label: str, family: str, key: str, score
     hit = lambda cond: F.count_if(cond & (F.col(pred) == 1))
     out = attacks.groupBy("fold", family, "endpoint").agg(
         F.count("*").alias("n_rows"), hit(F.lit(True)).alias("_all"), F.count_if("_seen").alias("seen_rows"), hit(F.col("_seen")).alias("_s"), hit(~F.col("_seen")).alias("_u"),
-        *[F.percentile(score, F.lit(q)).alias(f"q{round(q * 100)}") for q in (0.1, 0.5, 0.9)],
     )
+    out = with_quantiles(out, attacks, score, {"q10": 0.1, "q50": 0.5, "q90": 0.9}, ("fold", family, "endpoint"))
     unseen = F.col("n_rows") - F.col("seen_rows")
     return out.withColumns({"recall": ratio(F.col("_all"), F.col("n_rows")), "unseen_rows": unseen, "seen_recall": ratio(F.col("_s"), F.col("seen_rows")), "unseen_recall": ratio(F.col("_u"), unseen)}).drop("_all", "_s", "_u")
 

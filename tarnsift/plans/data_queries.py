@@ -224,10 +224,16 @@ def metrics_to_micros(spark, d):
     return x.groupBy("l_linenumber").agg(F.sum("tax").alias("tax"), F.sum("less").alias("less"))
 
 
-@query("canonical_decimal", "SELECT DISTINCT CAST(l_tax AS VARCHAR) AS raw, CASE WHEN l_tax = 0 THEN '0' ELSE CAST(l_tax AS VARCHAR) END AS plain FROM lineitem")
+@query("canonical_decimal", f"""SELECT DISTINCT CAST(l_tax AS VARCHAR) AS raw, CASE WHEN l_tax = 0 THEN '0' ELSE CAST(l_tax AS VARCHAR) END AS plain FROM lineitem
+ UNION SELECT '00' || l_orderkey || '.' || repeat('0', 20) || l_linenumber || '000', l_orderkey || '.' || repeat('0', 20) || l_linenumber FROM lineitem
+ UNION SELECT l_orderkey || 'e-25', CASE WHEN l_orderkey = 0 THEN '0' ELSE '0.' || rtrim(lpad(l_orderkey::VARCHAR, 25, '0'), '0') END FROM lineitem UNION SELECT l_orderkey || '.5E+30', CASE WHEN l_orderkey = 0 THEN '' ELSE l_orderkey::VARCHAR END || '5' || repeat('0', 29) FROM lineitem""")
 def canonical_decimal(spark, d):
-    x = table(spark, d, "lineitem").select(F.col("l_tax").cast("string").alias("raw")).distinct()
-    return x.select("raw", C.canonical_decimal(F.concat("raw", F.lit("00"))).alias("plain"))
+    """Numbers of few and of many digits; the taxes are given two more zeros."""
+    x = table(spark, d, "lineitem")
+    key, line = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    tax = x.select(F.col("l_tax").cast("string").alias("raw")).distinct().select("raw", C.canonical_decimal(F.concat("raw", F.lit("00"))).alias("plain"))
+    long = x.select(F.explode(F.array(F.concat(F.lit("00"), key, F.lit("." + "0" * 20), line, F.lit("000")), F.concat(key, F.lit("e-25")), F.concat(key, F.lit(".5E+30")))).alias("raw")).distinct()
+    return tax.unionByName(long.select("raw", C.canonical_decimal(F.col("raw")).alias("plain")))
 
 
 @query("sha256_shape", "SELECT count(*) AS n, count(*) FILTER (doc_id % 3 <> 0) AS good FROM documents")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tarnsift.operators import metrics as X
 from tarnsift.operators import split as P
 from tarnsift.operators import temporal as T
+from tarnsift.operators.boosting import Settings
 from tarnsift.operators.model import isolation_scores, open_set_report, score, score_multiclass, train_detector, train_multiclass, ensemble
 from tarnsift.plans.data_queries import SPLIT, r6, split_flows
-from tarnsift.plans.inputs import FEATURES, FLOWS, ID_SUM, flows, id_sum, table
+from tarnsift.plans.inputs import FEATURES, FLOWS, ID_SUM, flows, id_sum, table, unit
 from tarnsift.plans.registry import Registry
 from tarnsift.sources.shared import stored
 
@@ -254,39 +257,137 @@ def attach_block(spark, d):
 
 
 # ---- models ------------------------------------------------------------------------------------------------------------
-
-
-@query("train_detector")
+# The models are small: 3 rounds of depth 3, 25 isolation trees of 256 rows.
+
+SMALL = Settings(rounds=3, depth=3, min_child_weight=20.0, subsample=0.5)
+FAMILIES = ["A-F", "A-O", "BENIGN", "R-F", "R-O"]
+
+
+def boosted_sql(s: Settings, k: int, y: str, model: str = "0", weigh: bool = True) -> str:
+    """CTEs that boost as the library does, over the table s of split flows (row_id, split, q, d, t); `scored` has row_id, split,
+    label, family, model, m (margins) at the end. Rows that don't train are led through the trees with them."""
+    sign = "(CASE WHEN {g} > 0 THEN 1 WHEN {g} < 0 THEN -1 ELSE 0 END)"
+    weight = lambda g, h: f"greatest(-{s.max_step}, least({s.max_step}, -{sign.format(g=g)} * greatest(abs({g}) - {s.l1}, 0) / ({h} + {s.l2})))"
+    value = lambda g, h: f"(-(2 * {g} * {weight(g, h)} + ({h} + {s.l2}) * {weight(g, h)} * {weight(g, h)} + 2 * {s.l1} * abs({weight(g, h)})))"
+    step = lambda g, h: f"({s.rate} * {weight(g, h)})"
+    qs = [i / s.bins for i in range(1, s.bins)]
+    models = f"mo AS MATERIALIZED (SELECT model, row_number() OVER (ORDER BY model) - 1 AS mi FROM (SELECT DISTINCT {model} AS model FROM s WHERE split = 'train')),"
+    base = "ln(np / nn)" if k == 1 else "0"
+    w = f"CASE WHEN y = 1 THEN {'nn / np' if weigh else '1'} ELSE 1 END" if k == 1 else "1"
+    out = [
+        models,
+        f"ed AS MATERIALIZED (SELECT {', '.join(f'list_sort(list_distinct(quantile_cont({c}, {qs}))) AS e{i}' for i, c in enumerate(FEATURES))} FROM s WHERE split = 'train'),",
+        f"pr AS MATERIALIZED (SELECT mi, count(*) FILTER (label = 1) AS np, count(*) FILTER (label = 0) AS nn FROM s JOIN mo ON mo.model = {model} WHERE split = 'train' GROUP BY 1),",
+        f"""st0 AS MATERIALIZED (SELECT row_id, split, label, family, y, mi, CASE WHEN split = 'train' THEN {w} ELSE 0 END AS w, u, b, [{', '.join([base] * k)}]::DOUBLE[] AS m FROM (
+ SELECT s.*, {y} AS y, pr.mi, np, nn, ({unit('row_id', s.seed)} * 4294967296)::BIGINT AS u, [{', '.join(f'len(list_filter(e{i}, lambda e: {c} > e))' for i, c in enumerate(FEATURES))}] AS b FROM s, ed, pr{' WHERE split <> ' + repr('train') + ' OR mi = (SELECT mi FROM mo WHERE model = ' + model + ')' if model != '0' else ''})),""",
+    ]
+    for r in range(s.rounds):
+        turn = unit(f"u || '|{r}'", s.seed)
+        drawn = f"split = 'train' AND {turn} < {s.subsample}" if s.subsample < 1 else "split = 'train'"
+        if k == 1:
+            p = "(1 / (1 + exp(-m[1])))"
+            derivatives = f"SELECT row_id, mi, 1 AS k, w * ({p} - y) AS g, w * {p} * (1 - {p}) AS h, b, {drawn} AS learns FROM st{r}"
+        else:
+            p = "(exp(m[k] - list_max(m)) / list_sum(list_transform(m, lambda x: exp(x - list_max(m)))))"
+            derivatives = f"SELECT row_id, mi, k, ({p} - (y = k - 1)::INTEGER) AS g, 2 * {p} * (1 - {p}) AS h, b, {drawn} AS learns FROM st{r}, range(1, {k + 1}) c(k)"
+        out.append(f"l{r}_0 AS MATERIALIZED (SELECT *, 0 AS node, TRUE AS open, 0.0::DOUBLE AS v FROM ({derivatives})),")
+        for n in range(s.depth):
+            here = f"l{r}_{n}"
+            over = "PARTITION BY mi, k, node, f"
+            out.append(f"s{here} AS MATERIALIZED (SELECT mi, k, node, f, b[f] AS c, sum(g) AS g, sum(h) AS h FROM {here}, range(1, {len(FEATURES) + 1}) x(f) WHERE open AND learns GROUP BY ALL),")
+            out.append(f"w{here} AS MATERIALIZED (SELECT *, gt - gl AS gr, ht - hl AS hr FROM (SELECT mi, k, node, f, c, round(sum(g) OVER ({over} ORDER BY c), 9) AS gl, round(sum(h) OVER ({over} ORDER BY c), 9) AS hl, round(sum(g) OVER ({over}), 9) AS gt, round(sum(h) OVER ({over}), 9) AS ht FROM s{here})),")
+            gain = f"round({value('gl', 'hl')} + {value('gr', 'hr')} - {value('gt', 'ht')}, 6)"
+            out.append(f"""c{here} AS MATERIALIZED (SELECT t.*, f, c, gl, hl, gr, hr FROM (SELECT mi, k, node, arg_min(gt, f) AS gt, arg_min(ht, f) AS ht FROM w{here} GROUP BY ALL) t LEFT JOIN (
+ SELECT * FROM (SELECT *, {gain} AS gain FROM w{here} WHERE hl >= {s.min_child_weight} AND hr >= {s.min_child_weight}) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY mi, k, node ORDER BY gain DESC, f, c) = 1) USING (mi, k, node)),""")
+            out.append(f"""l{r}_{n + 1} AS MATERIALIZED (SELECT l.row_id, l.mi, l.k, l.g, l.h, l.b, l.learns, CASE WHEN f IS NULL THEN l.node ELSE 2 * l.node + 1 + (l.b[f] > c)::INTEGER END AS node, l.open AND f IS NOT NULL AS open,
+ CASE WHEN NOT l.open OR x.mi IS NULL THEN v WHEN f IS NULL THEN {step('gt', 'ht')} WHEN l.b[f] > c THEN {step('gr', 'hr')} ELSE {step('gl', 'hl')} END AS v FROM {here} l LEFT JOIN c{here} x ON l.open AND x.mi = l.mi AND x.k = l.k AND x.node = l.node),""")
+        out.append(f"v{r} AS MATERIALIZED (SELECT row_id, mi, list(v ORDER BY k) AS v FROM l{r}_{s.depth} GROUP BY ALL),")
+        out.append(f"st{r + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (m), [m[i] + v[i] FOR i IN range(1, {k + 1})] AS m FROM st{r} t JOIN v{r} USING (row_id, mi)),")
+    return "\n ".join(out) + f"\n scored AS MATERIALIZED (SELECT * FROM st{s.rounds})"
+
+
+_GRID = "g AS (SELECT i, round(0.05 + i * ((0.95 - 0.05) / 180), 10)::DOUBLE AS threshold FROM range(181) r(i))"
+
+
+def grid_sql(name: str, rows: str, score: str, by: str = "0") -> str:
+    """The first best threshold of the even grid by `by`."""
+    return f"""{name}0 AS (SELECT {by} AS mi, label, least(180, greatest(-1, floor(({score} - 0.05::DOUBLE) / ((0.95::DOUBLE - 0.05::DOUBLE) / 180) + 1e-9))) AS g FROM {rows}), {name}1 AS (SELECT mi, g, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM {name}0 GROUP BY ALL),
+ {name} AS (SELECT mi, arg_min(threshold, (-f1, i)) AS threshold, max(f1) AS f1 FROM (SELECT x.mi, i, threshold, round(2.0::DOUBLE * coalesce(sum(p) FILTER (x.g >= i), 0) / (coalesce(sum(p + n) FILTER (x.g >= i), 0) + sum(p)), 12) AS f1 FROM {name}1 x, g GROUP BY ALL) GROUP BY 1)"""
+
+
+_SCORE = "1 / (1 + exp(-m[1]))"
+
+
+@query("train_detector", f"WITH {SPLIT}, {boosted_sql(SMALL, 1, 'label')}, p AS (SELECT split, label, {_SCORE} AS score FROM scored), {_GRID}, {grid_sql('t', '(SELECT * FROM p WHERE split = ' + repr('val') + ')', 'score')}, c AS (SELECT {CONF} FROM (SELECT label, (score >= threshold)::INTEGER AS pred FROM p, t WHERE split = 'test')) SELECT *, {METRICS} FROM c")
 def detector(spark, d):
     s = stored(split_flows(spark, d), "split")
-    fitted = train_detector(s.where("split = 'train'"), FEATURES, "label", rounds=5, depth=5)
+    fitted = train_detector(s.where("split = 'train'"), FEATURES, "label", ["row_id"], SMALL)
     val, test = (score(s.where(f"split = '{p}'"), fitted, "p") for p in ("val", "test"))
     flagged = test.crossJoin(F.broadcast(X.best_f1_grid(val, "label", "p").select("threshold"))).withColumn("pred", (F.col("p") >= F.col("threshold")).cast("int"))
-    return X.binary_metrics(X.confusion(flagged, "label", "pred"))
+    return rounded(X.binary_metrics(X.confusion(flagged, "label", "pred")))
 
 
-@query("train_multiclass")
+@query("train_multiclass", f"""WITH {SPLIT}, {boosted_sql(SMALL, len(FAMILIES), f"list_position({FAMILIES}, family) - 1")}, n AS (SELECT family, {FAMILIES}[list_position(m, list_max(m))] AS pred FROM scored WHERE split = 'test'),
+ k AS (SELECT unnest({FAMILIES}) AS class), m AS (SELECT class, count(*) FILTER (family = class) AS s, count(*) FILTER (pred = class) AS p, count(*) FILTER (family = class AND pred = class) AS tp FROM k, n GROUP BY 1)
+ SELECT class, s AS support, round(CASE WHEN p = 0 THEN 0 ELSE tp / p END, 6) AS precision, round(CASE WHEN s = 0 THEN 0 ELSE tp / s END, 6) AS recall, round(CASE WHEN p + s = 0 THEN 0 ELSE 2 * tp / (p + s) END, 6) AS f1 FROM m""")
 def multiclass(spark, d):
     s = stored(split_flows(spark, d), "split")
-    fitted = train_multiclass(P.cap_per_class(s.where("split = 'train'"), "family", ["row_id"], 5000), FEATURES, "family", trees=10)
+    fitted = train_multiclass(s.where("split = 'train'"), FEATURES, "family", ["row_id"], SMALL)
     test = score_multiclass(s.where("split = 'test'"), fitted)
-    return X.per_class_metrics(X.multiclass_confusion(test, "family", [f"p{i}" for i in range(len(fitted[2]))], fitted[2]), "family")
+    return rounded(X.per_class_metrics(X.multiclass_confusion(test, "family", [f"p{i}" for i in range(len(fitted.classes))], fitted.classes), "family"), ("precision", "recall", "f1"))
+
+
+def auc_sql(name: str, rows: str, score: str) -> str:
+    return f"{name}0 AS (SELECT {score} AS v, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM {rows} GROUP BY 1), {name} AS (SELECT round(sum(p * (cn - n / 2)) / nullif(sum(p), 0) / nullif(sum(n), 0), 6) AS auc FROM (SELECT *, sum(n) OVER (ORDER BY v) AS cn FROM {name}0))"
 
 
-@query("ensemble")
+@query("ensemble", f"""WITH {SPLIT}, {boosted_sql(SMALL, 1, 'label', 'supp % 2')}, p AS (SELECT row_id, mi, split, label, {_SCORE} AS score FROM scored), {_GRID}, {grid_sql('t', '(SELECT * FROM p WHERE split = ' + repr('val') + ')', 'score', 'mi')},
+ fu AS (SELECT row_id, split, label, avg(score) AS fused FROM p WHERE split <> 'train' GROUP BY ALL), vc AS (SELECT fused, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM fu WHERE split = 'val' GROUP BY 1),
+ vw AS (SELECT fused, round(2.0::DOUBLE * tp / (tp + fp + pp), 12) AS f1 FROM (SELECT fused, sum(p) OVER (ORDER BY fused DESC) AS tp, sum(n) OVER (ORDER BY fused DESC) AS fp, sum(p) OVER () AS pp FROM vc)), cut AS (SELECT arg_max(fused, (f1, -fused)) AS threshold FROM vw),
+ best AS (SELECT arg_max(mi, (f1, -mi)) AS best_model, arg_max(threshold, (f1, -mi)) AS best_threshold FROM t), own AS (SELECT label, score, (score >= best_threshold)::INTEGER AS pred FROM p, best WHERE mi = best_model AND split = 'test'),
+ {auc_sql('fa', '(SELECT * FROM fu WHERE split = ' + repr('test') + ')', 'fused')}, {auc_sql('ba', 'own', 'score')}, bc AS (SELECT {CONF} FROM own), c AS (SELECT {CONF} FROM (SELECT label, (fused >= threshold)::INTEGER AS pred FROM fu, cut WHERE split = 'test'))
+ SELECT c.*, {METRICS}, (SELECT round(threshold, 6) FROM cut) AS threshold, (SELECT auc FROM fa) AS auc, (SELECT round(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2*tp/(2*tp+fp+fn) END, 6) FROM bc) AS best_f1, (SELECT auc FROM ba) AS best_auc, CAST(best_model AS INTEGER) AS best_model, round(best_threshold, 6) AS best_threshold FROM c, best""")
 def ensemble_of_shards(spark, d):
     s = stored(split_flows(spark, d).withColumn("shard", F.col("supp") % 2), "split")
-    return ensemble(*[s.where(f"split = '{p}'") for p in ("train", "val", "test")], "shard", "row_id", FEATURES, "label", rounds=3, depth=5)
+    return rounded(ensemble(*[s.where(f"split = '{p}'") for p in ("train", "val", "test")], "shard", "row_id", FEATURES, "label", settings=SMALL), (*NAMES, "threshold", "auc", "best_f1", "best_auc", "best_threshold"))
+
+
+TREES, SAMPLE = 25, 256
+
+
+def isolation_sql(trees: int, sample: int, cap: int = 150_000, seed: int = 42) -> str:
+    """CTEs that grow the forest on benign training rows of s and score all rows; `anomalies` is s with anomaly."""
+    deepest = math.ceil(math.log2(sample))
+    ends = ", ".join(f"min({c}) AS lo{i}, max({c}) AS hi{i}" for i, c in enumerate(FEATURES))
+    spans = ", ".join(f"{{'f': {i}, 'lo': lo{i}, 'hi': hi{i}}}" for i in range(len(FEATURES)))
+    rest = "CASE WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649) - 2 * (n - 1) / n WHEN n = 2 THEN 1 ELSE 0 END"
+    out = [
+        "be AS MATERIALIZED (SELECT * FROM s WHERE split = 'train' AND label = 0), bn AS (SELECT count(*) AS nb FROM be),",
+        f"""r0 AS MATERIALIZED (SELECT tree, 0 AS node, {', '.join(FEATURES)} FROM be, bn, range({trees}) x(tree) WHERE {unit('row_id', seed)} < {cap} / nb::DOUBLE AND {unit("row_id || '|' || tree", seed + 1)} < {sample} / least(nb, {cap})::DOUBLE),""",
+    ]
+    for level in range(deepest + 1):
+        inner = "n > 1 AND own IS NOT NULL" if level < deepest else "FALSE"
+        out.append(f"""n{level} AS MATERIALIZED (SELECT tree, node, CASE WHEN {inner} THEN own.f END AS feature, CASE WHEN {inner} THEN own.lo + {unit("tree || '|' || node || '|cut'", seed)} * (own.hi - own.lo) END AS cut, CASE WHEN NOT ({inner}) THEN {rest} END AS rest
+ FROM (SELECT *, spans[floor({unit("tree || '|' || node || '|feature'", seed)} * len(spans))::INTEGER + 1] AS own FROM (SELECT *, list_filter([{spans}], lambda e: e.hi > e.lo) AS spans FROM (SELECT tree, node, count(*) AS n, {ends} FROM r{level} GROUP BY ALL)))),""")
+        if level < deepest:
+            out.append(f"r{level + 1} AS MATERIALIZED (SELECT r.tree, 2 * r.node + 1 + ([{', '.join(FEATURES)}][feature + 1] >= cut)::INTEGER AS node, {', '.join(FEATURES)} FROM r{level} r JOIN n{level} n ON r.tree = n.tree AND r.node = n.node AND feature IS NOT NULL),")
+    out.append(f"ns AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM n{level}' for level in range(deepest + 1))}),")
+    out.append(f"p0 AS MATERIALIZED (SELECT row_id, [{', '.join(FEATURES)}] AS x, tree, 0 AS node, 0 AS depth FROM s, (SELECT DISTINCT tree FROM ns)),")
+    for level in range(deepest):
+        out.append(f"p{level + 1} AS MATERIALIZED (SELECT row_id, x, p.tree, CASE WHEN feature IS NULL THEN p.node ELSE 2 * p.node + 1 + (x[feature + 1] >= cut)::INTEGER END AS node, depth + (feature IS NOT NULL)::INTEGER AS depth FROM p{level} p LEFT JOIN ns ON ns.tree = p.tree AND ns.node = p.node),")
+    norm = 2 * (math.log(sample - 1) + 0.5772156649) - 2 * (sample - 1) / sample
+    out.append(f"anomalies AS MATERIALIZED (SELECT s.*, anomaly FROM s JOIN (SELECT row_id, pow(2, -avg(depth + coalesce(rest, 0)) / {norm!r}::DOUBLE) AS anomaly FROM p{deepest} p LEFT JOIN ns ON ns.tree = p.tree AND ns.node = p.node GROUP BY 1) USING (row_id))")
+    return "\n ".join(out)
 
 
 def _with_anomaly(spark, d):
     s = stored(split_flows(spark, d), "split")
-    return isolation_scores(s, s.where("split = 'train' and label = 0"), FEATURES, ["row_id"], trees=25, sample=256)
+    return isolation_scores(s, s.where("split = 'train' and label = 0"), FEATURES, ["row_id"], trees=TREES, sample=SAMPLE)
 
 
-@query("isolation_scores")
+@query("isolation_scores", f"WITH {SPLIT}, {isolation_sql(TREES, SAMPLE)} SELECT split, family, count(*) AS n, round(avg(anomaly), 6) AS anomaly FROM anomalies GROUP BY ALL")
 def isolation(spark, d):
-    return _with_anomaly(spark, d).groupBy("split", "family").agg(F.count("*").alias("n"), F.avg("anomaly").alias("anomaly"))
+    return _with_anomaly(spark, d).groupBy("split", "family").agg(F.count("*").alias("n"), r6(F.avg("anomaly")).alias("anomaly"))
 
 
 @query("open_set_report")

@@ -14,7 +14,7 @@ from tarnsift.operators import split as P
 from tarnsift.operators.model import open_set_report
 from tarnsift.operators.primitives import hash_unit
 from tarnsift.plans.data_queries import CANDIDATES, SPLIT, holes, r6, split_flows
-from tarnsift.plans.evaluation_queries import CONF, METRICS, rounded
+from tarnsift.plans.evaluation_queries import CONF, METRICS, NAMES, rounded
 from tarnsift.plans.evidence_queries import CANON, FIELDS, receipts, records
 from tarnsift.plans.inputs import FEATURES, FLOWS, ID_SUM, flows, id_sum, table, unit
 from tarnsift.plans.registry import Registry
@@ -243,20 +243,33 @@ def receipt_latency(spark, d):
 _HELD = ["A-F", "R-F"]
 
 
-@query("open_set_rules", f"""WITH {SPLIT}, h AS (SELECT unnest(['A-F', 'R-F']) AS held_out), x AS (SELECT held_out, split, family, label, score, least(1.0::DOUBLE, t / 0.08::DOUBLE) AS nov FROM s, h),
+_RULE_SCORES = """CASE held_out WHEN 'A-F' THEN score ELSE score / 4 + 0.5 END AS sup, CASE held_out WHEN 'A-F' THEN least(1.0::DOUBLE, t / 0.08::DOUBLE) ELSE t + d END AS nov"""
+_AUC = "round(sum(p * (cn - n / 2)) / nullif(sum(p), 0) / nullif(sum(n), 0), 6)"
+
+
+@query("open_set_rules", f"""WITH {SPLIT}, h AS (SELECT unnest(['A-F', 'R-F']) AS held_out), x AS (SELECT held_out, split, family, label, {_RULE_SCORES} FROM s, h),
  cal AS (SELECT * FROM x WHERE split = 'val' AND family <> held_out), te AS (SELECT * FROM x WHERE split = 'test' AND (family = held_out OR label = 0)),
- c AS (SELECT held_out, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM cal GROUP BY ALL),
- w AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS fp, sum(p) OVER (PARTITION BY held_out) AS pp FROM c WINDOW o AS (PARTITION BY held_out ORDER BY score DESC)),
- f AS (SELECT held_out, arg_max(score, (f1, -score)) AS t_f1 FROM (SELECT *, round(2.0::DOUBLE * tp / (tp + fp + pp), 12) AS f1 FROM w) GROUP BY 1),
- b AS (SELECT held_out, score, nov, row_number() OVER (PARTITION BY held_out ORDER BY score DESC) AS rs, row_number() OVER (PARTITION BY held_out ORDER BY nov DESC) AS rn, count(*) OVER (PARTITION BY held_out) AS n FROM cal WHERE label = 0),
- th AS (SELECT held_out, max(score) FILTER (rs = floor(0.01::DOUBLE * n + 1e-9) + 1) AS t_fpr, max(score) FILTER (rs = floor(0.005::DOUBLE * n + 1e-9) + 1) AS t_s, max(nov) FILTER (rn = floor(0.005::DOUBLE * n + 1e-9) + 1) AS t_n FROM b GROUP BY 1),
- ps AS (SELECT score, (SELECT count(*) FROM b WHERE b.score <= q.score) / (SELECT count(*) FROM b) AS ps FROM (SELECT DISTINCT score FROM te) q), pn AS (SELECT nov, (SELECT count(*) FROM b WHERE b.nov <= q.nov) / (SELECT count(*) FROM b) AS pn FROM (SELECT DISTINCT nov FROM te) q),
- z AS (SELECT te.*, ps, pn, t_f1, t_fpr, t_s, t_n FROM te JOIN ps USING (score) JOIN pn USING (nov) JOIN f USING (held_out) JOIN th USING (held_out)),
- r AS (SELECT held_out, label, 'f1_threshold' AS rule, (score >= t_f1)::INTEGER AS pred FROM z UNION ALL SELECT held_out, label, 'fpr_1pct', (score > t_fpr)::INTEGER FROM z UNION ALL SELECT held_out, label, 'hybrid_or', (score > t_s OR nov > t_n)::INTEGER FROM z UNION ALL SELECT held_out, label, 'hybrid_percentile', (greatest(ps, pn) > 0.99)::INTEGER FROM z),
- k AS (SELECT held_out, rule, {CONF} FROM r GROUP BY ALL) SELECT *, {METRICS} FROM k""")
+ g AS (SELECT i, round(0.01 + i * ((0.99 - 0.01) / 198), 10)::DOUBLE AS threshold FROM range(199) r(i)), cg AS (SELECT *, least(198, greatest(-1, floor((sup - 0.01::DOUBLE) / ((0.99::DOUBLE - 0.01::DOUBLE) / 198) + 1e-9))) AS g FROM cal),
+ gc AS (SELECT held_out, g, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM cg GROUP BY ALL), pt AS (SELECT held_out, sum(p) AS pp FROM gc GROUP BY 1),
+ f0 AS (SELECT pt.held_out, i, threshold, round(2.0::DOUBLE * coalesce(sum(p) FILTER (gc.g >= i), 0) / (coalesce(sum(p + n) FILTER (gc.g >= i), 0) + any_value(pp)), 12) AS f1 FROM pt, g, gc WHERE gc.held_out = pt.held_out GROUP BY ALL),
+ f AS (SELECT held_out, arg_min(threshold, (-f1, i)) AS t_f1 FROM f0 GROUP BY 1),
+ b AS (SELECT held_out, sup, nov, row_number() OVER (PARTITION BY held_out ORDER BY sup DESC) AS rs, row_number() OVER (PARTITION BY held_out ORDER BY nov DESC) AS rn, count(*) OVER (PARTITION BY held_out) AS n FROM cal WHERE label = 0),
+ th AS (SELECT held_out, max(sup) FILTER (rs = floor(0.01::DOUBLE * n + 1e-9) + 1) AS t_fpr, max(sup) FILTER (rs = floor(0.005::DOUBLE * n + 1e-9) + 1) AS t_s, max(nov) FILTER (rn = floor(0.005::DOUBLE * n + 1e-9) + 1) AS t_n FROM b GROUP BY 1),
+ ps AS (SELECT held_out, sup, (SELECT count(*) FROM b WHERE b.sup <= q.sup AND b.held_out = q.held_out) / (SELECT count(*) FROM b WHERE b.held_out = q.held_out) AS ps FROM (SELECT DISTINCT held_out, sup FROM te) q),
+ pn AS (SELECT held_out, nov, (SELECT count(*) FROM b WHERE b.nov <= q.nov AND b.held_out = q.held_out) / (SELECT count(*) FROM b WHERE b.held_out = q.held_out) AS pn FROM (SELECT DISTINCT held_out, nov FROM te) q),
+ z AS (SELECT te.*, greatest(ps, pn) AS hy, t_f1, t_fpr, t_s, t_n FROM te JOIN ps USING (held_out, sup) JOIN pn USING (held_out, nov) JOIN f USING (held_out) JOIN th USING (held_out)),
+ r AS (SELECT held_out, label, 'f1_threshold' AS rule, t_f1 AS threshold, NULL::DOUBLE AS novelty_threshold, (sup >= t_f1)::INTEGER AS pred FROM z UNION ALL SELECT held_out, label, 'fpr_1pct', t_fpr, NULL, (sup > t_fpr)::INTEGER FROM z UNION ALL SELECT held_out, label, 'hybrid_or', t_s, t_n, (sup > t_s OR nov > t_n)::INTEGER FROM z),
+ sc AS (SELECT held_out, k, v, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM (SELECT held_out, label, unnest(['s', 'h', 'n']) AS k, unnest([sup, hy, nov]) AS v FROM z) GROUP BY ALL),
+ au AS (SELECT held_out, k, {_AUC} AS auc FROM (SELECT *, sum(n) OVER (PARTITION BY held_out, k ORDER BY v) AS cn FROM sc) GROUP BY ALL),
+ c AS (SELECT held_out, rule, round(threshold, 9) AS threshold, round(novelty_threshold, 9) AS novelty_threshold, {CONF} FROM r GROUP BY ALL)
+ SELECT c.*, {METRICS}, (SELECT auc FROM au WHERE au.held_out = c.held_out AND k = CASE WHEN rule = 'hybrid_or' THEN 'h' ELSE 's' END) AS auc, (SELECT auc FROM au WHERE au.held_out = c.held_out AND k = 'n') AS novelty_auc FROM c""")
 def open_set_rules(spark, d):
-    each = split_flows(spark, d).select("split", "family", "label", "score", F.least(F.lit(1.0), F.col("t") / 0.08).alias("nov"), F.explode(F.array(*[F.lit(x) for x in _HELD])).alias("held_out"))
-    each = stored(each, "open_set")
+    """The two families' scores are on scales of their own."""
+    own = F.col("held_out") == "A-F"
+    each = split_flows(spark, d).select("split", "family", "label", "score", "t", "d", F.explode(F.array(*[F.lit(x) for x in _HELD])).alias("held_out"))
+    each = each.withColumn("sup", F.when(own, F.col("score")).otherwise(F.col("score") / 4 + 0.5)).withColumn("nov", F.when(own, F.least(F.lit(1.0), F.col("t") / 0.08)).otherwise(F.col("t") + F.col("d")))
+    each = stored(each.select("split", "family", "label", "held_out", "sup", "nov"), "open_set")
     cal = each.where("split = 'val' and family <> held_out")
     test = each.where("split = 'test' and (family = held_out or label = 0)")
-    return rounded(open_set_report(cal, test, "label", "score", "nov", "held_out"))
+    got = rounded(open_set_report(cal, test, "label", "sup", "nov", "held_out"), (*NAMES, "auc", "novelty_auc"))
+    return got.withColumns({c: F.round(c, 9) for c in ("threshold", "novelty_threshold")})
