@@ -20,9 +20,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnsift.llm.common import WordHashes, hashed_words, in_chunks, mix64, repeats, table
+from tarnsift.sources.shared import stored
 
 WINDOW, GRAM = 20, 8
 _LEAST = -(1 << 63)
@@ -147,7 +149,9 @@ def _shared(batches):
 #: A stretch of windows that have an earlier occurrence: places at .. at + n - 1 from the row's first window, and where the first one's source starts.
 _COPY = np.dtype([("at", "u1"), ("n", "u1"), ("pos", "<i4"), ("d", "<i8")])
 _ROWS = "route long, gram_hash long, d long, tie long, low int, done int, windows binary, copies binary"
-_FACTORS = "d long, tie long, start int, n int, source_d long, source_pos int"
+_FACTORS = "d long, tie long, start int, n int, source_d long, source_pos int, gram_hash long, window_hash long"
+#: Different windows of one anchor that a task holds; of the rest each goes on by its own hash.
+HELD = 200_000
 
 
 def _first_of(key: np.ndarray, window_hash: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -210,9 +214,11 @@ def _compare_here(batches, window: int, gram: int):
             yield out.iloc[i : i + 50_000]
 
 
-def _compare_all(batches, window: int, gram: int):
+def _compare_all(batches, window: int, gram: int, most: int = HELD):
     """Stretches of windows that have an earlier occurrence: n from `start` on, with the source of the first. Rows come sorted by
-    route, document and place; of a route that goes on in the next batch only the different windows are held, with their sources."""
+    route, document and place; of a route that goes on in the next batch only different windows are held, with their sources,
+    and of an anchor that many documents have before unlike words no more than about `most`: from then on a window that is
+    neither among those held nor earlier in its batch goes on alone, with n = 0, its anchor and its hash."""
     width = window - gram + 1
     held, held_route = (np.empty(0, np.int64),) * 5, None
     for pdf in batches:
@@ -228,6 +234,7 @@ def _compare_all(batches, window: int, gram: int):
         start = low[rows] + np.nonzero(bits & (np.cumsum(bits, axis=1) <= sizes[:, None]))[1]
         before = held if held_route == route[0] else (np.empty(0, np.int64),) * 5
         n0 = len(before[0])
+        full = n0 >= most
         key, wh, doc, ties, at = (np.concatenate(x) for x in zip(before, (grams[rows], np.frombuffer(b"".join(pdf["windows"]), np.int64), d[rows], tie[rows], start)))
         source = _first_of(key, wh, doc, ties, at)
         own = np.arange(len(key))
@@ -235,11 +242,25 @@ def _compare_all(batches, window: int, gram: int):
         s, n = _stretches(rows[again - n0], at[again], doc[source[again]], at[source[again]])
         again = again[s]
         found.append((rows[again - n0], at[again], n, doc[source[again]], at[source[again]]))
+        alone = own[n0:][(source[n0:] == own[n0:]) & (route[rows] == held_route)] if full else own[:0]
         goes_on = (source == own) & np.concatenate([np.full(n0, route[0] == route[-1]), route[rows] == route[-1]])
+        goes_on[alone] = False
         held, held_route = tuple(x[goes_on] for x in (key, wh, doc, ties, at)), route[-1]
         row, start, n, source_d, source_pos = (np.concatenate(x) for x in zip(*found))
-        if len(row):
-            yield pd.DataFrame({"d": d[row], "tie": tie[row], "start": start.astype(np.int32), "n": n.astype(np.int32), "source_d": source_d, "source_pos": source_pos.astype(np.int32)})
+        none = np.zeros(len(row) + len(alone), np.int64)
+        mine = lambda x, y: np.concatenate([x, y])
+        if len(none):
+            yield pd.DataFrame({
+                "d": mine(d[row], doc[alone]), "tie": mine(tie[row], ties[alone]), "start": mine(start, at[alone]).astype(np.int32), "n": mine(n, none[: len(alone)]).astype(np.int32), "source_d": mine(source_d, none[: len(alone)]),
+                "source_pos": mine(source_pos, none[: len(alone)]).astype(np.int32), "gram_hash": mine(none[: len(row)], key[alone]), "window_hash": mine(none[: len(row)], wh[alone]),
+            })
+
+
+def _met_alone(windows: DataFrame) -> DataFrame:
+    """Of windows that went on alone those with an earlier one of equal anchor and hash, as stretches of one with the first as source."""
+    order = W.partitionBy("gram_hash", "window_hash").orderBy("d", "tie", "start")
+    met = windows.select("d", "tie", "start", F.row_number().over(order).alias("place"), F.first(F.struct("d", "start")).over(order).alias("first"))
+    return met.where("place > 1").select("d", "tie", "start", F.lit(1).alias("n"), F.col("first.d").alias("source_d"), F.col("first.start").alias("source_pos"))
 
 
 def parse(start: np.ndarray, n: np.ndarray, source_d: np.ndarray, source_pos: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +278,7 @@ def parse(start: np.ndarray, n: np.ndarray, source_d: np.ndarray, source_pos: np
     return begin, end - begin, source_d[first], source_pos[first] + begin - start[first]
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carried: tuple[str, ...] = (), held: int = HELD) -> tuple[DataFrame, DataFrame]:
     """(documents as d, tie, text and, numbered, the carried columns; d, tie, copies of those with repeated windows: stretches of
     windows and their sources). Both joins with the texts take the same columns, so the texts are shuffled once."""
     twice = repeats(docs, "doc_id")
@@ -267,7 +288,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ca
     shared = found.repartition("route").sortWithinPartitions("route", "gram_hash").mapInPandas(_shared, "d long, tie long, pos int")
     wanted = shared.groupBy("d", "tie").agg(F.collect_list("pos").alias("anchors"))
     here = anchors.join(wanted, ["d", "tie"]).mapInPandas(lambda it: _compare_here(it, window, gram), _ROWS)
-    copies = here.repartition("route").sortWithinPartitions("route", "d", "tie", "low").mapInPandas(lambda it: _compare_all(it, window, gram), _FACTORS)
+    compared = stored(here.repartition("route").sortWithinPartitions("route", "d", "tie", "low").mapInPandas(lambda it: _compare_all(it, window, gram, held), _FACTORS), "copies")
+    copies = compared.where("n > 0").drop("gram_hash", "window_hash").unionByName(_met_alone(compared.where("n = 0")))
     one = F.collect_list(F.struct("start", "n", "source_d", "source_pos"))
     return keyed, copies.groupBy("d", "tie").agg(one.alias("c")).select("d", "tie", *[F.col(f"c.{x}").alias(x) for x in _SOURCES])
 
@@ -298,14 +320,14 @@ def _cut(batches, window: int, with_text: bool):
         yield pd.concat([pdf.drop(columns=["tie", "text", *_SOURCES]).reset_index(drop=True), pd.DataFrame(out, columns=_CUT)], axis=1)
 
 
-def _removed(docs: DataFrame, window: int, gram: int, with_text: bool, carried: tuple[str, ...] = ()) -> DataFrame:
-    keyed, hits = repeated_windows(docs, window, gram, carried)
+def _removed(docs: DataFrame, window: int, gram: int, with_text: bool, carried: tuple[str, ...] = (), held: int = HELD) -> DataFrame:
+    keyed, hits = repeated_windows(docs, window, gram, carried, held)
     extra = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carried))
     fields = f"d long, {extra}n_words long, n_removed long, kept_sha256 string, kept_text string, factor_starts array<long>, factor_lengths array<long>, source_ids array<long>, source_starts array<long>"
     return keyed.join(hits, ["d", "tie"], "left").mapInPandas(lambda it: _cut(it, window, with_text), fields)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True, held: int = HELD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text, and the factors removed: factor_starts, factor_lengths (words),
     source_ids, source_starts (the document and word each is copied from) per row.
 
@@ -313,7 +335,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     doc_id and text are one document and get its result each; rows that share only the doc_id are ordered by a hash of
     the text. kept_text is the text itself if nothing goes, else the kept words joined by one space.
     """
-    return _removed(docs, window, gram, with_text).select(F.when(F.col("d") != _LEAST, F.col("d")).alias("doc_id"), *_CUT)
+    return _removed(docs, window, gram, with_text, held=held).select(F.when(F.col("d") != _LEAST, F.col("d")).alias("doc_id"), *_CUT)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

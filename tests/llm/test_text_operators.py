@@ -203,6 +203,37 @@ def test_parsing_of_texts_made_of_shared_passages(spark, seed):
     assert check_factors(items, found) > 60
 
 
+@pytest.mark.parametrize("held", [40, 10**9])
+def test_a_run_of_words_in_all_documents(spark, held):
+    """One anchor whose windows are unlike in most documents, some copies among them: whatever a task may hold, results are equal."""
+    r = random.Random(7)
+    run = [f"licence{i}" for i in range(8)]
+    tails = [[f"t{r.randrange(10**6)}" for _ in range(14)] for _ in range(40)]
+    items = [(i, " ".join([*(f"h{r.randrange(10**6)}" for _ in range(3)), *run, *(r.choice(tails) if r.random() < 0.3 else [f"x{r.randrange(10**6)}" for _ in range(14)])])) for i in range(400)]
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(5, "text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 25)
+    found = remove_repeats(df, held=held).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in found} == brute_removed(items)
+    assert check_factors(items, found) > 50
+
+
+def test_what_a_task_holds_of_one_anchor_is_bounded():
+    """250 000 rows of one route with unlike windows, in the memory of `most` of them."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from tarnsift.llm.substrings import _compare_all
+
+    n, size = 250_000, 5000
+    made = lambda i: pd.DataFrame({"route": 1, "gram_hash": 1, "d": np.arange(i, i + size), "tie": 0, "low": np.int32(0), "done": np.int32(0), "windows": [np.arange(13 * j, 13 * j + 13).tobytes() for j in range(i, i + size)], "copies": [b""] * size})
+    tracemalloc.start()
+    alone = sum(len(x) for x in _compare_all((made(i) for i in range(0, n, size)), 20, 8, most=20_000))
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20 and alone > 0.9 * 13 * n
+    tracemalloc.stop()
+
+
 def test_greedy_parse_merges_what_goes_on_and_cuts_at_the_end_of_a_source():
     got = [x.tolist() for x in parse(np.array([12, 0, 5, 40]), np.array([3, 5, 4, 1]), np.array([1, 9, 9, 7]), np.array([50, 100, 105, 0]))]
     assert got == [[0, 28, 40], [28, 6, 20], [9, 1, 7], [100, 66, 0]]
