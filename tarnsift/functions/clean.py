@@ -114,8 +114,8 @@ def metrics_to_micros(df: DataFrame, cols: list[str], scale: int = 1_000_000) ->
 
 def canonical_decimal(c: Column) -> Column:
     """Non-negative decimal text without exponent, leading or trailing zeros, of any number of digits: the point is moved in the
-    text. Null and blank text give 0; anything that isn't such a number, or has an exponent of more than nine digits, null."""
-    text = F.trim(F.coalesce(c, F.lit("")))
+    text. Blank text gives 0; null, and what isn't such a number or has an exponent of more than nine digits, null."""
+    text = F.trim(c)
     number = r"^\+?(?:([0-9]+)\.?([0-9]*)|\.([0-9]+))(?:[eE]([+-]?[0-9]{1,9}))?$"
     group = lambda i: F.coalesce(F.regexp_extract(text, number, i), F.lit(""))
     whole, part = group(1), F.concat(group(2), group(3))

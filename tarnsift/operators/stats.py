@@ -68,7 +68,7 @@ def bootstrap_exact(results: DataFrame, by: list[str], value: str, digits: int =
         ways = F.exp(_log_factorial("left") - _log_factorial("k") - _log_factorial(F.col("left") - F.col("k")))
         state = state.withColumn("k", F.explode(counts)).select(*by, "n", "v", (F.col("left") - F.col("k")).alias("left"), added.alias("total"), (F.col("orders") * F.when(F.col("left") <= 20, F.round(ways)).otherwise(ways)).alias("orders"))
         state = state.groupBy(*by, "n", "v", "left", "total").agg(F.sum("orders").alias("orders"))
-    means = state.groupBy(*by, F.round(F.col("total").cast("double") / F.col("n"), digits).alias("m")).agg(F.sum("orders").alias("w"))
+    means = state.groupBy(*by, F.round(F.col("total").cast("double") / F.col("n"), 12).alias("m")).agg(F.sum("orders").alias("w"))
     upto = means.withColumn("cum", F.sum("w").over(W.partitionBy(*by).orderBy("m"))).withColumn("all", F.sum("w").over(W.partitionBy(*by)))
     return upto.groupBy(*by).agg(F.min(F.when(F.col("cum") >= 0.025 * F.col("all"), F.col("m"))).alias("low"), F.min(F.when(F.col("cum") >= 0.975 * F.col("all"), F.col("m"))).alias("high"))
 
