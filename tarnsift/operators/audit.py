@@ -46,9 +46,9 @@ def duplicate_stats(df: DataFrame, key: list[str], split: str) -> DataFrame:
 def split_audit(df: DataFrame, key: list[str], split: str = "split", label: str = "label") -> DataFrame:
     """A row for each part: duplicate statistics, positives, rows whose key also stands in another part, and whether it is disjoint."""
     per_key = df.groupBy(split, *key).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    shared = per_key.groupBy(*key).agg(F.count("*").alias("_parts"))
-    null_safe = per_key.alias("l").join(shared.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]).select("l.*", "_parts")
-    out = null_safe.groupBy(split).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.sum("pos").cast("long").alias("positives"), F.sum(F.when(F.col("_parts") > 1, F.col("n")).otherwise(0)).alias("overlap_rows"))
+    parts = per_key.groupBy(*key).agg(F.collect_list(F.struct(split, "n", "pos")).alias("_l"))  # as many as the key has parts
+    each = parts.select(F.size("_l").alias("_parts"), F.explode("_l").alias("_e")).select("_parts", "_e.*")
+    out = each.groupBy(split).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.sum("pos").cast("long").alias("positives"), F.sum(F.when(F.col("_parts") > 1, F.col("n")).otherwise(0)).alias("overlap_rows"))
     return out.withColumn("duplicate_rows", F.col("n_rows") - F.col("n_keys")).withColumn("is_disjoint", F.col("overlap_rows") == 0)
 
 

@@ -55,9 +55,24 @@ def record_digest(df: DataFrame, cols: list[str], out: str = "digest") -> DataFr
     return canonical_json(df, cols, "_canonical").withColumn(out, F.sha2("_canonical", 256)).drop("_canonical")
 
 
-def is_canonical(text: Column, schema: str) -> Column:
-    """Whether the bytes are the canonical form of what they say: parsed as an object of this schema and written again, they are
-    the same. Text that isn't JSON, has other keys, another order of keys, blanks or other spellings is not."""
+def canonical_text(text: Column) -> Column:
+    """The canonical form of any JSON text, whatever its keys: keys sorted at every depth, no blanks, control characters as lower-case
+    escapes. Null for text that isn't JSON, holds a number with a point or an exponent, or a name twice in one object."""
+    bare = F.regexp_replace(text, r'"(\\.|[^"\\])*"', '""')
+    return F.when(~bare.rlike("[0-9][.eE]"), _escaped(F.to_json(F.try_parse_json(text))))
+
+
+def text_digest(text: Column) -> Column:
+    """sha256 of the canonical form, lower-case hex."""
+    return F.sha2(canonical_text(text), 256)
+
+
+def is_canonical(text: Column, schema: str | None = None) -> Column:
+    """Whether the bytes are the canonical form of what they say: parsed, as an object of this schema if one is given, and written
+    again, they are the same. Text that isn't JSON, has other keys than the schema, another order of keys, blanks or other
+    spellings is not."""
+    if schema is None:
+        return F.coalesce(canonical_text(text) == text, F.lit(False))
     kind = T.StructType.fromDDL(schema)
     for f in kind.fields:
         _refuse(f.dataType, f.name)
@@ -179,44 +194,43 @@ SECRET_ASSIGNMENT = r"(?i)\b(password|passwd|secret|api[_-]?key|private[_-]?key|
 ABSOLUTE_PATH = r"(?:^|[\s\"'=(])((?:/(?:home|Users|root|mnt|var|tmp)/|[A-Za-z]:\\\\)[^\s\"',;)]+)"
 
 
+# Phrases that an unfinished text still holds, and annotations that a chat tool leaves behind.
+STALE_PHRASES = ["PRIVATE STAGING PACKAGE", "DO NOT PUBLISH YET", "Add exact quick/full reproduction commands"]
+CONTENT_REFERENCE = r":contentReference\[[^\]\r\n]*\]\s*\{"
+
+
 def scan_text(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, rule, n: secret-like assignments with unmasked values, and absolute paths, in free text."""
+    """key, rule, n: secret-like assignments with unmasked values, absolute paths, stale phrases and content references in free text."""
     values = F.filter(F.regexp_extract_all(text, F.lit(SECRET_ASSIGNMENT), 2), lambda v: ~v.rlike(MASKED))
     paths = F.regexp_extract_all(text, F.lit(ABSOLUTE_PATH), 1)
-    found = df.select(key, F.size(values).alias("secret_assignment"), F.size(paths).alias("absolute_path")).unpivot(key, ["secret_assignment", "absolute_path"], "rule", "n")
+    stale = sum((F.coalesce(F.contains(F.col(text), F.lit(p)), F.lit(False)).cast("int") for p in STALE_PHRASES), F.lit(0))
+    rules = {"secret_assignment": F.size(values), "absolute_path": F.size(paths), "stale_phrase": stale, "content_reference": F.regexp_count(text, F.lit(CONTENT_REFERENCE))}
+    found = df.where(F.col(text).isNotNull()).select(key, *[c.cast("int").alias(n) for n, c in rules.items()]).unpivot(key, list(rules), "rule", "n")
     return found.where("n > 0")
 
 
 def scan_json(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path: JSON keys of any depth with a secret-like name and an unmasked value; text that isn't JSON has none."""
-    import json
-    import re
-
-    import pandas as pd
-
-    named, masked = re.compile(SECRET_KEYS), re.compile(MASKED)
-
-    def walk(x, path):
-        for k, v in x.items() if isinstance(x, dict) else enumerate(x):
-            at = f"{path}.{k}" if isinstance(x, dict) else f"{path}[{k}]"
-            if isinstance(v, (dict, list)):
-                yield from walk(v, at)
-            elif isinstance(x, dict) and named.search(k) and v is not None and not masked.match(str(v)):
-                yield at
-
-    def scan(batches):
-        for pdf in batches:
-            rows = []
-            for k, t in zip(pdf[key], pdf[text]):
-                try:
-                    x = json.loads(t or "null")
-                except ValueError:
-                    continue
-                rows += [(k, p) for p in walk(x, "$")] if isinstance(x, (dict, list)) else []
-            if rows:
-                yield pd.DataFrame(rows, columns=[key, "path"])
-
-    return df.select(key, text).mapInPandas(scan, f"`{key}` {df.schema[key].dataType.simpleString()}, path string")
+    """key, path: JSON keys of any depth with a secret-like name and an unmasked value. Texts are parsed once into variants, and each
+    step opens all objects and lists of one depth at once, until none is left. Text that isn't JSON, or has a name twice in one
+    object, has none."""
+    spark = df.sparkSession
+    level = df.select(F.col(key).alias("_k"), F.lit("$").alias("_path"), F.try_parse_json(F.col(text)).alias("_v")).where("_v is not null")
+    found = []
+    while True:
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("_k", "_path", F.col("key").alias("_name"), F.col("pos").alias("_pos"), F.col("value").alias("_in"))
+        path = F.when(F.col("_name").isNull(), F.concat("_path", F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.concat("_path", F.lit("."), "_name"))
+        holds = F.schema_of_variant("_in").rlike("^(OBJECT|ARRAY)<")
+        value = F.try_variant_get("_in", "$", "string")
+        hit = ~holds & F.col("_name").isNotNull() & F.col("_name").rlike(SECRET_KEYS) & value.isNotNull() & ~value.rlike(MASKED)
+        kept = stored(opened.select("_k", path.alias("_path"), F.col("_in").alias("_v"), holds.alias("_holds"), hit.alias("_hit")).where("_holds or _hit"), "opened")
+        found.append(kept.where("_hit").select(F.col("_k").alias(key), F.col("_path").alias("path")))
+        level = kept.where("_holds").select("_k", "_path", "_v")
+        if not level.limit(1).count():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def checksum_lines(lines: DataFrame, own_name: str = "checksums.sha256") -> DataFrame:

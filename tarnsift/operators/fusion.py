@@ -50,6 +50,22 @@ def run_overhead(rounds: DataFrame) -> DataFrame:
     return rounds.groupBy("rsu_id").agg(F.count("*").alias("rounds"), F.sum("upload").alias("upload"), F.sum("download").alias("download"), F.sum("train_seconds").alias("train_seconds"))
 
 
+# The layer that each measured component of a run belongs to.
+LAYERS = {
+    "local_train": "learning_core", "rsu_model_aggregation": "learning_core", "global_aggregation": "learning_core", "dp_record": "dp_evidence",
+    "ssi_vehicle_report": "ssi_admission", "rsu_preselect": "ssi_admission", "rsu_ssi_verification": "ssi_admission", "rsu_merkle_build": "commitment",
+    "rsu_zkp": "proof", "global_zkp": "proof", "global_artifact_export": "artifact_export", "export_index_write": "artifact_export",
+}
+
+
+def overhead_layers(measured: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, layer, seconds, share: measured (by, component, seconds) summed by layer, and its share of all layers. Null seconds are 0;
+    components of no layer make one of their own, null."""
+    layer = F.element_at(F.create_map(*[F.lit(x) for pair in LAYERS.items() for x in pair]), F.col("component"))
+    sums = measured.groupBy(*by, layer.alias("layer")).agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
+    return sums.withColumn("share", ratio(F.col("seconds"), F.sum("seconds").over(W.partitionBy(*by))))
+
+
 def dp_round_stats(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("rsu_id", "round").agg(*[f(c).alias(f"{c}_{n}") for c in ("epsilon_u", "cumulative_u") for f, n in ((F.min, "min"), (F.avg, "mean"), (F.max, "max"))])
 

@@ -17,8 +17,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
 
 
-def confusion(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = ()) -> DataFrame:
-    hit = lambda y, p: F.count_if((F.col(label) == y) & (F.col(pred) == p))
+def confusion(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """by, tn, fp, fn, tp; a row counts `weight` times."""
+    own = (F.col(weight) if weight else F.lit(1)).cast("long")
+    hit = lambda y, p: F.coalesce(F.sum(F.when((F.col(label) == y) & (F.col(pred) == p), own)), F.lit(0))
     return df.groupBy(*by).agg(hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(1, 1).alias("tp"))
 
 
@@ -58,12 +60,12 @@ def _named(by: tuple[str, ...]) -> list[Column]:
     return [F.col(f"_by{i}").alias(b) for i, b in enumerate(by)]
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), one_class: float | None = None) -> DataFrame:
-    """by, auc: exact with ties (Mann-Whitney); one_class where a class is missing. Rows without a finite
+def roc_auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), one_class: float | None = None, weight: str | None = None) -> DataFrame:
+    """by, auc: exact with ties (Mann-Whitney); one_class where a class is missing; a row counts `weight` times. Rows without a finite
     score have no place in the order and are left out; a group that has no other rows stands with one_class."""
-    rows, keys = _plain(df, by, y=label, s=score)
+    rows, keys = _plain(df, by, y=label, s=score, w=weight or F.lit(1))
     s = F.col("_s").cast("double")
-    curve = score_counts(rows.withColumn("_s", F.when(is_finite(s), s)), "_y", "_s", keys)
+    curve = score_counts(rows.withColumn("_s", F.when(is_finite(s), s)), "_y", "_s", keys, "_w")
     scored = lambda c: F.sum(F.when(F.col("_s").isNotNull(), c))
     sums = curve.groupBy(*keys).agg(scored(F.col("pos")).alias("_p"), scored(F.col("neg")).alias("_n"), scored(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)).alias("_u"))
     return sums.select(*_named(by), F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / F.col("_p") / F.col("_n")).otherwise(F.lit(one_class).cast("double")).alias("auc"))
@@ -162,10 +164,11 @@ def fpr_sensitivity(cal: DataFrame, test: DataFrame, label: str, score: str, tar
     return binary_metrics(per)
 
 
-def score_quantiles(df: DataFrame, score: str, by: tuple[str, ...], qs: list[float]) -> DataFrame:
-    """by, n, q<percent>: interpolated quantiles of finite scores."""
+def score_quantiles(df: DataFrame, score: str, by: tuple[str, ...], qs: list[float], weight: str | None = None) -> DataFrame:
+    """by, n, q<percent>: interpolated quantiles of finite scores; a row counts `weight` times."""
     ok = df.where(is_finite(F.col(score)))
-    return with_quantiles(ok.groupBy(*by).agg(F.count("*").alias("n")), ok, score, {f"q{round(q * 100):02d}": q for q in qs}, by)
+    n = F.sum(F.col(weight).cast("long")) if weight else F.count("*")
+    return with_quantiles(ok.groupBy(*by).agg(n.alias("n")), ok, score, {f"q{round(q * 100):02d}": q for q in qs}, by, weight=weight)
 
 
 #: What scores are told apart by when a model is judged: part and endpoint.

@@ -136,10 +136,11 @@ def membership_flag(df: DataFrame, reference: DataFrame, key: str, out: str = "s
     return df.join(marked, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
-def score_counts(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+def score_counts(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """by, score, pos, neg, cum_pos, cum_neg: the exact curve over distinct scores, ascending. Rows without a score (null, NaN) are
-    one row of score null after all others. by and score must not be named as one of the counts."""
+    one row of score null after all others. A row counts `weight` times. by and score must not be named as one of the counts."""
     own = F.col(score)
     known = F.when(~F.isnan(own), own) if isinstance(df.schema[score].dataType, (T.DoubleType, T.FloatType)) else own
-    counts = df.select(*by, known.alias(score), F.col(label).alias("_label")).groupBy(*by, score).agg(F.count_if(F.col("_label") == 1).alias("pos"), F.count_if(F.col("_label") == 0).alias("neg"))
+    rows = df.select(*by, known.alias(score), F.col(label).alias("_label"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_weight"))
+    counts = rows.groupBy(*by, score).agg(*[F.coalesce(F.sum(F.when(F.col("_label") == y, F.col("_weight"))), F.lit(0)).alias(name) for y, name in ((1, "pos"), (0, "neg"))])
     return prefix_sums(counts, score, ["pos", "neg"], by)

@@ -37,33 +37,34 @@ def _picked(counts: DataFrame, wanted: DataFrame, within: list[str], value: str)
     return met.where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_k"))).withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_k")).drop("_upto", "_k")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], by: tuple[str, ...] = (), nearest: bool = False, small: int = BUCKET_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], by: tuple[str, ...] = (), nearest: bool = False, small: int = BUCKET_ROWS, weight: str | None = None) -> DataFrame:
     """by, column, values: for each column the quantiles `qs` of its finite values, in their order: interpolated, or, if nearest, the least
     value that so large a share of all doesn't exceed. Groups and columns without finite values have no row. All columns,
-    groups and quantiles take the same four passes; `small` rows or fewer are counted by value at once."""
+    groups and quantiles take the same four passes; `small` rows or fewer are counted by value at once. A value counts `weight`
+    (a whole number) times."""
     keys = [f"_by{i}" for i in range(len(by))]
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)]))
-    long = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], each.alias("_e")).select(*keys, "_e._c", "_e._v")
-    long = stored(long.where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf"))).select(*keys, "_c", ordered_bits(F.col("_v")).alias("_i")), "bits")
+    long = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"), each.alias("_e")).select(*keys, "_w", "_e._c", "_e._v")
+    long = stored(long.where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf"))).select(*keys, "_w", "_c", ordered_bits(F.col("_v")).alias("_i")), "bits")
     within = [*keys, "_c"]
-    totals = long.groupBy(*within).agg(F.count("*").alias("_n"))
+    totals = long.groupBy(*within).agg(F.sum("_w").alias("_n")).where("_n > 0")
     q, at = F.col("_q"), F.col("_q") * (F.col("_n") - 1)
     ranks = (F.greatest(F.lit(1.0), F.ceil(q * F.col("_n") - 1e-9)),) * 2 if nearest else (F.floor(at) + 1, F.ceil(at) + 1)
     each = totals.select("*", F.posexplode(F.split(F.lit(",".join(repr(float(x)) for x in qs)), ",").cast("array<double>")).alias("_q_no", "_q"))
     ends = F.explode(F.array(*[F.struct(F.lit(j).alias("end"), r.cast("long").alias("rank")) for j, r in enumerate(ranks)]))
     wanted = stored(each.select(*within, "_q_no", (at - F.floor(at)).alias("_part"), ends.alias("_e")).select(*within, "_q_no", "_part", F.col("_e.end").alias("_end"), F.col("_e.rank").alias("_rank")), "ranks")
     if long.count() <= small:
-        found = _picked(long.groupBy(*within, "_i").agg(F.count("*").alias("_k")), wanted, within, "_i")
+        found = _picked(long.groupBy(*within, "_i").agg(F.sum("_w").alias("_k")), wanted, within, "_i")
     else:
         found = wanted.withColumn("_i", F.lit(0).cast("long"))
         for shift in (48, 32, 16, 0):
             # the first digit keeps the sign, so that it orders as the number does
             digit = F.shiftright("_i", 48) if shift == 48 else F.shiftright("_i", shift).bitwiseAND(F.lit(0xFFFF).cast("long"))
             upper = F.lit(0).cast("long") if shift == 48 else F.shiftright("_i", shift + 16)
-            rows = long.select(*within, upper.alias("_p"), digit.alias("_d"))
+            rows = long.select(*within, "_w", upper.alias("_p"), digit.alias("_d"))
             if shift < 48:
                 rows = join_keys(rows, found.select(*within, F.col("_i").alias("_p")).distinct(), [*within, "_p"], "left_semi")
-            counts = rows.groupBy(*within, "_p", "_d").agg(F.count("*").alias("_k"))
+            counts = rows.groupBy(*within, "_p", "_d").agg(F.sum("_w").alias("_k"))
             met = _picked(counts, found.withColumnRenamed("_i", "_p"), [*within, "_p"], "_d")
             found = stored(met.withColumn("_i", F.shiftleft("_p", 16) + F.col("_d")).drop("_p", "_d"), "digits")
     pair = found.groupBy(*within, "_q_no").agg(from_bits(F.min("_i")).alias("lo"), from_bits(F.max("_i")).alias("hi"), F.max("_part").alias("part"))
@@ -73,8 +74,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], by: tuple[s
     return listed.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], names.alias("column"), F.transform("l", lambda x: x["v"]).alias("values"))
 
 
-def with_quantiles(aggregated: DataFrame, df: DataFrame, col: str, named: dict[str, float], by: tuple[str, ...] = (), nearest: bool = False) -> DataFrame:
+def with_quantiles(aggregated: DataFrame, df: DataFrame, col: str, named: dict[str, float], by: tuple[str, ...] = (), nearest: bool = False, weight: str | None = None) -> DataFrame:
     """aggregated, a table of one row for each group, with the group's quantiles under their names; null where it has no finite values."""
-    found = exact_quantiles(df, [col], list(named.values()), by, nearest).select(*by, F.col("values").alias("_q"))
+    found = exact_quantiles(df, [col], list(named.values()), by, nearest, weight=weight).select(*by, F.col("values").alias("_q"))
     met = join_keys(aggregated, found, list(by), "left") if by else aggregated.join(F.broadcast(found), how="left")
     return met.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(named)}).drop("_q")

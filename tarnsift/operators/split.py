@@ -387,22 +387,43 @@ def rolling_folds(df: DataFrame, block: str, mode: str, n: int, ts: str | None =
             rules += [(k, "train", 1, k - 2, (1, 2)), (k, "train", k - 1, k - 1, (1,)), (k, "cal", k - 1, k - 1, (2,)), (k, "test", k, k, (1, 2))]
     rows = [(b, own, k, role) for k, role, lo, hi, parts in rules for b in range(lo, hi + 1) for own in parts]
     spec = df.sparkSession.createDataFrame(rows, "_block int, _part int, fold int, role string")
-    own = F.lit(0)
-    if mode != "strict":
-        counts = df.groupBy(block, ts).agg(F.count("*").alias("n"))
-        places = prefix_sums(counts, ts, ["n"], by=(block,)).withColumn("_before", F.col("cum_n") - F.col("n"))
-        sizes = counts.groupBy(block).agg(F.sum("n").alias("_size"))
-        text, back = _moment(df, ts)
-        at = F.struct("_before", text(F.col(ts)).alias("t"))
-        cut = join_keys(places, sizes, [block]).where("_before > 0").groupBy(block).agg(F.min_by(at, _nearest(F.col("_size") * frac, F.col("_before"))).alias("_cut"))
-        for r in cut.where(F.col(block).between(1, n)).collect():  # a row for each block
-            t = r["_cut"]["t"]
-            own = F.when(F.col(block) == r[block], 1 + _from(ts, None if t is None else back(t)).cast("int")).otherwise(own)
-        own = F.when(own == 0, 1).otherwise(own)
-    joined = df.withColumn("_own", own).join(F.broadcast(spec), (F.col(block) == F.col("_block")) & (F.col("_own") == F.col("_part")))
+    joined = df.withColumn("_own", _own_part(df, block, mode, n, ts, frac)).join(F.broadcast(spec), (F.col(block) == F.col("_block")) & (F.col("_own") == F.col("_part")))
     return joined.drop("_own", "_block", "_part")
 
 
+def _own_part(df: DataFrame, block: str, mode: str, n: int, ts: str | None, frac: float) -> Column:
+    """A row's part of its block: 0 if blocks aren't cut (strict), else 1 or 2, by a comparison of its time with a literal."""
+    own = F.lit(0)
+    if mode == "strict":
+        return own
+    counts = df.groupBy(block, ts).agg(F.count("*").alias("n"))
+    places = prefix_sums(counts, ts, ["n"], by=(block,)).withColumn("_before", F.col("cum_n") - F.col("n"))
+    sizes = counts.groupBy(block).agg(F.sum("n").alias("_size"))
+    text, back = _moment(df, ts)
+    at = F.struct("_before", text(F.col(ts)).alias("t"))
+    cut = join_keys(places, sizes, [block]).where("_before > 0").groupBy(block).agg(F.min_by(at, _nearest(F.col("_size") * frac, F.col("_before"))).alias("_cut"))
+    for r in cut.where(F.col(block).between(1, n)).collect():  # a row for each block
+        t = r["_cut"]["t"]
+        own = F.when(F.col(block) == r[block], 1 + _from(ts, None if t is None else back(t)).cast("int")).otherwise(own)
+    return F.when(own == 0, 1).otherwise(own)
+
+
+def fold_positions(df: DataFrame, block: str, mode: str, n: int, ts: str | None = None, frac: float = 0.7, out: str = "pos") -> DataFrame:
+    """df with its rows' position in time: 2b for block b, 2b + 1 for the second part of a block that is cut. What a fold of
+    rolling_folds trains on is every position up to its `train_to`, so no row has to stand once for every fold."""
+    return df.withColumn(out, (2 * F.col(block) + F.greatest(_own_part(df, block, mode, n, ts, frac) - 1, F.lit(0))).cast("int"))
+
+
+def fold_spec(spark, mode: str, n: int) -> DataFrame:
+    """pos, fold, role (cal, test), train_to: for each position the folds that calibrate or test there, at most three, and the last
+    position that the fold trains on."""
+    rows = []
+    for k in range(6 if mode == "strict" else 2, n + 1):
+        train_to = 2 * (k - 2) + 1 if mode == "strict" else 2 * (k - 1)
+        rows += [(2 * k + i, k, "test", train_to) for i in (0, 1)] + [(2 * (k - 1) + i, k, "cal", train_to) for i in (0, 1) if 2 * (k - 1) + i > train_to]
+    return spark.createDataFrame(rows, "pos int, fold int, role string, train_to int")
+
+
 def fold_chronology(folds: DataFrame, ts: str) -> DataFrame:
     """fold, ordered: max(train) < min(cal) <= max(cal) < min(test)."""
     at = lambda role: F.when(F.col("role") == role, F.col(ts))
@@ -422,8 +443,42 @@ def order_by_time(df: DataFrame, ts: str, key: list[str]) -> DataFrame:
     return df.orderBy(F.col(ts).asc_nulls_last(), *key)
 
 
-def attach_block(df: DataFrame, blocks: DataFrame, position: str) -> DataFrame:
-    """Interval join of positions to blocks (block, start, stop: half-open; a few rows, decided before)."""
-    return df.join(F.broadcast(blocks.select("block", "start", "stop")), (F.col(position) >= F.col("start")) & (F.col(position) < F.col("stop"))).drop("start", "stop")
+#: Children of a node in the tree over interval ends.
+FANOUT = 16
+
 
+def _on_level(run: Column, level: int) -> Column:
+    return F.transform(run, lambda i: F.struct(F.lit(level).alias("l"), i.alias("i")))
 
+
+def attach_block(df: DataFrame, blocks: DataFrame, position: str) -> DataFrame:
+    """Interval join: df with `block` of every row of blocks (block, start, stop: half-open) that holds its position. Blocks may be
+    many and may overlap; a row stands once for each that holds it, and goes if none does. Null positions, blocks without
+    an end and empty ones meet nothing.
+
+    Positions and ends are merged into one order, so a position becomes the number of ends at or before it and a block a
+    range of such numbers. A range is cut into nodes of a tree of FANOUT children, at most 2 * FANOUT a level; a row names
+    its node on every level. Rows meet blocks on equal nodes, each pair once: no nested loop, and no pair that doesn't hold."""
+    ends = blocks.where(F.col("start") < F.col("stop")).select("block", "start", "stop")
+    cuts = ends.select(F.explode(F.array("start", "stop")).alias("_x")).distinct().withColumn("_cut", F.lit(1))
+    asked = df.select(F.col(position).alias("_x")).where("_x is not null").distinct().withColumn("_cut", F.lit(0))
+    merged = prefix_sums(cuts.unionByName(asked).groupBy("_x").agg(F.sum("_cut").alias("_cut")), "_x", ["_cut"]).select("_x", F.col("cum__cut").alias("_at"))
+    number = lambda x, c, out: x.join(merged.select(F.col("_x").alias(f"_{out}"), F.col("_at").alias(out)), F.col(c) == F.col(f"_{out}")).drop(f"_{out}")
+    levels, most = 1, cuts.count()
+    while FANOUT**levels <= most:
+        levels += 1
+    spread = number(number(ends, "start", "_lo"), "stop", "_hi").select("block", "_lo", "_hi")
+    nodes, lo, hi = [], F.col("_lo"), F.col("_hi")
+    for level in range(levels):
+        last = level == levels - 1
+        inner_lo = hi if last else F.least(F.ceil(lo / FANOUT) * FANOUT, hi)
+        inner_hi = hi if last else F.greatest(F.floor(hi / FANOUT) * FANOUT, inner_lo)
+        for x, y in ((lo, inner_lo), (inner_hi, hi)):
+            run = F.when(x < y, F.sequence(x.cast("long"), y.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+            nodes.append(_on_level(run, level))
+        spread = spread.withColumn(f"_lo{level}", F.floor(inner_lo / FANOUT)).withColumn(f"_hi{level}", F.floor(inner_hi / FANOUT))
+        lo, hi = F.col(f"_lo{level}"), F.col(f"_hi{level}")
+    held = spread.select("block", F.explode(F.concat(*nodes)).alias("_n")).select("block", F.col("_n.l").alias("_l"), F.col("_n.i").alias("_i"))
+    own = F.explode(F.array(*[F.struct(F.lit(level).alias("l"), F.floor(F.col("_at") / FANOUT**level).alias("i")) for level in range(levels)]))
+    named = number(df, position, "_at").withColumn("_n", own)
+    return named.join(held, (F.col("_n.l") == F.col("_l")) & (F.col("_n.i") == F.col("_i"))).drop("_n", "_at", "_l", "_i")

@@ -292,14 +292,14 @@ def class_weight(spark, d):
     return M.class_weight(split_flows(spark, d).where("split = 'train'"), "label").withColumn("weight", r6("weight")).withColumn("base_rate", r6("base_rate"))
 
 
-@query("prep_manifest", f"WITH {SPLIT} SELECT split, count(*) AS n_rows, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, 3 AS n_features FROM s GROUP BY 1")
+@query("prep_manifest", f"WITH {SPLIT} SELECT split, count(*) AS n_rows, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, 3 AS n_features, (SELECT count(*) FROM lineitem) AS source_rows, 42 AS seed FROM s GROUP BY 1")
 def prep_manifest(spark, d):
-    return S.prep_manifest(split_flows(spark, d), "label", features=3)
+    return S.prep_manifest(split_flows(spark, d), "label", features=3, sampling={"source_rows": flows(spark, d).count(), "seed": 42})
 
 
 @query("verify_saved", f"WITH {SPLIT} SELECT split, count(*) AS n_rows, CAST(0 AS BIGINT) AS non_finite, CAST(0 AS BIGINT) AS bad_labels, FALSE AS unbalanced FROM s GROUP BY 1")
 def verify_saved(spark, d):
-    return S.verify_saved(split_flows(spark, d), "label", FEATURES)
+    return S.verify_saved(split_flows(spark, d), "label", FEATURES, splits=("train", "val", "test"))
 
 
 # ---- audits and joins --------------------------------------------------------------------------------------------------

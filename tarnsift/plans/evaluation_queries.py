@@ -223,30 +223,57 @@ def rolling_adaptive(spark, d):
 ENDPOINT = f"{STRICT}, te AS (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred, CASE WHEN label = 0 THEN 'benign' WHEN EXISTS (SELECT 1 FROM fold o WHERE o.fold = fold.fold AND o.role = 'train' AND o.label = 1 AND o.family = fold.family) THEN 'seen' ELSE 'novel' END AS endpoint FROM fold WHERE role = 'test')"
 
 
-def folds_with_pred(spark, d):
-    return strict(spark, d).withColumn("pred", (F.col("score") >= 0.5).cast("int")).withColumn("key", F.concat_ws("|", F.round("q").cast("long"), F.round(F.col("d") * 100).cast("long"), F.round(F.col("t") * 100).cast("long")))
+def strict_rows(spark, d):
+    """The counts of all strict folds' parts."""
+    key = F.concat_ws("|", F.round("q").cast("long"), F.round(F.col("d") * 100).cast("long"), F.round(F.col("t") * 100).cast("long"))
+    rows = P.fold_positions(blocked(spark, d), "block", "strict", 10).withColumn("pred", (F.col("score") >= 0.5).cast("int")).withColumn("key", key)
+    return T.fold_rows(stored(T.fold_cube(rows, "pos", "label", "family", "key", "score", "pred"), "cube"), P.fold_spec(spark, "strict", 10))
 
 
 @query("seen_novel_metrics", f"WITH {ENDPOINT}, x AS (SELECT fold, e.e AS endpoint, label, pred, score FROM te, (VALUES ('seen'), ('novel')) e(e) WHERE endpoint = 'benign' OR endpoint = e.e), c AS (SELECT CAST(fold AS INTEGER) AS fold, endpoint, {CONF} FROM x GROUP BY ALL), sc AS (SELECT fold, endpoint, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM x GROUP BY ALL), au AS (SELECT fold, endpoint, round(sum(p * (cn - n / 2)) / nullif(sum(p), 0) / nullif(sum(n), 0), 6) AS auc FROM (SELECT *, sum(n) OVER (PARTITION BY fold, endpoint ORDER BY score) AS cn FROM sc) GROUP BY ALL) SELECT c.*, {METRICS}, auc, CASE WHEN tp + fn = 0 THEN 'no_attacks' WHEN tp + fn < 10 THEN 'too_few_attacks' WHEN tn + fp = 0 THEN 'no_benign' ELSE 'ok' END AS reason, tp + fn >= 10 AND tn + fp > 0 AS eligible FROM c JOIN au USING (fold, endpoint)")
 def seen_novel_metrics(spark, d):
-    return rounded(T.seen_novel_metrics(folds_with_pred(spark, d), "label", "family", "score", "pred"), (*NAMES, "auc"))
+    return rounded(T.seen_novel_metrics(strict_rows(spark, d)), (*NAMES, "auc"))
 
 
 @query("per_attack_recall", f"WITH {ENDPOINT}, y AS (SELECT *, concat_ws('|', CAST(round(q) AS BIGINT), CAST(round(d * 100) AS BIGINT), CAST(round(t * 100) AS BIGINT)) AS key FROM te WHERE label = 1), tr AS (SELECT DISTINCT fold, concat_ws('|', CAST(round(q) AS BIGINT), CAST(round(d * 100) AS BIGINT), CAST(round(t * 100) AS BIGINT)) AS key, TRUE AS seen FROM fold WHERE role = 'train'), z AS (SELECT y.*, coalesce(seen, FALSE) AS seen FROM y LEFT JOIN tr USING (fold, key)) SELECT CAST(fold AS INTEGER) AS fold, family, endpoint, count(*) AS n_rows, count(*) FILTER (seen) AS seen_rows, round(quantile_cont(score, 0.1), 6) AS q10, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.9), 6) AS q90, round(avg(pred), 6) AS recall, count(*) FILTER (NOT seen) AS unseen_rows, round(coalesce(avg(pred) FILTER (seen), 0), 6) AS seen_recall, round(coalesce(avg(pred) FILTER (NOT seen), 0), 6) AS unseen_recall FROM z GROUP BY ALL")
 def per_attack_recall(spark, d):
-    got = T.per_attack_recall(folds_with_pred(spark, d), "label", "family", "key", "score", "pred")
+    got = T.per_attack_recall(strict_rows(spark, d))
     return rounded(got, ("q10", "q50", "q90", "recall", "seen_recall", "unseen_recall"))
 
 
-@query("pooled_folds", f"WITH {ENDPOINT}, c AS (SELECT fold, {CONF} FROM te GROUP BY 1), p AS (SELECT count(*) AS folds, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tp) AS BIGINT) AS tp FROM c WHERE tp + fn > 0) SELECT *, {METRICS} FROM p")
+_SPREAD = ", ".join(f"round({f}, 6) AS {c}_{n}" for c in ("recall", "f1", "fpr", "auc") for n, f in (("mean", f"avg({c})"), ("sd", f"coalesce(stddev_samp({c}), 0)"), ("median", f"quantile_cont({c}, 0.5)"), ("min", f"min({c})"), ("max", f"max({c})")))
+
+
+@query("pooled_folds", f"""WITH {ENDPOINT}, x AS (SELECT * FROM te WHERE endpoint IN ('benign', 'seen')), c AS (SELECT fold, {CONF} FROM x GROUP BY 1), sc AS (SELECT fold, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM x GROUP BY ALL),
+ au AS (SELECT fold, sum(p * (cn - n / 2)) / nullif(sum(p), 0) / nullif(sum(n), 0) AS auc FROM (SELECT *, sum(n) OVER (PARTITION BY fold ORDER BY score) AS cn FROM sc) GROUP BY 1),
+ e AS (SELECT c.*, auc, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, fp / (fp + tn) AS fpr FROM c JOIN au USING (fold) WHERE tp + fn >= 10 AND tn + fp > 0), sp AS (SELECT {_SPREAD} FROM e),
+ p AS (SELECT count(*) AS folds, CAST(coalesce(sum(tn), 0) AS BIGINT) AS tn, CAST(coalesce(sum(fp), 0) AS BIGINT) AS fp, CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn, CAST(coalesce(sum(tp), 0) AS BIGINT) AS tp FROM e)
+ SELECT p.*, {METRICS}, CASE WHEN folds > 0 THEN 'ok' ELSE 'no_eligible_seen_attack_temporal_evaluations' END AS status, sp.* FROM p, sp""")
 def pooled_folds(spark, d):
-    per = X.binary_metrics(X.confusion(folds_with_pred(spark, d).where("role = 'test'"), "label", "pred", ("fold",))).withColumn("eligible", F.lit(True))
-    return rounded(T.pooled_folds(per)).select("folds", "tn", "fp", "fn", "tp", *NAMES)
+    per = T.seen_novel_metrics(strict_rows(spark, d)).where("endpoint = 'seen'")
+    return rounded(T.pooled_folds(per), (*NAMES, *[f"{c}_{n}" for c in ("recall", "f1", "fpr", "auc") for n in ("mean", "sd", "median", "min", "max")]))
+
+
+@query("fold_score_quantiles", f"""WITH {ENDPOINT}, g AS (SELECT fold, score, CASE WHEN label = 0 THEN 'calibration_benign' ELSE 'calibration_attack' END AS category FROM fold WHERE role = 'cal' UNION ALL
+ SELECT fold, score, CASE endpoint WHEN 'benign' THEN 'test_benign' WHEN 'seen' THEN 'test_seen_attack' ELSE 'test_novel_attack' END FROM te)
+ SELECT CAST(fold AS INTEGER) AS fold, category, count(*) AS n, {', '.join(f'round(quantile_cont(score, {q}), 6) AS q{round(q * 100):02d}' for q in (0.01, 0.1, 0.5, 0.9, 0.99))} FROM g GROUP BY ALL""")
+def fold_score_quantiles(spark, d):
+    return rounded(T.fold_score_quantiles(strict_rows(spark, d), [0.01, 0.1, 0.5, 0.9, 0.99]), ("q01", "q10", "q50", "q90", "q99"))
+
+
+_ACUBE = f"""{ADAPTIVE}, te AS (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred FROM fold WHERE role = 'test' AND (label = 0 OR EXISTS (SELECT 1 FROM fold o WHERE o.fold = fold.fold AND o.role = 'train' AND o.label = 1 AND o.family = fold.family)))"""
+
+
+@query("adaptive_seen_metrics", f"WITH {_ACUBE}, c AS (SELECT CAST(fold AS INTEGER) AS fold, {CONF} FROM te GROUP BY 1) SELECT *, {METRICS} FROM c")
+def adaptive_seen_metrics(spark, d):
+    rows = P.fold_positions(blocked(spark, d), "block", "adaptive", 10, "ts").withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    cube = stored(T.fold_cube(rows, "pos", "label", "family", "okey", "score", "pred"), "cube")
+    return rounded(T.seen_novel_metrics(T.fold_rows(cube, P.fold_spec(spark, "adaptive", 10))).where("endpoint = 'seen'").select("fold", "tn", "fp", "fn", "tp", *NAMES))
 
 
 @query("pooled_attack_recall", f"WITH {ENDPOINT}, r AS (SELECT fold, family, count(*) AS n, avg(pred) AS recall FROM te WHERE label = 1 GROUP BY ALL) SELECT family, count(DISTINCT fold) AS folds, CAST(sum(n) AS BIGINT) AS n_rows, round(sum(recall * n) / sum(n), 6) AS recall, round(avg(recall), 6) AS mean_recall, round(min(recall), 6) AS min_recall, round(max(recall), 6) AS max_recall FROM r GROUP BY 1")
 def pooled_attack_recall(spark, d):
-    per = T.per_attack_recall(folds_with_pred(spark, d), "label", "family", "key", "score", "pred")
+    per = T.per_attack_recall(strict_rows(spark, d))
     return rounded(T.pooled_attack_recall(per, "family"), ("recall", "mean_recall", "min_recall", "max_recall"))
 
 
@@ -256,6 +283,19 @@ def attach_block(spark, d):
     return P.attach_block(table(spark, d, "orders"), blocks, "o_totalprice").groupBy("block").agg(F.count("*").alias("n"))
 
 
+@query("overlapping_blocks", """SELECT c_nationkey, block, count(*) AS n FROM (SELECT s_suppkey AS block, s_acctbal AS start, s_acctbal + s_nationkey * 40 AS stop FROM supplier) b JOIN customer ON c_acctbal >= start AND c_acctbal < stop GROUP BY ALL""")
+def overlapping_blocks(spark, d):
+    blocks = table(spark, d, "supplier").select(F.col("s_suppkey").alias("block"), F.col("s_acctbal").alias("start"), (F.col("s_acctbal") + F.col("s_nationkey") * 40).alias("stop"))
+    return P.attach_block(table(spark, d, "customer"), blocks, "c_acctbal").groupBy("c_nationkey", "block").agg(F.count("*").alias("n"))
+
+
+@query("skew_feature", f"WITH {FLOWS} SELECT arg_max(f, (v, -i)) AS feature, round(max(v), 6) AS variance FROM (SELECT unnest([0, 1, 2, 3]) AS i, unnest(['q', 'd', 't', 'price']) AS f, unnest([var_pop(q), var_pop(d), var_pop(t), var_pop(price)]) AS v FROM flows)")
+def skew_feature(spark, d):
+    f = flows(spark, d)
+    name = P.skew_feature(f, ["q", "d", "t", "price"])
+    return f.agg(r6(F.var_pop(name)).alias("variance")).select(F.lit(name).alias("feature"), "variance")
+
+
 # ---- models ------------------------------------------------------------------------------------------------------------
 # The models are small: 3 rounds of depth 3, 25 isolation trees of 256 rows.
 

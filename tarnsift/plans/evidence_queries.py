@@ -89,15 +89,29 @@ _SECRETS = f"len(list_filter(regexp_extract_all(text, {_sql_text(E.SECRET_ASSIGN
 _PATHS = f"len(regexp_extract_all(text, {_sql_text(E.ABSOLUTE_PATH)}, 1))"
 
 
-@query("scan_text", f"SELECT doc_id, 'secret_assignment' AS rule, CAST({_SECRETS} AS INTEGER) AS n FROM documents WHERE {_SECRETS} > 0 UNION ALL SELECT doc_id, 'absolute_path', CAST({_PATHS} AS INTEGER) FROM documents WHERE {_PATHS} > 0")
+@query("scan_text", f"SELECT doc_id, 'secret_assignment' AS rule, CAST({_SECRETS} AS INTEGER) AS n FROM documents WHERE {_SECRETS} > 0 UNION ALL SELECT doc_id, 'absolute_path', CAST({_PATHS} AS INTEGER) FROM documents WHERE {_PATHS} > 0 UNION ALL SELECT * FROM (SELECT doc_id, 'stale_phrase', {' + '.join(f'contains(text, {p!r})::INTEGER' for p in E.STALE_PHRASES)} AS n FROM documents) WHERE n > 0")
 def scan_text(spark, d):
     return E.scan_text(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("scan_json", "SELECT CAST(0 AS BIGINT) + count(*) AS n FROM events WHERE event_id % 4 = 0")
+@query("scan_json", """SELECT path, count(*) AS n FROM (SELECT unnest(['$.a[0].api_key', '$.a[1].deep[0].in.password']) AS path FROM events WHERE event_id % 4 = 0 UNION ALL SELECT '$.a[1].deep[0].in.token.private_key' FROM events WHERE event_id % 3 = 0) GROUP BY 1""")
 def scan_json(spark, d):
-    doc = F.concat(F.lit('{"a": [{"api_key": "'), F.when(F.col("event_id") % 4 == 0, "k-123").otherwise("****"), F.lit('"}], "props": '), F.coalesce("props", F.lit("null")), F.lit("}"))
-    return E.scan_json(table(spark, d, "events").select("event_id", doc.alias("doc")), "event_id", "doc").agg(F.count("*").alias("n"))
+    """The events' properties beside names that are secret at several depths, with masked and unmasked values."""
+    quarter, third = F.col("event_id") % 4 == 0, F.col("event_id") % 3 == 0
+    deep = F.concat(F.lit('{"deep": [{"in": {"password": '), F.when(quarter, "12").otherwise('"redacted"'), F.lit(', "token": {"private_key": '), F.when(third, '"0xab"').otherwise("null"), F.lit("}}}]}"))
+    doc = F.concat(F.lit('{"a": [{"api_key": "'), F.when(quarter, "k-123").otherwise("****"), F.lit('"}, '), deep, F.lit('], "props": '), F.coalesce("props", F.lit("null")), F.lit("}"))
+    return E.scan_json(table(spark, d, "events").select("event_id", doc.alias("doc")), "event_id", "doc").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("canonical_text", """SELECT event_id, sha256('{"a":{"kind":"' || event_type || '","user":' || coalesce(user_id::VARCHAR, 'null') || '},"z":[' || event_id || ',true,"\\u001f é \\""]}') AS digest, event_id % 3 = 0 AS canonical FROM events""")
+def canonical_text(spark, d):
+    """Records whose keys stand in another order, with blanks; every third one is canonical as it is."""
+    e = table(spark, d, "events")
+    kind, user, z = F.concat(F.lit('"kind":"'), "event_type", F.lit('"')), F.concat(F.lit('"user":'), F.coalesce(F.col("user_id").cast("string"), F.lit("null"))), F.concat(F.lit('"z":['), F.col("event_id").cast("string"), F.lit(',true,"\\u001f é \\""]'))
+    right = F.concat(F.lit('{"a":{'), kind, F.lit(","), user, F.lit("},"), z, F.lit("}"))
+    other = F.concat(F.lit("{ "), z, F.lit(' , "a" : {'), user, F.lit(" ,\t"), kind, F.lit("}}"))
+    text = F.when(F.col("event_id") % 3 == 0, right).otherwise(other)
+    return e.select("event_id", E.text_digest(text).alias("digest"), E.is_canonical(text).alias("canonical"))
 
 
 @query("checksum_lines", "SELECT CASE WHEN p_partkey % 10 = 0 THEN 'malformed' WHEN p_partkey % 10 = 1 THEN 'self_reference' WHEN p_partkey % 10 = 2 THEN 'unsafe_path' ELSE 'none' END AS problem, count(*) AS n FROM part GROUP BY 1")

@@ -66,6 +66,17 @@ def run_overhead(spark, d):
     return U.run_overhead(U.round_rollup(updates(spark, d)))
 
 
+_MEASURED = {"local_train": "train_seconds", "rsu_model_aggregation": "trees", "dp_record": "epsilon_u", "rsu_preselect": "num_examples", "rsu_ssi_verification": "trees", "rsu_merkle_build": "num_examples", "rsu_zkp": "best", "export_index_write": "trees"}
+
+
+@query("overhead_layers", f"""WITH {UPDATES}, m AS (SELECT rsu_id, unnest({list(_MEASURED)}) AS component, unnest([{', '.join(f'{c}::DOUBLE' for c in _MEASURED.values())}]) AS seconds FROM updates),
+ l AS (SELECT rsu_id, CASE {' '.join(f"WHEN component = '{c}' THEN '{U.LAYERS[c]}'" for c in _MEASURED)} END AS layer, sum(seconds) AS seconds FROM m GROUP BY ALL) SELECT rsu_id, layer, round(seconds, 6) AS seconds, round(seconds / sum(seconds) OVER (PARTITION BY rsu_id), 6) AS share FROM l""")
+def overhead_layers(spark, d):
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(x).cast("double").alias("seconds")) for c, x in _MEASURED.items()]))
+    measured = updates(spark, d).select("rsu_id", each.alias("e")).select("rsu_id", "e.*")
+    return rounded(U.overhead_layers(measured, ("rsu_id",)), ("seconds", "share"))
+
+
 LEDGER = f"{UPDATES}, l AS (SELECT *, CAST(sum(epsilon_u) OVER (PARTITION BY rsu_id, vehicle_id ORDER BY round) AS BIGINT) AS cumulative_u FROM updates)"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +23,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tarnsift-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+#: Paths stored inside each open `scratch`.
+_scratch: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables that were stored inside it, for a caller that has written by then what reads them."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage is cut, lost executors cost no rework, and what follows
-    may read it many times. instead_of: a table stored before that nothing reads from now on; its folder is deleted."""
+    may read it many times. instead_of: a table stored before that nothing reads from now on; its folder is deleted. keep: the
+    table outlives the `scratch` it is stored in."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     if instead_of is not None:
         for old in {f.rsplit("/", 1)[0] for f in instead_of.inputFiles()}:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(old)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, old)
     return spark.read.schema(df.schema).parquet(path)

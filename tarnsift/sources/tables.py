@@ -73,23 +73,31 @@ def read_run_results(spark: SparkSession, glob: str, schema: str = RUN_SCHEMA) -
     return df.select(F.regexp_extract("_p", at, 1).alias("dataset"), F.regexp_extract("_p", at, 2).cast("int").alias("seed"), F.regexp_extract("_p", at, 3).alias("method"), *[c for c in df.columns if c != "_p"])
 
 
-def prep_manifest(df: DataFrame, label: str, split: str = "split", features: int | None = None) -> DataFrame:
-    """A row for each split: rows, positives, negatives, features."""
+def prep_manifest(df: DataFrame, label: str, split: str = "split", features: int | None = None, sampling: dict[str, object] | None = None) -> DataFrame:
+    """A row for each split: rows, positives, negatives, features; sampling: how the rows were drawn (source rows, cap, fraction,
+    seed), stated beside as columns of these names."""
+    stated = {k: F.lit(v) for k, v in (sampling or {}).items()}
     n = features if features is not None else len([c for c in df.columns if c not in (label, split)])
-    return df.groupBy(split).agg(F.count("*").alias("n_rows"), F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives"), F.lit(n).alias("n_features"))
+    return df.groupBy(split).agg(F.count("*").alias("n_rows"), F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives"), F.lit(n).alias("n_features")).withColumns(stated)
 
 
-def saved_problems(df: DataFrame, label: str, features: list[str], split: str = "split", balanced: str | None = None) -> DataFrame:
-    """A row for each split: n_rows, non_finite values, bad_labels, unbalanced."""
+def saved_problems(df: DataFrame, label: str, features: list[str], split: str = "split", balanced: str | None = None, splits: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each split, and for each of `splits` that is missing (no rows): n_rows, non_finite values, bad_labels, unbalanced."""
     bad = lambda c: F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")))
     total = sum((bad(c) for c in features[1:]), bad(features[0]))
     out = df.groupBy(split).agg(F.count("*").alias("n_rows"), total.alias("non_finite"), F.count_if(~F.coalesce(F.col(label).isin(0, 1), F.lit(False))).alias("bad_labels"), F.count_if(F.col(label) == 1).alias("_p"))
+    if splits:
+        named = df.sparkSession.createDataFrame([(s,) for s in splits], f"`{split}` string")
+        out = named.join(out, split, "full_outer").na.fill(0, ["n_rows", "non_finite", "bad_labels", "_p"])
     return out.withColumn("unbalanced", (F.col(split) == balanced) & (2 * F.col("_p") != F.col("n_rows")) if balanced else F.lit(False)).drop("_p")
 
 
-def verify_saved(df: DataFrame, label: str, features: list[str], split: str = "split", balanced: str | None = None) -> DataFrame:
-    """Raises if a split has non-finite values, labels but 0 and 1, or (where asked) is not half and half."""
-    found = saved_problems(df, label, features, split, balanced)
-    if found.where("non_finite > 0 or bad_labels > 0 or unbalanced").limit(1).count():
+def verify_saved(df: DataFrame, label: str, features: list[str], split: str = "split", balanced: str | None = None, splits: tuple[str, ...] = ()) -> DataFrame:
+    """Raises if the feature columns don't stand in the order of `features`, a split of `splits` is missing or empty, or a split has
+    non-finite values, labels but 0 and 1, or (where asked) is not half and half."""
+    if [c for c in df.columns if c in features] != list(features):
+        raise ValueError("saved columns stand in another order")
+    found = saved_problems(df, label, features, split, balanced, splits)
+    if found.where("n_rows = 0 or non_finite > 0 or bad_labels > 0 or unbalanced").limit(1).count():
         raise ValueError("saved splits are faulty")
     return found

@@ -79,3 +79,36 @@ def test_only_canonical_bytes_pass(spark):
     texts = ['{"a":[1,2],"s":"x"}', '{"a":[1, 2],"s":"x"}', '{"s":"x","a":[1,2]}', '{"a":[1,2],"s":"x"', '{"a":[1,2],"s":"x","z":1}', '{"a":null,"s":"\\u001f"}', '{"a":null,"s":"\\u001F"}', None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r["ok"] for r in df.select("i", E.is_canonical(F.col("t"), "a array<long>, s string").alias("ok")).orderBy("i").collect()] == [True, False, False, False, False, True, False, False]
+
+
+# Two published records and their digests.
+DP_RECORD = {"schema": "DPRecordV1", "round_idx": 1, "mechanism": "laplace", "clip_l1": 100000, "epsilon": "1.5", "delta": "0", "accountant": "RDP", "extra": ""}
+SIGNED = {
+    "schema": "ClientUpdateSignedV1", "did": "did:example:vehicle-1001", "rsu_id": 1, "round_idx": 1, "policy_id": "policy_v8b_rsu", "update_commit_sha256": "92439dd4e7652a0414d2cd9d220e8d2767ed71f9005327223fc5d12b7a5065c3",
+    "dp_record_sha256": "e88109685a5ca83c72a3066eee3c13d2c316a77ecdee4ebbdeffe4491dcd8397", "nonce": 42, "timestamp": 1700000000, "data_fingerprint_sha256": "",
+}
+DIGESTS = ["e88109685a5ca83c72a3066eee3c13d2c316a77ecdee4ebbdeffe4491dcd8397", "faf7fbc91ec335368fa8c1c2479a05ad32bb0be820b71d531bd330724cc51ba0"]
+
+
+def test_canonical_text_of_any_record(spark):
+    import json
+
+    texts = [json.dumps(x, indent=2) for x in (DP_RECORD, SIGNED)]
+    odd = {"b": [1, {"y": None, "x": [True, -5, "a/b\u0001é\n\"{1.5}"]}], "a": {}, "Z": [], "big": 10**25}
+    more = [json.dumps(odd), '{"a": 1.5}', '{"a": 1e3}', '{"a": 1, "a": 2}', "{", None, '["1.5", 2]']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + more)], "i int, t string")
+    got = [(r["c"], r["d"]) for r in rows.select("i", E.canonical_text(F.col("t")).alias("c"), E.text_digest(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert [d for _, d in got[:2]] == DIGESTS
+    assert got[2][0] == json.dumps(odd, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert [c for c, _ in got[3:]] == [None, None, None, None, None, '["1.5",2]']
+
+
+def test_secrets_six_deep_and_stale_phrases(spark):
+    import json
+
+    deep = {"a": [[{"b": {"c": [{"api_key": "k", "password": "***", "secret": None, "mnemonic": 5}]}}]], "api_key": {"access_token": True}}
+    df = spark.createDataFrame([(1, json.dumps(deep)), (2, '["secret"]'), (3, '{"secret": 1, "secret": 2}'), (4, "5"), (5, "")], "id int, t string")
+    assert sorted(tuple(r) for r in E.scan_json(df, "id", "t").collect()) == [(1, "$.a[0][0].b.c[0].api_key"), (1, "$.a[0][0].b.c[0].mnemonic"), (1, "$.api_key.access_token")]
+    text = spark.createDataFrame([(1, "DO NOT PUBLISH YET, a PRIVATE STAGING PACKAGE :contentReference[oaicite:1]{index=1}"), (2, None), (3, "publish")], "id int, t string")
+    assert sorted(tuple(r) for r in E.scan_text(text, "id", "t").collect()) == [(1, "content_reference", 1), (1, "stale_phrase", 2)]
+

@@ -182,3 +182,33 @@ def test_skewed_plan_keeps_its_bounds():
     sizes = [p + n for p, n in plan]
     assert sum(p for p, _ in plan) == 4000 and sum(sizes) == 20000 and min(min(x) for x in plan) >= 1 and max(sizes) <= 10 * min(sizes) + 10 and max(sizes) > 3 * min(sizes)
     assert P.allocate(10, [1, 1, 1], low=[0, 5, 0], high=[2, 9, 3]) == [2, 7, 1] and P.allocate(9, [9, 1, 0], low=[0, 0, 2], high=[3, 9, 9]) == [3, 4, 2]
+
+
+def test_many_overlapping_intervals(spark):
+    """100 000 intervals, each met as often as counting says, without a nested loop."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    start, width = draw.integers(0, 50_000, 100_000), draw.choice([0, 1, 2, 7, 300], 100_000, p=[0.1, 0.3, 0.3, 0.29, 0.01])
+    blocks = spark.createDataFrame([(i, int(a), int(a + w)) for i, (a, w) in enumerate(zip(start, width))] + [(-1, None, 5), (-2, 9, 3)], "block int, start int, stop int")
+    rows = spark.createDataFrame([(int(x),) for x in range(0, 50_000, 50)] + [(None,), (-5,), (10**9,)] + [(777,)] * 50, "x int")
+    met = P.attach_block(rows, blocks, "x")
+    got = {r["x"]: r["n"] for r in met.groupBy("x").agg(F.count("*").alias("n")).collect()}
+    of = lambda x: int(((start <= x) & (x < start + width)).sum())
+    assert got == {x: of(x) * (50 if x == 777 else 1) for x in [*range(0, 50_000, 50), 777] if of(x)}
+    assert "NestedLoop" not in met._jdf.queryExecution().toString()
+    same = {(r["x"], r["block"]) for r in met.where("x < 100").collect()}
+    assert same == {(x, i) for x in (0, 50) for i in np.flatnonzero((start <= x) & (x < start + width)).tolist()}
+
+
+def test_positions_read_off_what_folds_hold(frame):
+    blocks = P.time_blocks(frame, "ts", 10)
+    for mode in ("strict", "adaptive"):
+        folds = P.rolling_folds(blocks, "block", mode, 10, "ts").groupBy("fold", "role").count()
+        at = P.fold_positions(blocks, "block", mode, 10, "ts")
+        spec = P.fold_spec(frame.sparkSession, mode, 10)
+        read = at.join(spec, "pos").groupBy("fold", "role").count()
+        train = at.crossJoin(spec.select("fold", "train_to").distinct()).where("pos <= train_to").groupBy("fold").count().withColumn("role", F.lit("train"))
+        rows = lambda df: sorted((r["fold"], r["role"], r["count"]) for r in df.collect())
+        assert rows(read.select("fold", "role", "count").unionByName(train.select("fold", "role", "count"))) == rows(folds)
+
