@@ -1,11 +1,14 @@
 """Merkle fingerprints: a tree over a document's sections, paragraphs and phrases.
 
-Paragraphs are lines; an empty line closes a section. The root hashes the sections' hashes, these the paragraphs',
-these the paragraphs' bytes, so roots are equal exactly for equal texts. The fingerprint is the root and, after a
-colon, the tree below it: sections apart by "|", each its hash and then its paragraphs apart by ".", each of these its
-hash and 4 characters for every phrase (up to four words, ended by punctuation; 24 bits of a hash). Two fingerprints
-are compared without the texts, from the root down: branches of equal hashes are skipped, and what stands between them
-on either side are the places of the edits.
+Paragraphs are lines. An empty line closes a section, and so does a line whose own hash says so, about one in SECTION, so
+that texts without empty lines have sections too and an edit moves no border but its own. The root hashes the sections'
+hashes, these the paragraphs', and a paragraph's hash is of its bytes' hash and of the codes of its phrases, so roots are
+equal exactly for equal texts and the tree commits to its leaves. The fingerprint is the root and, after a colon, the tree
+below it: sections apart by "|", each its hash and then its paragraphs apart by ".", each of these its hash and 4
+characters for every phrase (up to four words, ended by punctuation; 24 bits of a hash). Two fingerprints are compared
+without the texts, from the root down: branches of equal hashes are skipped, and what stands between them on either side
+are the places of the edits. Likeness is counted on the same way down: equal sections count whole, then equal paragraphs
+of the others, then equal phrases of what is left.
 """
 
 from __future__ import annotations
@@ -25,17 +28,22 @@ from tarnsift.llm.ordered import in_order, triples
 PHRASE = re.compile(rb"(?:[^\s.,;:!?]{1,24} ?){1,4}[.,;:!?]*")
 
 
-def _leaves(paragraph: bytes) -> str:
+def _phrases(paragraph: bytes) -> bytes:
+    """24 bits for every phrase."""
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
     phrases = PHRASE.findall(paragraph)
     codes = np.fromiter(map(digest, phrases), np.uint64, len(phrases))
-    return base64.urlsafe_b64encode(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :3]).tobytes()).decode()
+    return np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :3]).tobytes()
 
 
-#: Characters of a section's or paragraph's hash below the root: 48 bits.
-NODE = 8
+#: Characters of a section's or paragraph's hash below the root: 48 bits; one line in so many closes a section.
+NODE, SECTION = 8, 8
+
+
+def _paragraph(line: bytes, codes: bytes) -> bytes:
+    return hashlib.sha256(b"P" + hashlib.sha256(line).digest() + codes).digest()
 
 
 def fingerprint(text: str | None) -> str:
@@ -49,9 +57,10 @@ def fingerprint(text: str | None) -> str:
         leaves.clear()
 
     for line in (text or "").encode("utf-8").split(b"\n"):
-        digests.append(hashlib.sha256(b"P" + line).digest())
-        leaves.append(_short(digests[-1]) + _leaves(line))
-        if not line:
+        codes = _phrases(line)
+        digests.append(_paragraph(line, codes))
+        leaves.append(_short(digests[-1]) + base64.urlsafe_b64encode(codes).decode())
+        if not line or digests[-1][0] % SECTION == 0:
             close()
     if digests:
         close()
@@ -69,30 +78,56 @@ def tree(print_: str) -> list[tuple[str, list[str]]]:
     return [(head, paragraphs) for head, *paragraphs in sections]
 
 
-_EMPTY = _short(hashlib.sha256(b"P").digest())
+_EMPTY = _short(_paragraph(b"", b""))
+
+
+def _weight(paragraph: str) -> int:
+    """What a paragraph counts: its phrases and, unless it is empty, itself."""
+    return (len(paragraph) - NODE) // 4 + (paragraph[:NODE] != _EMPTY)
 
 
-def _codes(print_: str) -> np.ndarray:
-    """24 bits of every phrase and of every paragraph that isn't empty."""
-    packed = base64.urlsafe_b64decode("".join(p[NODE:] + p[:4] for _, paragraphs in tree(print_) for p in paragraphs if p != _EMPTY))
+def _apart(left: list[str], right: list[str]) -> tuple[list[int], list[int]]:
+    """Places of either list that are left when equal hashes have been paired off, wherever they stand."""
+    there: dict[str, list[int]] = {}
+    for j, h in enumerate(right):
+        there.setdefault(h, []).append(j)
+    alone, met = [], set()
+    for i, h in enumerate(left):
+        if there.get(h):
+            met.add(there[h].pop())
+        else:
+            alone.append(i)
+    return alone, [j for j in range(len(right)) if j not in met]
+
+
+def _bag(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all phrases of these paragraphs, and how often each stands there."""
+    packed = base64.urlsafe_b64decode("".join(p[NODE:] for p in paragraphs))
     wide = np.zeros((len(packed) // 3, 4), np.uint8)
     wide[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
-    return wide.view("<u4").ravel()
+    return np.unique(wide.view("<u4").ravel(), return_counts=True)
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of phrases and whole paragraphs (with their repeats) that two fingerprints have in common: 2 * common / (both
-    counts). 1 for equal texts only: others have one more in neither."""
+    """Share of phrases and whole paragraphs that two trees have in common: 2 * common / (both counts), where sections and then
+    paragraphs of equal hashes are paired off first, and phrases are compared only in paragraphs that are left. 1 for equal
+    texts only: others have one more in neither."""
     if a[:64] == b[:64]:
         return 1.0
-    x, y = _codes(a), _codes(b)
-    if not len(x) or not len(y):
+    left, right = tree(a), tree(b)
+    whole = sum(_weight(p) for side in (left, right) for _, paragraphs in side for p in paragraphs)
+    if not all(any(_weight(p) for _, paragraphs in side for p in paragraphs) for side in (left, right)):
         return 0.0
-    u, n = np.unique(x, return_counts=True)
-    v, m = np.unique(y, return_counts=True)
+    for _ in ("sections", "paragraphs"):
+        one, other = _apart([h for h, _ in left], [h for h, _ in right])
+        below = lambda side, at: [p for i in at for p in side[i][1]]
+        mine, theirs = below(left, one), below(right, other)
+        left, right = [(p[:NODE], [p]) for p in mine], [(p[:NODE], [p]) for p in theirs]
+    apart = sum(_weight(p) for p in [*mine, *theirs])
+    (u, n), (v, m) = _bag(mine), _bag(theirs)
     _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    both = len(x) + len(y)
-    return float(min(2 * np.minimum(n[i], m[j]).sum() / both, both / (both + 1)))
+    common = whole - apart + 2 * int(np.minimum(n[i], m[j]).sum())
+    return float(min(common / whole, whole / (whole + 1)))
 
 
 def _unmatched(left: list[str], right: list[str]) -> tuple[list[int], list[int]]:

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tarnsift.llm.fingerprints import differing, edited_fingerprints, fingerprint, likeness
+from tarnsift.llm.fingerprints import PHRASE, differing, edited_fingerprints, fingerprint, likeness, tree
 from tarnsift.llm.graph import components
 from tarnsift.llm.languages import codewords, identify, learn
 from tarnsift.llm import mixing, near_dups
@@ -325,6 +325,24 @@ def test_edits_are_located():
     assert likeness(fingerprint("x y z"), fingerprint("p q r")) == 0.0
 
 
+def test_likeness_counts_equal_phrases_and_paragraphs():
+    """Pairing sections and paragraphs off first changes no count; sections occur in texts without empty lines."""
+    r = random.Random(6)
+    bag = lambda lines: collections.Counter(("p", p) for x in lines for p in PHRASE.findall(x.encode())) + collections.Counter(("l", x) for x in lines if x)
+    for _ in range(100):
+        pool = [" ".join(f"w{r.randrange(30)}" for _ in range(r.randint(0, 12))) for _ in range(12)]
+        a, b = ([r.choice(pool) for _ in range(r.randint(1, 30))] for _ in range(2))
+        x, y = bag(a), bag(b)
+        whole, common = x.total() + y.total(), 2 * (x & y).total()
+        got = likeness(fingerprint("\n".join(a)), fingerprint("\n".join(b)))
+        assert a == b or abs(got - (min(common / whole, whole / (whole + 1)) if x and y else 0.0)) < 1e-12
+    lines = [f"line {i} of a text, with words." for i in range(400)]
+    sizes = [len(ps) for _, ps in tree(fingerprint("\n".join(lines)))]
+    assert sum(sizes) == 400 and 25 < len(sizes) < 100
+    moved = tree(fingerprint("\n".join([*lines[:200], "one more line", *lines[200:]])))
+    assert sum(h not in {h for h, _ in tree(fingerprint("\n".join(lines)))} for h, _ in moved) <= 2
+
+
 def test_edits_are_located_as_by_comparing_the_lines():
     r = random.Random(9)
     for _ in range(200):
@@ -335,21 +353,12 @@ def test_edits_are_located_as_by_comparing_the_lines():
             b[at : at + r.randint(0, 1)] = [r.choice(["new", "other", ""])] * r.randint(0, 2)
         gone, come = differing(fingerprint("\n".join(a)), fingerprint("\n".join(b)))
         keep = lambda x, out: [line for i, line in enumerate(x) if i not in out]
-        flat = lambda x: {(s, p): k for k, (s, p) in enumerate((s, p) for s, ps in enumerate(_sections(x)) for p in range(len(ps)))}
+        flat = lambda x: {(s, p): k for k, (s, p) in enumerate((s, p) for s, (_, ps) in enumerate(tree(fingerprint("\n".join(x)))) for p in range(len(ps)))}
         fa, fb = flat(a), flat(b)
         assert keep(a, {fa[g] for g in gone}) == keep(b, {fb[c] for c in come}) or a == b
         assert (gone, come) == ([], []) or a != b
 
 
-def _sections(lines):
-    out = [[]]
-    for line in lines:
-        out[-1].append(line)
-        if not line:
-            out.append([])
-    return out if out[-1] else out[:-1]
-
-
 def test_pieces_match_the_tokenizer(docs, empty):
     from tokenizers import Tokenizer
 
