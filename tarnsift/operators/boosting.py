@@ -80,7 +80,7 @@ def _walk(trees: list, first: Column, x: Column, depth: int) -> Column:
 
 def _weight(g: Column, h: Column, s: Settings) -> Column:
     """The best step of a node, shrunk by l1, at most max_step."""
-    w = -F.signum(g) * F.greatest(F.abs(g) - s.l1, F.lit(0.0)) / (h + s.l2)
+    w = F.when(h + s.l2 > 0, -F.signum(g) * F.greatest(F.abs(g) - s.l1, F.lit(0.0)) / F.greatest(h + s.l2, F.lit(1e-300))).otherwise(0.0)
     return F.greatest(F.lit(-s.max_step), F.least(F.lit(s.max_step), w)) if s.max_step > 0 else w
 
 
@@ -117,7 +117,7 @@ def best_cuts(sums: DataFrame, s: Settings) -> DataFrame:
 
 
 def _step(g: float, h: float, s: Settings) -> float:
-    w = -((g > 0) - (g < 0)) * max(abs(g) - s.l1, 0.0) / (h + s.l2)
+    w = -((g > 0) - (g < 0)) * max(abs(g) - s.l1, 0.0) / (h + s.l2) if h + s.l2 > 0 else 0.0
     return s.rate * (max(-s.max_step, min(s.max_step, w)) if s.max_step > 0 else w)
 
 
