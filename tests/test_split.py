@@ -212,3 +212,13 @@ def test_positions_read_off_what_folds_hold(frame):
         rows = lambda df: sorted((r["fold"], r["role"], r["count"]) for r in df.collect())
         assert rows(read.select("fold", "role", "count").unionByName(train.select("fold", "role", "count"))) == rows(folds)
 
+
+
+def test_shares_of_rows_round_as_decimals(spark):
+    """45 * 0.7 is 31.5 and 90 * 0.7 is 63, while the doubles' products lie below."""
+    sizes = lambda df: {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}
+    df = spark.range(45).withColumn("family", F.lit(None).cast("string"))
+    assert sizes(P.stratified_split(df, "family", ["id"])) == {"train": 32, "val": 6, "test": 7}
+    assert sizes(P.group_split(df, "id")) == {"train": 32, "val": 6, "test": 7}
+    rows = spark.range(90).withColumn("label", (F.col("id") % 2).cast("int"))
+    assert sizes(P.chronological_split(rows, "id", ["id"], "label")) == {"train": 63, "val": 13, "test": 14}
