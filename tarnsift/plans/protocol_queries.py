@@ -12,7 +12,7 @@ from tarnsift.operators import evidence as E
 from tarnsift.operators import prep as M
 from tarnsift.operators import split as P
 from tarnsift.operators.model import open_set_report
-from tarnsift.operators.primitives import hash_unit
+from tarnsift.operators.primitives import hash_unit, join_keys
 from tarnsift.plans.data_queries import CANDIDATES, SPLIT, holes, r6, split_flows
 from tarnsift.plans.evaluation_queries import CONF, METRICS, NAMES, rounded
 from tarnsift.plans.evidence_queries import CANON, FIELDS, receipts, records
@@ -35,14 +35,27 @@ def read_flows(spark, d):
     return back.groupBy("Line").agg(F.count("*").alias("n"), F.round(F.sum("Quantity"), 2).alias("quantity"), F.sum("Supp").alias("supp"))
 
 
+#: Rows of a class file, about.
+FILE_ROWS = 1_000_000
+
+
 @query("read_class_files", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, TRUE AS one_class_a_file FROM events GROUP BY 1")
 def read_class_files(spark, d):
+    """A partition and so a file holds rows of one class; a class of more than FILE_ROWS rows has several files."""
     path, schema = new_path(spark, "classes"), "event_id long, event_type string"
-    table(spark, d, "events").select("event_id", "event_type").repartition("event_type").sortWithinPartitions("event_type").write.option("maxRecordsPerFile", 1_000_000).csv(path, header=True)
+    e = table(spark, d, "events").select("event_id", "event_type")
+    rows, files = [], 0
+    for name, n in e.groupBy("event_type").count().orderBy("event_type").collect():  # a row for each class
+        rows.append((name, files, -(-n // FILE_ROWS)))
+        files += rows[-1][2]
+    numbered = join_keys(e, F.broadcast(spark.createDataFrame(rows, "event_type string, _first int, _files int")), ["event_type"])
+    place = (F.col("_first") + F.pmod(F.hash("event_id"), F.col("_files"))).cast("int")
+    numbered.repartitionById(max(files, 1), place).select("event_id", "event_type").write.csv(path, header=True)
     names = [f.rsplit("/", 1)[1] for f in spark.read.csv(path, header=True, schema=schema).inputFiles()]
     back = S.read_class_files(spark, path, names, schema)
-    files = back.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("file").alias("files"))
-    return files.select("event_type", "n", "ids", (F.col("files") == 1).alias("one_class_a_file"))
+    per_file = back.groupBy("event_type", "file").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    mixed = per_file.groupBy("file").agg(F.count("*").alias("classes"))
+    return per_file.join(mixed, "file").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), (F.max("classes") == 1).alias("one_class_a_file"))
 
 
 @query("validate_schema", "SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1")

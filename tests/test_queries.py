@@ -37,3 +37,11 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_a_class_of_several_files_still_has_files_of_its_own(spark, monkeypatch):
+    from tarnsift.plans import protocol_queries
+
+    monkeypatch.setattr(protocol_queries, "FILE_ROWS", 5, raising=False)
+    got = QUERIES["read_class_files"](spark, DATA).collect()
+    assert len(got) == 5 and all(r["one_class_a_file"] and r["n"] > 5 for r in got)
