@@ -222,3 +222,11 @@ def test_shares_of_rows_round_as_decimals(spark):
     assert sizes(P.group_split(df, "id")) == {"train": 32, "val": 6, "test": 7}
     rows = spark.range(90).withColumn("label", (F.col("id") % 2).cast("int"))
     assert sizes(P.chronological_split(rows, "id", ["id"], "label")) == {"train": 63, "val": 13, "test": 14}
+
+
+def test_counts_of_blocks_equal_those_of_pairs(spark):
+    rows = spark.range(300).select((F.col("id") % 40 - 5).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g")).unionByName(spark.createDataFrame([(None, 1)], "x double, g long"))
+    blocks = spark.createDataFrame([(1, 0.0, 10.0), (2, 3.0, 3.0), (3, -9.0, 99.0), (4, 9.5, 9.75), (5, 30.0, None), (1, 12.0, 14.0), (6, 34.0, 35.0)], "block int, start double, stop double")
+    got = {(r["g"], r["block"]): r["n"] for r in P.block_counts(rows, blocks, "x", ["g"]).collect()}
+    pairs = P.attach_block(rows, blocks, "x").groupBy("g", "block").count().collect()
+    assert got == {(r["g"], r["block"]): r["count"] for r in pairs} and len(got) == 9
