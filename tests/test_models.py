@@ -59,3 +59,29 @@ def test_isolation_finds_what_stands_apart(spark):
     scored = isolation_scores(df, df.where("id < 999"), ["x", "z"], ["id"], trees=10, sample=64)
     r = scored.agg(F.max_by("id", "anomaly"), F.min("anomaly"), F.max("anomaly")).first()
     assert r[0] == 999 and 0 < r[1] < r[2] < 1
+
+
+def test_equal_rows_go_on_as_one_cell(spark):
+    df = frame(spark, 4000)
+    fitted = B.fit(df, ["x", "z"], "y", ["id"], FAST)
+    rows = B._prepared(df, fitted, "y", ["id"], None, {})
+    cells = B._cells(rows, fitted, [F.lit(True)], "cells")
+    assert cells.count() <= 9 * 8 * 2 and cells.agg(F.sum("n0")).first()[0] == 4000
+    one = cells.withColumn("p", 1 / (1 + F.exp(-F.get("m", F.lit(0))))).agg(F.sum(F.col("p") * F.col("n0"))).first()[0]
+    assert math.isclose(one, score(df, fitted).agg(F.sum("score")).first()[0])
+
+
+def test_isolation_paths_are_walked_in_batches(spark):
+    df = frame(spark)
+    nodes = {(r["tree"], r["node"]): r for r in isolation_forest(df, ["x", "z"], ["id"], trees=3, sample=64).collect()}
+    scored = isolation_scores(df, df, ["x", "z"], ["id"], trees=3, sample=64)
+    assert "aggregate(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    norm = 2 * (math.log(63) + 0.5772156649) - 2 * 63 / 64
+    for r in scored.limit(80).collect():
+        x, total = [0.0 if v is None or math.isnan(v) else v for v in (r["x"], r["z"])], 0.0
+        for t in range(3):
+            n, depth = 0, 0
+            while (t, n) in nodes and nodes[t, n]["feature"] is not None:
+                n, depth = 2 * n + 1 + (x[nodes[t, n]["feature"]] >= nodes[t, n]["cut"]), depth + 1
+            total += depth + (nodes[t, n]["rest"] if (t, n) in nodes else 0.0)
+        assert math.isclose(r["anomaly"], 2 ** (-total / 3 / norm))
