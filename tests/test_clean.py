@@ -52,3 +52,10 @@ def test_lenient_times(spark):
     df = spark.createDataFrame([("03/02/2026 10:00:00",), ("bad",)], "t string")
     got = values(C.parse_event_time(df, "t", ["dd/MM/yyyy HH:mm:ss"]), "ts")
     assert got[0].month == 2 and got[0].day == 3 and got[1] is None
+
+
+def test_decimals_are_matched_by_one_pattern_and_cut_without(spark):
+    want = {"+5": "5", "+.5": "0.5", "5.": "5", ".": None, "0.0e9": "0", "1E+5": "100000", "12.50e-1": "1.25", "1e5x": None, "e5": None, "1.2.3": None, " 007.10 ": "7.1", "123.456e3": "123456", "123.456e-7": "0.0000123456", "": "0"}
+    df = spark.createDataFrame([(t,) for t in want], "t string").select("t", C.canonical_decimal(F.col("t")).alias("plain"))
+    assert {r["t"]: r["plain"] for r in df.collect()} == want
+    assert df._jdf.queryExecution().analyzed().toString().lower().count("regexp_") == 0
