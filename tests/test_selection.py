@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnsift.functions import clean as C
+from tarnsift.operators import fusion as U
 from tarnsift.operators import metrics as X
 from tarnsift.operators import stats as Z
 from tarnsift.operators.model import open_set_report
@@ -131,3 +132,12 @@ def test_bootstrap_of_twenty_values_of_few_decimals(spark):
     assert (round(r["low"] * 2000), round(r["high"] * 2000)) == (low, high)
     with pytest.raises(ValueError):
         Z.bootstrap_exact(df, ["g"], "x", digits=12)
+
+
+def test_scores_stay_in_their_tasks_at_a_gate(spark):
+    scores = spark.range(3000).select((F.col("id") % 3).cast("int").alias("model_id"), "id")
+    gate = spark.createDataFrame([(0, True, False), (1, False, True), (2, None, True)], "model_id int, passed boolean, rsu_passed boolean")
+    met = U.gate_models(scores, gate)
+    assert {r["model_id"]: r["count"] for r in met.groupBy("model_id").count().collect()} == {0: 1000}
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
