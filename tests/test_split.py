@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnsift.operators import split as P
-from tarnsift.operators.primitives import bucketed_rank, prefix_sums
+from tarnsift.operators.primitives import bucketed_rank, hash_unit, prefix_sums
 
 
 @pytest.fixture(scope="module")
@@ -230,3 +230,20 @@ def test_counts_of_blocks_equal_those_of_pairs(spark):
     got = {(r["g"], r["block"]): r["n"] for r in P.block_counts(rows, blocks, "x", ["g"]).collect()}
     pairs = P.attach_block(rows, blocks, "x").groupBy("g", "block").count().collect()
     assert got == {(r["g"], r["block"]): r["count"] for r in pairs} and len(got) == 9
+
+
+def test_balanced_shards_by_rank_also_where_hashes_tie(spark, monkeypatch):
+    rows = [(i, None if i % 7 == 0 else i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, y int")
+    for coarse in (1 << 32, 16):
+        monkeypatch.setattr(P, "hash_unit", lambda *key, seed=42, of=hash_unit, n=coarse: F.floor(of(*key, seed=seed) * n) / F.lit(float(n)))
+        h = {r["id"]: r["h"] for r in df.select("id", P.hash_unit("id").alias("h")).collect()}
+        want = {}
+        for y in (0, 1, None):
+            own = sorted((h[i], i) for i, label in rows if label == y)
+            want |= {i: r * 20 // len(own) for r, (_, i) in enumerate(own)}
+        assert {r["id"]: r["rsu"] * 10 + r["vehicle"] for r in P.shard_balanced(df, "y", ["id"], 2, 10).collect()} == want
+    assert {(r["rsu"], r["vehicle"]) for r in P.shard_balanced(df, "y", ["id"], 1, 1).collect()} == {(0, 0)}
+    # one search in the ends, not a comparison for each client, which makes a method too long to be compiled
+    size = [len(P.shard_balanced(df, "y", ["id"], 2, n)._jdf.queryExecution().optimizedPlan().toString()) for n in (5, 30)]
+    assert size[1] < 1.1 * size[0]
