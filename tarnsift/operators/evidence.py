@@ -209,22 +209,33 @@ def scan_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return found.where("n > 0")
 
 
+#: Depths of JSON that one job opens.
+OPENED = 8
+
+
 def scan_json(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path: JSON keys of any depth with a secret-like name and an unmasked value. Texts are parsed once into variants, and each
-    step opens all objects and lists of one depth at once, until none is left. Text that isn't JSON, or has a name twice in one
-    object, has none."""
+    """key, path: JSON keys of any depth with a secret-like name and an unmasked value. Texts are parsed once into variants and dealt
+    to as many tasks as a shuffle has, as a small file may hold many; each step opens all objects and lists of one depth, and
+    what it finds goes through the others. A job takes OPENED steps, until none has anything left to open. Text that isn't
+    JSON, or has a name twice in one object, has none."""
     spark = df.sparkSession
-    level = df.select(F.col(key).alias("_k"), F.lit("$").alias("_path"), F.try_parse_json(F.col(text)).alias("_v")).where("_v is not null")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t is not null").repartition(tasks)
+    level = texts.select("_k", F.lit("$").alias("_path"), F.try_parse_json("_t").alias("_v")).where("_v is not null")
     found = []
     while True:
-        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("_k", "_path", F.col("key").alias("_name"), F.col("pos").alias("_pos"), F.col("value").alias("_in"))
-        path = F.when(F.col("_name").isNull(), F.concat("_path", F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.concat("_path", F.lit("."), "_name"))
-        holds = F.schema_of_variant("_in").rlike("^(OBJECT|ARRAY)<")
-        value = F.try_variant_get("_in", "$", "string")
-        hit = ~holds & F.col("_name").isNotNull() & F.col("_name").rlike(SECRET_KEYS) & value.isNotNull() & ~value.rlike(MASKED)
-        kept = stored(opened.select("_k", path.alias("_path"), F.col("_in").alias("_v"), holds.alias("_holds"), hit.alias("_hit")).where("_holds or _hit"), "opened")
+        level = level.withColumn("_hit", F.lit(False))
+        for _ in range(OPENED):
+            # a value that is found is null from then on, and a null, like a scalar, opens into one row without a place
+            opened = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer())).where("_hit or pos is not null")
+            name, value = F.col("key"), F.try_variant_get("value", "$", "string")
+            path = F.when(F.col("_hit"), F.col("_path")).when(name.isNull(), F.concat("_path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("_path", F.lit("."), "key"))
+            scalar = ~F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)<")
+            hit = F.col("_hit") | F.coalesce(name.isNotNull() & name.rlike(SECRET_KEYS) & scalar & value.isNotNull() & ~value.rlike(MASKED), F.lit(False))
+            level = opened.select("_k", path.alias("_path"), F.col("value").alias("_v"), hit.alias("_hit")).withColumn("_v", F.when(~F.col("_hit"), F.col("_v")))
+        kept = stored(level, "opened")
         found.append(kept.where("_hit").select(F.col("_k").alias(key), F.col("_path").alias("path")))
-        level = kept.where("_holds").select("_k", "_path", "_v")
+        level = kept.where("not _hit").drop("_hit")
         if not level.limit(1).count():
             break
     out = found[0]

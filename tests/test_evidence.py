@@ -112,3 +112,26 @@ def test_secrets_six_deep_and_stale_phrases(spark):
     text = spark.createDataFrame([(1, "DO NOT PUBLISH YET, a PRIVATE STAGING PACKAGE :contentReference[oaicite:1]{index=1}"), (2, None), (3, "publish")], "id int, t string")
     assert sorted(tuple(r) for r in E.scan_text(text, "id", "t").collect()) == [(1, "content_reference", 1), (1, "stale_phrase", 2)]
 
+
+
+def test_a_scan_stores_once_for_many_depths_and_goes_on_below(spark, monkeypatch):
+    import json
+
+    def deep(n):
+        """A list in an object at every depth; every third object holds a password."""
+        return {"k": [deep(n - 1)] if n else 7, "n": None, **({"password": n} if n % 3 == 0 else {"Api-Key": "***"})}
+
+    def paths(x, at="$"):
+        inside = [(f"{at}.{k}", k, v) for k, v in x.items()] if isinstance(x, dict) else [(f"{at}[{i}]", None, v) for i, v in enumerate(x)]
+        return [p for p, k, _ in inside if k == "password"] + [p for q, _, v in inside if isinstance(v, (dict, list)) for p in paths(v, q)]
+
+    made, plain = [], E.stored
+    monkeypatch.setattr(E, "stored", lambda *a, **b: made.append(1) or plain(*a, **b))
+    docs = [deep(n) for n in (0, 2, 3, 4, 9, 10)] + [[], {}, [[{"secret": {}}, {"secret": [1]}, {"secret": 1}]]]
+    want = sorted((i, p) for i, x in enumerate(docs) for p in (paths(x) if i < 8 else ["$[0][2].secret"]))
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(docs)], "id int, t string")
+    assert sorted(tuple(r) for r in E.scan_json(df, "id", "t").collect()) == want
+    assert len(made) == 3
+    made.clear()
+    assert E.scan_json(df.where("id < 3"), "id", "t").count() == 4 and len(made) == 1
+    assert E.scan_json(df.limit(0), "id", "t").count() == 0
