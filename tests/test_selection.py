@@ -141,3 +141,21 @@ def test_scores_stay_in_their_tasks_at_a_gate(spark):
     assert {r["model_id"]: r["count"] for r in met.groupBy("model_id").count().collect()} == {0: 1000}
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_buckets_grow_before_they_are_many_and_ranks_join_without_a_shuffle(spark):
+    df = frame(spark, "hot")
+    for rows_of_one, most in ((50, 200), (2, 20_000 / 2 / 16 + 1)):
+        sizes = [r["count"] for r in placed(df, ["a", "b"], 20_000, rows_of_one).groupBy("_bucket").count().collect()]
+        assert sum(sizes) == 20_000 and 150 < len(sizes) <= most
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = bucketed_rank(df, ["a", "b"], ("g",), bucket_rows=50)
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan
+    rows = sorted((r["g"], r["a"], r["b"]) for r in df.collect())
+    begins = {g: next(i for i, r in enumerate(rows) if r[0] == g) for g in range(3)}
+    assert sorted((r["g"], r["a"], r["b"], r["rank"]) for r in ranked.collect()) == [(*r, i - begins[r[0]] + 1) for i, r in enumerate(rows)]
