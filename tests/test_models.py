@@ -85,3 +85,23 @@ def test_isolation_paths_are_walked_in_batches(spark):
                 n, depth = 2 * n + 1 + (x[nodes[t, n]["feature"]] >= nodes[t, n]["cut"]), depth + 1
             total += depth + (nodes[t, n]["rest"] if (t, n) in nodes else 0.0)
         assert math.isclose(r["anomaly"], 2 ** (-total / 3 / norm))
+
+
+def test_rounds_are_the_same_in_one_block_and_in_many(spark, monkeypatch):
+    df = frame(spark, 2000).withColumn("family", F.when(F.col("id") % 40 < 10, "low").when(F.col("id") % 40 < 25, "mid").otherwise("top"))
+    s = B.Settings(rounds=B.AT_ONCE + 2, depth=3, min_child_weight=1.0, subsample=0.7, columns=1.0, bins=8, patience=99)
+    one = B.fit(df, ["x", "z"], "family", ["id"], s, classes=["low", "mid", "top"])
+    monkeypatch.setattr(B, "CELLS", 80)
+    many = B.fit(df, ["x", "z"], "family", ["id"], s, classes=["low", "mid", "top"], val=df.where("id < 300"))
+    flat = lambda fitted: [[(t["feature"], t["bin"], [round(v, 6) for v in t["value"]]) for t in per] for per in fitted.trees[0]]
+    assert len(one.trees[0]) == s.rounds and flat(many) == flat(one)[: len(many.trees[0])] and len(many.trees[0]) > 1
+
+
+def test_best_cut_is_the_first_of_the_greatest_gain():
+    import numpy as np
+
+    s = B.Settings(min_child_weight=1.0, l1=0.0, l2=0.0, max_step=0.0)
+    g, h = np.array([[0.0, -4.0, 0.0, 4.0], [0.0, 4.0, -4.0, 0.0]]), np.array([[0.0, 2.0, 0.0, 2.0], [0.0, 2.0, 2.0, 0.0]])
+    assert B.best_cut(np.stack([g, h]), [0, 1], s) == (0, 0, 0.0, 4.0, -4.0, 2.0)  # bins count from -1, those of nulls
+    assert B.best_cut(np.stack([g, h]), [1], s) == (1, 0, 0.0, 4.0, 4.0, 2.0)
+    assert B.best_cut(np.stack([g, h]), [0, 1], B.Settings(min_child_weight=3.0)) == (None, None, 0.0, 4.0, None, None)
