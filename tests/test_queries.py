@@ -47,7 +47,7 @@ def test_a_class_of_several_files_still_has_files_of_its_own(spark, monkeypatch)
     assert len(got) == 5 and all(r["one_class_a_file"] and r["n"] > 5 for r in got)
 
 
-@pytest.mark.parametrize("name, label, classes", [("train_detector", "label", 1)])
+@pytest.mark.parametrize("name, label, classes", [("train_detector", "label", 1), ("train_multiclass", "list_position(['A-F', 'A-O', 'BENIGN', 'R-F', 'R-O'], family) - 1", 5)])
 def test_a_detector_grows_all_rounds_as_sql_does(spark, duck, monkeypatch, name, label, classes):
     from tarnsift.operators import boosting as B
     from tarnsift.plans import evaluation_queries as Q
